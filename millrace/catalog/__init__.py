@@ -48,7 +48,11 @@ class Tables:
 def all_queries() -> dict[str, Query]:
     found: dict[str, Query] = {}
     for family in FAMILIES:
-        module = importlib.import_module(f"millrace.catalog.{family}")
+        try:
+            module = importlib.import_module(f"millrace.catalog.{family}")
+        except ModuleNotFoundError as ex:  # TEMP
+            if ex.name and ex.name.startswith("millrace.catalog."): continue
+            raise
         for name, query in module.family.items.items():
             if name in found:
                 raise ValueError(f"query {name} is registered twice")

@@ -23,6 +23,7 @@ def local_session(app: str = "millrace", cores: str = "8", memory: str = "8g") -
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="run-"))
