@@ -22,7 +22,7 @@ def salted_join(
     per salt, so it should hold few rows per key (aggregates, dictionaries). ``how`` is inner, left,
     left_semi or left_anti; every big row meets exactly one copy of each small row.
     """
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    left = big.withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"), F.lit(0)))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 

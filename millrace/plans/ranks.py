@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from millrace.plans.joins import one_row, salted_join
 
-BUCKETS = 256
+BUCKETS = 64
 
 
 def bucket_of(value: Column, splits: Column, buckets: int = BUCKETS) -> Column:
@@ -36,7 +36,7 @@ def split_points(value: Column, buckets: int = BUCKETS) -> Column:
     """Aggregate expression: at most ``buckets - 1`` approximate quantiles (a sketch of bounded size)."""
     points = [i / buckets for i in range(1, buckets)]
     return F.array_distinct(
-        F.percentile_approx(value, F.array(*[F.lit(p) for p in points]), F.lit(buckets * 20))
+        F.percentile_approx(value, F.array(*[F.lit(p) for p in points]), F.lit(buckets * 16))
     )
 
 
@@ -52,33 +52,37 @@ def order_stats(
     A rank is a function of the row count ``n``. Nulls in ``value`` are left out.
     """
     keys = list(keys)
+    # A struct key is never null: null groups stay, and no inferred null filter tells the uses of
+    # `counts` apart, so its exchange is computed once and reused.
+    key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("_all"))
     counts = (
         df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).alias("_v"))
+        .groupBy(key.alias("_k"), F.col(value).alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    sketch = counts.groupBy(*keys).agg(
+    sketch = counts.groupBy("_k").agg(
         split_points(F.col("_v"), buckets).alias("_splits"), F.sum("_c").alias("_n")
     )
     if keys:
-        tagged = salted_join(counts, sketch, keys, ["_v"])
+        tagged = salted_join(counts, sketch, ["_k"], ["_v"])
     else:
         s = one_row(sketch)
         tagged = counts.select("*", s["_splits"].alias("_splits"), s["_n"].alias("_n"))
-    tagged = tagged.withColumn("_b", bucket_of(F.col("_v"), F.col("_splits"), buckets)).drop("_splits")
+    bucket = F.coalesce(bucket_of(F.col("_v"), F.col("_splits"), buckets), F.lit(0))
+    tagged = tagged.withColumn("_b", bucket).drop("_splits")
 
     wanted = F.array(*[fn(F.col("_n")).cast("bigint") for fn in ranks.values()])
     # One row per key and bucket: at most `buckets` rows in a window partition.
-    totals = tagged.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"), F.max("_n").alias("_n"))
-    along = W.partitionBy(*(keys or [F.lit(0)])).orderBy("_b").rowsBetween(W.unboundedPreceding, 0)
+    totals = tagged.groupBy("_k", "_b").agg(F.sum("_c").alias("_bc"), F.max("_n").alias("_n"))
+    along = W.partitionBy("_k").orderBy("_b").rowsBetween(W.unboundedPreceding, 0)
     totals = totals.withColumn("_upto", F.sum("_bc").over(along)).withColumn("_wanted", wanted)
     hit = totals.where(
         F.exists("_wanted", lambda r: (r > F.col("_upto") - F.col("_bc")) & (r <= F.col("_upto")))
-    ).select(*keys, "_b", (F.col("_upto") - F.col("_bc")).alias("_before"), "_wanted")
+    ).select("_k", "_b", (F.col("_upto") - F.col("_bc")).alias("_before"), "_wanted")
 
-    inside = W.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy("_k", "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
     placed = (
-        tagged.join(hit, [*keys, "_b"])
+        tagged.join(hit, ["_k", "_b"])
         .withColumn("_to", F.sum("_c").over(inside) + F.col("_before"))
         .withColumn("_from", F.col("_to") - F.col("_c"))
     )
@@ -90,7 +94,8 @@ def order_stats(
         ).alias(name)
         for i, name in enumerate(ranks)
     ]
-    return placed.groupBy(*keys).agg(F.max("_n").alias("n"), *picks)
+    found = placed.groupBy("_k").agg(F.max("_n").alias("n"), *picks)
+    return found.select(*[F.col(f"_k.{k}").alias(k) for k in keys], "n", *ranks)
 
 
 def index_rank(p: float) -> Callable[[Column], Column]:
