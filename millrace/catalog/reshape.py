@@ -44,10 +44,10 @@ def _(spark, sf):
 
 
 @family.add("p05_unflatten", """
-select c_custkey as id, c_nationkey + 0.5 as deep, c_mktsegment as second from customer""")
+select c_custkey as id, (c_nationkey + 0.5)::double as deep, c_mktsegment as second from customer""")
 def _(spark, sf):
     flat = Tables(spark, sf).customer.select(
-        F.col("c_custkey").alias("user.id"), (F.col("c_nationkey") + 0.5).alias("user.geo.code"),
+        F.col("c_custkey").alias("user.id"), (F.col("c_nationkey") + F.lit(0.5)).alias("user.geo.code"),
         F.col("c_name").alias("tags.0"), F.col("c_mktsegment").alias("tags.1"))
     return R.unflatten_columns(flat).select("user.id", F.col("user.geo.code").alias("deep"), F.col("tags")[1].alias("second"))
 

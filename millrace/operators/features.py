@@ -42,13 +42,6 @@ def one_hot(df: DataFrame, col: str, values: Sequence[str], dummy_na: bool = Fal
     return out.drop(col) if drop else out
 
 
-def level_table(df: DataFrame, col: str) -> DataFrame:
-    """The distinct values of a column with their counts and their sorted position, as text ('' for null)."""
-    levels = df.groupBy(F.coalesce(F.col(col).cast("string"), F.lit("")).alias("level")).agg(F.count(F.lit(1)).alias("rows"))
-    below = levels.select(F.sort_array(F.collect_list("level")).alias("all")).scalar()
-    return levels.withColumn("code", F.array_position(below, F.col("level")) - 1)
-
-
 def category_levels(df: DataFrame, col: str, at_most: int = 10) -> list[str] | None:
     """Sorted levels of a low-cardinality column, or None beyond ``at_most``; reads at most one row more."""
     rows = df.select(F.col(col).cast("string").alias("v")).where("v IS NOT NULL").distinct().limit(at_most + 1).collect()
@@ -59,14 +52,14 @@ def label_encode(df: DataFrame, col: str, at: str | None = None) -> DataFrame:
     """Adds ``<c>_encoded``: position of the value in sorted order, null counted as ''.
 
     The codes are a table joined back (broadcast only if Spark measures it small), so the vocabulary is
-    not limited by the driver. Codes come from counting smaller levels by buckets, not from one sorted task.
+    not limited by the driver. Numbering runs per four-character prefix, not in one sorted task.
     """
     from millrace.plans.runs import numbered
 
     name = at or f"{col}_encoded"
     text = F.coalesce(F.col(col).cast("string"), F.lit(""))
     levels = df.select(text.alias("_level")).distinct()
-    codes = numbered(levels, [], ["_level"], F.substring("_level", 1, 2), name)
+    codes = numbered(levels, [], ["_level"], F.substring("_level", 1, 4), name)
     codes = codes.withColumn(name, F.col(name) - 1)
     spread = [c for c in df.columns if c != col] or [col]
     return salted_join(df.withColumn("_level", text), codes, ["_level"], spread, "left").drop("_level")
