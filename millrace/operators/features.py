@@ -151,7 +151,8 @@ def quantile_normal(df: DataFrame, col: str, at: str, bound: float = 1e-7) -> Da
     df = df.withColumn(col, F.coalesce(F.col(col).cast("double"), F.lit(0.0)))
     counts = df.groupBy(F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     splits = counts.agg(split_points(F.col("_v")).alias("s")).scalar()
-    ranked = running_sums(counts, [], ["_v"], bucket_of(F.col("_v"), splits, BUCKETS), {"_to": F.col("_c")})
+    placed = counts.withColumn("_splits", splits).withColumn("_b", bucket_of(F.col("_v"), F.col("_splits"), BUCKETS))
+    ranked = running_sums(placed.drop("_splits"), [], ["_v"], F.col("_b"), {"_to": F.col("_c")})
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     share = (F.col("_to") - (F.col("_c") + 1) / 2) / F.greatest(total - 1, F.lit(1))
     p = F.least(F.greatest(share, F.lit(bound)), F.lit(1 - bound))
