@@ -1,10 +1,22 @@
+"""Ranked search: postings with positions, document scores, line search, fuzzy terms, suggestions, symbols.
+
+Documents have id, title, headings, content, section, tags and metadata; files have doc_id and text.
+The index is a table; searching is a join with the few rows that hold the query's terms.
+"""
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from millrace.functions import text as X
 from millrace.functions.predicates import has_any_tag
+from millrace.plans.joins import salted_join
+from millrace.plans.spread import widen
+from millrace.plans.topn import first_per_key, top_per_key
+
+K1, B, TITLE_WEIGHT, TITLE_WORDS = 1.5, 0.75, 5.0, 10
 
 
 def document_filter(
@@ -19,3 +31,319 @@ def document_filter(
         held = F.col("metadata")[name]
         df = df.where(~F.map_contains_key("metadata", F.lit(name)) | held.eqNullSafe(F.lit(value)))
     return df
+
+
+def occurrences(docs: DataFrame, key: str = "id") -> DataFrame:
+    """Rows (key, doc_len, term, position) over title, headings, content and tags, in that order.
+
+    Positions run on from field to field; every tag starts at the end of the content. Words are split as
+    arrays and stemmed after the explode, where the rule list compiles to one expression.
+    """
+    none = F.array().cast("array<string>")
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    heads = F.flatten(F.transform(F.coalesce("headings", none), lambda h: X.words(h)))
+    main = F.concat(X.words(blank("title")), heads, X.words(blank("content")))
+    tag_words = F.transform(F.coalesce("tags", none), lambda t: X.words(t))
+    base = widen(docs.select(key, "title", "headings", "content", "tags"), key).select(key, main.alias("_main"), tag_words.alias("_tags"))
+    placed = F.concat(
+        F.transform("_main", lambda w, i: F.struct(w.alias("word"), i.alias("position"))),
+        F.flatten(F.transform("_tags", lambda ws: F.transform(ws, lambda w, i: F.struct(w.alias("word"), (i + F.size("_main")).alias("position"))))),
+    )
+    rows = base.select(key, placed.alias("_p")).select(key, F.size("_p").alias("doc_len"), F.explode("_p").alias("_e"))
+    return rows.select(key, "doc_len", X.stem(F.col("_e.word")).alias("term"), F.col("_e.position").alias("position"))
+
+
+def build_postings(docs: DataFrame, key: str = "id", with_positions: bool = False) -> DataFrame:
+    """Rows (term, key, n, first_position, doc_len[, positions]): one per term and document."""
+    aggs = [F.count(F.lit(1)).alias("n"), F.min("position").alias("first_position"), F.max("doc_len").alias("doc_len")]
+    if with_positions:
+        aggs.append(F.sort_array(F.collect_list("position")).alias("positions"))
+    return occurrences(docs, key).groupBy("term", key).agg(*aggs)
+
+
+def document_stats(docs: DataFrame, key: str = "id") -> DataFrame:
+    """One row: documents and their mean length in terms."""
+    none = F.array().cast("array<string>")
+    sizes = F.size(X.words(F.coalesce("title", F.lit("")))) + F.size(X.words(F.coalesce("content", F.lit(""))))
+    for c in ("headings", "tags"):
+        sizes = sizes + F.size(F.flatten(F.transform(F.coalesce(c, none), lambda x: X.words(x))))
+    return docs.agg(F.count(F.lit(1)).alias("documents"), F.avg(sizes).alias("mean_len"))
+
+
+def query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
+    """Rows (query_id, term, weight); a term that a query repeats counts that often."""
+    words = queries.select(F.col(query_id), F.explode(X.words(F.col(text))).alias("w"))
+    return words.groupBy(query_id, X.stem(F.col("w")).alias("term")).agg(F.count(F.lit(1)).alias("weight"))
+
+
+def ranked_search(
+    postings: DataFrame, stats: DataFrame, queries: DataFrame, query_id: str = "query_id", text: str = "query", key: str = "id",
+    limit: int = 10, min_score: float = 0.0, allowed: DataFrame | None = None,
+) -> DataFrame:
+    """Best documents per query: rows (query_id, key, score, matched_terms, position).
+
+    Only postings of query terms are read on; they meet the queries in a join salted by document, so a
+    term that half the documents hold is spread out, and scores are summed before the shuffle.
+    """
+    terms = query_terms(queries, query_id, text)
+    hits = postings.join(terms.select("term").distinct(), "term", "left_semi")
+    frequency = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    docs, mean = stats.select("documents").scalar(), stats.select("mean_len").scalar()
+    idf = F.log((docs + 1) / (F.col("df") + 1)) + 1
+    weighted = terms.join(frequency, "term").withColumn("idf", idf)
+    tf = F.lit(1.0) + F.log(F.col("n"))
+    norm = F.lit(1 - B) + F.lit(B) * F.col("doc_len") / mean
+    boost = F.when(F.col("first_position") < TITLE_WORDS, TITLE_WEIGHT).otherwise(1.0)
+    scored = hits.select("term", key, (tf / (tf + K1 * norm) * boost).alias("_part"))
+    if allowed is not None:
+        scored = scored.join(allowed.select(key).distinct(), key, "left_semi")
+    matched = salted_join(scored, weighted, ["term"], [key])
+    totals = matched.groupBy(query_id, key).agg(
+        F.sum(F.col("_part") * F.col("idf") * F.col("weight")).alias("score"), F.count(F.lit(1)).alias("matched_terms")
+    ).where(F.col("score") >= min_score)
+    # Sums of floats depend on the order of rows; rounding keeps equal documents equal, and the key decides.
+    order = [F.round("score", 9).desc(), F.asc(key)]
+    best = top_per_key(totals, [query_id], order, limit, [key])
+    place = F.row_number().over(W.partitionBy(query_id).orderBy(*order))
+    return best.withColumn("position", place)
+
+
+def with_excerpts(found: DataFrame, docs: DataFrame, query: str, key: str = "id", length: int = 200) -> DataFrame:
+    """Excerpt and highlighted title for the rows of a result page, and for those only."""
+    spark = docs.sparkSession
+    row = spark.range(1).select(X.words(F.lit(query)).alias("raw"), X.tokens(F.lit(query)).alias("stems")).first()
+    page = found.join(docs.select(key, "title", "content"), key)
+    return page.select(
+        *found.columns, X.excerpt(row.stems, length)(F.col("content")).alias("excerpt"), X.highlight(F.col("title"), list(row.raw)).alias("title_marked")
+    )
+
+
+def autocomplete(postings: DataFrame, prefix: str, limit: int = 10) -> DataFrame:
+    """Terms with the prefix, by number of documents."""
+    return postings.where(F.col("term").startswith(prefix.lower())).groupBy("term").agg(F.count(F.lit(1)).alias("df")).orderBy(F.desc("df"), "term").limit(limit)
+
+
+def suggestions(postings: DataFrame, queries: DataFrame, query_id: str, text: str, per_term: int = 5, limit: int = 10) -> DataFrame:
+    """For queries without results: frequent terms that share the first three characters of a query term."""
+    heads = query_terms(queries, query_id, text).select(query_id, F.substring("term", 1, 3).alias("head"))
+    frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("head", F.substring("term", 1, 3))
+    top = top_per_key(frequency, ["head"], [F.desc("df"), F.asc("term")], per_term, ["term"])
+    found = heads.distinct().join(top, "head").groupBy(query_id, "term").agg(F.max("df").alias("df"))
+    return top_per_key(found, [query_id], [F.desc("df"), F.asc("term")], limit, ["term"])
+
+
+def remove_documents(postings: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:
+    return salted_join(postings, gone.select(key).distinct(), [key], ["term"], "left_anti")
+
+
+def upsert_documents(postings: DataFrame, docs: DataFrame, key: str = "id") -> DataFrame:
+    """Re-indexes the given documents: their old postings go, their new ones come."""
+    return remove_documents(postings, docs, key).unionByName(build_postings(docs, key).select(*postings.columns))
+
+
+def write_postings(postings: DataFrame, table: str, buckets: int = 64) -> None:
+    """Postings as a table bucketed and sorted by term, so that a search reads the buckets of its terms."""
+    postings.write.bucketBy(buckets, "term").sortBy("term").mode("overwrite").saveAsTable(table)
+
+
+# --- line index ---------------------------------------------------------------------------------------
+
+
+def text_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (key, line_no, line), numbered from 1."""
+    return widen(docs.select(key, text), key).select(F.col(key), F.posexplode(F.split(text, "\r\n|\n|\r")).alias("_i", "line")).select(
+        key, (F.col("_i") + 1).alias("line_no"), "line"
+    )
+
+
+def line_tokens(lines: DataFrame, key: str = "doc_id", max_line: int = 2000, split_camel: bool = True) -> DataFrame:
+    """Rows (key, line_no, ord, token, column): every token of every line of at most ``max_line`` characters."""
+    kept = lines.where(F.length("line") <= max_line)
+    rows = kept.select(key, "line_no", "line", F.posexplode(X.code_tokens(F.col("line"), split_camel)).alias("ord", "token"))
+    column = F.greatest(F.instr(F.lower("line"), F.col("token")) - 1, F.lit(0))
+    return rows.select(key, "line_no", "ord", "token", column.alias("column"))
+
+
+def capped_matches(tokens: DataFrame, key: str = "doc_id", cap: int = 300) -> DataFrame:
+    """First ``cap`` matches of each token in file order: what the line index keeps."""
+    return top_per_key(tokens, ["token"], [F.asc(key), F.asc("line_no"), F.asc("ord")], cap, [key, "line_no"])
+
+
+def split_query(query: str) -> list[str]:
+    found = (w.lower() for w in re.findall(X.CODE_WORD, query))
+    return [w for w in found if w not in set(X.CODE_STOP_WORDS)]
+
+
+def all_terms(matches: DataFrame, terms: Sequence[str], key: str = "doc_id") -> DataFrame:
+    """Lines (key, line_no) that hold every term."""
+    wanted = sorted(set(terms))
+    hits = matches.where(F.col("token").isin(wanted)).groupBy(key, "line_no").agg(F.count_distinct("token").alias("_n"))
+    return hits.where(F.col("_n") == len(wanted)).drop("_n")
+
+
+def similar_tokens(vocabulary: DataFrame, words: DataFrame, threshold: float = 0.5, limit: int = 5, n: int = 3) -> DataFrame:
+    """Rows (word, token, similarity): tokens whose padded n-grams overlap by at least ``threshold`` (Jaccard).
+
+    Candidates come from an equi-join on n-grams; only words of the query are expanded, and the overlap
+    is counted, so no pair is compared that shares nothing.
+    """
+    grams = lambda c: X.ngrams(F.col(c), n)
+    asked = words.select("word").distinct().select("word", F.size(grams("word")).alias("_a"), F.explode(grams("word")).alias("gram"))
+    offered = vocabulary.select("token").distinct().select("token", F.size(grams("token")).alias("_b"), F.explode(grams("token")).alias("gram"))
+    shared = salted_join(offered, asked, ["gram"], ["token"]).groupBy("word", "token", "_a", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    scored = shared.withColumn("similarity", F.col("_n") / (F.col("_a") + F.col("_b") - F.col("_n"))).where(F.col("similarity") >= threshold)
+    return top_per_key(scored.select("word", "token", "similarity"), ["word"], [F.desc("similarity"), F.asc("token")], limit, ["token"])
+
+
+def line_search(
+    lines: DataFrame, tokens: DataFrame, query: str, fuzzy: bool = False, threshold: float = 0.5, key: str = "doc_id",
+    cap: int = 300, limit: int = 50,
+) -> DataFrame:
+    """Lines that hold every word of the query, scored by the TF-IDF of their file plus 0.1 per word in the line.
+
+    Fuzzy expansion adds at most five tokens per word, to the score only.
+    """
+    words = split_query(query)
+    expanded = list(words)
+    if fuzzy and words:
+        asked = lines.sparkSession.createDataFrame([(w,) for w in sorted(set(words))], "word string")
+        near = similar_tokens(tokens, asked, threshold).orderBy("word", F.desc("similarity"), "token").collect()
+        for word in words:
+            expanded += [r.token for r in near if r.word == word and r.token not in expanded]
+    if not words:
+        return lines.where(F.lit(False)).select(key, "line_no", "line", F.lit(0.0).alias("score"))
+    common = all_terms(capped_matches(tokens.where(F.col("token").isin(sorted(set(words)))), key, cap), words, key)
+
+    doc_len = tokens.groupBy(key).agg(F.count(F.lit(1)).alias("doc_len"))
+    documents = lines.select(key).distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
+    weight = F.create_map(*[x for t in sorted(set(expanded)) for x in (F.lit(t), F.lit(expanded.count(t)))])
+    counts = tokens.where(F.col("token").isin(sorted(set(expanded)))).groupBy("token", key).agg(F.count(F.lit(1)).alias("n"))
+    df = counts.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log((documents + 1) / (F.col("df") + 1)) + 1
+    parts = salted_join(counts, df, ["token"], [key]).join(doc_len, key)
+    doc_scores = parts.groupBy(key).agg(F.sum(F.col("n") / F.col("doc_len") * idf * weight[F.col("token")]).alias("tf_idf"))
+
+    low = F.lower("line")
+    contained = sum((F.when(low.contains(t), 1).otherwise(0) for t in expanded[1:]), F.when(low.contains(expanded[0]), 1).otherwise(0))
+    hits = lines.join(common, [key, "line_no"], "left_semi").join(doc_scores, key)
+    return hits.select(key, "line_no", F.trim("line").alias("line"), (F.col("tf_idf") + contained * 0.1).alias("score")).orderBy(
+        F.desc("score"), key, "line_no"
+    ).limit(limit)
+
+
+def fuzzy_matches(words: DataFrame, candidates: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """Rows (word, candidate, similarity) by edit distance.
+
+    Two strings can only reach the threshold if the shorter is at least that share of the longer, so each
+    word asks for the lengths it can match and pairs are formed per length.
+    """
+    asked = words.select("word").distinct().withColumn("_len", F.explode(F.sequence(
+        F.ceil(F.length("word") * F.lit(threshold)).cast("int"), F.floor(F.length("word") / F.lit(threshold)).cast("int"))))
+    given = candidates.select("candidate").distinct().withColumn("_len", F.length("candidate"))
+    pairs = salted_join(given, asked, ["_len"], ["candidate"]).drop("_len")
+    return pairs.withColumn("similarity", X.similarity(F.col("word"), F.col("candidate"))).where(F.col("similarity") >= threshold)
+
+
+def prefix_lines(matches: DataFrame, prefix: str, key: str = "doc_id", per_token: int = 5, limit: int = 30) -> DataFrame:
+    """Lines with a token that starts with the prefix: five matches per token, each line once."""
+    hits = top_per_key(matches.where(F.col("token").startswith(prefix.lower())), ["token"], [F.asc(key), F.asc("line_no"), F.asc("ord")], per_token, [key])
+    return hits.groupBy(key, "line_no").agg(F.min("token").alias("token")).orderBy("token", key, "line_no").limit(limit)
+
+
+def substring_search(df: DataFrame, term: str, fields: Sequence[str]) -> DataFrame:
+    """Rows with the term, ignoring case, in any of the fields (lists and maps as text); adds the first field that has it."""
+    low = term.lower()
+
+    def held(name: str) -> Column:
+        kind = df.schema[name].dataType.typeName()
+        shown = F.to_json(name) if kind in ("array", "map", "struct", "variant") else F.col(name).cast("string")
+        return F.coalesce(F.lower(shown).contains(low), F.lit(False))
+
+    first = F.coalesce(*[F.when(held(f), F.lit(f)) for f in fields])
+    return df.withColumn("found_in", first).where("found_in IS NOT NULL")
+
+
+# Symbol patterns per language, tried in this order on a line.
+SYMBOL_PATTERNS = {
+    "python": (
+        (r"^\s*class\s+(\w+)", "class"), (r"^\s*def\s+(\w+)", "function"), (r"^\s*async\s+def\s+(\w+)", "function"), (r"^(\w+)\s*=\s*", "variable"),
+    ),
+    "javascript": (
+        (r"^\s*class\s+(\w+)", "class"), (r"^\s*(?:async\s+)?function\s+(\w+)", "function"), (r"^\s*(?:export\s+)?const\s+(\w+)", "constant"),
+        (r"^\s*(?:export\s+)?let\s+(\w+)", "variable"), (r"^\s*(?:export\s+)?interface\s+(\w+)", "interface"), (r"^\s*(?:export\s+)?type\s+(\w+)", "type"),
+    ),
+    "rust": (
+        (r"^\s*(?:pub\s+)?struct\s+(\w+)", "struct"), (r"^\s*(?:pub\s+)?enum\s+(\w+)", "enum"), (r"^\s*(?:pub\s+)?fn\s+(\w+)", "function"),
+        (r"^\s*(?:pub\s+)?trait\s+(\w+)", "trait"), (r"^\s*(?:pub\s+)?type\s+(\w+)", "type"), (r"^\s*impl(?:\s+\w+)?\s+(?:for\s+)?(\w+)", "impl"),
+    ),
+}
+
+
+def symbols(lines: DataFrame, language: str = "language") -> DataFrame:
+    """Adds name, kind and signature of the symbol a line defines; lines without one drop out.
+
+    The first pattern that matches and gives an allowed name decides; private names count only for
+    functions and classes. TypeScript follows the JavaScript patterns.
+    """
+    rules = {**SYMBOL_PATTERNS, "typescript": SYMBOL_PATTERNS["javascript"]}
+    found = F.lit(None).cast("struct<name:string,kind:string>")
+    for lang, patterns in rules.items():
+        for pattern, kind in reversed(patterns):
+            name = F.regexp_extract("line", pattern, 1)
+            ok = (F.col(language) == lang) & (name != "")
+            if kind not in ("function", "class"):
+                ok = ok & ~name.startswith("_")
+            found = F.when(ok, F.struct(name.alias("name"), F.lit(kind).alias("kind"))).otherwise(found)
+    out = lines.withColumn("_s", found).where("_s IS NOT NULL")
+    return out.withColumns({"name": F.col("_s.name"), "kind": F.col("_s.kind"), "signature": F.substring(F.trim("line"), 1, 100)}).drop("_s")
+
+
+def symbol_search(found: DataFrame, query: str, kind: str | None = None, limit: int = 30, order: Sequence[str] = ("name",)) -> DataFrame:
+    hits = found.where(F.lower("name").contains(query.lower()))
+    return (hits.where(F.col("kind") == kind) if kind else hits).orderBy(*order).limit(limit)
+
+
+def index_statistics(matches: DataFrame, documents: DataFrame, symbol_rows: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    """One row: distinct tokens, kept matches, documents, symbols, matches per token."""
+    per_token = matches.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    docs = documents.agg(F.count_distinct(key).alias("n")).scalar()
+    syms = F.lit(0).cast("bigint") if symbol_rows is None else symbol_rows.agg(F.count(F.lit(1)).alias("n")).scalar()
+    out = per_token.agg(F.count(F.lit(1)).alias("total_tokens"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_matches"))
+    return out.withColumns({"total_documents": docs, "total_symbols": syms, "avg_matches_per_token": F.coalesce(F.try_divide("total_matches", "total_tokens"), F.lit(0.0))})
+
+
+def file_terms(matches: DataFrame, key: str, value) -> DataFrame:
+    return matches.where(F.col(key) == F.lit(value)).select("token").distinct()
+
+
+def metadata_search(docs: DataFrame, query: str | None, searchable: Sequence[str], filters: Mapping[str, object], filterable: Sequence[str],
+                    sort: Sequence[str], sortable: Sequence[str], page: int = 1, per_page: int = 20) -> DataFrame:
+    """Search over model or run documents: text in searchable fields, exact filters, sort and page.
+
+    Filters and sort fields outside the allowed lists raise.
+    """
+    from millrace.operators.scopes import sorted_page
+
+    for name in filters:
+        if name not in filterable:
+            raise ValueError(f"{name} is not filterable")
+    for name in sort:
+        if name.lstrip("-") not in sortable:
+            raise ValueError(f"{name} is not sortable")
+    for name, value in filters.items():
+        is_list = docs.schema[name].dataType.typeName() == "array"
+        docs = docs.where(F.array_contains(name, value) if is_list else F.col(name) == F.lit(value))
+    if query:
+        docs = substring_search(docs, query, searchable).drop("found_in")
+    return sorted_page(docs, list(sort), page, per_page)
+
+
+def latest_documents(changes: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    return first_per_key(changes, [key], list(order), latest=True)
+
+
+def export_documents(docs: DataFrame) -> DataFrame:
+    """Documents for a client-side index: content to 1000 characters, an excerpt of 300, five headings."""
+    content = F.coalesce("content", F.lit(""))
+    excerpt = F.when(F.length(content) > 300, F.concat(F.substring(content, 1, 300), F.lit("..."))).otherwise(content)
+    return docs.select("id", "url", "title", F.substring(content, 1, 1000).alias("content"), excerpt.alias("excerpt"), "section", "tags", F.slice("headings", 1, 5).alias("headings"))
