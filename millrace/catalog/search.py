@@ -93,7 +93,8 @@ r as (select *, row_number() over (partition by item_id order by round(score, 9)
 def _(spark, sf):
     t = Tables(spark, sf)
     docs = search_docs(t)
-    found = I.ranked_search(cut(I.build_postings(docs), "postings"), I.document_stats(docs), t.benchmark, "item_id", "text", limit=5)
+    postings = stored(I.build_postings(docs))
+    found = I.ranked_search(postings, I.document_stats(docs, postings), t.benchmark, "item_id", "text", limit=5)
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -101,8 +102,9 @@ def _(spark, sf):
 def _(spark, sf):
     t = Tables(spark, sf)
     docs = search_docs(t)
+    postings = stored(I.build_postings(docs))
     allowed = I.document_filter(docs, section="en")
-    found = I.ranked_search(cut(I.build_postings(docs), "postings"), I.document_stats(docs), t.benchmark, "item_id", "text", limit=3, allowed=allowed)
+    found = I.ranked_search(postings, I.document_stats(docs, postings), t.benchmark, "item_id", "text", limit=3, allowed=allowed)
     return found.select("item_id", "id", F.round("score", 6).alias("score"))
 
 
@@ -190,7 +192,7 @@ f as (select term, left(term, 3) as head, count(*) as df from post group by 1),
 m as (select item_id, term, max(df) as df from h join t using (head) where r <= 5 group by 1, 2), k as (select *, row_number() over (partition by item_id order by df desc, term) as rk from m) select item_id, term, df from k where rk <= 10""")
 def _(spark, sf):
     t = Tables(spark, sf)
-    return I.suggestions(cut(I.build_postings(search_docs(t)), "postings"), t.benchmark, "item_id", "text")
+    return I.suggestions(stored(I.build_postings(search_docs(t))), t.benchmark, "item_id", "text")
 
 
 @family.add("i11_substring_search", """
@@ -259,8 +261,9 @@ def _(spark, sf):
     t = Tables(spark, sf)
     docs = search_docs(t)
     query = "report of erst"
-    asked = t.region.where("r_regionkey = 0").select(F.col("r_regionkey").alias("query_id"), F.lit(query).alias("query"))
-    found = I.ranked_search(cut(I.build_postings(docs), "postings"), I.document_stats(docs), asked, limit=10)
+    postings = stored(I.build_postings(docs))
+    asked = spark.createDataFrame([(0, query)], "query_id int, query string")
+    found = I.ranked_search(postings, I.document_stats(docs, postings), asked, limit=10)
     return I.with_excerpts(found, docs, query)
 
 

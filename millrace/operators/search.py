@@ -44,12 +44,17 @@ def occurrences(docs: DataFrame, key: str = "id") -> DataFrame:
     heads = F.flatten(F.transform(F.coalesce("headings", none), lambda h: X.words(h)))
     main = F.concat(X.words(blank("title")), heads, X.words(blank("content")))
     tag_words = F.transform(F.coalesce("tags", none), lambda t: X.words(t))
-    base = widen(docs.select(key, "title", "headings", "content", "tags"), key).select(key, main.alias("_main"), tag_words.alias("_tags"))
+    # The explode of one struct keeps Catalyst from pasting the word lists into every use of them.
+    once = F.explode(F.array(F.struct(main.alias("main"), tag_words.alias("tags")))).alias("_w")
+    base = widen(docs.select(key, "title", "headings", "content", "tags"), key).select(key, once)
+    offset = F.size("_w.main")
     placed = F.concat(
-        F.transform("_main", lambda w, i: F.struct(w.alias("word"), i.alias("position"))),
-        F.flatten(F.transform("_tags", lambda ws: F.transform(ws, lambda w, i: F.struct(w.alias("word"), (i + F.size("_main")).alias("position"))))),
+        F.transform("_w.main", lambda w, i: F.struct(w.alias("word"), i.alias("position"))),
+        F.flatten(F.transform("_w.tags", lambda ws: F.transform(ws, lambda w, i: F.struct(w.alias("word"), (i + offset).alias("position"))))),
     )
-    rows = base.select(key, placed.alias("_p")).select(key, F.size("_p").alias("doc_len"), F.explode("_p").alias("_e"))
+    # Lengths are taken before the words are exploded, or every word would carry its whole document.
+    sized = base.select(key, (offset + F.size(F.flatten("_w.tags"))).alias("doc_len"), "_w")
+    rows = sized.select(key, "doc_len", F.explode(placed).alias("_e"))
     return rows.select(key, "doc_len", X.stem(F.col("_e.word")).alias("term"), F.col("_e.position").alias("position"))
 
 
@@ -61,13 +66,10 @@ def build_postings(docs: DataFrame, key: str = "id", with_positions: bool = Fals
     return occurrences(docs, key).groupBy("term", key).agg(*aggs)
 
 
-def document_stats(docs: DataFrame, key: str = "id") -> DataFrame:
-    """One row: documents and their mean length in terms."""
-    none = F.array().cast("array<string>")
-    sizes = F.size(X.words(F.coalesce("title", F.lit("")))) + F.size(X.words(F.coalesce("content", F.lit(""))))
-    for c in ("headings", "tags"):
-        sizes = sizes + F.size(F.flatten(F.transform(F.coalesce(c, none), lambda x: X.words(x))))
-    return docs.agg(F.count(F.lit(1)).alias("documents"), F.avg(sizes).alias("mean_len"))
+def document_stats(docs: DataFrame, postings: DataFrame) -> DataFrame:
+    """One row: documents and their mean length in terms, the latter read off the postings."""
+    terms = postings.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).scalar()
+    return docs.agg(F.count(F.lit(1)).alias("documents")).withColumn("mean_len", terms / F.col("documents"))
 
 
 def query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
@@ -187,9 +189,13 @@ def similar_tokens(vocabulary: DataFrame, words: DataFrame, threshold: float = 0
     Candidates come from an equi-join on n-grams; only words of the query are expanded, and the overlap
     is counted, so no pair is compared that shares nothing.
     """
-    grams = lambda c: X.ngrams(F.col(c), n)
-    asked = words.select("word").distinct().select("word", F.size(grams("word")).alias("_a"), F.explode(grams("word")).alias("gram"))
-    offered = vocabulary.select("token").distinct().select("token", F.size(grams("token")).alias("_b"), F.explode(grams("token")).alias("gram"))
+
+    def grams(df: DataFrame, name: str, size: str) -> DataFrame:
+        found = X.ngrams(F.col(name), n)
+        sized = widen(df.select(name).distinct(), name).select(name, F.size(found).alias(size), found.alias("_g"))
+        return sized.select(name, size, F.explode("_g").alias("gram"))
+
+    asked, offered = grams(words, "word", "_a"), grams(vocabulary, "token", "_b")
     shared = salted_join(offered, asked, ["gram"], ["token"]).groupBy("word", "token", "_a", "_b").agg(F.count(F.lit(1)).alias("_n"))
     scored = shared.withColumn("similarity", F.col("_n") / (F.col("_a") + F.col("_b") - F.col("_n"))).where(F.col("similarity") >= threshold)
     return top_per_key(scored.select("word", "token", "similarity"), ["word"], [F.desc("similarity"), F.asc("token")], limit, ["token"])
@@ -286,15 +292,17 @@ def symbols(lines: DataFrame, language: str = "language") -> DataFrame:
     functions and classes. TypeScript follows the JavaScript patterns.
     """
     rules = {**SYMBOL_PATTERNS, "typescript": SYMBOL_PATTERNS["javascript"]}
-    found = F.lit(None).cast("struct<name:string,kind:string>")
+    chain = F
     for lang, patterns in rules.items():
-        for pattern, kind in reversed(patterns):
+        for pattern, kind in patterns:
             name = F.regexp_extract("line", pattern, 1)
             ok = (F.col(language) == lang) & (name != "")
             if kind not in ("function", "class"):
                 ok = ok & ~name.startswith("_")
-            found = F.when(ok, F.struct(name.alias("name"), F.lit(kind).alias("kind"))).otherwise(found)
-    out = lines.withColumn("_s", found).where("_s IS NOT NULL")
+            chain = chain.when(ok, F.struct(name.alias("name"), F.lit(kind).alias("kind")))
+    found = chain.otherwise(F.lit(None))
+    # Exploding drops lines without a symbol and evaluates the patterns once per line.
+    out = lines.withColumn("_s", F.explode(F.array_compact(F.array(found))))
     return out.withColumns({"name": F.col("_s.name"), "kind": F.col("_s.kind"), "signature": F.substring(F.trim("line"), 1, 100)}).drop("_s")
 
 
