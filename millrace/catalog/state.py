@@ -50,7 +50,7 @@ def _(spark, sf):
 
 @family.add("v04_live_export", f"""
 with {CH}, l as (select key, arg_max(op, seq) as op, arg_max(ts, seq) as ts, arg_max(coalesce(ttl, -1), seq) as ttl from c group by 1)
-select key from l where op <> 'delete' and not (ttl > 0 and epoch_us(timestamp '2024-01-31 00:00:00') - epoch_us(ts) > ttl * 1000000)""")
+select key from l where op <> 'delete' and not (ttl > 0 and epoch_us(timestamp '2024-01-31 00:00:00') - epoch_us(ts) > ttl::bigint * 1000000)""")
 def _(spark, sf):
     return S.live(changes(Tables(spark, sf)), AS_OF).select("key")
 

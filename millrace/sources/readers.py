@@ -34,13 +34,12 @@ ENDINGS = {"json": "json", "ndjson": "ndjson", "jsonl": "ndjson", "csv": "csv",
 def sniff(head: Column, path: Column) -> Column:
     """json, ndjson, csv or text: by the first bytes, else by the file ending."""
     body = F.ltrim(F.regexp_replace(head, "^﻿", ""))
-    first_line = F.get(F.split(body, r"\r?\n"), F.lit(0))
-    whole = F.try_parse_json(body).isNotNull()
-    line = F.try_parse_json(first_line).isNotNull()
+    lines = F.filter(F.split(body, r"\r?\n"), lambda x: F.trim(x) != "")
+    several = (F.size(lines) > 1) & F.try_parse_json(F.get(lines, F.lit(0))).isNotNull()
     ending = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)(?:\.gz)?$", 1))
     table = F.create_map(*[F.lit(x) for kv in ENDINGS.items() for x in kv])
     return (
-        F.when(body.startswith("{") & ~whole & line, "ndjson").when(body.startswith("{") & whole & (ending == "ndjson"), "ndjson")
+        F.when(body.startswith("{") & (several | (ending == "ndjson")), "ndjson")
         .when(body.startswith("{") | body.startswith("["), "json").otherwise(F.coalesce(F.try_element_at(table, ending), F.lit("text")))
     )
 

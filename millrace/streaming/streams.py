@@ -186,27 +186,30 @@ def live_anomalies(stream: DataFrame, metric: str, at: str, value: str, width: f
     return stream.groupBy(metric).applyInPandasWithState(watch, schema, "times array<double>, points array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
-def delayed(stream: DataFrame, key: str, at: str, due: str, late: str = "0 seconds") -> DataFrame:
-    """Holds scheduled messages until event time reaches their due time (both in seconds); expired keys leave no state."""
+def delayed(stream: DataFrame, key: str, at: str, due: str, late: str = "0 seconds", bucket: float = 3600, slots: int = 16) -> DataFrame:
+    """Holds scheduled messages until event time passes their due time (both in seconds).
+
+    Messages wait together by due hour and a hash of their id, so one state holds a slice of one hour
+    whoever sends the messages, and a firing hands out a whole batch. Delivered messages leave no state.
+    """
     schema = stream.schema
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    names = schema.names
+    held = ", ".join(f"`{f.name}` array<{f.dataType.simpleString()}>" for f in schema.fields)
     timed = stream.withColumn("_t", F.timestamp_micros((F.col(at) * 1_000_000).cast("bigint"))).withWatermark("_t", late)
+    parted = timed.withColumns({"_bucket": F.floor(F.col(due) / bucket), "_slot": F.pmod(F.xxhash64(key), F.lit(slots))})
 
     def hold(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            row = state.get
+        waiting = [pd.DataFrame(dict(zip(names, state.get)))] if state.exists else []
+        if not state.hasTimedOut:
+            waiting += [b[names] for b in batches]
+        pdf = pd.concat(waiting, ignore_index=True)
+        ready = pdf[due] * 1000 <= state.getCurrentWatermarkMs()
+        rest = pdf[~ready]
+        if len(rest):
+            state.update(tuple(rest[n].tolist() for n in names))
+            state.setTimeoutTimestamp(int(rest[due].min() * 1000))
+        elif state.exists:
             state.remove()
-            yield pd.DataFrame([row], columns=schema.names)
-            return
-        pdf = pd.concat(list(batches))[schema.names]
-        newest = pdf.sort_values(at, kind="stable").iloc[-1]
-        mark = state.getCurrentWatermarkMs()
-        if newest[due] * 1000 <= mark:
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame([tuple(newest)], columns=schema.names)
-            return
-        state.update(tuple(x.item() if hasattr(x, "item") else x for x in newest))
-        state.setTimeoutTimestamp(int(newest[due] * 1000))
-
-    return timed.groupBy(key).applyInPandasWithState(hold, schema, fields, "append", GroupStateTimeout.EventTimeTimeout)
+        yield pdf[ready]
+
+    return parted.groupBy("_bucket", "_slot").applyInPandasWithState(hold, schema, held, "append", GroupStateTimeout.EventTimeTimeout)
