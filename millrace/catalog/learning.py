@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from millrace.catalog import Family, Tables
 from millrace.operators import forecast, models as M
+from millrace.session import cut
 
 family = Family()
 NUMERIC = ["l_quantity", "l_discount", "l_tax"]
@@ -32,7 +33,7 @@ def _(spark, sf):
 @family.add("m03_candidates")
 def _(spark, sf):
     rows = line_rows(Tables(spark, sf)).withColumnRenamed("price", "label")
-    ready = Pipeline(stages=M.preprocess(NUMERIC)).fit(rows).transform(rows).cache()
+    ready = cut(Pipeline(stages=M.preprocess(NUMERIC)).fit(rows).transform(rows).select("features", "label"), "prepared")
     found = []
     for c in M.candidates("regression"):
         if c.name in ("ridge", "decision_tree"):

@@ -45,7 +45,7 @@ def _(spark, sf):
 @family.add("r04_delayed_stream", "select event_id, event_type from events where epoch_ms(ts) + 864000000 < (select epoch_ms(max(ts)) from events)")
 def _(spark, sf):
     s = events(spark, sf).select("event_id", "event_type", SECONDS.alias("t"), (SECONDS + 10 * 86400).alias("due"))
-    return R.land(R.delayed(s, "event_id", "t", "due"), "delayed").select("event_id", "event_type")
+    return R.land(R.delayed(s, "event_id", "t", "due", bucket=86400, slots=8), "delayed").select("event_id", "event_type")
 
 
 @family.add("r05_dead_letter_stream", """

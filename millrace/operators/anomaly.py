@@ -87,27 +87,48 @@ def window_order_stats(df: DataFrame, keys: Sequence[str], at: str, value: str,
     return rows.groupBy(*keys, "_span").applyInPandas(slide, schema)
 
 
-def iqr_anomalies(df: DataFrame, keys: Sequence[str], at: str, value: str, tie: str, width: float = 300, min_samples: int = 10, stats: DataFrame | None = None) -> DataFrame:
-    """Points beyond 1.5 interquartile ranges of the window, quartiles taken by index."""
-    rows = window_order_stats(df, keys, at, value, width, tie) if stats is None else stats
+def _verdict(method: str, kind: Column, severity: Column, deviation: Column, confidence: Column) -> Column:
+    return F.struct(
+        F.lit(method).alias("method"), kind.alias("kind"), severity.alias("severity"), deviation.alias("deviation"), confidence.alias("confidence")
+    )
+
+
+def _iqr_verdict(value: str, min_samples: int) -> Column:
+    """Beyond 1.5 interquartile ranges of the window, quartiles taken by index; null where not."""
     iqr = F.col("win_q3") - F.col("win_q1")
     above = F.col(value) - (F.col("win_q3") + 1.5 * iqr)
     below = F.col("win_q1") - 1.5 * iqr - F.col(value)
-    rows = rows.where((F.col("win_n") >= min_samples) & (iqr != 0) & ((above > 0) | (below > 0)))
-    off = F.greatest(above, below) / iqr
+    off = F.greatest(above, below) / F.when(iqr != 0, iqr)
     kind = F.when(above > 0, "spike").otherwise("drop")
-    return _found(rows, "iqr", kind, _grade(off, 3, 2, 1), off, F.least(F.lit(0.95), 0.6 + off * 0.1))
+    verdict = _verdict("iqr", kind, _grade(off, 3, 2, 1), off, F.least(F.lit(0.95), 0.6 + off * 0.1))
+    return F.when((F.col("win_n") >= min_samples) & (off > 0), verdict)
 
 
-def mad_anomalies(df: DataFrame, keys: Sequence[str], at: str, value: str, tie: str, width: float = 300, threshold: float = 3.0, min_samples: int = 10, stats: DataFrame | None = None) -> DataFrame:
-    """Points whose modified z-score (0.6745 times the deviation over the MAD) exceeds the threshold."""
-    rows = window_order_stats(df, keys, at, value, width, tie) if stats is None else stats
-    rows = rows.where((F.col("win_n") >= min_samples) & (F.col("win_mad") != 0))
-    score = F.lit(0.6745) * F.abs(F.col(value) - F.col("win_median")) / F.col("win_mad")
-    rows = rows.where(score > threshold)
+def _mad_verdict(value: str, threshold: float, min_samples: int) -> Column:
+    """Modified z-score (0.6745 times the deviation over the MAD) above the threshold; null where not."""
+    score = F.lit(0.6745) * F.abs(F.col(value) - F.col("win_median")) / F.when(F.col("win_mad") != 0, F.col("win_mad"))
     kind = F.when(F.col(value) > F.col("win_median"), "spike").otherwise("drop")
-    sure = F.least(F.lit(0.97), 0.55 + (score - threshold) * 0.1)
-    return _found(rows, "mad", kind, _grade(score, 5, 4, 3.5), score, sure)
+    verdict = _verdict("mad", kind, _grade(score, 5, 4, 3.5), score, F.least(F.lit(0.97), 0.55 + (score - threshold) * 0.1))
+    return F.when((F.col("win_n") >= min_samples) & (score > threshold), verdict)
+
+
+def order_anomalies(
+    df: DataFrame, keys: Sequence[str], at: str, value: str, tie: str, width: float = 300, threshold: float = 3.0, min_samples: int = 10,
+    methods: Sequence[str] = ("iqr", "mad"),
+) -> DataFrame:
+    """The detectors that need order statistics, both from one pass over the sorted windows."""
+    known = {"iqr": _iqr_verdict(value, min_samples), "mad": _mad_verdict(value, threshold, min_samples)}
+    rows = window_order_stats(df, keys, at, value, width, tie)
+    hits = F.explode(F.array_compact(F.array(*[known[m] for m in methods])))
+    return rows.withColumn("_e", hits).select("*", "_e.*").drop("_e")
+
+
+def iqr_anomalies(df: DataFrame, keys: Sequence[str], at: str, value: str, tie: str, width: float = 300, min_samples: int = 10) -> DataFrame:
+    return order_anomalies(df, keys, at, value, tie, width, min_samples=min_samples, methods=["iqr"])
+
+
+def mad_anomalies(df: DataFrame, keys: Sequence[str], at: str, value: str, tie: str, width: float = 300, threshold: float = 3.0, min_samples: int = 10) -> DataFrame:
+    return order_anomalies(df, keys, at, value, tie, width, threshold, min_samples, ["mad"])
 
 
 def half_means(df: DataFrame, keys: Sequence[str], at: str, tie: str, value: str, width: float) -> DataFrame:
@@ -159,11 +180,9 @@ def trend_anomalies(df: DataFrame, keys: Sequence[str], at: str, value: str, tie
 def detect(df: DataFrame, keys: Sequence[str], at: str, value: str, tie: str, width: float = 300, trend_width: float = 600, trend_threshold: float = 1.5) -> DataFrame:
     """Union of all detectors: one row per point and method that flags it."""
     keep = [*df.columns, "method", "kind", "severity", "deviation", "confidence"]
-    stats = window_order_stats(df, keys, at, value, width, tie)
     found = [
         zscore_anomalies(df, keys, at, value, width),
-        iqr_anomalies(df, keys, at, value, tie, width, stats=stats),
-        mad_anomalies(df, keys, at, value, tie, width, stats=stats),
+        order_anomalies(df, keys, at, value, tie, width),
         trend_anomalies(df, keys, at, value, tie, trend_width, trend_threshold),
     ]
     out = found[0].select(*keep)

@@ -201,7 +201,8 @@ def clean(df: DataFrame, config: CleanConfig = CleanConfig()) -> DataFrame:
     """The fixed order: types, missing values, duplicates, outliers, dates, text, categories, normalising.
 
     Types are inferred once (one row per column reaches the driver) and steer the later steps. The rows are
-    written once to the shared folder before the two passes that need statistics of the deduplicated rows.
+    written to the shared folder before and after the outlier step: the passes that follow read statistics
+    of these rows, and would each repeat everything above.
     """
     types = {c: t for c, t in type_map(infer_types(df, [c for c in df.columns if c not in config.skip])).items()}
     by = lambda *kinds: [c for c, t in types.items() if t in kinds]
@@ -214,6 +215,8 @@ def clean(df: DataFrame, config: CleanConfig = CleanConfig()) -> DataFrame:
         out = cut(out, "clean")
     if config.outliers and numeric:
         out = outliers_iqr(out, numeric, config.outliers)
+        if by("categorical") or config.normalisation:
+            out = cut(out, "clean")
     out = date_features(out, by("datetime"))
     out = text_features(out, by("string"), config.lower, config.strip_special)
     out = encode(out, by("categorical"), config.encoding)
