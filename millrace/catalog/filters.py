@@ -7,7 +7,9 @@ from millrace.functions import ignore, predicates as P
 from millrace.operators import kv, scopes as S
 
 family = Family()
-AS_OF = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
+def as_of():
+    return F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
+
 
 
 def entries(t: Tables):
@@ -93,7 +95,7 @@ def _(spark, sf):
 select category, count(*) as live from e
 where not coalesce(ttl > 0 and epoch_us(timestamp '2024-01-31 00:00:00') - epoch_us(ts) > ttl * 1000000, false) group by 1""")
 def _(spark, sf):
-    live = kv.kv_filter(entries(Tables(spark, sf)), as_of=AS_OF)
+    live = kv.kv_filter(entries(Tables(spark, sf)), as_of=as_of())
     return live.groupBy("category").agg(F.count("*").alias("live"))
 
 
@@ -139,7 +141,9 @@ def _(spark, sf):
     return out.select("id", "operation", "user_name", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("stamp"))
 
 
-TOPICS = F.concat_ws(".", F.lit("shop"), "event_type", F.concat(F.lit("g"), F.col("user_id") % 3))
+def topics_col():
+    return F.concat_ws(".", F.lit("shop"), "event_type", F.concat(F.lit("g"), F.col("user_id") % 3))
+
 
 
 @family.add("f13_topic_match", """
@@ -148,7 +152,7 @@ select topic, count(*) as n, (topic = 'shop.view.g1') as exact, regexp_matches(t
   false as short, true as deep, topic like 'shop.view.%' as branch, true as loose from t group by 1""")
 def _(spark, sf):
     topic = F.col("topic")
-    counted = Tables(spark, sf).events.groupBy(TOPICS.alias("topic")).agg(F.count("*").alias("n"))
+    counted = Tables(spark, sf).events.groupBy(topics_col().alias("topic")).agg(F.count("*").alias("n"))
     return counted.select(
         "topic", "n", P.topic_matches(topic, "shop.view.g1").alias("exact"), P.topic_matches(topic, "shop.*.g1").alias("one"),
         P.topic_matches(topic, "shop.*").alias("short"), P.topic_matches(topic, "shop.**").alias("deep"),

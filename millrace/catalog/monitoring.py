@@ -4,13 +4,17 @@ from millrace.catalog import Family, Tables
 from millrace.operators import aggregates as A, anomaly as N
 
 family = Family()
-SECONDS = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+def seconds_col():
+    return F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+
 DAY = 86400
-HOUR_CHUNK = F.floor(F.col("t") / 86400)
+def hour_chunk_col():
+    return F.floor(F.col("t") / 86400)
+
 
 
 def points(t):
-    return t.events.select("event_id", "event_type", "user_id", SECONDS.alias("t"), "value")
+    return t.events.select("event_id", "event_type", "user_id", seconds_col().alias("t"), "value")
 
 
 SEV = "case when {s} > {a} then 'critical' when {s} > {b} then 'high' when {s} > {c} then 'medium' else 'low' end"
@@ -134,7 +138,7 @@ e as (select user_id, arg_max(ema, rn) as ema, arg_max(score, rn) as score from
 select user_id, round(ema, 6) as ema, score as failure_score, score < 5 as healthy, coalesce(case when score < 5 then rank() over (partition by score < 5 order by ema) end, 0)::bigint as latency_rank from e""")
 def _(spark, sf):
     log = points(Tables(spark, sf))
-    out = N.endpoint_health(log, "user_id", ["t", "event_id"], HOUR_CHUNK, F.col("event_type") != "error", "value")
+    out = N.endpoint_health(log, "user_id", ["t", "event_id"], hour_chunk_col(), F.col("event_type") != "error", "value")
     return out.select("user_id", F.round("ema", 6).alias("ema"), "failure_score", "healthy", F.coalesce("latency_rank", F.lit(0)).cast("bigint").alias("latency_rank"))
 
 
@@ -143,7 +147,7 @@ with r as (select user_id, ts, event_id, event_type in ('error', 'view') as bad,
 k as (select *, row_number() over (partition by user_id, island order by ts, event_id) as k from r where bad)
 select user_id, count(*) as failures, round(epoch_us(min(ts) filter (k = 4)) / 1e6, 3) as opened_at, round(epoch_us(max(ts)) / 1e6, 3) as last_failure from k group by user_id, island having count(*) >= 4""")
 def _(spark, sf):
-    out = N.outage_intervals(points(Tables(spark, sf)), ["user_id"], ["t", "event_id"], HOUR_CHUNK, "t", F.col("event_type").isin("error", "view"), 4)
+    out = N.outage_intervals(points(Tables(spark, sf)), ["user_id"], ["t", "event_id"], hour_chunk_col(), "t", F.col("event_type").isin("error", "view"), 4)
     return out.select("user_id", "failures", F.round("opened_at", 3).alias("opened_at"), F.round("last_failure", 3).alias("last_failure"))
 
 
@@ -151,7 +155,7 @@ def _(spark, sf):
 with r as (select event_id, user_id, count(*) over w as requests, sum((event_type = 'error')::int) over w as failures from events window w as (partition by user_id order by ts, event_id rows unbounded preceding))
 select event_id, requests, failures::bigint as failures from r where requests >= 10 and failures / requests >= 0.3""")
 def _(spark, sf):
-    out = N.failure_rate_breaches(points(Tables(spark, sf)), ["user_id"], ["t", "event_id"], HOUR_CHUNK, F.col("event_type") == "error", 0.3, 10)
+    out = N.failure_rate_breaches(points(Tables(spark, sf)), ["user_id"], ["t", "event_id"], hour_chunk_col(), F.col("event_type") == "error", 0.3, 10)
     return out.select("event_id", F.col("requests").cast("bigint").alias("requests"), F.col("failures").cast("bigint").alias("failures"))
 
 
@@ -175,7 +179,7 @@ def _(spark, sf):
 with r as (select *, sum((event_type <> 'error')::int) over (partition by user_id order by ts, event_id) as island from events)
 select event_id, sum((event_type = 'error')::int) over (partition by user_id, island order by ts, event_id)::bigint as streak from r""")
 def _(spark, sf):
-    return N.streaks(points(Tables(spark, sf)), ["user_id"], ["t", "event_id"], HOUR_CHUNK, F.col("event_type") == "error").select("event_id", "streak")
+    return N.streaks(points(Tables(spark, sf)), ["user_id"], ["t", "event_id"], hour_chunk_col(), F.col("event_type") == "error").select("event_id", "streak")
 
 
 @family.add("w10_failed_logins", """

@@ -6,7 +6,9 @@ from millrace.operators.anomaly import half_means, resource_severity
 from millrace.plans import runs, topn
 
 family = Family()
-SECONDS = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+def seconds_col():
+    return F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+
 
 
 @family.add("t04_sort_string_page", "select c_custkey, c_name, c_acctbal from customer order by c_acctbal desc, c_custkey limit 15 offset 15")
@@ -66,7 +68,7 @@ def _(spark, sf):
 select event_id, count(*) over w as win_n, round(avg(value) over w, 8) as win_mean, round(coalesce(stddev_samp(value) over w, -1), 5) as win_std from events
 window w as (partition by event_type order by ts range between interval 21600 seconds preceding and current row)""")
 def _(spark, sf):
-    e = Tables(spark, sf).events.select("event_id", "event_type", "value", SECONDS.alias("t"))
+    e = Tables(spark, sf).events.select("event_id", "event_type", "value", seconds_col().alias("t"))
     out = runs.sliding_moments(e, ["event_type"], "t", "value", 21600)
     return out.select("event_id", "win_n", F.round("win_mean", 8).alias("win_mean"), F.round(F.coalesce("win_std", F.lit(-1.0)), 5).alias("win_std"))
 
@@ -75,7 +77,7 @@ def _(spark, sf):
 with l as (select event_id, list(value) over w as v from events window w as (partition by event_type order by ts range between interval 1 day preceding and current row))
 select event_id, len(v) as win_n, round(list_avg(v[1:len(v)//2]), 9) as first_mean, round(list_avg(v[len(v)//2+1:]), 9) as second_mean from l where len(v) >= 2""")
 def _(spark, sf):
-    e = Tables(spark, sf).events.select("event_id", "event_type", "value", SECONDS.alias("t"))
+    e = Tables(spark, sf).events.select("event_id", "event_type", "value", seconds_col().alias("t"))
     out = half_means(e, ["event_type"], "t", "event_id", "value", 86400).where("win_n >= 2")
     return out.select("event_id", "win_n", F.round("first_mean", 9).alias("first_mean"), F.round("second_mean", 9).alias("second_mean"))
 

@@ -7,9 +7,15 @@ from millrace.session import scratch_path
 from millrace.sources import writers
 
 family = Family()
-AS_OF = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
-SECONDS = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-CHUNK = F.floor(F.col("seq") / 1000)
+def as_of():
+    return F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
+
+def seconds_col():
+    return F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+
+def chunk_col():
+    return F.floor(F.col("seq") / 1000)
+
 
 
 def changes(t):
@@ -31,12 +37,12 @@ def _(spark, sf):
 
 @family.add("v01_classify", f"with {HIST} select operation, count(*) as n, sum(seq)::bigint as s from hh group by 1")
 def _(spark, sf):
-    return S.classify(changes(Tables(spark, sf)), CHUNK).groupBy("operation").agg(F.count("*").alias("n"), F.sum("seq").alias("s"))
+    return S.classify(changes(Tables(spark, sf)), chunk_col()).groupBy("operation").agg(F.count("*").alias("n"), F.sum("seq").alias("s"))
 
 
 @family.add("v02_history", f"with {HIST} select key, version, operation, value from hh where back <= 50")
 def _(spark, sf):
-    return S.history(changes(Tables(spark, sf)), 50, CHUNK).select("key", "version", "operation", "value")
+    return S.history(changes(Tables(spark, sf)), 50, chunk_col()).select("key", "version", "operation", "value")
 
 
 @family.add("v03_rollback", f"""
@@ -45,14 +51,14 @@ select key, arg_max(value, seq) as value, max(seq) as seq from a group by 1 havi
 def _(spark, sf):
     c = changes(Tables(spark, sf))
     wanted = c.select("key").distinct().withColumn("version", F.lit(2))
-    return S.current(S.rollback(c, wanted, F.col("seq") + 10000000, CHUNK)).select("key", "value", "seq")
+    return S.current(S.rollback(c, wanted, F.col("seq") + 10000000, chunk_col())).select("key", "value", "seq")
 
 
 @family.add("v04_live_export", f"""
 with {CH}, l as (select key, arg_max(op, seq) as op, arg_max(ts, seq) as ts, arg_max(coalesce(ttl, -1), seq) as ttl from c group by 1)
 select key from l where op <> 'delete' and not (ttl > 0 and epoch_us(timestamp '2024-01-31 00:00:00') - epoch_us(ts) > ttl::bigint * 1000000)""")
 def _(spark, sf):
-    return S.live(changes(Tables(spark, sf)), AS_OF).select("key")
+    return S.live(changes(Tables(spark, sf)), as_of()).select("key")
 
 
 @family.add("v05_composite_key", "select event_type as entity_type, user_id as entity_id, arg_max(value, event_id) as value from events where event_type in ('view', 'click') group by 1, 2")
@@ -109,7 +115,7 @@ with m as (select *, cast(regexp_extract(props, '([0-9]+)', 1) as int) % 4 as at
 select case when event_type = 'view' then 'dead' when event_type <> 'error' then 'delivered' when attempts < 3 then 'retry' else 'dead' end as outcome, count(*) as n from m where event_type not in ('view') or ts >= timestamp '2024-01-31' - interval 10 day group by 1""")
 def _(spark, sf):
     split = S.delivery_split(messages(Tables(spark, sf)))
-    dead = S.purge_dead(split.where("status_code = 404"), AS_OF, 10)
+    dead = S.purge_dead(split.where("status_code = 404"), as_of(), 10)
     return split.where("status_code <> 404").unionByName(dead).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
@@ -125,7 +131,7 @@ def _(spark, sf):
 
 @family.add("r06_sliding_limit")
 def _(spark, sf):
-    e = Tables(spark, sf).events.select((F.col("user_id") % 3).alias("client"), SECONDS.alias("t"))
+    e = Tables(spark, sf).events.select((F.col("user_id") % 3).alias("client"), seconds_col().alias("t"))
     return S.sliding_limit(e, "client", "t", 4, 3600)
 
 
@@ -140,7 +146,7 @@ select client, t as second, accepted::bigint as accepted, rejected::bigint as re
 
 @family.add("r06_token_bucket", BUCKET_SQL)
 def _(spark, sf):
-    e = Tables(spark, sf).events.select((F.col("user_id") % 3).alias("client"), SECONDS.alias("t"))
+    e = Tables(spark, sf).events.select((F.col("user_id") % 3).alias("client"), seconds_col().alias("t"))
     return S.token_bucket(e, "client", "t", 3, 0.001)
 
 
@@ -168,6 +174,6 @@ s as (select *, sum(brk::int) over (partition by user_id order by ts) as session
 
 @family.add("r09_sessions_table", f"with {SESSIONS} select user_id, round(epoch_us(min(ts)) / 1e6, 3) as session_start, round(epoch_us(max(ts)) / 1e6 + 14400, 3) as session_end, count(*) as n from s group by user_id, session")
 def _(spark, sf):
-    e = Tables(spark, sf).events.select("user_id", SECONDS.alias("t"))
+    e = Tables(spark, sf).events.select("user_id", seconds_col().alias("t"))
     out = S.sessions(e, ["user_id"], "t", 14400, F.floor(F.col("t") / 86400), [F.count("*").alias("n")])
     return out.select("user_id", F.round("session_start", 3).alias("session_start"), F.round("session_end", 3).alias("session_end"), "n")

@@ -6,7 +6,9 @@ from millrace.session import scratch_path
 from millrace.streaming import streams as R
 
 family = Family()
-SECONDS = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+def seconds_col():
+    return F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+
 
 
 def events(spark, sf):
@@ -14,13 +16,15 @@ def events(spark, sf):
     return R.event_time(R.read_stream(spark, sf, schema, "events.parquet"))
 
 
-TOPIC = F.concat_ws(".", F.lit("shop"), "event_type", F.concat(F.lit("g"), F.col("user_id") % 3))
+def topic_col():
+    return F.concat_ws(".", F.lit("shop"), "event_type", F.concat(F.lit("g"), F.col("user_id") % 3))
+
 
 
 @family.add("r01_topic_stream", "select event_id, 'shop.' || event_type || '.g' || (user_id % 3) as topic from events where user_id % 3 = 1")
 def _(spark, sf):
-    s = R.topic_stream(events(spark, sf), TOPIC, "shop.*.g1")
-    return R.land(s.select("event_id", TOPIC.alias("topic")), "topics")
+    s = R.topic_stream(events(spark, sf), topic_col(), "shop.*.g1")
+    return R.land(s.select("event_id", topic_col().alias("topic")), "topics")
 
 
 @family.add("r02_dedup_stream", "select user_id, props, count(*) > 0 as seen from events group by 1, 2")
@@ -44,7 +48,7 @@ def _(spark, sf):
 
 @family.add("r04_delayed_stream", "select event_id, event_type from events where epoch_ms(ts) + 864000000 < (select epoch_ms(max(ts)) from events)")
 def _(spark, sf):
-    s = events(spark, sf).select("event_id", "event_type", SECONDS.alias("t"), (SECONDS + 10 * 86400).alias("due"))
+    s = events(spark, sf).select("event_id", "event_type", seconds_col().alias("t"), (seconds_col() + 10 * 86400).alias("due"))
     return R.land(R.delayed(s, "event_id", "t", "due", bucket=86400, slots=8), "delayed").select("event_id", "event_type")
 
 
@@ -61,7 +65,7 @@ def _(spark, sf):
 
 @family.add("r06_limiter_stream")
 def _(spark, sf):
-    s = events(spark, sf).select("event_id", (F.col("user_id") % 3).alias("client"), SECONDS.alias("t"))
+    s = events(spark, sf).select("event_id", (F.col("user_id") % 3).alias("client"), seconds_col().alias("t"))
     return R.land(R.limiter(s, "client", "t", 4, 3600), "limiter")
 
 
@@ -69,7 +73,7 @@ def _(spark, sf):
 with z as (select event_id, abs(value - avg(value) over w) / nullif(stddev_samp(value) over w, 0) as z, count(*) over w as n from events window w as (partition by event_type order by ts range between interval 1 day preceding and current row))
 select event_id, round(z, 6) as zscore from z where n >= 10 and z > 3""")
 def _(spark, sf):
-    s = events(spark, sf).select("event_id", "event_type", SECONDS.alias("t"), "value")
+    s = events(spark, sf).select("event_id", "event_type", seconds_col().alias("t"), "value")
     return R.land(R.live_anomalies(s, "event_type", "t", "value", 86400), "live").select("event_id", F.round("zscore", 6).alias("zscore"))
 
 
@@ -102,7 +106,7 @@ with t as (select event_id, 'shop.' || event_type || '.g' || (user_id % 3) as to
 select subscriber, count(*) as n from t join s on regexp_matches(topic, rx) group by 1""")
 def _(spark, sf):
     subs = spark.createDataFrame([("a", "shop.view.g1"), ("b", "shop.*.g2"), ("c", "shop.**")], "subscriber string, pattern string")
-    routed = R.route(events(spark, sf).select("event_id", TOPIC.alias("topic")), subs, "topic")
+    routed = R.route(events(spark, sf).select("event_id", topic_col().alias("topic")), subs, "topic")
     return R.land(routed.select("event_id", "subscriber"), "routes").groupBy("subscriber").agg(F.count("*").alias("n"))
 
 

@@ -11,8 +11,6 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-TRUE = F.lit
-
 
 def all_of(parts: Iterable[Column]) -> Column:
     return reduce(and_, parts, F.lit(True))

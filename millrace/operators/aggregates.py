@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from millrace.plans.joins import one_row, salted_join
 from millrace.plans.ranks import index_rank, linear_quantiles, order_stats
 from millrace.plans.runs import numbered
+from millrace.session import cut
 
 # Default upper bounds of a latency histogram.
 BUCKET_BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1, 2.5, 5, 10)
@@ -93,7 +94,8 @@ def conditional_counts(df: DataFrame, keys: Sequence[str], tests: Mapping[str, C
 def stats_bundle(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Count, mean, median, min, max, sample deviation and variance, index percentiles, and the MAD.
 
-    Order statistics follow `plans.ranks`; the MAD takes a second round over absolute deviations.
+    Order statistics follow `plans.ranks`; the MAD takes a second round over absolute deviations. The
+    result of the first round, one row per key, is written out, or the second would plan and run it anew.
     """
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull())
@@ -101,7 +103,7 @@ def stats_bundle(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     ranks["_lo"] = lambda n: F.floor((n - 1) / 2) + 1
     ranks["_hi"] = lambda n: F.ceil((n - 1) / 2) + 1
     order = order_stats(rows, value, ranks, keys)
-    order = order.withColumn("median", (F.col("_lo") + F.col("_hi")) / 2).drop("_lo", "_hi", "n")
+    order = cut(order.withColumn("median", (F.col("_lo") + F.col("_hi")) / 2).drop("_lo", "_hi", "n"), "order")
     moments = rows.groupBy(*keys).agg(
         F.count(value).alias("count"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"),
         F.stddev_samp(value).alias("stdev"), F.var_samp(value).alias("variance"),

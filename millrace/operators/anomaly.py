@@ -38,8 +38,7 @@ def _found(df: DataFrame, method: str, kind: Column, severity: Column, deviation
 def zscore_anomalies(df: DataFrame, keys: Sequence[str], at: str, value: str, width: float = 300, threshold: float = 3.0, min_samples: int = 10) -> DataFrame:
     """Points more than ``threshold`` sample deviations from the window mean."""
     rows = sliding_moments(df, keys, at, value, width)
-    spread_enough = F.col("win_std") > F.greatest(F.abs("win_mean"), F.lit(1.0)) * 1e-12
-    z = F.abs((F.col(value) - F.col("win_mean")) / F.when(spread_enough, F.col("win_std")))
+    z = F.abs((F.col(value) - F.col("win_mean")) / F.when(F.col("win_std") > 0, F.col("win_std")))
     rows = rows.withColumn("_z", z).where((F.col("win_n") >= min_samples) & (F.col("_z") > threshold))
     kind = F.when(F.col(value) > F.col("win_mean"), "spike").otherwise("drop")
     sure = F.least(F.lit(0.99), 0.5 + (F.col("_z") - threshold) * 0.1)
@@ -169,8 +168,7 @@ def trend_anomalies(df: DataFrame, keys: Sequence[str], at: str, value: str, tie
     The difference cannot exceed about two deviations, so a threshold of 3 finds nothing.
     """
     rows = half_means(sliding_moments(df, keys, at, value, width), keys, at, tie, value, width)
-    spread_enough = F.col("win_std") > F.greatest(F.abs("win_mean"), F.lit(1.0)) * 1e-12
-    ratio = F.abs(F.col("second_mean") - F.col("first_mean")) / F.when(spread_enough, F.col("win_std"))
+    ratio = F.abs(F.col("second_mean") - F.col("first_mean")) / F.when(F.col("win_std") > 0, F.col("win_std"))
     rows = rows.withColumn("_r", ratio).where((F.col("win_n") >= min_samples) & (F.col("_r") > threshold))
     severity = F.when(F.col("_r") > 5, "high").otherwise("medium")
     sure = F.least(F.lit(0.9), 0.5 + F.col("_r") * 0.05)

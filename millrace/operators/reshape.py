@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from millrace.plans.joins import salted_join
+from millrace.plans.spread import widen
 
 # The keys under which rows hide in a response, in the order they are tried.
 RESPONSE_KEYS = ("rows", "data", "items", "value", "results")
@@ -25,7 +26,7 @@ def extract_rows(doc: Column, keys: Sequence[str] = RESPONSE_KEYS) -> Column:
 
 def flatten_variant(df: DataFrame, doc: str, keep: Sequence[str], sep: str = ".", max_depth: int = 10) -> DataFrame:
     """Long form (path, value): one row per leaf; empty containers vanish, containers at ``max_depth`` stay whole."""
-    rows = df.select(*keep, F.lit("").alias("path"), F.col(doc).alias("_v"))
+    rows = widen(df.select(*keep, doc), *keep).select(*keep, F.lit("").alias("path"), F.col(doc).alias("_v"))
     value, path = F.col("_v"), F.col("path")
 
     def step(name: Column) -> Column:

@@ -138,11 +138,13 @@ def sliding_moments(df: DataFrame, keys: Sequence[str], at: str, value: str, wid
     """Adds ``win_n``, ``win_mean`` and ``win_std`` (sample) of the trailing ``width`` seconds.
 
     Values are centred on the mean of their span first, which keeps the sums of squares well conditioned.
+    What rounding leaves of a window without spread, below 1e-13 of the span's own variance, counts as 0.
     """
     keys = list(keys)
     rows = with_context(df, keys, at, width)
     group = [*keys, "_span"]
-    rows = rows.withColumn("_mid", F.avg(value).over(W.partitionBy(*group)))
+    span = W.partitionBy(*group)
+    rows = rows.withColumns({"_mid": F.avg(value).over(span), "_var": F.var_pop(value).over(span)})
     rows = rows.withColumn("_x", F.col(value) - F.col("_mid"))
     moves = _moves(rows, at, width)
     upto = W.partitionBy(*group).orderBy("_t", "_out").rangeBetween(W.unboundedPreceding, W.currentRow)
@@ -155,7 +157,8 @@ def sliding_moments(df: DataFrame, keys: Sequence[str], at: str, value: str, wid
         }
     ).where((F.col("_out") == 0) & F.col("_own"))
     n, m = F.col("win_n"), F.col("_sx") / F.col("win_n")
-    var = F.greatest((F.col("_sxx") - F.col("_sx") * m) / (n - 1), F.lit(0.0))
+    raw = (F.col("_sxx") - F.col("_sx") * m) / (n - 1)
+    var = F.when(raw > F.col("_var") * 1e-13, raw).otherwise(0.0)
     return moves.withColumns(
         {"win_mean": F.col("_mid") + m, "win_std": F.when(n > 1, F.sqrt(var))}
-    ).drop("_span", "_own", "_mid", "_x", "_t", "_out", "_sign", "_sx", "_sxx")
+    ).drop("_span", "_own", "_mid", "_var", "_x", "_t", "_out", "_sign", "_sx", "_sxx")
