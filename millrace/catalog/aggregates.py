@@ -1,4 +1,4 @@
-from pyspark.sql import Window as W, functions as F
+from pyspark.sql import functions as F
 
 from millrace.catalog import Family, Tables
 from millrace.operators import aggregates as A
@@ -129,7 +129,7 @@ def _(spark, sf):
 
 @family.add("w11_share_rank", """
 with t as (select c_nationkey, sum(c_acctbal) as b from customer group by 1)
-select c_nationkey, round(b, 2) as balance, round(b / sum(b) over (), 6) as share, rank() over (order by round(b, 2) desc)::int as rank from t""")
+select c_nationkey, round(b, 2) as balance, round(b / sum(b) over (), 6) as share, rank() over (order by round(b, 2) desc) as rank from t""")
 def _(spark, sf):
     t = Tables(spark, sf).customer.groupBy("c_nationkey").agg(F.round(F.sum("c_acctbal"), 2).alias("balance"))
     return A.ranked_share(t, "balance").withColumn("share", F.round("share", 6))

@@ -7,7 +7,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from millrace.plans.joins import one_row, salted_join
-from millrace.plans.ranks import index_rank, linear_quantiles, order_stats
+from millrace.plans.ranks import index_rank, linear_quantiles, order_stats, value_ranks
 from millrace.plans.runs import numbered
 from millrace.session import cut
 
@@ -141,10 +141,10 @@ def aggregate_similar(df: DataFrame, groups: Sequence[str], event: str, payload:
 
 
 def ranked_share(df: DataFrame, value: str) -> DataFrame:
-    """Adds the share of the total and the rank by value; meant for grouped results."""
+    """Adds the share of the total and the rank by value, equal values sharing the better rank."""
     total = df.agg(F.sum(value).alias("t")).scalar()
-    rank = F.rank().over(W.partitionBy(F.lit(0)).orderBy(F.desc(value)))
-    return df.withColumns({"share": F.col(value) / total, "rank": rank})
+    spread = [c for c in df.columns if c != value] or [value]
+    return salted_join(df, value_ranks(df, value), [value], spread, "left").withColumn("share", F.col(value) / total)
 
 
 def exposition_lines(counters: DataFrame | None = None, gauges: DataFrame | None = None, histograms: DataFrame | None = None) -> DataFrame:

@@ -120,3 +120,19 @@ def linear_quantiles(df: DataFrame, value: str, points: Mapping[str, float], key
         lo, hi = F.col(f"_{name}_lo").cast("double"), F.col(f"_{name}_hi").cast("double")
         out.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
     return stats.select(*keys, "n", *out)
+
+
+def value_ranks(df: DataFrame, value: str, descending: bool = True) -> DataFrame:
+    """Rows (value, rank) for the distinct values of a column: 1 + the rows that come strictly before.
+
+    Counts per value are added up bucket by bucket, so the column is not ordered in one task.
+    """
+    from millrace.plans.runs import running_sums
+
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    splits = counts.agg(split_points(F.col("_v")).alias("s")).scalar()
+    placed = counts.withColumn("_splits", splits).withColumn("_b", bucket_of(F.col("_v"), F.col("_splits"))).drop("_splits")
+    upto = running_sums(placed, [], ["_v"], F.col("_b"), {"_to": F.col("_c")})
+    total = counts.agg(F.sum("_c").alias("n")).scalar()
+    rank = total - F.col("_to") + 1 if descending else F.col("_to") - F.col("_c") + 1
+    return upto.select(F.col("_v").alias(value), rank.alias("rank"))

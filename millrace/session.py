@@ -36,9 +36,15 @@ def local_session(app: str = "millrace", cores: str = "8", memory: str = "8g") -
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the settings that change results (time zone) or protect against skew on a given session."""
+    """Pin the settings that change results (time zone) or protect against skew on a given session.
+
+    On one machine the default of 200 shuffle partitions would open 200 state stores per stream.
+    """
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    ctx = spark.sparkContext
+    if ctx.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
+        spark.conf.set("spark.sql.shuffle.partitions", str(max(8, ctx.defaultParallelism)))
     return spark
 
 
