@@ -142,12 +142,12 @@ def _(spark, sf):
 
 
 def topics_col():
-    return F.concat_ws(".", F.lit("shop"), "event_type", F.concat(F.lit("g"), F.col("user_id") % 3))
+    return F.concat_ws(".", F.lit("shop"), "event_type", F.when(F.col("value") > 60, "g0").when(F.col("value") > 20, "g1").otherwise("g2"))
 
 
 
 @family.add("f13_topic_match", """
-with t as (select 'shop.' || event_type || '.g' || (user_id % 3) as topic from events)
+with t as (select 'shop.' || event_type || case when value > 60 then '.g0' when value > 20 then '.g1' else '.g2' end as topic from events)
 select topic, count(*) as n, (topic = 'shop.view.g1') as exact, regexp_matches(topic, '^shop\\.[^.]+\\.g1$') as one,
   false as short, true as deep, topic like 'shop.view.%' as branch, true as loose from t group by 1""")
 def _(spark, sf):

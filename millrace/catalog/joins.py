@@ -92,12 +92,12 @@ def _(spark, sf):
 
 
 @family.add("j09_event_subscriptions", """
-with t as (select event_id, 'shop.' || event_type || '.g' || (user_id % 3) as topic from events),
+with t as (select event_id, 'shop.' || event_type || case when value > 60 then '.g0' when value > 20 then '.g1' else '.g2' end as topic from events),
 s as (select * from (values ('a', '^shop\\.view\\.g1$'), ('b', '^shop\\.[^.]+\\.g2$'), ('c', '^shop\\..+$'), ('d', '^[^.]+\\.click\\.[^.]+$'), ('e', '^other\\..+$')) v(subscriber, rx))
 select topic, subscriber, count(*) as n from t join s on regexp_matches(topic, rx) group by 1, 2""")
 def _(spark, sf):
     t = Tables(spark, sf)
-    events = t.events.select("event_id", F.concat_ws(".", F.lit("shop"), "event_type", F.concat(F.lit("g"), F.col("user_id") % 3)).alias("topic"))
+    events = t.events.select("event_id", F.concat_ws(".", F.lit("shop"), "event_type", F.when(F.col("value") > 60, "g0").when(F.col("value") > 20, "g1").otherwise("g2")).alias("topic"))
     subs = spark.createDataFrame(
         [("a", "shop.view.g1"), ("b", "shop.*.g2"), ("c", "shop.**"), ("d", "*.click.*"), ("e", "other.**")], "subscriber string, pattern string")
     return J.match_subscriptions(events, subs, "topic", "pattern").groupBy("topic", "subscriber").agg(F.count("*").alias("n"))

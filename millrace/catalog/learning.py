@@ -104,8 +104,8 @@ def _(spark, sf):
 
 
 REGISTRY = """
-reg as (select o_orderkey as model_id, 'm' || (o_custkey % 50) as model_name, o_orderdate as created_at, row_number() over (partition by o_custkey % 50 order by o_orderdate, o_orderkey) as version from orders),
-ch as (select model_name, version, case when version % 3 = 0 then 'production' else 'staging' end as stage, version as seq from reg where version % 2 = 0),
+reg as (select o_orderkey as model_id, 'm' || (o_custkey % 50) as model_name, o_orderdate as created_at, row_number() over (partition by o_custkey % 50 order by o_orderdate, o_orderkey) as version, o_orderstatus as verdict from orders),
+ch as (select model_name, version, case when verdict = 'F' then 'production' else 'staging' end as stage, version as seq from reg where verdict <> 'O'),
 hold as (select model_name, stage, arg_max(version, seq) as version from ch group by 1, 2),
 st as (select reg.*, case when hold.version is not null then ch.stage when ch.version is not null then 'archived' else 'none' end as stage from reg left join ch using (model_name, version)
   left join hold on hold.model_name = reg.model_name and hold.version = reg.version and hold.stage = ch.stage)
@@ -113,9 +113,9 @@ st as (select reg.*, case when hold.version is not null then ch.stage when ch.ve
 
 
 def registry_tables(t):
-    models = t.orders.select(F.col("o_orderkey").alias("model_id"), F.concat(F.lit("m"), F.col("o_custkey") % 50).alias("model_name"), F.col("o_orderdate").alias("created_at"))
+    models = t.orders.select(F.col("o_orderkey").alias("model_id"), F.concat(F.lit("m"), F.col("o_custkey") % 50).alias("model_name"), F.col("o_orderdate").alias("created_at"), F.col("o_orderstatus").alias("verdict"))
     reg = M.register_versions(models)
-    changes = reg.where("version % 2 = 0").select("model_name", "version", F.when(F.col("version") % 3 == 0, "production").otherwise("staging").alias("stage"), F.col("version").alias("at"))
+    changes = reg.where("verdict <> 'O'").select("model_name", "version", F.when(F.col("verdict") == "F", "production").otherwise("staging").alias("stage"), F.col("version").alias("at"))
     return reg, changes
 
 

@@ -17,11 +17,11 @@ def events(spark, sf):
 
 
 def topic_col():
-    return F.concat_ws(".", F.lit("shop"), "event_type", F.concat(F.lit("g"), F.col("user_id") % 3))
+    return F.concat_ws(".", F.lit("shop"), "event_type", F.when(F.col("value") > 60, "g0").when(F.col("value") > 20, "g1").otherwise("g2"))
 
 
 
-@family.add("r01_topic_stream", "select event_id, 'shop.' || event_type || '.g' || (user_id % 3) as topic from events where user_id % 3 = 1")
+@family.add("r01_topic_stream", "select event_id, 'shop.' || event_type || case when value > 60 then '.g0' when value > 20 then '.g1' else '.g2' end as topic from events where value > 20 and value <= 60")
 def _(spark, sf):
     s = R.topic_stream(events(spark, sf), topic_col(), "shop.*.g1")
     return R.land(s.select("event_id", topic_col().alias("topic")), "topics")
@@ -102,7 +102,7 @@ def _(spark, sf):
 
 
 @family.add("r11_routing_stream", """
-with t as (select event_id, 'shop.' || event_type || '.g' || (user_id % 3) as topic from events), s as (select * from (values ('a', '^shop\\.view\\.g1$'), ('b', '^shop\\.[^.]+\\.g2$'), ('c', '^shop\\..+$')) v(subscriber, rx))
+with t as (select event_id, 'shop.' || event_type || case when value > 60 then '.g0' when value > 20 then '.g1' else '.g2' end as topic from events), s as (select * from (values ('a', '^shop\\.view\\.g1$'), ('b', '^shop\\.[^.]+\\.g2$'), ('c', '^shop\\..+$')) v(subscriber, rx))
 select subscriber, count(*) as n from t join s on regexp_matches(topic, rx) group by 1""")
 def _(spark, sf):
     subs = spark.createDataFrame([("a", "shop.view.g1"), ("b", "shop.*.g2"), ("c", "shop.**")], "subscriber string, pattern string")
