@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from millrace.operators.joins import merge_rows
 from millrace.operators.quality import split_valid
@@ -28,18 +28,19 @@ def write_csv(df: DataFrame, path: str) -> None:
 def write_run(df: DataFrame, rule: Column, root: str, run_id: str, started: str, reason: str = "validation failed") -> DataFrame:
     """Writes raw, processed, failed and log folders of one run below ``root`` and returns the log row.
 
-    The input is computed once, by the raw write; the other folders are filled from it, and the counts
-    ride along with the writes.
+    The input is computed once, by the raw write; the other folders are filled from it, and the counts come
+    from the footers of the written files.
     """
     spark = df.sparkSession
     folder = lambda name: f"{root}/{name}/run_id={run_id}"
     df.write.parquet(folder("raw"))
     raw = spark.read.schema(df.schema).parquet(folder("raw"))
     good, bad = split_valid(raw, rule, reason)
-    stored, failed = Observation(), Observation()
-    good.observe(stored, F.count(F.lit(1)).alias("n")).write.parquet(folder("processed"))
-    bad.observe(failed, F.count(F.lit(1)).alias("n")).write.parquet(folder("failed"))
-    n_good, n_bad = stored.get["n"], failed.get["n"]
+    counts = []
+    for rows, name in ((good, "processed"), (bad, "failed")):
+        rows.write.parquet(folder(name))
+        counts.append(spark.read.schema(rows.schema).parquet(folder(name)).count())
+    n_good, n_bad = counts
     log = spark.createDataFrame(
         [(run_id, started, n_good + n_bad, n_good, n_bad)],
         "run_id string, timestamp string, items_processed bigint, items_stored bigint, items_failed bigint",
@@ -63,11 +64,10 @@ def upsert_by_key(current: DataFrame, incoming: DataFrame, keys: Sequence[str],
     Plain files cannot be changed in place: readers move to the new folder once it is complete. With a
     table format that knows MERGE, use that instead.
     """
-    merged = merge_rows(current, incoming, keys)
-    seen = Observation()
-    counted = merged.observe(seen, F.count_if(F.col("status") == "created").alias("created"), F.count_if(F.col("status") == "updated").alias("updated"))
-    counted.drop("status").write.parquet(path)
-    return current.sparkSession.createDataFrame([(seen.get["created"], seen.get["updated"])], "created bigint, updated bigint")
+    merge_rows(current, incoming, keys).drop("status").write.parquet(path)
+    held = current.select(*keys).withColumn("_held", F.lit(True))
+    known = incoming.select(*keys).join(held, list(keys), "left")  # keys only
+    return known.agg(F.count_if(F.col("_held").isNull()).alias("created"), F.count_if("_held").alias("updated"))
 
 
 def create_table_as(df: DataFrame, name: str, temporary: bool = True) -> DataFrame:
