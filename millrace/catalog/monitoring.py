@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from millrace.catalog import Family, Tables
 from millrace.operators import aggregates as A, anomaly as N
+from millrace.session import cut
 
 family = Family()
 def seconds_col():
@@ -93,7 +94,8 @@ p as (select event_id, event_type, t, count(*) as methods, min(case severity whe
 k as (select *, event_type = 'error' as acknowledged from p where sev = 1 and t > 1705000000)
 select event_id, event_type, methods, (select count(*) from k where not acknowledged) as active from k where not acknowledged order by t desc, event_id limit 30""")
 def _(spark, sf):
-    alerts = N.first_anomaly(detected(Tables(spark, sf)), ["event_id", "event_type", "t"]).withColumn("acknowledged", F.lit(False))
+    # Alerts are a stored table; the list, the acknowledgements and the count all read it.
+    alerts = cut(N.first_anomaly(detected(Tables(spark, sf)), ["event_id", "event_type", "t"]).withColumn("acknowledged", F.lit(False)), "alerts")
     gone = alerts.where("event_type = 'error'").select("event_id")
     alerts = N.acknowledge(alerts, gone, "event_id").where("severity = 'critical' and t > 1705000000")
     active = N.count_by(alerts, {"active": ~F.col("acknowledged")}).scalar()
