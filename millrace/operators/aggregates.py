@@ -108,15 +108,20 @@ def stats_bundle(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
         F.count(value).alias("count"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"),
         F.stddev_samp(value).alias("stdev"), F.var_samp(value).alias("variance"),
     )
-    middle = order.select(*keys, F.col("median").alias("_m"))
     if keys:
-        centred = salted_join(rows.select(*keys, value), middle, keys, [value])
+        # Null keys are groups too: joins go over the struct of the keys, which is never null.
+        group = F.struct(*keys).alias("_k")
+        centred = salted_join(rows.select(group, *keys, value), order.select(group, F.col("median").alias("_m")), ["_k"], [value])
     else:
-        centred = rows.select(value, one_row(middle)["_m"].alias("_m"))
+        centred = rows.select(value, one_row(order)["median"].alias("_m"))
     off = centred.withColumn("_d", F.abs(F.col(value) - F.col("_m")))
     mad = linear_quantiles(off, "_d", {"mad": 0.5}, keys).drop("n")
     if keys:
-        return moments.join(order, keys).join(mad, keys)
+        sides = [side.select(group, *[c for c in side.columns if c not in keys]) for side in (order, mad)]
+        out = moments.withColumn("_k", F.struct(*keys))
+        for side in sides:
+            out = out.join(side, "_k")
+        return out.drop("_k")
     o, d = one_row(order), one_row(mad)
     return moments.withColumns({**{c: o[c] for c in order.columns}, "mad": d["mad"]})
 

@@ -148,17 +148,18 @@ def half_means(df: DataFrame, keys: Sequence[str], at: str, tie: str, value: str
             "_hi": F.count(F.lit(1)).over(with_peers), "_shi": F.sum(value).over(with_peers),
         }
     )
-    prefix = rows.select(*group, F.col("_i").alias("_at"), F.col("_s").alias("_sum"))
+    # The struct key is never null, so points of a metric without a name keep their window.
+    prefix = rows.select(F.struct(*group).alias("_w"), F.col("_i").alias("_at"), F.col("_s").alias("_sum"))
     own = rows.where("_own").withColumns(
-        {"_lo": F.col("_hi") - F.col("win_n"), "_half": F.floor(F.col("win_n") / 2)}
+        {"_lo": F.col("_hi") - F.col("win_n"), "_half": F.floor(F.col("win_n") / 2), "_w": F.struct(*group)}
     ).withColumn("_mid", F.col("_lo") + F.col("_half"))
     for border, name in (("_lo", "_slo"), ("_mid", "_smid")):
-        side = prefix.select(*group, F.col("_at").alias(border), F.col("_sum").alias(name))
-        own = own.join(side, [*group, border], "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+        side = prefix.select("_w", F.col("_at").alias(border), F.col("_sum").alias(name))
+        own = own.join(side, ["_w", border], "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
     first = (F.col("_smid") - F.col("_slo")) / F.when(F.col("_half") > 0, F.col("_half"))
     second = (F.col("_shi") - F.col("_smid")) / (F.col("win_n") - F.col("_half"))
     return own.withColumns({"first_mean": first, "second_mean": second}).drop(
-        "_span", "_own", "_i", "_s", "_hi", "_shi", "_lo", "_half", "_mid", "_slo", "_smid"
+        "_span", "_own", "_i", "_s", "_hi", "_shi", "_lo", "_half", "_mid", "_slo", "_smid", "_w"
     )
 
 
@@ -274,7 +275,8 @@ def endpoint_health(log: DataFrame, endpoint: str, order: Sequence[str], chunk:
     """Latency average over successes, failure score, health, and rank by latency among healthy endpoints."""
     ema = final_ema(log.where(success), [endpoint], order, chunk, latency)
     score = failure_score(log, [endpoint], order, chunk, ~success)
-    out = score.join(ema, endpoint, "left").withColumns(
+    ema = ema.withColumnRenamed(endpoint, "_e")
+    out = score.join(ema, F.col(endpoint).eqNullSafe(F.col("_e")), "left").drop("_e").withColumns(
         {"ema": F.coalesce("ema", F.lit(0.0)), "healthy": F.col("failure_score") < limit}
     )
     rank = F.rank().over(W.partitionBy("healthy").orderBy("ema"))  # one row per endpoint

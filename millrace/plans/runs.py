@@ -11,31 +11,37 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
-def _chunked(df: DataFrame, chunk: Column) -> DataFrame:
-    return df.withColumn("_chunk", chunk)
+def _chunked(df: DataFrame, keys: Sequence[str], chunk: Column) -> DataFrame:
+    """Adds ``_chunk`` and ``_g``, the struct of keys and chunk.
+
+    A struct is never null, so rows with null keys meet their own group in the joins below; windows and
+    joins share the one partitioning by ``_g``.
+    """
+    rows = df.withColumn("_chunk", chunk)
+    return rows.withColumn("_g", F.struct(*keys, "_chunk"))
 
 
 def _along(keys: Sequence[str]):
     return W.partitionBy(*(keys or [F.lit(0)])).orderBy("_chunk")
 
 
+def _with_keys(keys: Sequence[str]) -> list[Column]:
+    return [*[F.col(f"_g.{k}").alias(k) for k in keys], F.col("_g._chunk").alias("_chunk")]
+
+
 def running_sums(
     df: DataFrame, keys: Sequence[str], order: Sequence, chunk: Column, sums: Mapping[str, Column]
 ) -> DataFrame:
     """Adds, for each entry of ``sums``, the running total up to and including the row."""
     keys = list(keys)
-    rows = _chunked(df, chunk)
-    inside = W.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    totals = rows.groupBy(*keys, "_chunk").agg(*[F.sum(e).alias(f"_t_{n}") for n, e in sums.items()])
+    rows = _chunked(df, keys, chunk)
+    inside = W.partitionBy("_g").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    totals = rows.groupBy("_g").agg(*[F.sum(e).alias(f"_t_{n}") for n, e in sums.items()]).select("*", *_with_keys(keys))
     before = _along(keys).rowsBetween(W.unboundedPreceding, -1)
-    carried = totals.select(
-        *keys, "_chunk", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums]
-    )
+    carried = totals.select("_g", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums])
     local = rows.withColumns({n: F.sum(e).over(inside) for n, e in sums.items()})
-    joined = local.join(carried, [*keys, "_chunk"])
-    return joined.withColumns({n: F.col(n) + F.col(f"_o_{n}") for n in sums}).drop(
-        "_chunk", *[f"_o_{n}" for n in sums]
-    )
+    joined = local.join(carried, "_g")
+    return joined.withColumns({n: F.col(n) + F.col(f"_o_{n}") for n in sums}).drop("_chunk", "_g", *[f"_o_{n}" for n in sums])
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence, chunk: Column, name: str = "n") -> DataFrame:
@@ -49,49 +55,43 @@ def neighbours(
 ) -> DataFrame:
     """Adds lag (``previous``) and lead (``following``) columns, each mapping a new name to a column."""
     keys, previous, following = list(keys), dict(previous or {}), dict(following or {})
-    rows = _chunked(df, chunk)
-    inside = W.partitionBy(*keys, "_chunk").orderBy(*order)
+    rows = _chunked(df, keys, chunk)
+    inside = W.partitionBy("_g").orderBy(*order)
     rows = rows.withColumn("_i", F.row_number().over(inside))
     rows = rows.withColumns({n: F.lag(c).over(inside) for n, c in previous.items()})
     rows = rows.withColumns({n: F.lead(c).over(inside) for n, c in following.items()})
-    edge = rows.groupBy(*keys, "_chunk").agg(
+    edge = rows.groupBy("_g").agg(
         F.max("_i").alias("_last"),
         *[F.max_by(c, "_i").alias(f"_p_{n}") for n, c in previous.items()],
         *[F.min_by(c, "_i").alias(f"_f_{n}") for n, c in following.items()],
-    )
+    ).select("*", *_with_keys(keys))
     along = _along(keys)
     edge = edge.select(
-        *keys, "_chunk", "_last",
+        "_g", "_last",
         *[F.lag(f"_p_{n}").over(along).alias(f"_p_{n}") for n in previous],
         *[F.lead(f"_f_{n}").over(along).alias(f"_f_{n}") for n in following],
     )
-    out = rows.join(edge, [*keys, "_chunk"])
+    out = rows.join(edge, "_g")
     out = out.withColumns({n: F.when(F.col("_i") == 1, F.col(f"_p_{n}")).otherwise(F.col(n)) for n in previous})
     out = out.withColumns(
         {n: F.when(F.col("_i") == F.col("_last"), F.col(f"_f_{n}")).otherwise(F.col(n)) for n in following}
     )
-    return out.drop(
-        "_chunk", "_i", "_last", *[f"_p_{n}" for n in previous], *[f"_f_{n}" for n in following]
-    )
+    return out.drop("_chunk", "_g", "_i", "_last", *[f"_p_{n}" for n in previous], *[f"_f_{n}" for n in following])
 
 
 def last_known(df: DataFrame, keys: Sequence[str], order: Sequence, chunk: Column, fills: Mapping[str, str]) -> DataFrame:
     """Adds the latest non-null value at or before the row (forward fill, as-of lookup)."""
     keys = list(keys)
-    rows = _chunked(df, chunk)
-    inside = W.partitionBy(*keys, "_chunk").orderBy(*order)
+    rows = _chunked(df, keys, chunk)
+    inside = W.partitionBy("_g").orderBy(*order)
     rows = rows.withColumn("_i", F.row_number().over(inside))
     upto = inside.rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumns({n: F.last(c, ignorenulls=True).over(upto) for n, c in fills.items()})
-    tail = rows.groupBy(*keys, "_chunk").agg(*[F.max_by(n, "_i").alias(f"_c_{n}") for n in fills])
+    tail = rows.groupBy("_g").agg(*[F.max_by(n, "_i").alias(f"_c_{n}") for n in fills]).select("*", *_with_keys(keys))
     before = _along(keys).rowsBetween(W.unboundedPreceding, -1)
-    tail = tail.select(
-        *keys, "_chunk", *[F.last(f"_c_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in fills]
-    )
-    out = rows.join(tail, [*keys, "_chunk"])
-    return out.withColumns({n: F.coalesce(n, f"_c_{n}") for n in fills}).drop(
-        "_chunk", "_i", *[f"_c_{n}" for n in fills]
-    )
+    tail = tail.select("_g", *[F.last(f"_c_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in fills])
+    out = rows.join(tail, "_g")
+    return out.withColumns({n: F.coalesce(n, f"_c_{n}") for n in fills}).drop("_chunk", "_g", "_i", *[f"_c_{n}" for n in fills])
 
 
 def with_context(df: DataFrame, keys: Sequence[str], at: str, width: float, span: float | None = None) -> DataFrame:

@@ -52,8 +52,8 @@ def test_median_matches_numpy_on_many_values(spark):
 
 def test_running_sums_and_numbering(hot):
     df, pdf = hot
-    out = runs.running_sums(df.where("key is not null"), ["key"], ["t", "id"], F.floor(F.col("t") / 1000), {"s": F.col("x"), "n": F.lit(1)}).toPandas()
-    ref = pdf[pdf.key.notna()].sort_values(["key", "t", "id"])
+    out = runs.running_sums(df, ["key"], ["t", "id"], F.floor(F.col("t") / 1000), {"s": F.col("x"), "n": F.lit(1)}).toPandas()
+    ref = pdf.fillna({"key": "?"}).sort_values(["key", "t", "id"])
     ref["s"], ref["n"] = ref.groupby("key").x.cumsum(), ref.groupby("key").cumcount() + 1
     both = out.merge(ref, on="id", suffixes=("", "_r"))
     assert len(both) == len(ref)
@@ -62,8 +62,9 @@ def test_running_sums_and_numbering(hot):
 
 def test_neighbours_cross_chunks(hot):
     df, pdf = hot
-    out = runs.neighbours(df.where("key is not null"), ["key"], ["t", "id"], F.floor(F.col("t") / 500), {"p": "id"}, {"f": "id"}).toPandas().set_index("id")
-    ref = pdf[pdf.key.notna()].sort_values(["key", "t", "id"]).set_index("id")
+    out = runs.neighbours(df, ["key"], ["t", "id"], F.floor(F.col("t") / 500), {"p": "id"}, {"f": "id"}).toPandas().set_index("id")
+    ref = pdf.fillna({"key": "?"}).sort_values(["key", "t", "id"]).set_index("id")
+    assert len(out) == len(pdf)
     ref["i"] = ref.index
     p, f = ref.groupby("key").i.shift(1), ref.groupby("key").i.shift(-1)
     assert out.p.reindex(ref.index).fillna(-1).tolist() == p.fillna(-1).tolist()
@@ -79,10 +80,10 @@ def test_last_known_carries_over_empty_chunks(spark):
 
 def test_sliding_windows_match_brute_force(hot):
     df, pdf = hot
-    rows = df.where("key is not null")
+    rows = df
     got = runs.sliding_moments(rows, ["key"], "t", "x", 700).toPandas().set_index("id")
     sums = runs.sliding_sums(rows, ["key"], "t", 700, {"s": F.when(F.col("bad"), 1).otherwise(0)}).toPandas().set_index("id")
-    for key, g in groups(pdf[pdf.key.notna()]).items():
+    for key, g in groups(pdf).items():
         t, x, bad = g.t.to_numpy(), g.x.to_numpy(), g.bad.to_numpy()
         for i, row in enumerate(g.itertuples()):
             w = (t >= t[i] - 700) & (t <= t[i])
@@ -116,3 +117,16 @@ def test_one_row_is_no_join(hot):
     out = df.select((F.col("x") - one_row(df.agg(F.avg("x").alias("m")))["m"]).alias("d"))
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Subquery" in plan
+
+
+def test_null_keys_are_groups_everywhere(hot):
+    df, pdf = hot
+    from millrace.operators.aggregates import stats_bundle
+    from millrace.operators.anomaly import half_means, streaks
+
+    bundle = {r.key: r for r in stats_bundle(df, ["key"], "x").collect()}
+    none = pdf[pdf.key.isna()].x
+    assert bundle[None]["count"] == len(none) and bundle[None].median == pytest.approx(none.median())
+    assert bundle[None].mad == pytest.approx((none - none.median()).abs().median())
+    assert half_means(df, ["key"], "t", "id", "x", 500).count() == len(pdf)
+    assert streaks(df, ["key"], ["t", "id"], F.floor(F.col("t") / 900), F.col("bad")).count() == len(pdf)
