@@ -1,7 +1,6 @@
 from pyspark.sql import functions as F
 
 from millrace.catalog import Family, Tables
-from millrace.catalog.joins import reference_tables
 from millrace.functions import lookups
 from millrace.operators import corpus as C, joins as J, search as I
 from millrace.sources import readers
