@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import bpe, language, mixing, quality, toxicity
+from millrace.llm import bpe, language, mixing, quality, site_tree, toxicity, urls, warc
 
 WORD = r"[^\x20\x09-\x0D]+"
 TOXIC_AT = 0.7
@@ -65,6 +65,27 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(docs, vocabulary())).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return site_tree.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+URL_RULES = (
+    urls.Rule("allow", "org", "/"),
+    urls.Rule("block", "example.org", "/es/"),
+    urls.Rule("block", "example.org", "/en/1"),
+    urls.Rule("allow", "com", "/fr/"),
+    urls.Rule("block", "com", "/de/"),
+)
+
+
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict for the url of every page."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return urls.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of the short-circuit cascade for every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
@@ -105,11 +126,54 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op10_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every revisit among the archive records of all pages, with what it resolves to."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    found = warc.resolve_revisits(warc.records_of(pages))
+    lines = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])))
+    return found.select(F.col("record_id").alias("revisit_id"), "canonical_url", "status", "source_id", "digest", F.array_join(lines, "\n").alias("headers"))
+
+
+OP10_SQL = r"""
+with p as (
+  select page_id, url, md5(coalesce(html, '')) as digest, length(coalesce(html, '')) as n, page_id % 3 > 0 as tagged from pages),
+v as (
+  select *, case when tagged then '"' || digest[1:16] || '"' end as tag, case when not tagged then 'day ' || (page_id % 7) end as day,
+    regexp_replace(regexp_replace(trim(url), '(?s)#.*$', ''), '^[A-Za-z][A-Za-z0-9+.\-]*://', '') as rest from p),
+c as (
+  select *, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), ':(80|443)$', ''), '^www\.', '')
+    || regexp_replace(regexp_extract(rest, '(?s)^[^/?]*([^?]*)', 1), '/+$', '') as place,
+    list_sort(list_filter(string_split(regexp_extract(rest, '(?s)^[^?]*\?(.*)$', 1), '&'),
+      lambda x: x <> '' and not regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))) as params from v),
+r as (
+  select *, place || case when len(params) > 0 then '?' || array_to_string(params, '&') else '' end as canonical_url,
+    case when tagged then 'etag: ' || case when page_id % 5 = 0 then 'W/' else '' end || tag else 'last-modified: ' || day end as shown from c),
+again as (
+  select *, page_id + 1 + page_id * 7919 % 1000 as moment from r),
+seen as (
+  select a.page_id, a.canonical_url, a.moment, a.shown, a.tagged, a.tag, a.day, f.page_id as source, f.digest as f_digest, f.n as f_n,
+    f.shown as f_shown, f.tagged as f_tagged, f.tag as f_tag, f.day as f_day
+  from again a asof left join r f on a.canonical_url = f.canonical_url and a.moment > f.page_id),
+judged as (
+  select *, case when source is null then 'orphan' when tagged and f_tagged and tag = f_tag then 'resolved'
+    when not tagged and not f_tagged and day = f_day then 'resolved' else 'mismatch' end as status from seen)
+select page_id * 2 + 1 as revisit_id, canonical_url, status, case when status = 'resolved' then source * 2 end as source_id,
+  case when status = 'resolved' then f_digest end as digest,
+  array_to_string(list_sort(case when status = 'resolved'
+    then ['age: 0', 'content-length: ' || f_n, 'content-type: text/html', 'date: ' || moment, shown]
+    else ['age: 0', 'content-length: 0', 'date: ' || moment, shown] end), chr(10)) as headers
+from judged
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_mixture": op2_mixture,
     "op3_bpe": op3_bpe,
+    "op5_main_text": op5_main_text,
+    "op6_urls": op6_urls,
     "op8_quality": op8_quality,
     "op9_language": op9_language,
+    "op10_revisits": op10_revisits,
 }
-SQL: dict[str, str] = {"op2_mixture": OP2_SQL, "op8_quality": OP8_SQL}
+SQL: dict[str, str] = {"op2_mixture": OP2_SQL, "op8_quality": OP8_SQL, "op10_revisits": OP10_SQL}
