@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import bpe, language, mixing, quality, site_tree, toxicity, urls, warc
+from millrace.llm import bpe, jaccard, language, mixing, quality, site_tree, toxicity, urls, warc
 
 WORD = r"[^\x20\x09-\x0D]+"
 TOXIC_AT = 0.7
@@ -65,6 +65,32 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(docs, vocabulary())).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under links of 4-word shingle sets at a Jaccard similarity of 0.85 or more."""
+    return jaccard.similar_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+OP4_SQL = rf"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') as words from documents),
+shingles as (
+  select distinct doc_id, array_to_string(words[i:i + 3], ' ') as g from w, unnest(range(1, greatest(len(words) - 2, 2))) u(i) where len(words) > 0),
+sizes as (
+  select doc_id, count(*)::bigint as n from shingles group by doc_id),
+common as (
+  select a.doc_id as a, b.doc_id as b, count(*) as shared from shingles a join shingles b on a.g = b.g and a.doc_id < b.doc_id group by all),
+links as (
+  select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * shared >= 85 * (x.n + y.n - shared)),
+ways as (
+  select a, b from links union all select b, a from links),
+reach as (
+  select doc_id as a, doc_id as b from documents union select r.a, w.b from reach r join ways w on w.a = r.b)
+select d.doc_id, coalesce(s.n, 0)::bigint as n_shingles, c.component_id
+from documents d left join sizes s on s.doc_id = d.doc_id
+join (select a, min(b) as component_id from reach group by a) c on c.a = d.doc_id
+"""
+
+
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
@@ -170,10 +196,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_mixture": op2_mixture,
     "op3_bpe": op3_bpe,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_main_text": op5_main_text,
     "op6_urls": op6_urls,
     "op8_quality": op8_quality,
     "op9_language": op9_language,
     "op10_revisits": op10_revisits,
 }
-SQL: dict[str, str] = {"op2_mixture": OP2_SQL, "op8_quality": OP8_SQL, "op10_revisits": OP10_SQL}
+SQL: dict[str, str] = {"op2_mixture": OP2_SQL, "op4_jaccard_join": OP4_SQL, "op8_quality": OP8_SQL, "op10_revisits": OP10_SQL}
