@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import bpe, jaccard, language, mixing, quality, site_tree, toxicity, urls, warc
+from millrace.llm import bpe, embeddings, jaccard, language, mixing, quality, site_tree, toxicity, urls, warc
 
 WORD = r"[^\x20\x09-\x0D]+"
 TOXIC_AT = 0.7
@@ -112,6 +112,26 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, component and representative of every vector at a cosine of 0.9 or more."""
+    found = embeddings.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+OP7_SQL = """
+with recursive v as (
+  select vec_id, embedding::double[] as e from embeddings
+  where len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (
+  select x.vec_id as a, y.vec_id as b from v x join v y on x.vec_id <> y.vec_id and len(x.e) = len(y.e) where list_cosine_similarity(x.e, y.e) >= 0.9),
+reach as (
+  select vec_id as a, vec_id as b from embeddings union select r.a, l.b from reach r join links l on l.a = r.b)
+select e.vec_id, coalesce(n.n, 0)::bigint as n_links, c.component_id, e.vec_id = c.component_id as kept
+from embeddings e left join (select a, count(*) as n from links group by a) n on n.a = e.vec_id
+join (select a, min(b) as component_id from reach group by a) c on c.a = e.vec_id
+"""
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of the short-circuit cascade for every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
@@ -199,8 +219,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_jaccard_join": op4_jaccard_join,
     "op5_main_text": op5_main_text,
     "op6_urls": op6_urls,
+    "op7_embeddings": op7_embeddings,
     "op8_quality": op8_quality,
     "op9_language": op9_language,
     "op10_revisits": op10_revisits,
 }
-SQL: dict[str, str] = {"op2_mixture": OP2_SQL, "op4_jaccard_join": OP4_SQL, "op8_quality": OP8_SQL, "op10_revisits": OP10_SQL}
+SQL: dict[str, str] = {"op2_mixture": OP2_SQL, "op4_jaccard_join": OP4_SQL, "op7_embeddings": OP7_SQL, "op8_quality": OP8_SQL, "op10_revisits": OP10_SQL}
