@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import bpe, mixing, quality, toxicity
+from millrace.llm import bpe, jaccard, mixing, quality, toxicity
 from millrace.llm.queries import TOXIC_AT, vocabulary
 
 
@@ -22,6 +22,18 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return toxicity.score(docs, toxicity.fit_from(docs, labels)).where(F.col("score") < TOXIC_AT).select(*docs.columns)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that shares four fifths and more of its five-word shingles: the one with the smallest id.
+
+    Rows without an id stay; of rows that share an id one stays.
+    """
+    found = jaccard.similar_documents(docs.select("doc_id", "text"), size=5, similarity=80)
+    first = found.where("doc_id = component_id").groupBy("doc_id").agg((F.count("*") > 1).alias("_twice"))
+    kept = docs.join(first, "doc_id")
+    once = kept.where("not _twice").unionByName(kept.where("_twice").dropDuplicates(["doc_id"]))
+    return once.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, a document taken in part if at least half of it is taken."""
     return mixing.repeated(docs)
@@ -36,6 +48,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality_rules", quality_rules),
     ("toxicity", toxic_documents),
+    ("near_duplicates", near_duplicates),
     ("mixture", mixture),
     ("bpe", tokens),
 ]
