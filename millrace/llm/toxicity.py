@@ -44,7 +44,8 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 @dataclass(frozen=True)
 class Model:
-    """Feature weights by stem length and bias of a sentence's logit; ``scale`` and ``shift`` calibrate a document's.
+    """Feature weights by stem length and bias of a sentence's logit; ``scale`` and ``shift`` calibrate a document's,
+    ``base`` is that of a document without a weighed word.
 
     Only features of the bounded training rows have weights, which bounds the model's size.
     """
@@ -53,6 +54,7 @@ class Model:
     bias: float
     scale: float = 1.0
     shift: float = 0.0
+    base: float = 0.0
 
     def word(self, word: str) -> float:
         total = self.weights[0].get(word, 0.0)
@@ -62,9 +64,9 @@ class Model:
         return total
 
     def document(self, p: np.ndarray) -> float:
-        """Calibrated noisy-or of sentence scores; 0 without sentences."""
-        if not len(p):
-            return 0.0
+        """Calibrated noisy-or of sentence scores; 0 without sentences or without a trained weight."""
+        if not p.any():
+            return self.base if len(p) and any(self.weights.values()) else 0.0
         return float(1 / (1 + np.exp(-np.clip(self.scale * _logit(noisy_or(p)) + self.shift, -30, 30))))
 
 
@@ -103,21 +105,28 @@ def noisy_or(p: np.ndarray) -> float:
     return float(1 - np.exp(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()))
 
 
-def fit(texts: Sequence[str], labels: Sequence[int], folds: int = 2) -> Model:
-    """The model of all rows, calibrated on scores that models of the other folds give."""
+def fit(texts: Sequence[str], labels: Sequence[int], folds: int = 3) -> Model:
+    """The model of all rows, calibrated on scores that models of the other folds give.
+
+    Rows with a weighed word set the calibration; those without one get the share of toxic rows among their like.
+    """
     model = train(texts, labels)
-    held, truth = [], []
+    held, truth, silent = [], [], []
     for k in range(folds):
         part = train([t for i, t in enumerate(texts) if i % folds != k], [y for i, y in enumerate(labels) if i % folds != k])
         scorer = Scorer(part)
         for t, y in list(zip(texts, labels))[k::folds]:
-            if len(p := scorer.sentence_scores(t or "")[1]):
+            p = scorer.sentence_scores(t or "")[1]
+            if p.any():
                 held.append(_logit(noisy_or(p)))
                 truth.append(y)
+            elif len(p):
+                silent.append(y)
+    base = sum(silent) / (len(silent) + 1)
     if not 0 < sum(truth) < len(truth):
-        return model
+        return Model(model.weights, model.bias, base=base)
     scale, shift = _platt(np.array(held), np.array(truth, float))
-    return Model(model.weights, model.bias, scale, shift)
+    return Model(model.weights, model.bias, scale, shift, base)
 
 
 def _platt(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
