@@ -6,7 +6,7 @@ pages that show each. With m the pages that hold a path,
 
 * presentation importance is the entropy of its styles to base m, 1 when m is 1;
 * content importance of a leaf text seen on k pages is 1 - log_m k: one on every page is worth nothing, a unique one 1;
-* a branch is worth (1 - g^l) * mean content importance below it + g^l * presentation importance, l being its styles.
+* a branch with l styles is worth (1 - g^l) * presentation importance + g^l * mean content importance below it.
 
 Branches below ``THRESHOLD`` are removed from each page. Elements that say what they are go first: navigation, headers,
 footers, asides, forms, scripts, adverts, notices and comments are worth nothing, and where a page marks its article,
@@ -198,18 +198,20 @@ def style_tree(pages: DataFrame) -> DataFrame:
     below = above.groupBy("host", "path").agg((F.sum("worth") / F.sum("n")).alias("content"))
     tree = below.join(per_style, ["host", "path"], "left")
     damp = F.pow(F.lit(DAMPING), F.coalesce("l", F.lit(0)))
-    worth = F.when(F.col("l").isNull(), F.col("content")).otherwise((1 - damp) * F.col("content") + damp * F.col("presentation"))
-    return tree.select("host", "path", "pages", F.least(worth, F.greatest(F.col("content"), F.lit(0.0)) + (1 - damp)).alias("importance"))
+    worth = (1 - damp) * F.coalesce("presentation", F.lit(0.0)) + damp * F.col("content")
+    return tree.select("host", "path", "pages", worth.alias("importance"))
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", threshold: float = THRESHOLD) -> DataFrame:
     """Replaces ``html`` by the main ``text`` of every page; other columns stay (``host`` and ``text`` are replaced)."""
     kept = [c for c in pages.columns if c not in (html, "text", "host", "blocks", "styles")]
-    source = pages.select(*kept, F.col(html).alias("_html"), host(F.col(url)).alias("_host"))
-    rows = cut(parse(source, "_html").withColumnRenamed("_host", "host"), "dom")
-    low = style_tree(rows).where(F.col("importance") < threshold).groupBy("host").agg(F.collect_list("path").alias("_low"))
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")
+    source = pages.select(row, F.col(html).alias("html"), host(F.col(url)).alias("host"))
+    rows = cut(parse(source, "html"), "dom")
+    low = style_tree(rows).where(F.col("importance") < threshold).groupBy("host").agg(F.collect_list("path").alias("low"))
     joined = rows.drop("styles").join(cut(low, "branches"), "host", "left")
     marked = F.exists("blocks", lambda b: b["role"] == 1)
-    removed = lambda b: F.exists(F.coalesce("_low", F.array().cast("array<string>")), lambda p: F.startswith(F.concat(b["path"], F.lit("/")), F.concat(p, F.lit("/"))))
+    paths = F.coalesce("low", F.array().cast("array<string>"))
+    removed = lambda b: F.exists(paths, lambda p: F.startswith(F.concat(b["path"], F.lit("/")), F.concat(p, F.lit("/"))))
     chosen = F.when(marked, F.filter("blocks", lambda b: b["role"] == 1)).otherwise(F.filter("blocks", lambda b: (b["role"] == 0) & ~removed(b)))
-    return joined.withColumn("text", F.array_join(F.transform(chosen, lambda b: b["text"]), "\n")).select(*kept, "text")
+    return joined.select("row.*", F.array_join(F.transform(chosen, lambda b: b["text"]), "\n").alias("text"))
