@@ -220,25 +220,26 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     with nothing. ``key`` must be an integer; rows that share a key are one document with several sets, and a null key
     stays null.
     """
-    rows = cut(sketches(docs, key, text, size, similarity), "sketches")
-    some = rows.where(F.col("print").isNotNull() & F.col(key).isNotNull())
-    copies = some.groupBy(F.col("print").alias("_print")).agg(F.min(key).alias("_first"))
+    own = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = cut(sketches(own, "id", "text", size, similarity), "sketches")
+    some = rows.where("print is not null and id is not null")
+    copies = some.groupBy(F.col("print").alias("_print")).agg(F.min("id").alias("_first"))
     paired = some.join(copies, F.col("print") == F.col("_print"))
-    chosen = cut(paired.where(F.col(key) == F.col("_first")).select(key, "n_shingles", "group", "prefix", "print").dropDuplicates([key, "print"]), "sets")
-    same = some.select(key, "print").join(copies, F.col("print") == F.col("_print")).where(F.col(key) != F.col("_first"))
-    opened = cut(group_pairs(chosen, key), "opened")
-    texts = docs.select(F.col(key), F.col(text).alias("_text")).join(opened.select(key).distinct(), key, "left_semi")
-    members = opened.join(_token_sets(texts, key, size), key).select("g1", "g2", "g", F.col(key).cast("long").alias("id"), "tokens")
+    chosen = cut(paired.where("id = _first").select("id", "n_shingles", "group", "prefix", "print").dropDuplicates(["id", "print"]), "sets")
+    same = some.select("id", "print").join(copies, F.col("print") == F.col("_print")).where("id <> _first")
+    opened = cut(group_pairs(chosen, "id"), "opened")
+    texts = own.join(opened.select("id").distinct(), "id", "left_semi")
+    members = opened.join(_token_sets(texts, size), "id").select("g1", "g2", "g", "id", "tokens")
     links = compare_groups(members, similarity)
-    found = connected_components(links.union(same.select(F.col(key).cast("long"), F.col("_first").cast("long"))))
-    out = rows.select(key, "n_shingles").join(found.withColumnRenamed("id", key), key, "left")
-    return out.select(key, "n_shingles", F.coalesce(F.col("component"), F.col(key).cast("long")).alias("component_id"))
+    found = connected_components(links.union(same.select("id", "_first")))
+    out = rows.select("id", "n_shingles").join(found, "id", "left")
+    return out.select(F.col("id").alias(key), "n_shingles", F.coalesce("component", "id").alias("component_id"))
 
 
-def _token_sets(texts: DataFrame, key: str, size: int) -> DataFrame:
+def _token_sets(texts: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(size)
-        for piece, found in slices(batches, "_text"):
-            yield extended(piece.select([key]), tokens=pa.array([shingles(t).view(np.int64) for t in found], pa.list_(pa.int64())))
+        for piece, found in slices(batches, "text"):
+            yield extended(piece.select(["id"]), tokens=pa.array([shingles(t).view(np.int64) for t in found], pa.list_(pa.int64())))
 
-    return texts.mapInArrow(run, T.StructType([texts.schema[key], T.StructField("tokens", T.ArrayType(T.LongType()))]))
+    return texts.mapInArrow(run, "id long, tokens array<long>")

@@ -140,8 +140,8 @@ def mix(docs: DataFrame, key: str = "doc_id", block: int = BLOCK, weights=WEIGHT
 
 def repeated(docs: DataFrame, key: str = "doc_id", block: int = BLOCK, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it: taken / size rounded to whole documents."""
-    marked = cut(docs.withColumn("_mixed", F.monotonically_increasing_id()), "mixed")
-    taken = mix(marked.select(F.col("_mixed"), "source", "text"), "_mixed", block, weights, max_epochs)
-    times = taken.where("size > 0").select("_mixed", F.round(F.col("taken") / F.col("size")).cast("int").alias("_times")).where("_times > 0")
-    kept = marked.join(times, "_mixed")
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    marked = cut(docs.select(F.monotonically_increasing_id().alias("mixed"), row), "mixed")
+    taken = mix(marked.select("mixed", "row.source", "row.text"), "mixed", block, weights, max_epochs)
+    times = taken.where("size > 0").select("mixed", F.round(F.col("taken") / F.col("size")).cast("int").alias("times")).where("times > 0")
+    return marked.join(times, "mixed").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

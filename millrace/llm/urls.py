@@ -119,10 +119,11 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url") -> Da
     threshold. All others are allowed if their score reaches the threshold.
     """
     made = {"host", "path", "rule", "verdict", "score", "threshold"}
-    rows = pages.select(*[c for c in pages.columns if c not in made], host(F.col(url)).alias("host"), path(F.col(url)).alias("path"))
-    rows = rows.withColumn("_rule", matched_rule(F.col("host"), F.col("path"), rules)).withColumn("_codes", classes(F.col(url)))
+    kept = F.struct(*[F.col(f"`{c}`") for c in pages.columns if c not in made]).alias("_row")
+    rows = pages.select(kept, F.col(url).alias("_url"), host(F.col(url)).alias("host"), path(F.col(url)).alias("path"))
+    rows = rows.withColumn("_rule", matched_rule(F.col("host"), F.col("path"), rules)).withColumn("_codes", classes(F.col("_url")))
     rows = rows.withColumn("_cells", _cells("_codes")).drop("_codes")
-    labelled = rows.where(F.col("_rule").isNotNull()).select("_cells", (F.col("_rule.verdict") == "allow").alias("good"), (F.crc32(F.col(url)) % 2 == 0).alias("fit"))
+    labelled = rows.where(F.col("_rule").isNotNull()).select("_cells", (F.col("_rule.verdict") == "allow").alias("good"), (F.crc32("_url") % 2 == 0).alias("fit"))
     model = cut(log_ratio(labelled.where("fit"), "_cells", "good"), "ratio")
     held = _score(labelled.where(~F.col("fit")), model, "_cells")
     low = F.percentile_approx(F.when(F.col("good"), F.col("score")), ACCEPTED_LOW, 10000)
@@ -130,4 +131,5 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url") -> Da
     limit = cut(held.agg(((F.coalesce(low, high, F.lit(0.0)) + F.coalesce(high, low, F.lit(0.0))) / 2).alias("threshold")), "threshold")
     out = _score(rows, model, "_cells").withColumn("threshold", limit.scalar())
     judged = F.when(F.col("score") >= F.col("threshold"), "allow").otherwise("block")
-    return out.withColumns({"rule": F.col("_rule.rule"), "verdict": F.coalesce(F.col("_rule.verdict"), judged)}).drop("_rule", "_cells")
+    verdict = F.coalesce(F.col("_rule.verdict"), judged)
+    return out.select("_row.*", "host", "path", F.col("_rule.rule").alias("rule"), "score", "threshold", verdict.alias("verdict"))
