@@ -28,10 +28,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows without an id stay; of rows that share an id one stays.
     """
     found = jaccard.similar_documents(docs.select("doc_id", "text"), size=5, similarity=80)
-    first = found.where("doc_id = component_id").groupBy("doc_id").agg((F.count("*") > 1).alias("_twice"))
-    kept = docs.join(first, "doc_id")
-    once = kept.where("not _twice").unionByName(kept.where("_twice").dropDuplicates(["doc_id"]))
-    return once.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    first = found.where("doc_id = component_id").groupBy("doc_id").agg((F.count("*") > 1).alias("twice"))
+    kept = docs.select("doc_id", F.struct(*docs.columns).alias("row")).join(first, "doc_id")
+    twice = kept.where("twice").groupBy("doc_id").agg(F.min_by("row", F.md5("row.text")).alias("row"))
+    return kept.where("not twice").select("row.*").union(twice.select("row.*")).union(docs.where("doc_id is null"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
