@@ -6,6 +6,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -44,7 +45,7 @@ HEADLINE = {
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cores = os.environ.get("BENCH_CPUS", "8")
-    spark = local_session("bench", cores)
+    spark = local_session(tempfile.mkdtemp(prefix="bench-"), "bench", cores)
     queries = catalog.all_queries()
     rows = {t: spark.read.parquet(f"{folder}/{t}.parquet").count() for t in sorted(set(HEADLINE.values()))}
     spark.read.parquet(f"{folder}/lineitem.parquet").groupBy("l_returnflag").count().write.format("noop").mode("overwrite").save()

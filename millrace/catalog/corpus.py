@@ -80,7 +80,7 @@ def _(spark, sf):
 
 @family.add("c06_worst_findings", f"""
 with {LN_ROWS} select rule_id, severity, doc_id, line_no::int as line_no, md5(left(trim(line), 200)) as snippet from ({RULE_CASES}) where severity <> 'info'
-order by case severity when 'high' then 1 when 'medium' then 2 else 3 end, rule_id, doc_id, line_no limit 100""")
+order by case severity when 'high' then 1 when 'medium' then 2 else 3 end, rule_id, doc_id, line_no""")
 def _(spark, sf):
     found = C.worst_findings(C.scan_rules(I.text_lines(Tables(spark, sf).documents), at_least="low"), ["rule_id", "doc_id", "line_no"])
     return found.select("rule_id", "severity", "doc_id", "line_no", F.md5("snippet").alias("snippet"))
@@ -136,14 +136,14 @@ def _(spark, sf):
 
 @family.add("c10_environment_names", r"""
 select distinct w as name from (select unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) as w from documents)
-where regexp_full_match(w, '[A-Z][A-Z0-9_]{2,}') and w not in ('TRUE', 'FALSE', 'NULL', 'NONE', 'TODO', 'FIXME', 'NOTE') order by name limit 500""")
+where regexp_full_match(w, '[A-Z][A-Z0-9_]{2,}') and w not in ('TRUE', 'FALSE', 'NULL', 'NONE', 'TODO', 'FIXME', 'NOTE') order by name""")
 def _(spark, sf):
     return C.environment_names(Tables(spark, sf).documents)
 
 
 @family.add("c11_documentation_score", """
 with f as (select case source when 'src0' then 'README.md' when 'src1' then 'docs/a.md' when 'src2' then 'CHANGELOG.md' else 'src/d' || lpad(doc_id::varchar, 7, '0') || '.py' end as path, text from documents),
-c as (select * from f where path like '%.py' order by path limit 50)
+c as (select * from f where path like '%.py')
 select round(least(100, 20 + 15 + 10 + 25 * (select avg((contains(text, '#') or contains(text, '//') or contains(text, '/*') or contains(text, '\"\"\"') or contains(text, ''''''''))::int) from c)), 6)::double as score""")
 def _(spark, sf):
     src = F.col("source")
@@ -185,7 +185,7 @@ def numstat(t):
 
 @family.add("a09_most_changed", "select 'f' || l_partkey as path, count(*) as changes from lineitem group by 1 order by changes desc, path limit 50")
 def _(spark, sf):
-    return C.most_changed(numstat(Tables(spark, sf)))
+    return C.most_changed(numstat(Tables(spark, sf)), limit=50)
 
 
 @family.add("c13_change_set", """
@@ -263,7 +263,7 @@ def _(spark, sf):
 
 @family.add("c18_corpus_summary", """
 with f as (select *, octet_length(encode(text)) as size from documents)
-select count(*) as files, sum(size)::bigint as bytes, 2::bigint as languages, 'python' as primary_language, 'make' as build_systems from f""")
+select count(*) as files, sum(size)::bigint as bytes, (select count(distinct case source when 'src0' then 1 when 'src1' then 2 else 3 end) from f)::bigint as languages, 'python' as primary_language, 'make' as build_systems from f""")
 def _(spark, sf):
     path = F.when(F.col("source") == "src0", "Makefile").when(F.col("source") == "src1", "notes.md").otherwise("a.py")
     files = Tables(spark, sf).documents.select(path.alias("path"), "text", F.octet_length("text").cast("bigint").alias("size_bytes"))
@@ -271,7 +271,7 @@ def _(spark, sf):
 
 
 @family.add("c19_find_by_name", """
-select distinct path from (select source || '/' || doc_id || '.txt' as path from documents where regexp_matches(doc_id || '.txt', '^1.*7\\.txt$')) order by path limit 100""")
+select distinct path from (select source || '/' || doc_id || '.txt' as path from documents where regexp_matches(doc_id || '.txt', '^1.*7\\.txt$')) order by path""")
 def _(spark, sf):
     files = Tables(spark, sf).documents.select(F.concat("source", F.lit("/"), "doc_id", F.lit(".txt")).alias("path"))
     return C.find_by_name(files, r"^1.*7\.txt$")

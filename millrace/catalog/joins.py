@@ -66,15 +66,26 @@ def _(spark, sf):
     return J.unresolved_references(*reference_tables(Tables(spark, sf)))
 
 
-@family.add("j06_extension_lookup", """
-with f as (select doc_id, n_chars, case source when 'src0' then 'a.py' when 'src1' then 'b.tsx' when 'src2' then 'Makefile' when 'src3' then 'c.md' when 'src4' then 'd.csv' else 'e.unknown' end as name from documents)
-select case name when 'a.py' then 'python' when 'b.tsx' then 'typescript' when 'c.md' then 'markdown' else 'unknown' end as language,
-  case name when 'a.py' then 'source' when 'b.tsx' then 'source' when 'Makefile' then 'build' when 'c.md' then 'documentation' when 'd.csv' then 'data' else 'other' end as category,
-  count(*) as files, sum(n_chars)::bigint as bytes from f group by 1, 2""")
+FILE_NAMES = (
+    "a.py", "b.tsx", "Makefile", "c.md", "d.csv", "tests/foo.py", "lib/Gemfile", "requirements.txt", ".eslintrc", "CMakeLists.txt", "x/Cargo.toml",
+    "e.spec.js", "stats.R", "setup.cfg", "noending",
+)
+
+
+@family.add("j06_extension_lookup", f"""
+with names as (select * from unnest({list(FILE_NAMES)}) with ordinality t(name, i)),
+f as (select n_chars, coalesce(name, 'e.unknown') as name from documents left join names on source = 'src' || (i - 1)),
+k as (select n_chars, lower(name) as path, lower(regexp_extract(name, '([^/]*)$', 1)) as base, lower(regexp_extract(name, '[^/][.]([^./]+)$', 1)) as ext from f)
+select case when base = 'makefile' then 'makefile' when base = 'cmakelists.txt' then 'cmake' when base in ('gemfile', 'rakefile', 'podfile', 'vagrantfile') then 'ruby'
+    when base in ('.eslintrc', '.prettierrc', 'package.json', 'tsconfig.json') then 'json' when base in ('cargo.toml', 'pyproject.toml', 'pipfile') then 'toml'
+    when base = 'requirements.txt' then 'requirements' when ext in ('py', 'pyi', 'pyx') then 'python' when ext in ('ts', 'tsx') then 'typescript'
+    when ext in ('js', 'mjs', 'cjs', 'jsx') then 'javascript' when ext = 'md' then 'markdown' when ext = 'r' then 'r' else 'unknown' end as language,
+  case when contains(path, 'test') or contains(path, 'spec') then 'test' when base in ('makefile', 'cmakelists.txt', 'cargo.toml', 'package.json', 'setup.py', 'setup.cfg') then 'build'
+    when ext in ('py', 'tsx', 'ts', 'js') then 'source' when ext in ('md', 'txt') then 'documentation' when ext = 'csv' then 'data' when ext in ('toml', 'cfg') then 'config' else 'other' end as category,
+  count(*) as files, sum(n_chars)::bigint as bytes from k group by 1, 2""")
 def _(spark, sf):
-    names = ("a.py", "b.tsx", "Makefile", "c.md", "d.csv")
     name = F.lit("e.unknown")
-    for i, n in enumerate(names):
+    for i, n in enumerate(FILE_NAMES):
         name = F.when(F.col("source") == f"src{i}", n).otherwise(name)
     files = Tables(spark, sf).documents.select("n_chars", name.alias("name"))
     tagged = files.select("n_chars", lookups.language_of(F.col("name")).alias("language"), lookups.category_of(F.col("name")).alias("category"))
@@ -92,14 +103,16 @@ def _(spark, sf):
 
 
 @family.add("j09_event_subscriptions", """
-with t as (select event_id, 'shop.' || event_type || case when value > 60 then '.g0' when value > 20 then '.g1' else '.g2' end as topic from events),
-s as (select * from (values ('a', '^shop\\.view\\.g1$'), ('b', '^shop\\.[^.]+\\.g2$'), ('c', '^shop\\..+$'), ('d', '^[^.]+\\.click\\.[^.]+$'), ('e', '^other\\..+$')) v(subscriber, rx))
+with t as (select event_id, 'shop.' || event_type || case when value > 60 then '.g0' when value > 20 then '.g1' else '.a.b.c.d.g2' end as topic from events),
+s as (select * from (values ('a', '^shop\\.view\\.g1$'), ('b', '^shop\\.[^.]+\\.a\\.[^.]+\\.c\\.d\\.g2$'), ('c', '^shop\\..+$'), ('d', '^[^.]+\\.click\\.[^.]+$'), ('e', '^other\\..+$'),
+  ('f', '^.+\\.g2$'), ('g', '^shop\\.[^.]+\\..+$'), ('h', '^shop\\..+\\.[^.]+\\.g2$'), ('i', '^.+\\.a\\..+\\.d\\..+$')) v(subscriber, rx))
 select topic, subscriber, count(*) as n from t join s on regexp_matches(topic, rx) group by 1, 2""")
 def _(spark, sf):
     t = Tables(spark, sf)
-    events = t.events.select("event_id", F.concat_ws(".", F.lit("shop"), "event_type", F.when(F.col("value") > 60, "g0").when(F.col("value") > 20, "g1").otherwise("g2")).alias("topic"))
+    events = t.events.select("event_id", F.concat_ws(".", F.lit("shop"), "event_type", F.when(F.col("value") > 60, "g0").when(F.col("value") > 20, "g1").otherwise("a.b.c.d.g2")).alias("topic"))
     subs = spark.createDataFrame(
-        [("a", "shop.view.g1"), ("b", "shop.*.g2"), ("c", "shop.**"), ("d", "*.click.*"), ("e", "other.**")], "subscriber string, pattern string")
+        [("a", "shop.view.g1"), ("b", "shop.*.a.*.c.d.g2"), ("c", "shop.**"), ("d", "*.click.*"), ("e", "other.**"), ("f", "**.g2"), ("g", "shop.*.**"),
+         ("h", "shop.**.*.g2"), ("i", "**.a.**.d.**")], "subscriber string, pattern string")
     return J.match_subscriptions(events, subs, "topic", "pattern").groupBy("topic", "subscriber").agg(F.count("*").alias("n"))
 
 

@@ -87,7 +87,7 @@ def _(spark, sf):
 
 
 @family.add("m07_explain_linear", """
-with m as (select avg(l_quantity) as q, avg(l_discount) as d from lineitem), s as (select l_orderkey * 10 + l_linenumber as id, l_quantity, l_discount from lineitem order by id limit 100)
+with m as (select avg(l_quantity) as q, avg(l_discount) as d from lineitem), s as (select l_orderkey * 10 + l_linenumber as id, l_quantity, l_discount from lineitem)
 select id, 'l_quantity' as feature, round(1500.5 * (l_quantity - q), 4) + 0.0 as contribution from s, m union all select id, 'l_discount', round(-20.25 * (l_discount - d), 6) + 0.0 from s, m""")
 def _(spark, sf):
     out = M.explain_linear(line_rows(Tables(spark, sf)), {"l_quantity": 1500.5, "l_discount": -20.25}, "id")

@@ -23,11 +23,11 @@ def _(spark, sf):
 
 @family.add("t06_depth_then_path", r"""
 with p as (select page_id, regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') as path from pages)
-select page_id, path, (len(path) - len(replace(path, '/', '')))::int as depth from p order by depth, path, page_id limit 100""")
+select page_id, path, (len(path) - len(replace(path, '/', '')))::int as depth from p order by depth, path, page_id""")
 def _(spark, sf):
     path = F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "[?#].*$", "")
     p = Tables(spark, sf).pages.select("page_id", path.alias("path"))
-    return p.withColumn("depth", F.size(F.split("path", "/")) - 1).orderBy("depth", "path", "page_id").limit(100)
+    return p.withColumn("depth", F.size(F.split("path", "/")) - 1).orderBy("depth", "path", "page_id")
 
 
 @family.add("t07_value_counts_top", """

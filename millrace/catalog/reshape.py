@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from millrace.plans.runs import numbered
 from millrace.catalog import Family, Tables
 from millrace.operators import features, reshape as R
 
@@ -152,22 +153,20 @@ def _(spark, sf):
         t.region.agg(F.lit("root").alias("id"), F.lit(None).cast("string").alias("parent"), F.lit(0).cast("bigint").alias("seq")),
     ]
     tree = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-    return R.preorder_paths(tree, max_depth=4).orderBy("path").select("id", F.array_join(F.col("path").cast("array<string>"), ".").alias("path"))
+    return R.preorder_paths(tree).orderBy("path").select("id", F.array_join(F.col("path").cast("array<string>"), ".").alias("path"))
 
 
 @family.add("p15_default_listing", """
 with f as (select lang || '/' || source || '/' || case when n_chars < 60 then 'README' else 'd' || lpad(doc_id::varchar, 8, '0') end || '.md' as path, doc_id from documents),
 o as (select min(path) as p from f where path like '%/README.md')
 select row_number() over (order by coalesce(path = p, false) desc, path, doc_id) as pos, path, coalesce(path = p, false) as is_opening
-from f left join o on true order by pos limit 20""")
+from f left join o on true""")
 def _(spark, sf):
-    from pyspark.sql import Window as W
-
     stem = F.when(F.col("n_chars") < 60, F.lit("README")).otherwise(F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 8, "0")))
     files = Tables(spark, sf).documents.select(F.concat("lang", F.lit("/"), "source", F.lit("/"), stem, F.lit(".md")).alias("path"), "doc_id")
-    top = R.default_listing(files, ties=["doc_id"]).limit(20)
-    order = W.partitionBy(F.lit(0)).orderBy(F.desc("is_opening"), "path", "doc_id")  # 20 rows
-    return top.select(F.row_number().over(order).cast("bigint").alias("pos"), "path", "is_opening")
+    listed = R.default_listing(files, ties=["doc_id"])
+    folder = F.struct(~F.col("is_opening"), F.substring("path", 1, 8))
+    return numbered(listed, [], [F.desc("is_opening"), "path", "doc_id"], folder, "pos").select("pos", "path", "is_opening")
 
 
 @family.add("k09_event_envelope", """

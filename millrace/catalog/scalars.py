@@ -225,7 +225,7 @@ select doc_id, '$.items[1].attachment' as path, 'd' || doc_id || '.txt' as filen
 def _(spark, sf):
     doc = F.concat(F.lit('{"items":[1,{"attachment":{"Name":"d'), "doc_id", F.lit('.txt","Type":"text/plain","ContentBytes":"'), F.base64(F.encode("text", "UTF-8")), F.lit('"}}],"data":"short"}'))
     d = Tables(spark, sf).documents.select("doc_id", F.try_parse_json(F.regexp_replace(doc, "[\r\n]", "")).alias("doc"))
-    found = V.embedded_files(d, "doc", ["doc_id"], 5)
+    found = V.embedded_files(d, "doc", ["doc_id"])
     return found.select("doc_id", "path", "filename", "content_type", F.length(F.decode(V.decode_base64(F.col("content")), "UTF-8")).alias("chars"))
 
 

@@ -38,7 +38,7 @@ def _(spark, sf):
 CODE_STOPS = ", ".join(f"'{w}'" for w in X.CODE_STOP_WORDS)
 LINES = f"""
 ln as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line_no from documents),
-lt as (select doc_id, line_no, line, list_filter(list_transform(regexp_extract_all(line, '[A-Za-z_][A-Za-z0-9_]{{1,50}}'), lambda w: lower(w)), lambda w: w not in ({CODE_STOPS})) as ws from ln where len(line) <= 2000),
+lt as (select doc_id, line_no, line, list_filter(list_transform(regexp_extract_all(line, '[A-Za-z_][A-Za-z0-9_]{{1,50}}'), lambda w: lower(w)), lambda w: w not in ({CODE_STOPS})) as ws from ln),
 tk as materialized (select doc_id, line_no, line, unnest(ws) as token, unnest(range(len(ws))) as ord from lt)
 """
 
@@ -66,7 +66,7 @@ CAMEL = "string_split(regexp_replace(regexp_replace(w, '([a-z])([A-Z])', '\\1 \\
 
 @family.add("i02_camel_tokens", f"""
 with ln as (select doc_id, unnest(string_split(text, chr(10))) as line from documents),
-w as (select unnest(regexp_extract_all(line, '[A-Za-z_][A-Za-z0-9_]{{1,50}}')) as w from ln where len(line) <= 2000), k as (select w from w where lower(w) not in ({CODE_STOPS})),
+w as (select unnest(regexp_extract_all(line, '[A-Za-z_][A-Za-z0-9_]{{1,50}}')) as w from ln), k as (select w from w where lower(w) not in ({CODE_STOPS})),
 p as (select lower(unnest({CAMEL})) as token from k where regexp_matches(substr(w, 2), '[A-Z]'))
 select token, count(*) as n from (select lower(w) as token from k union all select token from p where len(token) >= 2 and token not in ({CODE_STOPS})) group by 1""")
 def _(spark, sf):
@@ -81,9 +81,9 @@ def _(spark, sf):
 
 @family.add("i04_line_postings", f"""
 with {LINES}, r as (select *, row_number() over (partition by token order by doc_id, line_no, ord) as rn from tk)
-select token, doc_id, line_no::int as line_no, ord::int as ord, (greatest(instr(lower(line), token) - 1, 0))::int as "column" from r where rn <= 300""")
+select token, doc_id, line_no::int as line_no, ord::int as ord, (greatest(instr(lower(line), token) - 1, 0))::int as "column" from r""")
 def _(spark, sf):
-    return I.capped_matches(tokens_of(Tables(spark, sf))).select("token", "doc_id", "line_no", "ord", "column")
+    return tokens_of(Tables(spark, sf)).select("token", "doc_id", "line_no", "ord", "column")
 
 
 RANKED = f"""
@@ -118,7 +118,7 @@ def _(spark, sf):
 LINE_SEARCH = """
 with {lines}, tot as (select count(distinct doc_id) as n from documents), ex as (select unnest({expanded}) as token),
 rn as (select *, row_number() over (partition by token order by doc_id, line_no, ord) as r from tk where token in ({words})),
-common as (select doc_id, line_no from rn where r <= 300 group by 1, 2 having count(distinct token) = {k}),
+common as (select doc_id, line_no from rn group by 1, 2 having count(distinct token) = {k}),
 dl as (select doc_id, count(*) as len from tk group by 1), c as (select token, doc_id, count(*) as n from tk where token in (select token from ex) group by 1, 2), f as (select token, count(*) as df from c group by 1),
 ds as (select doc_id, sum(c.n / len * (ln((tot.n + 1) / (df + 1)) + 1)) as tf_idf from c join f using (token) join dl using (doc_id), tot group by 1)
 select doc_id, line_no::int as line_no, md5(trim(line)) as line, round(tf_idf + 0.1 * (select count(*) from ex where contains(lower(line), token)), 6) as score
@@ -242,11 +242,11 @@ def _(spark, sf):
 
 
 @family.add("i13_index_statistics", f"""
-with {LINES}, m as (select token, least(count(*), 300) as n from tk group by 1)
+with {LINES}, m as (select token, count(*) as n from tk group by 1)
 select count(*) as total_tokens, sum(n)::bigint as total_matches, (select count(*) from documents) as total_documents, 0::bigint as total_symbols, round(sum(n) / count(*), 6)::double as avg_matches_per_token from m""")
 def _(spark, sf):
     t = Tables(spark, sf)
-    out = I.index_statistics(I.capped_matches(tokens_of(t)), t.documents)
+    out = I.index_statistics(tokens_of(t), t.documents)
     return out.withColumn("avg_matches_per_token", F.round("avg_matches_per_token", 6))
 
 

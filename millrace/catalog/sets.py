@@ -20,7 +20,7 @@ def _(spark, sf):
 
 
 @family.add("d02_duplicate_members", """
-with h as (select sha256(text) as content_hash, source || '/' || doc_id as path from documents where n_chars >= 100),
+with h as (select sha256(text) as content_hash, source || '/' || doc_id as path from documents),
 g as (select content_hash, count(*) as copies, min(path) as first_path from h group by 1 having count(*) > 1)
 select h.content_hash, path, copies, first_path from h join g using (content_hash)""")
 def _(spark, sf):

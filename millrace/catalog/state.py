@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from millrace.plans.runs import numbered
 from millrace.catalog import Family, Tables
 from millrace.catalog.joins import UPSERT, upsert_sides
 from millrace.operators import joins as J, scopes, state as S
@@ -120,13 +121,11 @@ def _(spark, sf):
 
 
 @family.add("r12_priority_order", """
-select row_number() over (order by user_id % 5 desc, ts, event_id) as pos, event_id as message_id from events order by pos limit 200""")
+select row_number() over (order by user_id % 5 desc, ts, event_id) as pos, event_id as message_id from events""")
 def _(spark, sf):
-    from pyspark.sql import Window as W
-
-    top = S.priority_order(messages(Tables(spark, sf)), 200)
-    order = W.partitionBy(F.lit(0)).orderBy(F.desc("priority"), "ts", "message_id")  # 200 rows
-    return top.select(F.row_number().over(order).cast("bigint").alias("pos"), "message_id")
+    ordered = S.priority_order(messages(Tables(spark, sf)))
+    hour = F.struct(-F.col("priority"), F.date_trunc("hour", "ts"))
+    return numbered(ordered, [], [F.desc("priority"), "ts", "message_id"], hour, "pos").select("pos", "message_id")
 
 
 @family.add("r06_sliding_limit")

@@ -1,80 +1,69 @@
-"""Ignore rules in the style of version control: ordered, negatable, anchored, directory-only."""
+"""Ignore files as checks on paths, in Column expressions.
+
+A line turns into regular expressions at once: one that the whole path may fit, one that its last name may fit, and for
+lines about directories the prefix of what lies below. The last check that fits a path decides, and a directory is judged
+before everything in it.
+"""
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable
-from dataclasses import dataclass
+from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, functions as F
 
+LINE = re.compile(r"\s*(?P<back>!?)\s*(?P<root>/?)(?P<glob>.*?)(?P<folder>/?)\s*")
+GLOB_PART = re.compile(r"(?P<any>\*)|(?P<one>\?)|\[(?P<none>!?)(?P<set>[^\]]+)\]|(?P<text>[^*?\[]+|\[)")
+
+
+class Check(NamedTuple):
+    whole: str | None
+    name: str | None
+    folder: str | None
+    ignores: bool
+
+
+def glob_regex(glob: str, before: str = "") -> str:
+    """Shell glob as a Java regex for all of a text; ``*`` also crosses slashes. ``before`` is a regex in front of it."""
+    def java(part: re.Match) -> str:
+        if part["set"]:
+            return "[" + part["none"].replace("!", "^") + part["set"].replace("\\", r"\\") + "]"
+        return ".*" if part["any"] else "." if part["one"] else re.escape(part["text"])
+
+    return "(?s)^" + before + "".join(map(java, GLOB_PART.finditer(glob))) + "$"
+
 
-@dataclass(frozen=True)
-class IgnoreRule:
-    pattern: str
-    negated: bool = False
-    anchored: bool = False
-    only_dirs: bool = False
-
-
-def read_rules(lines: Iterable[str]) -> list[IgnoreRule]:
-    """Blank lines and comments are skipped; ``!`` negates, a leading ``/`` anchors, a trailing one means directories."""
-    rules = []
-    for text in (line.strip() for line in lines):
-        if not text or text[0] == "#":
-            continue
-        body = text[1:].strip() if text[0] == "!" else text
-        rule = IgnoreRule(
-            pattern=body.removeprefix("/").removesuffix("/"),
-            negated=text[0] == "!", anchored=body.startswith("/"), only_dirs=body.endswith("/"),
+def read_rules(lines: Iterable[str]) -> list[Check]:
+    """Checks of the lines that hold a rule: ``!`` takes a path back in, a leading ``/`` means from the root, a closing one
+    directories only. A glob with a slash is about paths, from the root or below any directory; others are about names."""
+    found = [LINE.fullmatch(line) for line in lines if not line.lstrip().startswith("#")]
+    return [
+        Check(
+            whole=glob_regex(f["glob"], "" if f["root"] else "(?:.*/)?") if f["root"] or "/" in f["glob"] else None,
+            name=None if "/" in f["glob"] else glob_regex(f["glob"]),
+            folder=f["glob"] + "/" if f["folder"] else None,
+            ignores=not f["back"],
         )
-        if rule.pattern:
-            rules.append(rule)
-    return rules
-
-
-def glob_regex(pattern: str) -> str:
-    """Shell glob as an anchored Java regex; ``*`` also crosses slashes."""
-    out, i = [], 0
-    while i < len(pattern):
-        ch = pattern[i]
-        end = pattern.find("]", i + 2) if ch == "[" else -1
-        if end > 0:
-            body = pattern[i + 1 : end].replace("\\", "\\\\")
-            out.append("[^" + body[1:] + "]" if body[0] == "!" else f"[{body}]")
-            i = end
-        else:
-            out.append({"*": ".*", "?": "."}.get(ch) or re.escape(ch))
-        i += 1
-    return "(?s)^" + "".join(out) + "$"
-
-
-def _hits(rule: IgnoreRule, path: Column, is_dir: Column) -> Column:
+        for f in found if f and f["glob"]
+    ]
+
+
+def _fits(check: Check, path: Column, is_dir: Column) -> Column:
     name = F.element_at(F.split(path, "/"), -1)
-    whole = path.rlike(glob_regex(rule.pattern))
-    if "/" in rule.pattern:
-        hit = whole if rule.anchored else whole | path.rlike(glob_regex(f"*/{rule.pattern}"))
-    else:
-        by_name = name.rlike(glob_regex(rule.pattern))
-        hit = whole | by_name if rule.anchored else by_name
-    if rule.only_dirs:
-        hit = is_dir & (hit | path.startswith(rule.pattern + "/"))
-    return hit
-
-
-def _decided(rules: list[IgnoreRule], path: Column, is_dir: Column) -> Column:
-    """The last rule that matches decides."""
-    verdict = F.lit(False)
-    for rule in rules:
-        verdict = F.when(_hits(rule, path, is_dir), F.lit(not rule.negated)).otherwise(verdict)
-    return verdict
-
-
-def ignored(path: Column, rules: list[IgnoreRule], is_dir: Column | None = None) -> Column:
+    tests = [col.rlike(regex) for col, regex in ((path, check.whole), (name, check.name)) if regex]
+    if check.folder is None:
+        return reduce(Column.__or__, tests)
+    return is_dir & reduce(Column.__or__, tests, path.startswith(check.folder))
+
+
+def _last_word(checks: list[Check], path: Column, is_dir: Column) -> Column:
+    said = [F.when(_fits(c, path, is_dir), F.lit(c.ignores)) for c in reversed(checks)]
+    return F.coalesce(*said, F.lit(False))
+
+
+def ignored(path: Column, rules: list[Check], is_dir: Column | None = None) -> Column:
     """True for a path that is ignored itself or lies below an ignored directory."""
-    is_dir = F.lit(False) if is_dir is None else is_dir
     steps = F.split(path, "/")
-    parents = F.when(
-        F.size(steps) > 1,
-        F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda n: F.array_join(F.slice(steps, 1, n), "/")),
-    ).otherwise(F.array().cast("array<string>"))
-    return F.exists(parents, lambda p: _decided(rules, p, F.lit(True))) | _decided(rules, path, is_dir)
+    above = F.transform(F.slice(F.sequence(F.lit(0), F.size(steps) - 1), 2, F.size(steps)), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))
+    return F.exists(above, lambda p: _last_word(rules, p, F.lit(True))) | _last_word(rules, path, F.lit(False) if is_dir is None else is_dir)

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from millrace.session import cut
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # Date formats in the order they are tried, each with the texts it may read.
@@ -125,13 +126,19 @@ NAME_FIELDS = ("filename", "file_name", "name")
 TYPE_FIELDS = ("contenttype", "content_type", "mimetype", "mime_type", "type")
 
 
-def embedded_files(df: DataFrame, doc: str, keep: Sequence[str], max_depth: int = 8) -> DataFrame:
-    """Rows (keep, path, filename, content_type, content) of base64 file fields at any depth of a VARIANT."""
+def embedded_files(df: DataFrame, doc: str, keep: Sequence[str]) -> DataFrame:
+    """Rows (keep, path, filename, content_type, content) of base64 file fields at any depth of a VARIANT.
+
+    One round per level of nesting, each written out, until no value is left to open.
+    """
     keep = list(keep)
     level = df.select(*keep, F.lit("$").alias("path"), F.col(doc).alias("_v"))
     found = None
     empty_map = F.create_map().cast("map<string,variant>")
-    for _ in range(max_depth):
+    while True:
+        level = cut(level, "level")
+        if found is not None and level.isEmpty():
+            return found
         fields = F.try_variant_get("_v", "$", "map<string,variant>")
         here = level.select(*keep, "path", F.coalesce(fields, empty_map).alias("_f"), F.try_variant_get("_v", "$", "array<variant>").alias("_a"))
 
@@ -152,7 +159,6 @@ def embedded_files(df: DataFrame, doc: str, keep: Sequence[str], max_depth: int
             ),
         )
         level = here.select(*keep, F.explode(inner).alias("_e")).select(*keep, "_e.path", "_e._v")
-    return found
 
 
 def _named(name: str):

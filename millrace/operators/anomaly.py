@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from millrace.plans.joins import salted_join
 from millrace.plans.runs import neighbours, numbered, running_sums, sliding_moments, sliding_sums, with_context
-from millrace.plans.topn import top_per_key
+from millrace.plans.topn import at_most, top_per_key
 
 SEVERITIES = ("critical", "high", "medium", "low", "info")
 
@@ -226,7 +226,7 @@ def with_cooldown(df: DataFrame, keys: Sequence[str], at: str, cooldown: float =
     return folded.select(*keys, F.explode(fired).alias(at))
 
 
-def alert_list(alerts: DataFrame, severity: str | None = None, since: float | None = None, at: str = "t", only_open: bool = False, limit: int = 100) -> DataFrame:
+def alert_list(alerts: DataFrame, severity: str | None = None, since: float | None = None, at: str = "t", only_open: bool = False, limit: int | None = None) -> DataFrame:
     """Alerts newest first, by severity, time and whether they are still unacknowledged."""
     if severity is not None:
         alerts = alerts.where(F.col("severity") == severity)
@@ -234,7 +234,7 @@ def alert_list(alerts: DataFrame, severity: str | None = None, since: float | No
         alerts = alerts.where(F.col(at) > since)
     if only_open:
         alerts = alerts.where(~F.col("acknowledged"))
-    return alerts.orderBy(F.desc(at), *[c for c in alerts.columns if c != at]).limit(limit)
+    return at_most(alerts.orderBy(F.desc(at), *[c for c in alerts.columns if c != at]), limit)
 
 
 def final_ema(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, value: str, alpha: float = 0.3, start: float = 0.0) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from millrace.functions.predicates import chart_filter, time_range
 from millrace.plans.ranks import linear_quantiles
 
-ROW_LIMIT = 1000
+ROW_LIMIT = 0
 
 
 @dataclass(frozen=True)

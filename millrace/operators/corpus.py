@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from millrace.functions import lookups, text as X, values as V
 from millrace.operators.aggregates import grouped_counts
 from millrace.plans.joins import salted_join
+from millrace.plans.topn import at_most
 from millrace.plans.runs import numbered
 from millrace.plans.spread import widen
 from millrace.plans.topn import first_per_key
@@ -155,9 +156,9 @@ def scan_rules(lines: DataFrame, rules: Mapping[str, tuple[str, str]] | None = N
     return found.select(*[c for c in lines.columns if c != "line"], "_e.rule_id", "_e.severity", F.substring(F.trim("line"), 1, 200).alias("snippet"))
 
 
-def worst_findings(found: DataFrame, order: Sequence[str], limit: int = 100) -> DataFrame:
+def worst_findings(found: DataFrame, order: Sequence[str], limit: int | None = None) -> DataFrame:
     rank = F.array_position(F.array(*[F.lit(s) for s in SCAN_SEVERITIES]), F.col("severity"))
-    return found.orderBy(rank, *order).limit(limit)
+    return at_most(found.orderBy(rank, *order), limit)
 
 
 def requirement_rows(files: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -232,16 +233,16 @@ def license_of(text: Column) -> Column:
 NOT_VARIABLES = ("TRUE", "FALSE", "NULL", "NONE", "TODO", "FIXME", "NOTE")
 
 
-def environment_names(files: DataFrame, text: str = "text", limit: int = 500) -> DataFrame:
+def environment_names(files: DataFrame, text: str = "text", limit: int | None = None) -> DataFrame:
     """Sorted distinct names in capitals, three characters or more."""
     # \w follows Unicode at word borders, as names next to accented letters are no names.
     pattern = r"(?<![\p{L}\p{N}_])([A-Z][A-Z0-9_]{2,})(?![\p{L}\p{N}_])"
     found = files.select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))).alias("name")).distinct()
-    return found.where(~F.col("name").isin(*NOT_VARIABLES)).orderBy("name").limit(limit)
+    return at_most(found.where(~F.col("name").isin(*NOT_VARIABLES)).orderBy("name"), limit)
 
 
-def documentation_score(files: DataFrame, path: str = "path", text: str = "text", sample: int = 50) -> DataFrame:
-    """One row: 0 to 100 from readme, docs folder, comments in the first code files, changelog and the like."""
+def documentation_score(files: DataFrame, path: str = "path", text: str = "text", sample: int | None = None) -> DataFrame:
+    """One row: 0 to 100 from readme, docs folder, comments in the code files (all, or the first ``sample``), changelog and the like."""
     p, name = F.col(path), F.upper(lookups.file_name(F.col(path)))
     has = lambda c: F.coalesce(F.max(c.cast("int")), F.lit(0))
     flags = files.agg(
@@ -250,14 +251,14 @@ def documentation_score(files: DataFrame, path: str = "path", text: str = "text"
         has(name.isin("CHANGELOG.MD", "CHANGELOG", "CHANGES.MD", "HISTORY.MD")).alias("changelog"), has(name.contains("CONTRIBUTING")).alias("contributing"),
         has(F.lower(p).contains("api") & (lookups.language_of(p) == "markdown")).alias("api"), has(p.contains("examples/") | p.contains("example/")).alias("examples"),
     )
-    code = files.where(lookups.language_of(p).isin(*CODE_LANGUAGES)).orderBy(path).limit(sample)
-    commented = code.agg(F.coalesce(F.avg(F.col(text).rlike(r"""(#|//|/\*|\"\"\"|''')""").cast("double")), F.lit(0.0)).alias("s")).scalar()
+    code = files.where(lookups.language_of(p).isin(*CODE_LANGUAGES))
+    commented = (code if sample is None else code.orderBy(path).limit(sample)).agg(F.coalesce(F.avg(F.col(text).rlike(r"""(#|//|/\*|\"\"\"|''')""").cast("double")), F.lit(0.0)).alias("s")).scalar()
     score = F.col("readme") * 20 + F.col("docs") * 15 + commented * 25 + 10 * (F.col("changelog") + F.col("contributing") + F.col("api") + F.col("examples"))
     return flags.select(F.least(score, F.lit(100.0)).alias("score"))
 
 
-def find_by_name(files: DataFrame, pattern: str, path: str = "path", limit: int = 100) -> DataFrame:
-    return files.where(lookups.file_name(F.col(path)).rlike(pattern)).orderBy(path).limit(limit)
+def find_by_name(files: DataFrame, pattern: str, path: str = "path", limit: int | None = None) -> DataFrame:
+    return at_most(files.where(lookups.file_name(F.col(path)).rlike(pattern)).orderBy(path), limit)
 
 
 # --- commits ------------------------------------------------------------------------------------------
@@ -304,8 +305,8 @@ def change_totals(numstat: DataFrame) -> DataFrame:
     return numstat.agg(F.sum("insertions").alias("insertions"), F.sum("deletions").alias("deletions"), F.count(F.lit(1)).alias("changes"))
 
 
-def most_changed(numstat: DataFrame, limit: int = 50) -> DataFrame:
-    return numstat.groupBy("path").agg(F.count(F.lit(1)).alias("changes")).orderBy(F.desc("changes"), "path").limit(limit)
+def most_changed(numstat: DataFrame, limit: int | None = None) -> DataFrame:
+    return at_most(numstat.groupBy("path").agg(F.count(F.lit(1)).alias("changes")).orderBy(F.desc("changes"), "path"), limit)
 
 
 def change_set(numstat: DataFrame, status: DataFrame) -> DataFrame:

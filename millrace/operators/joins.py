@@ -1,4 +1,4 @@
-"""Joins that the reference writes as dictionary lookups, plus event-time joins."""
+"""Lookups, references, subscriptions and upserts as joins, plus event-time joins."""
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
@@ -57,48 +57,83 @@ def unresolved_references(refs: DataFrame, targets: DataFrame, ref: str = "ref",
     return refs.select(F.col(ref).alias("ref")).distinct().join(found, "ref", "left_anti")
 
 
-def pattern_candidates(topic: Column, max_segments: int = 6) -> Column:
-    """Every pattern that matches a topic: each segment kept or ``*``, and ``**`` closing any prefix.
+def _pattern_parts(pattern: Column) -> tuple[Column, Column, Column]:
+    """Segments before the first ``**``, after the last one, and whether there is any."""
+    parts = F.split(pattern, r"\.")
+    first, last = F.array_position(parts, "**"), F.array_position(F.reverse(parts), "**")
+    rest = first > 0
+    head = F.when(rest, F.slice(parts, F.lit(1), first.cast("int") - 1)).otherwise(parts)
+    tail = F.when(rest, F.slice(parts, F.size(parts) - last.cast("int") + 2, last.cast("int") - 1)).otherwise(F.array().cast("array<string>"))
+    return head, tail, rest
 
-    2^segments patterns per topic, so a topic meets its subscriptions by an equi-join however many
-    subscriptions there are. Topics with more segments than ``max_segments`` keep their exact form and
-    the plain ``**`` prefixes.
+
+def _pattern_regex(pattern: Column) -> Column:
+    segment = lambda x: F.when(x == "**", ".+").when(x == "*", "[^.]+").otherwise(F.concat(F.lit(r"\Q"), x, F.lit(r"\E")))
+    return F.concat(F.lit("^"), F.array_join(F.transform(F.split(pattern, r"\."), segment), r"\."), F.lit("$"))
+
+
+def shaped_patterns(subscriptions: DataFrame, pattern: str) -> tuple[DataFrame, Column]:
+    """Subscriptions with ``_form``, their shape and literal segments, and the distinct shapes as one literal array.
+
+    A shape says which of the segments before the first ``**`` and after the last one are ``*``. There are few shapes,
+    however many subscriptions.
     """
+    head, tail, rest = _pattern_parts(F.col(pattern))
+    stars = lambda parts: F.transform(parts, lambda x: x == "*")
+    shape = F.struct(rest.alias("rest"), stars(head).alias("head"), stars(tail).alias("tail"))
+    shapes = [r.shape for r in subscriptions.select(shape.alias("shape")).distinct().collect()]
+    bools = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<boolean>")
+    listed = F.array(*[F.struct(F.lit(x.rest).alias("rest"), bools(x.head).alias("head"), bools(x.tail).alias("tail")) for x in shapes])
+    listed = listed if shapes else F.array().cast("array<struct<rest:boolean,head:array<boolean>,tail:array<boolean>>>")
+    return subscriptions.withColumn("_form", F.struct(shape.alias("shape"), F.concat(head, F.array(F.lit("")), tail).alias("text"))), listed
+
+
+def topic_forms(topic: Column, shapes: Column) -> Column:
+    """What a topic looks like to every shape it is long enough for: its segments with ``*`` where the shape has one."""
     parts = F.split(topic, r"\.")
     n = F.size(parts)
-    masks = F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.least(n, F.lit(max_segments))) - 1)
-    shown = F.when(n <= max_segments, masks).otherwise(F.array(F.lit(0)))
+    fits = F.filter(shapes, lambda s: F.when(s["rest"], n > F.size(s["head"]) + F.size(s["tail"])).otherwise(n == F.size(s["head"])))
 
-    def masked_form(mask: Column) -> Column:
-        star = lambda p, i: F.when(F.call_function("shiftright", mask, i).bitwiseAND(1) == 1, F.lit("*")).otherwise(p)
-        return F.array_join(F.transform(parts, star), ".")
+    def form(s: Column) -> Column:
+        head = F.transform(F.slice(parts, F.lit(1), F.size(s["head"])), lambda x, i: F.when(F.get(s["head"], i), F.lit("*")).otherwise(x))
+        tail = F.transform(F.slice(parts, n - F.size(s["tail"]) + 1, F.size(s["tail"])), lambda x, i: F.when(F.get(s["tail"], i), F.lit("*")).otherwise(x))
+        return F.struct(s.alias("shape"), F.concat(head, F.array(F.lit("")), tail).alias("text"))
 
-    masked = F.transform(shown, masked_form)
-    prefixes = F.transform(F.sequence(F.lit(1), n), lambda k: F.concat(F.array_join(F.slice(parts, 1, k - 1), "."), F.when(k > 1, F.lit(".")).otherwise(F.lit("")), F.lit("**")))
-    return F.array_distinct(F.concat(F.array(topic), masked, prefixes))
+    return F.transform(fits, form)
 
 
 def match_subscriptions(events: DataFrame, subscriptions: DataFrame, topic: str, pattern: str) -> DataFrame:
-    """One row per event and matching subscription; patterns use ``*`` and a closing ``**``.
+    """One row per event and matching subscription: ``*`` is one segment, ``**`` one or more, anywhere and in any number.
 
-    Patterns are matched against the distinct topics first; only then do the events join.
+    The distinct topics are masked once per shape of the subscriptions and meet them by an equi-join on shape and
+    segments; what lies between two ``**`` is compared after that. Only then do the events join.
     """
-    names = events.select(F.col(topic)).distinct()
-    wanted = names.withColumn(pattern, F.explode(pattern_candidates(F.col(topic))))
-    routes = wanted.join(subscriptions, pattern)
+    routes = routed(events.select(F.col(topic)).distinct(), subscriptions, topic, pattern)
     spread = [c for c in events.columns if c != topic] or [topic]
     return salted_join(events, routes, [topic], spread)
 
 
-def merge_rows(current: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Upsert frame: every key once, incoming values winning, with status created, updated or kept."""
+def routed(rows: DataFrame, subscriptions: DataFrame, topic: str, pattern: str) -> DataFrame:
+    """Rows joined to the subscriptions that match their topic; also for a streaming frame."""
+    given, shapes = shaped_patterns(subscriptions, pattern)
+    wanted = rows.where(F.col(topic).isNotNull()).withColumn("_form", F.explode(topic_forms(F.col(topic), shapes)))
+    return wanted.join(given, "_form").where(F.regexp_like(topic, _pattern_regex(F.col(pattern)))).drop("_form")
+
+
+def merge_rows(current: DataFrame, incoming: DataFrame, keys: Sequence[str], latest: str | None = None) -> DataFrame:
+    """Upsert frame: every key once, incoming values winning, with status created, updated or kept.
+
+    Of several incoming rows of a key the one with the largest ``latest`` counts, or without it the largest row. Null
+    is a key like any other.
+    """
     values = [c for c in current.columns if c not in keys]
-    old = current.select(*keys, F.struct(*values).alias("_old"))
-    new = incoming.select(*keys, F.struct(*values).alias("_new"))
-    both = old.join(new, list(keys), "full")
+    key, row = F.struct(*keys).alias("_key"), F.struct(*values)
+    old = current.select(key, row.alias("_old"))
+    new = incoming.groupBy(key).agg((F.max_by(row, latest) if latest else F.max(row)).alias("_new"))
+    both = old.join(new, "_key", "full")
     status = F.when(F.col("_old").isNull(), "created").when(F.col("_new").isNotNull(), "updated").otherwise("kept")
     picked = F.coalesce("_new", "_old")
-    return both.select(*keys, *[picked[c].alias(c) for c in values], status.alias("status"))
+    return both.select(*[F.col("_key")[c].alias(c) for c in keys], *[picked[c].alias(c) for c in values], status.alias("status"))
 
 
 def compare_metrics(a: DataFrame, b: DataFrame, metrics: Mapping[str, Column]) -> DataFrame:
@@ -141,6 +176,3 @@ def as_of_join(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str,
     filled = last_known(sides, keys, [at, "_left"], F.floor(F.col(at) / chunk_seconds), held)
     return filled.where("_left = 1").select(*left.columns, *held)
 
-
-def lookup(big: DataFrame, table: DataFrame, on: Sequence[str], spread: Sequence[str], how: str = "left") -> DataFrame:
-    return salted_join(big, table, on, spread, how)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from millrace.plans.joins import one_row
 from millrace.plans.ranks import BUCKETS, bucket_of, order_stats, split_points
 from millrace.plans.runs import numbered, running_sums
-from millrace.plans.topn import first_per_key
+from millrace.plans.topn import at_most, first_per_key
 from millrace.session import cut
 
 
@@ -221,10 +221,10 @@ def permutation_importance(df: DataFrame, model: PipelineModel, columns: Sequenc
     return df.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
-def explain_linear(df: DataFrame, coefficients: Mapping[str, float], key: str, limit: int = 100) -> DataFrame:
+def explain_linear(df: DataFrame, coefficients: Mapping[str, float], key: str, limit: int | None = None) -> DataFrame:
     """Exact contributions of a linear model, coefficient * (value - mean): rows (key, feature, contribution)."""
     means = one_row(df.agg(*[F.avg(c).alias(c) for c in coefficients]))
-    shown = df.orderBy(key).limit(limit)
+    shown = df if limit is None else df.orderBy(key).limit(limit)
     parts = F.array(*[F.struct(F.lit(c).alias("feature"), (F.lit(float(w)) * (F.col(c) - means[c])).alias("contribution")) for c, w in coefficients.items()])
     return shown.select(key, F.explode(parts).alias("e")).select(key, "e.*")
 
@@ -257,14 +257,14 @@ def register_versions(models: DataFrame, name: str = "model_name", created: str
 
 
 def promote(registry: DataFrame, changes: DataFrame, name: str = "model_name") -> DataFrame:
-    """Applies promotions (name, version, stage, at): the newest promotion to a stage holds it, and the
-    version that held it before is archived."""
-    newest = first_per_key(changes, [name, "version"], ["at"], latest=True)
-    holder = first_per_key(changes, [name, "stage"], ["at", "version"], latest=True).select(name, "version", F.col("stage").alias("_holds"))
-    staged = registry.join(newest.select(name, "version", F.col("stage").alias("_asked")), [name, "version"], "left")
-    staged = staged.join(holder, [name, "version"], "left")
-    stage = F.when(F.col("_holds") == F.col("_asked"), F.col("_asked")).when(F.col("_asked").isNotNull(), "archived").otherwise("none")
-    return staged.withColumn("stage", stage).drop("_asked", "_holds")
+    """Applies promotions (name, version, stage, at): every version has the stage of its newest promotion, or is archived
+    if another version was promoted to that stage later."""
+    newest = first_per_key(changes, [name, "version"], ["at"], latest=True).select(name, "version", F.col("stage").alias("_asked"))
+    holder = first_per_key(changes, [name, "stage"], ["at", "version"], latest=True)
+    holder = holder.select(name, F.col("version").alias("_holder"), F.col("stage").alias("_asked"))
+    staged = registry.join(newest, [name, "version"], "left").join(holder, [name, "_asked"], "left")
+    stage = F.when(F.col("_asked").isNull(), "none").when(F.col("_holder") == F.col("version"), F.col("_asked")).otherwise("archived")
+    return staged.select(*[c for c in registry.columns if c != "stage"], stage.alias("stage"))
 
 
 def resolve_stage(registry: DataFrame, stage: str, name: str = "model_name") -> DataFrame:
@@ -276,14 +276,14 @@ def fold_runs(events: DataFrame, run: str = "run_id", at: str = "at") -> DataFra
     return first_per_key(events, [run, "kind", "key"], [at], latest=True)
 
 
-def run_list(folded: DataFrame, run: str = "run_id", at: str = "at", limit: int = 100) -> DataFrame:
+def run_list(folded: DataFrame, run: str = "run_id", at: str = "at", limit: int | None = None) -> DataFrame:
     """One row per run, newest first: maps of metrics, params and tags; keys are few per run."""
     def held(kind: str) -> Column:
         pairs = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("key", "value"))))
         return F.map_from_entries(pairs)
 
     out = folded.groupBy(run).agg(*[held(k).alias(k + "s") for k in ("metric", "param", "tag")], F.max(at).alias(at))
-    return out.orderBy(F.desc(at), run).limit(limit)
+    return at_most(out.orderBy(F.desc(at), run), limit)
 
 
 def model_list(meta: DataFrame, registry: DataFrame, tag: str | None = None, problem: str | None = None, page: int = 1, per_page: int = 20) -> DataFrame:

@@ -92,7 +92,7 @@ def json_type(cell: Column) -> Column:
     )
 
 
-def type_consistency(df: DataFrame, columns: Sequence[str], sequence: str | None = None, sample: int = 100) -> DataFrame:
+def type_consistency(df: DataFrame, columns: Sequence[str], sequence: str | None = None, sample: int | None = None) -> DataFrame:
     """Per column of JSON cells: majority type (of the first ``sample`` rows along ``sequence``, or of
     all), cells present, cells of that type and their share; ``low`` below 0.8."""
     cells = F.array(*[F.struct(F.lit(c).alias("column"), json_type(F.col(c)).alias("type")) for c in columns])
@@ -102,7 +102,7 @@ def type_consistency(df: DataFrame, columns: Sequence[str], sequence: str | None
         return long.groupBy("column", "type").agg(F.count(F.lit(1)).alias("n"))
 
     counts = counted(df)
-    voters = counts if sequence is None else counted(df.orderBy(sequence).limit(sample))
+    voters = counts if sequence is None or sample is None else counted(df.orderBy(sequence).limit(sample))
     major = voters.groupBy("column").agg(F.min_by("type", F.struct(-F.col("n"), F.col("type"))).alias("majority"))
     joined = counts.join(major, "column")
     out = joined.groupBy("column", "majority").agg(

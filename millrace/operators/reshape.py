@@ -8,6 +8,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from millrace.session import cut
 from millrace.plans.joins import salted_join
 from millrace.plans.spread import widen
 
@@ -239,14 +240,18 @@ def redact_url_query(url: Column) -> Column:
     return F.regexp_replace(url, r"\?.*$", "?<redacted>")
 
 
-def preorder_paths(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
+def preorder_paths(nodes: DataFrame) -> DataFrame:
     """Adds ``path``: the sequence numbers from the root, by which sorting gives the pre-order.
 
-    ``nodes`` has id, parent (null at a root) and seq. Each round doubles the distance a node has climbed,
-    so a tree of depth d takes log2(d) joins. Pass ``max_depth`` at least the depth of the tree.
+    ``nodes`` has id, parent (null at a root) and seq. Each round doubles the distance a node has climbed and is written
+    out; rounds end when no node climbs any more, after log2 of the depth. Nodes on a cycle never arrive; they keep what
+    they have after as many rounds as the deepest possible tree takes.
     """
     climbed = nodes.withColumns({"path": F.array(F.col("seq").cast("bigint")), "_up": F.col("parent")})
-    for _ in range(max(1, math.ceil(math.log2(max_depth)))):
+    for _ in range(max(1, math.ceil(math.log2(max(2, nodes.count()))))):
+        climbed = cut(climbed, "climb")
+        if climbed.where("_up is not null").isEmpty():
+            break
         above = climbed.select(F.col("id").alias("_up"), F.col("path").alias("_head"), F.col("_up").alias("_next"))
         joined = salted_join(climbed, above, ["_up"], ["id"], "left")
         climbed = joined.withColumn(

@@ -29,7 +29,7 @@ def search_like(cols: Sequence[str], term: str) -> Column:
 
 def audit_query(
     df: DataFrame, operation: str | None = None, entity_type: str | None = None, user: str | None = None,
-    since: Any = None, limit: int = 100, ts: str = "ts", tie: str = "id",
+    since: Any = None, limit: int | None = None, ts: str = "ts", tie: str = "id",
 ) -> DataFrame:
     """Filters, then the newest ``limit`` rows in ascending order; ``since`` is exclusive."""
     for col, value in (("operation", operation), ("entity_type", entity_type), ("user", user)):
@@ -37,7 +37,7 @@ def audit_query(
             df = df.where(F.col(col) == value)
     if since is not None:
         df = df.where(F.col(ts) > F.lit(since).cast("timestamp_ntz"))
-    return df.orderBy(F.desc(ts), F.desc(tie)).limit(limit).orderBy(ts, tie)
+    return (df if limit is None else df.orderBy(F.desc(ts), F.desc(tie)).limit(limit)).orderBy(ts, tie)
 
 
 def history_page(df: DataFrame, filters: Sequence[dict], page: int, page_size: int, order: Sequence[str]) -> DataFrame:

@@ -158,16 +158,16 @@ def text_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     )
 
 
-def line_tokens(lines: DataFrame, key: str = "doc_id", max_line: int = 2000, split_camel: bool = True) -> DataFrame:
-    """Rows (key, line_no, ord, token, column): every token of every line of at most ``max_line`` characters."""
-    kept = lines.where(F.length("line") <= max_line)
+def line_tokens(lines: DataFrame, key: str = "doc_id", max_line: int | None = None, split_camel: bool = True) -> DataFrame:
+    """Rows (key, line_no, ord, token, column): every token of every line, or of those of at most ``max_line`` characters."""
+    kept = lines if max_line is None else lines.where(F.length("line") <= max_line)
     rows = kept.select(key, "line_no", "line", F.posexplode(X.code_tokens(F.col("line"), split_camel)).alias("ord", "token"))
     column = F.greatest(F.instr(F.lower("line"), F.col("token")) - 1, F.lit(0))
     return rows.select(key, "line_no", "ord", "token", column.alias("column"))
 
 
-def capped_matches(tokens: DataFrame, key: str = "doc_id", cap: int = 300) -> DataFrame:
-    """First ``cap`` matches of each token in file order: what the line index keeps."""
+def capped_matches(tokens: DataFrame, cap: int, key: str = "doc_id") -> DataFrame:
+    """First ``cap`` matches of each token in file order, for an index that may lose places of common words."""
     return top_per_key(tokens, ["token"], [F.asc(key), F.asc("line_no"), F.asc("ord")], cap, [key, "line_no"])
 
 
@@ -203,7 +203,7 @@ def similar_tokens(vocabulary: DataFrame, words: DataFrame, threshold: float = 0
 
 def line_search(
     lines: DataFrame, tokens: DataFrame, query: str, fuzzy: bool = False, threshold: float = 0.5, key: str = "doc_id",
-    cap: int = 300, limit: int = 50,
+    cap: int | None = None, limit: int = 50,
 ) -> DataFrame:
     """Lines that hold every word of the query, scored by the TF-IDF of their file plus 0.1 per word in the line.
 
@@ -218,7 +218,8 @@ def line_search(
             expanded += [r.token for r in near if r.word == word and r.token not in expanded]
     if not words:
         return lines.where(F.lit(False)).select(key, "line_no", "line", F.lit(0.0).alias("score"))
-    common = all_terms(capped_matches(tokens.where(F.col("token").isin(sorted(set(words)))), key, cap), words, key)
+    asked = tokens.where(F.col("token").isin(sorted(set(words))))
+    common = all_terms(asked if cap is None else capped_matches(asked, cap, key), words, key)
 
     doc_len = tokens.groupBy(key).agg(F.count(F.lit(1)).alias("doc_len"))
     documents = lines.select(key).distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
@@ -241,10 +242,11 @@ def fuzzy_matches(words: DataFrame, candidates: DataFrame, threshold: float = 0.
     """Rows (word, candidate, similarity) by edit distance.
 
     Two strings can only reach the threshold if the shorter is at least that share of the longer, so each
-    word asks for the lengths it can match and pairs are formed per length.
+    word asks for the lengths it can match, with one character to spare for rounding, and pairs are formed per length.
     """
+    n = F.length("word")
     asked = words.select("word").distinct().withColumn("_len", F.explode(F.sequence(
-        F.ceil(F.length("word") * F.lit(threshold)).cast("int"), F.floor(F.length("word") / F.lit(threshold)).cast("int"))))
+        F.greatest(F.floor(n * F.lit(threshold)) - 1, F.lit(0)).cast("int"), (F.ceil(n / F.lit(threshold)) + 1).cast("int"))))
     given = candidates.select("candidate").distinct().withColumn("_len", F.length("candidate"))
     pairs = salted_join(given, asked, ["_len"], ["candidate"]).drop("_len")
     return pairs.withColumn("similarity", X.similarity(F.col("word"), F.col("candidate"))).where(F.col("similarity") >= threshold)

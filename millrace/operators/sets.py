@@ -25,7 +25,7 @@ def duplicate_count(df: DataFrame, subset: Sequence[str] | None = None) -> DataF
     )
 
 
-def duplicate_members(df: DataFrame, content: Column, path: str, size: Column, min_size: int = 100) -> DataFrame:
+def duplicate_members(df: DataFrame, content: Column, path: str, size: Column, min_size: int = 0) -> DataFrame:
     """Rows (content_hash, path, copies, first_path) of every content held by more than one path.
 
     Members stay one row each, however many copies a content has; only the group's count is joined back.

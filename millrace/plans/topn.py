@@ -18,6 +18,11 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n:
     return kept.withColumn("_r", rank.over(whole)).where(F.col("_r") <= n).drop("_r", "_salt")
 
 
+def at_most(df: DataFrame, limit: int | None) -> DataFrame:
+    """The first rows of an ordered frame, or all of them."""
+    return df if limit is None else df.limit(limit)
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], latest: bool = False) -> DataFrame:
     """One row per key, the first (or latest) in order: an aggregate, combined before the shuffle."""
     rest = [c for c in df.columns if c not in keys]

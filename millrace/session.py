@@ -2,7 +2,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +16,8 @@ SETTINGS = {
 }
 
 
-def local_session(app: str = "millrace", cores: str = "8", memory: str = "8g") -> SparkSession:
-    """A session for tests and benchmarks on one machine; a cluster brings its own."""
+def local_session(scratch: str, app: str = "millrace", cores: str = "8", memory: str = "8g") -> SparkSession:
+    """A session for tests and benchmarks on one machine; a cluster brings its own. ``scratch`` is the caller's folder."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -26,7 +25,7 @@ def local_session(app: str = "millrace", cores: str = "8", memory: str = "8g") -
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", cores)
-        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="run-"))
+        .config("spark.checkpoint.dir", scratch)
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
@@ -36,32 +35,19 @@ def local_session(app: str = "millrace", cores: str = "8", memory: str = "8g") -
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the settings that change results (time zone) or protect against skew on a given session.
-
-    On one machine the default of 200 shuffle partitions would open 200 state stores per stream.
-    """
+    """Pin the settings that change results (time zone) or protect against skew on a given session."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
-    ctx = spark.sparkContext
-    if ctx.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
-        spark.conf.set("spark.sql.shuffle.partitions", str(max(8, ctx.defaultParallelism)))
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: what the cluster names in spark.checkpoint.dir.
 
-    Only where the setting is unset and the master is local (a test) does it fall back to a
-    fresh temporary folder.
+    Where that is unset it is a folder in the warehouse, which a cluster shares as well.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        ctx = spark.sparkContext
-        if not ctx.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="run-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

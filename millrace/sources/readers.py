@@ -8,7 +8,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from millrace.functions.ignore import IgnoreRule, ignored, read_rules
+from millrace.functions.ignore import Check, ignored, read_rules
 
 
 def read_ndjson(spark: SparkSession, path: str, schema: T.StructType | str | None = None, max_rows: int = 0) -> DataFrame:
@@ -124,7 +124,7 @@ SKIPPED_FOLDERS = (
 SKIPPED_FILES = ("*.egg-info", "*.pyc", "*.pyo", "*.log", "*.min.js", "*.min.css", "*.map")
 
 
-def scan_files(spark: SparkSession, root: str, rules: Sequence[IgnoreRule] = (), max_size: int = 1_000_000, hidden: bool = False) -> DataFrame:
+def scan_files(spark: SparkSession, root: str, rules: Sequence[Check] = (), max_size: int = 1_000_000, hidden: bool = False) -> DataFrame:
     """Files below a folder as (path relative to it, modificationTime, length, content).
 
     Empty and large files, hidden ones, skipped folders and ignored paths are left out before any content
@@ -143,7 +143,7 @@ def scan_files(spark: SparkSession, root: str, rules: Sequence[IgnoreRule] = (),
     return files.where(~bad & ~ignored(F.col("path"), all_rules))
 
 
-def read_text_corpus(spark: SparkSession, root: str, rules: Sequence[IgnoreRule] = (), max_size: int = 1_000_000) -> DataFrame:
+def read_text_corpus(spark: SparkSession, root: str, rules: Sequence[Check] = (), max_size: int = 1_000_000) -> DataFrame:
     """Text files as (path, size_bytes, text): decoded as UTF-8 without byte order mark, binary files left out."""
     files = scan_files(spark, root, rules, max_size)
     body = F.make_valid_utf8(F.col("content").cast("string"))

@@ -81,11 +81,10 @@ def retained(stream: DataFrame, at: str = "ts", keep: str = "1 hour") -> DataFra
 
 
 def route(stream: DataFrame, subscriptions: DataFrame, topic: str, pattern: str = "pattern") -> DataFrame:
-    """Stream-static join of events to subscribers by candidate patterns (an equi-join; broadcast when Spark measures the table small)."""
-    from millrace.operators.joins import pattern_candidates
+    """Stream-static join of events to subscribers by the shapes of their patterns (an equi-join)."""
+    from millrace.operators.joins import routed
 
-    wanted = stream.withColumn(pattern, F.explode(pattern_candidates(F.col(topic))))
-    return wanted.join(subscriptions, pattern)
+    return routed(stream, subscriptions, topic, pattern)
 
 
 def batch_deliveries(stream: DataFrame, root: str, size: int = 100, checkpoint: str | None = None) -> None:

@@ -10,8 +10,8 @@ DATA = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session("tests", "4", "4g")
+def spark(tmp_path_factory):
+    session = local_session(str(tmp_path_factory.mktemp("scratch")), "tests", "4", "4g")
     yield session
     session.stop()
 

@@ -126,3 +126,70 @@ def test_run_folders_and_upsert(spark):
     path = scratch_path(spark, "up")
     counts = K.upsert_by_key(spark.range(5).withColumn("v", F.lit(1)), spark.range(3, 8).withColumn("v", F.lit(2)), ["id"], path).first()
     assert tuple(counts) == (3, 2) and spark.read.parquet(path).where("v = 2").count() == 5
+
+
+def test_topics_meet_every_pattern_that_fits(spark):
+    import itertools
+
+    from millrace.functions.predicates import topic_matches
+    from millrace.operators import joins
+
+    topics = [".".join(p) for n in range(1, 5) for p in itertools.product("ab", repeat=n)] + ["a.b.c.d.e.f.g", "a.x.y.c", "a.", "a+b.c"]
+    patterns = [".".join(p) for n in range(1, 4) for p in itertools.product(("a", "b", "*", "**"), repeat=n)] + ["a.*.c.d.e.f.g", "**.c", "a.**.c", "a.*.**", "a+b.*", "x"]
+    events = spark.createDataFrame([(t,) for t in topics], "topic string")
+    subs = spark.createDataFrame([(p,) for p in patterns], "pattern string")
+    got = {(r.topic, r.pattern) for r in joins.match_subscriptions(events, subs, "topic", "pattern").collect()}
+    row = events.select("topic", *[topic_matches(events.topic, p).alias(str(i)) for i, p in enumerate(patterns)])
+    assert got == {(r.topic, p) for r in row.collect() for i, p in enumerate(patterns) if r[str(i)]}
+    assert joins.match_subscriptions(events, subs.limit(0), "topic", "pattern").count() == 0
+
+
+def test_upsert_keeps_every_key_once(spark):
+    from millrace.operators import joins
+
+    old = spark.createDataFrame([(1, "a", 0), (None, "n", 0), (3, "c", 0)], "k int, v string, t int")
+    new = spark.createDataFrame([(1, "b", 2), (1, "z", 1), (None, "m", 1), (4, "d", 1)], "k int, v string, t int")
+    got = {r.k: (r.v, r.status) for r in joins.merge_rows(old, new, ["k"], latest="t").collect()}
+    assert got == {1: ("b", "updated"), None: ("m", "updated"), 3: ("c", "kept"), 4: ("d", "created")}
+
+
+def test_promotions_leave_one_row_per_version(spark):
+    from millrace.operators import models
+
+    registry = spark.createDataFrame([("m", 1), ("m", 2), ("m", 3)], "model_name string, version int")
+    changes = spark.createDataFrame([("m", 1, "production", 1), ("m", 2, "production", 2), ("m", 2, "staging", 3)], "model_name string, version int, stage string, at int")
+    assert {r.version: r.stage for r in models.promote(registry, changes).collect()} == {1: "archived", 2: "staging", 3: "none"}
+
+
+def test_fuzzy_words_at_the_border_of_lengths(spark):
+    from millrace.operators import search
+
+    pairs = [("x" * 33, "x" * 60, 0.55), ("x" * 7, "x" * 10, 0.7), ("ab", "ab", 1.0)]
+    for word, other, threshold in pairs:
+        found = search.fuzzy_matches(spark.createDataFrame([(word,)], "word string"), spark.createDataFrame([(other,)], "candidate string"), threshold)
+        assert found.count() == 1
+
+
+def test_deep_trees_and_deep_files(spark):
+    import base64
+
+    from millrace.functions import values
+    from millrace.operators import reshape
+
+    chain = spark.createDataFrame([(i, i - 1 if i else None, i % 3) for i in range(80)], "id int, parent int, seq int")
+    assert {r.id: len(r.path) for r in reshape.preorder_paths(chain).collect()} == {i: i + 1 for i in range(80)}
+    text = '{"name": "f", "content": "%s"}' % base64.b64encode(b"x" * 60).decode()
+    for _ in range(14):
+        text = '{"in": %s}' % text
+    docs = spark.createDataFrame([(1, text)], "id int, t string").selectExpr("id", "parse_json(t) as doc")
+    assert [r.filename for r in values.embedded_files(docs, "doc", ["id"]).collect()] == ["f"]
+
+
+def test_long_lines_and_common_words_are_found(spark):
+    from millrace.operators import search
+
+    docs = spark.createDataFrame([(i, "needle " + "filler " * 900 if i == 0 else "common word") for i in range(1000)], "doc_id int, text string")
+    lines = search.text_lines(docs)
+    tokens = search.line_tokens(lines)
+    assert search.line_search(lines, tokens, "needle").count() == 1
+    assert search.line_search(lines, tokens, "common", limit=2000).count() == 999
