@@ -5,12 +5,12 @@ their shingles that many documents share (all their shingles if there is none);
 several. The token-group matrix holds, per group, the union of its tokens.
 
 A set can only be similar to a member of a group if enough of its tokens are in that group's union. The first bound uses a
-part of the tokens: order all tokens the same way, frequent ones last; two sets with similarity s share a token among the
-first n - ceil(s * n) + 1 of each. So the matrix is first kept for those tokens alone and joined with itself, which
-names the groups that a set may have to open, and it is a join on rare tokens. In a task that holds two groups, the full
-bound follows: sets with fewer than ceil(s * n) tokens in the other group's union leave, and only what remains is
-compared, as a product of two token matrices in slices of bounded size. Tasks return one row per set and
-component, never all pairs.
+part of the tokens: order all tokens the same way, frequent ones last; two sets A and B with similarity s then share at
+least k tokens among the first |A| - ceil(s * |A|) + k of A and the same of B, and their sizes differ by a factor of s at
+most. So the matrix is first kept for those tokens alone, with the sizes of the sets that show each, and joined with
+itself: a join on rare tokens, whose counts say which groups a set has to open. In a task that holds two groups the full bound
+follows: sets with fewer than ceil(s * n) tokens in the other group's union leave, and only what remains is compared, as
+a product of two token matrices in slices of bounded size. Tasks return one row per set and component, never all pairs.
 
 The order only decides how much work there is: it comes from a sample of the documents. Links are exact up to collisions
 of 64-bit shingle hashes.
@@ -35,6 +35,7 @@ BLOCK_TOKENS = 1 << 20
 SAMPLE_SHARE = 16
 FREQUENT_AT = 3
 MAX_FREQUENT = 1 << 18
+FILTER_BITS = 1 << 23
 CACHED_WORDS = 500_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -71,8 +72,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def least_common(n: int) -> int:
+    """Tokens that the prefixes of two similar sets share at least, both being of ``n`` tokens or more."""
+    return 1 + n // 32
+
+
 def prefix_length(n: int, similarity: int) -> int:
-    return n - -(-similarity * n // 100) + 1
+    return min(n, n - -(-similarity * n // 100) + least_common(n))
 
 
 def frequent_tokens(docs: DataFrame, text: str = "text", size: int = SHINGLE) -> np.ndarray:
@@ -124,24 +130,27 @@ def _within(tokens: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, tokens), len(table) - 1)] == tokens
 
 
-def group_pairs(sets: DataFrame, key: str) -> DataFrame:
-    """(key, g1, g2, g): the pairs of groups in whose comparison a set has to take part; g is its own, one of the two.
+def group_pairs(sets: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """(id, g1, g2, g): the pairs of groups in whose comparison a set has to take part; g is its own, one of the two.
 
-    ``sets`` has key, n_shingles, group and prefix. Sets without a token that another one shows leave at once. Groups
-    above a block are cut by a hash of the key.
+    ``sets`` has id, n_shingles, group and prefix. Sets without a token that another one shows leave at once. Groups
+    above a block are cut by a hash of the id.
     """
-    tokens = sets.select(key, F.explode("prefix").alias("token"))
+    tokens = sets.select("id", F.explode("prefix").alias("token"))
     held = tokens.groupBy("token").agg(F.count("*").alias("_n")).where("_n > 1").select("token")
     query = cut(tokens.join(held, "token", "left_semi"), "tokens")
-    part = sets.select(key, "n_shingles", "group").join(query.select(key).distinct(), key, "left_semi")
+    part = sets.select("id", "n_shingles", "group").join(query.select("id").distinct(), "id", "left_semi")
     sizes = part.groupBy("group").agg(F.count("*").alias("_sets"), F.sum("n_shingles").alias("_tokens"))
     cuts = F.greatest(F.ceil(F.col("_sets") / BLOCK_SETS), F.ceil(F.col("_tokens") / BLOCK_TOKENS))
     placed = part.join(sizes.select("group", cuts.alias("_cuts")), "group")
-    placed = cut(placed.select(key, F.xxhash64("group", F.pmod(F.xxhash64(key), F.col("_cuts"))).alias("g")), "groups")
-    query = query.join(placed, key)
-    matrix = query.groupBy("token", "g").agg(F.count("*").alias("n")).withColumnRenamed("g", "o")
-    met = query.join(matrix, "token").where((F.col("g") != F.col("o")) | (F.col("n") > 1))
-    return met.select(key, F.least("g", "o").alias("g1"), F.greatest("g", "o").alias("g2"), "g").distinct()
+    placed = cut(placed.select("id", F.col("n_shingles").alias("n"), F.xxhash64("group", F.pmod(F.xxhash64("id"), F.col("_cuts"))).alias("g")), "groups")
+    query = query.join(placed, "id")
+    matrix = query.groupBy("token", "g").agg(F.count("*").alias("shown"), F.min("n").alias("low"), F.max("n").alias("high")).withColumnRenamed("g", "o")
+    fits = (100 * F.col("high") >= similarity * F.col("n")) & (similarity * F.col("low") <= 100 * F.col("n"))
+    met = query.join(matrix, "token").where(fits & ((F.col("g") != F.col("o")) | (F.col("shown") > 1)))
+    met = met.groupBy("id", "g", "o", "n").agg(F.count("*").alias("common"))
+    least = 1 + F.floor(F.ceil(similarity * F.col("n") / 100) / 32)  # as least_common says of the smallest set that fits
+    return met.where(F.col("common") >= least).select("id", F.least("g", "o").alias("g1"), F.greatest("g", "o").alias("g2"), "g")
 
 
 def compare_groups(members: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
@@ -227,19 +236,33 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     paired = some.join(copies, F.col("print") == F.col("_print"))
     chosen = cut(paired.where("id = _first").select("id", "n_shingles", "group", "prefix", "print").dropDuplicates(["id", "print"]), "sets")
     same = some.select("id", "print").join(copies, F.col("print") == F.col("_print")).where("id <> _first")
-    opened = cut(group_pairs(chosen, "id"), "opened")
-    texts = own.join(opened.select("id").distinct(), "id", "left_semi")
-    members = opened.join(_token_sets(texts, size), "id").select("g1", "g2", "g", "id", "tokens")
+    opened = cut(group_pairs(chosen.select("id", "n_shingles", "group", "prefix"), similarity), "opened")
+    members = opened.join(_token_sets(own, opened, size), "id").select("g1", "g2", "g", "id", "tokens")
     links = compare_groups(members, similarity)
     found = connected_components(links.union(same.select("id", "_first")))
     out = rows.select("id", "n_shingles").join(found, "id", "left")
     return out.select(F.col("id").alias(key), "n_shingles", F.coalesce("component", "id").alias("component_id"))
 
 
-def _token_sets(texts: DataFrame, size: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(size)
-        for piece, found in slices(batches, "text"):
-            yield extended(piece.select(["id"]), tokens=pa.array([shingles(t).view(np.int64) for t in found], pa.list_(pa.int64())))
+def _token_sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(id, tokens) of the texts whose id is in ``wanted``, and of a few others.
 
-    return texts.mapInArrow(run, "id long, tokens array<long>")
+    A bitmap of ``FILTER_BITS`` hashed ids, a fixed size, keeps most other texts out of the join that follows; where it is
+    full it lets all pass and the join decides alone.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    bits = wanted.select(slot("id").alias("slot")).groupBy(F.floor(F.col("slot") / 32).alias("word"))
+    rows = bits.agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 32 as int))")).alias("bits")).toArrow()
+    words = np.zeros(FILTER_BITS // 32, np.uint32)
+    words[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().astype(np.uint32)
+    sent = texts.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, words = Shingler(size), sent.value
+        for batch in batches:
+            slots = batch.column("slot").to_numpy()
+            kept = batch.filter(pa.array((words[slots // 32] >> (slots % 32).astype(np.uint32) & 1) > 0))
+            for piece, found in slices([kept], "text"):
+                yield extended(piece.select(["id"]), tokens=pa.array([shingles(t).view(np.int64) for t in found], pa.list_(pa.int64())))
+
+    return texts.where("id is not null").select("id", "text", slot("id").alias("slot")).mapInArrow(run, "id long, tokens array<long>")
