@@ -183,6 +183,13 @@ def numstat(t):
     return C.parse_numstat(t.lineitem.select(kind.alias("line")))
 
 
+@family.add("c12_change_totals", """
+select sum(case when l_returnflag = 'R' then 0 else trunc(l_quantity) end)::bigint as insertions,
+  sum(case when l_returnflag = 'R' then 0 else l_linenumber end)::bigint as deletions, count(*) as changes from lineitem""")
+def _(spark, sf):
+    return C.change_totals(numstat(Tables(spark, sf)))
+
+
 @family.add("a09_most_changed", "select 'f' || l_partkey as path, count(*) as changes from lineitem group by 1 order by changes desc, path limit 50")
 def _(spark, sf):
     return C.most_changed(numstat(Tables(spark, sf)), limit=50)

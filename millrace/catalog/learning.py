@@ -71,6 +71,16 @@ def _(spark, sf):
         F.round(cls.select("accuracy").scalar(), 6).alias("accuracy"), F.round(cls.select("f1").scalar(), 6).alias("f1"), F.round(auc.scalar(), 6).alias("auc"))
 
 
+@family.add("m05_one_vs_rest", """
+with g as (select l_returnflag as y, unnest(['A', 'N', 'R']) as cls, unnest([l_quantity, l_discount, l_tax]) as s from lineitem),
+r as (select cls, y = cls as b, rank() over (partition by cls order by s) + (count(*) over (partition by cls, s) - 1) / 2.0 as rk from g),
+a as (select cls, (sum(rk) filter (b) - count(*) filter (b) * (count(*) filter (b) + 1) / 2.0) / (count(*) filter (b)::double * count(*) filter (not b)) as auc from r group by cls)
+select round(avg(auc), 6)::double as auc from a""")
+def _(spark, sf):
+    scores = {"A": "l_quantity", "N": "l_discount", "R": "l_tax"}
+    return M.one_vs_rest_auc(Tables(spark, sf).lineitem, "l_returnflag", scores).select(F.round("auc", 6).alias("auc"))
+
+
 @family.add("m06_feature_importance")
 def _(spark, sf):
     rows = line_rows(Tables(spark, sf)).withColumnRenamed("price", "label")

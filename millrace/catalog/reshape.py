@@ -175,3 +175,11 @@ select event_id, '{"specversion":"1.0","type":"shop.' || event_type || '","sourc
 def _(spark, sf):
     return Tables(spark, sf).events.select("event_id", R.event_envelope(
         F.concat(F.lit("shop."), "event_type"), F.lit("web"), F.col("event_id").cast("string"), F.col("ts"), F.struct("user_id")).alias("body"))
+
+
+@family.add("p06_map_keys", """
+select doc_id, array_to_string(list_sort(list_filter([lang, source, 'n'], lambda k: k <> 'en' and not regexp_matches(k, '^(src1|fr)'))), ',') as keys from documents""")
+def _(spark, sf):
+    pairs = F.create_map("lang", F.lit(1), "source", F.lit(2), F.lit("n"), F.lit(3))
+    kept = R.filter_map_keys(pairs, ["en"], ["src1", "fr"])
+    return Tables(spark, sf).documents.select("doc_id", F.array_join(F.sort_array(F.map_keys(kept)), ",").alias("keys"))

@@ -250,6 +250,11 @@ def _(spark, sf):
     return out.withColumn("avg_matches_per_token", F.round("avg_matches_per_token", 6))
 
 
+@family.add("i13_file_terms", f"with {LINES} select distinct doc_id, token from tk")
+def _(spark, sf):
+    return I.file_terms(tokens_of(Tables(spark, sf)))
+
+
 @family.add("i14_metadata_search", """
 select o_orderkey as model_id, o_totalprice as score from orders where o_orderpriority = '3-MEDIUM' and o_orderstatus = 'F' and contains('m' || o_custkey, '7') order by o_totalprice desc, o_orderkey limit 20""")
 def _(spark, sf):

@@ -348,9 +348,6 @@ def recommendations(means: DataFrame, pool_size: int = 10, batch_size: int = 100
     return means.withColumn("_e", F.explode(items)).select("*", "_e.*").drop("_e")
 
 
-def newest_points(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, tie: str) -> DataFrame:
-    return top_per_key(df, keys, order, n, [tie])
-
 
 def delivery_report(log: DataFrame, keys: Sequence[str], success: Column, latency: str, retries: Column) -> DataFrame:
     """Deliveries, success rate, retries and latency figures per key."""

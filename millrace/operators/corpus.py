@@ -465,7 +465,3 @@ def corpus_summary(files: DataFrame, path: str = "path", text: str = "text", siz
         names("frameworks").alias("frameworks"), names("build").alias("build_systems"), names("ci").alias("ci_systems"),
         F.min_by("license", F.when(F.col("license").isNotNull(), F.col("path"))).alias("license"),
     ).withColumn("primary_language", primary)
-
-
-def numbered_targets(targets: DataFrame, file: str, kind: str, position: str, chunk: Column) -> DataFrame:
-    return numbered(targets, [file, kind], [position], chunk, "number")

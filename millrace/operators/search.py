@@ -143,10 +143,6 @@ def upsert_documents(postings: DataFrame, docs: DataFrame, key: str = "id") -> D
     return remove_documents(postings, docs, key).unionByName(build_postings(docs, key).select(*postings.columns))
 
 
-def write_postings(postings: DataFrame, table: str, buckets: int = 64) -> None:
-    """Postings as a table bucketed and sorted by term, so that a search reads the buckets of its terms."""
-    postings.write.bucketBy(buckets, "term").sortBy("term").mode("overwrite").saveAsTable(table)
-
 
 # --- line index ---------------------------------------------------------------------------------------
 
@@ -322,8 +318,9 @@ def index_statistics(matches: DataFrame, documents: DataFrame, symbol_rows: Data
     return out.withColumns({"total_documents": docs, "total_symbols": syms, "avg_matches_per_token": F.coalesce(F.try_divide("total_matches", "total_tokens"), F.lit(0.0))})
 
 
-def file_terms(matches: DataFrame, key: str, value) -> DataFrame:
-    return matches.where(F.col(key) == F.lit(value)).select("token").distinct()
+def file_terms(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows (key, token): the distinct tokens of every file."""
+    return tokens.select(key, "token").distinct()
 
 
 def metadata_search(docs: DataFrame, query: str | None, searchable: Sequence[str], filters: Mapping[str, object], filterable: Sequence[str],
@@ -348,9 +345,6 @@ def metadata_search(docs: DataFrame, query: str | None, searchable: Sequence[str
     return sorted_page(docs, list(sort), page, per_page)
 
 
-def latest_documents(changes: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    return first_per_key(changes, [key], list(order), latest=True)
-
 
 def export_documents(docs: DataFrame) -> DataFrame:
     """Documents for a client-side index: content to 1000 characters, an excerpt of 300, five headings."""
