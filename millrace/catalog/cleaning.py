@@ -185,6 +185,17 @@ def _(spark, sf):
     return E.clean(dirty(Tables(spark, sf)), E.CleanConfig(missing="mean", normalisation="minmax", skip=("id",)))
 
 
+@family.add("e17_engineer_selected", """
+with s as (select l_orderkey * 10 + l_linenumber as row_id, l_extendedprice as y, l_quantity as q, l_discount as d from lineitem),
+m as (select avg(q) as mq, stddev_pop(q) as sq, avg(d) as md, stddev_pop(d) as sd from s)
+select row_id, round((q - mq) / sq, 6) + 0.0 as l_quantity, round((q - mq) / sq * (d - md) / sd, 6) + 0.0 as quantity_discount from s, m""")
+def _(spark, sf):
+    lines = Tables(spark, sf).lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"), "l_extendedprice", "l_quantity", "l_discount")
+    out = G.engineer(lines, "l_extendedprice", "regression", {}, ["l_quantity", "l_discount"], least_information=0.0)
+    rounded = lambda c: F.round(c, 6) + F.lit(0.0)
+    return out.select("row_id", rounded("l_quantity").alias("l_quantity"), rounded("l_quantity__x__l_discount").alias("quantity_discount"))
+
+
 @family.add("e17_engineer_all")
 def _(spark, sf):
     lines = Tables(spark, sf).lineitem.withColumn("row_id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))

@@ -208,11 +208,11 @@ def _(spark, sf):
 
 
 def markdown_pages(t):
-    first = F.regexp_replace(F.split("text", "\n")[0], r"[`{}$<>|]", "")
+    prose = F.regexp_replace("text", r"[^\p{L}\p{N} ,.]", " ")  # the whole text, without marks of its own
     name = F.col("doc_id").cast("string")
     body = F.concat(
         F.when(F.col("lang") == "en", F.concat(F.lit('---\ntitle: "Page '), name, F.lit('"\ntags: x\n---\n'))).otherwise(""),
-        F.lit("# Top "), name, F.lit("\n"), first, F.lit("\n(sec-"), name, F.lit(")=\n## Part one\n```{figure} a.png\n:name: fig-"), name, F.lit("a\n```\n```{figure} b.png\n:name: fig-"), name,
+        F.lit("# Top "), name, F.lit("\n"), prose, F.lit("\n(sec-"), name, F.lit(")=\n## Part one\n```{figure} a.png\n:name: fig-"), name, F.lit("a\n```\n```{figure} b.png\n:name: fig-"), name,
         F.lit("b\n```\n$$\nx=1\n$$ (eq-"), name, F.lit(")\nSee {ref}`fig-"), name, F.lit("b` and {cite}`k"), name, F.lit("` with {term}`the plan <Plan>` or {term}`ghost`.\n"))
     return t.documents.select("doc_id", "lang", body.alias("text"))
 
@@ -268,13 +268,16 @@ def _(spark, sf):
     return rows.select("p_partkey", "cite_key", C.citation_text("apa").alias("apa"), C.citation_text("chicago").alias("chicago"))
 
 
-@family.add("c18_corpus_summary", """
-with f as (select *, octet_length(encode(text)) as size from documents)
-select count(*) as files, sum(size)::bigint as bytes, (select count(distinct case source when 'src0' then 1 when 'src1' then 2 else 3 end) from f)::bigint as languages, 'python' as primary_language, 'make' as build_systems from f""")
+@family.add("c18_corpus_summary", f"""
+with f as (select *, octet_length(encode(text)) as size, case source when 'src0' then 'Makefile' when 'src1' then 'notes.md' when 'src2' then 'Settings.py' else 'a.py' end as name from documents),
+i as (select * from (values {', '.join(f"('{n}', '{w.lower()}')" for n, ws in lookups.FRAMEWORK_WORDS.items() for w in ws)}) v(framework, word)),
+h as (select distinct framework from f, i where contains(lower(name), word) or (name like '%.py' and contains(lower(text), word)))
+select count(*) as files, sum(size)::bigint as bytes, (select count(distinct case name when 'Makefile' then 1 when 'notes.md' then 2 else 3 end) from f)::bigint as languages,
+  'python' as primary_language, 'make' as build_systems, (select string_agg(framework, ',' order by framework) from h) as frameworks from f""")
 def _(spark, sf):
-    path = F.when(F.col("source") == "src0", "Makefile").when(F.col("source") == "src1", "notes.md").otherwise("a.py")
+    path = F.when(F.col("source") == "src0", "Makefile").when(F.col("source") == "src1", "notes.md").when(F.col("source") == "src2", "Settings.py").otherwise("a.py")
     files = Tables(spark, sf).documents.select(path.alias("path"), "text", F.octet_length("text").cast("bigint").alias("size_bytes"))
-    return C.corpus_summary(files).select("files", "bytes", "languages", "primary_language", "build_systems")
+    return C.corpus_summary(files).select("files", "bytes", "languages", "primary_language", "build_systems", "frameworks")
 
 
 @family.add("c19_find_by_name", """

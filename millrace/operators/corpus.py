@@ -449,19 +449,31 @@ def citation_text(style: str = "apa") -> Column:
     return F.when(in_journal, F.concat(base, F.lit(" *"), "journal", F.lit("*."))).otherwise(base)
 
 
+# Languages whose files are searched for framework words.
+FRAMEWORK_LANGUAGES = ("python", "javascript", "typescript", "rust", "go")
+
+
 def corpus_summary(files: DataFrame, path: str = "path", text: str = "text", size: str = "size_bytes") -> DataFrame:
     """One row: files, bytes, languages, primary language, frameworks, build and CI systems, license."""
     p = F.col(path)
+    language = lookups.language_of(p)
+    by_name = lookups.indicators_in(lookups.file_name(p), lookups.FRAMEWORK_WORDS)
+    by_text = F.when(language.isin(*FRAMEWORK_LANGUAGES), lookups.indicators_in(F.col(text), lookups.FRAMEWORK_WORDS))
     facts = files.select(
-        lookups.language_of(p).alias("language"), F.col(size).alias("size"), lookups.build_systems(p).alias("build"), lookups.ci_systems(p).alias("ci"),
-        F.when(F.col(size) > 100, lookups.indicators_in(F.col(text), lookups.FRAMEWORK_WORDS)).alias("frameworks"),
+        language.alias("language"), F.col(size).alias("size"), lookups.build_systems(p).alias("build"), lookups.ci_systems(p).alias("ci"),
+        F.array_union(by_name, F.coalesce(by_text, F.array().cast("array<string>"))).alias("frameworks"),
         F.when(F.upper(lookups.file_name(p)).isin("LICENSE", "LICENSE.TXT", "LICENSE.MD", "COPYING"), license_of(F.col(text))).alias("license"), p.alias("path"),
     )
-    names = lambda c: F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))), ",")  # noqa: E731 - each set holds a few names
+
+    def names(column: str, known: Mapping[str, Sequence[str]]) -> Column:
+        """The known names that any file shows: one flag each, so that nothing is collected."""
+        return F.array_join(F.array_compact(F.array(*[F.when(F.bool_or(F.array_contains(column, n)), F.lit(n)) for n in sorted(known)])), ",")
+
     per_language = facts.where("language <> 'unknown'").groupBy("language").agg(F.sum("size").alias("b"))
     primary = per_language.agg(F.min_by("language", F.struct(-F.col("b"), F.col("language"))).alias("l")).scalar()
     return facts.agg(
         F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"), F.count_distinct(F.when(F.col("language") != "unknown", F.col("language"))).alias("languages"),
-        names("frameworks").alias("frameworks"), names("build").alias("build_systems"), names("ci").alias("ci_systems"),
+        names("frameworks", lookups.FRAMEWORK_WORDS).alias("frameworks"), names("build", lookups.BUILD_SYSTEM_FILES).alias("build_systems"),
+        names("ci", lookups.CI_FRAGMENTS).alias("ci_systems"),
         F.min_by("license", F.when(F.col("license").isNotNull(), F.col("path"))).alias("license"),
     ).withColumn("primary_language", primary)

@@ -237,25 +237,27 @@ def mutual_information(df: DataFrame, columns: Sequence[str], target: str, bins:
 
 
 def select_by_information(df: DataFrame, columns: Sequence[str], target: str, threshold: float = 0.0, top: int | None = None) -> list[str]:
-    scores = mutual_information(df, columns, target).where(F.col("mi") > threshold)
+    scores = mutual_information(df, columns, target).where(F.col("mi") >= threshold)
     return [r["column"] for r in (scores.limit(top) if top else scores).collect()]
 
 
 def engineer(
-    df: DataFrame, target: str, problem: str, categorical: Mapping[str, str], numeric: Sequence[str],
-    scaler: str = "standard", max_pairs: int = 3, sequence: str = "row_id",
+    df: DataFrame, target: str, problem: str, categorical: Mapping[str, str], numeric: Sequence[str], scaler: str = "standard",
+    max_pairs: int = 3, sequence: str = "row_id", high_cardinality: int = 10, least_information: float | None = None, top: int | None = None,
 ) -> DataFrame:
-    """Fixed order: dates, categorical encodings, interactions, scaling, near-constant columns dropped.
+    """Fixed order: dates, categorical encodings, scaling of all numeric columns that are there then, interactions of the
+    scaled ones, near-constant columns dropped, selection by mutual information.
 
-    ``categorical`` maps a column to onehot, frequency, target or ordinal; one-hot falls back to
-    frequency beyond 10 levels.
+    ``categorical`` maps a column to onehot, frequency, target or ordinal; one-hot becomes frequency beyond
+    ``high_cardinality`` levels. Selection happens if ``least_information`` is given and keeps at most ``top`` features; a
+    numeric target counts by 16 equal-width bins there.
     """
     df = datetime_features(df)
     dates = [c for c in df.columns if "__dt_" in c]
     made: list[str] = []
     for col, how in categorical.items():
         before = set(df.columns)
-        levels = category_levels(df, col) if how == "onehot" else None
+        levels = category_levels(df, col, high_cardinality) if how == "onehot" else None
         if how == "onehot" and levels is not None:
             df = one_hot(df, col, levels, dummy_na=True)
         elif how in ("onehot", "frequency"):
@@ -266,7 +268,17 @@ def engineer(
             df = ordinal_encode(df, col, sequence)
         made += [c for c in df.columns if c not in before]
         df = df.drop(col)
-    df = interactions(df, numeric, max_pairs)
-    crossed = [c for c in df.columns if "__x__" in c]
-    df = scale(df, [*numeric, *crossed], scaler)
-    return drop_near_constant(df, [*numeric, *dates, *made, *crossed])
+    features = [*numeric, *dates, *made]
+    df = interactions(scale(df, features, scaler), features, max_pairs)
+    features += [c for c in df.columns if "__x__" in c]
+    df = drop_near_constant(df, features)
+    if least_information is None:
+        return df
+    features = [c for c in features if c in df.columns]
+    told = df
+    if problem != "classification":
+        ends = one_row(df.agg(F.min(target).alias("low"), F.max(target).alias("high")))
+        share = F.try_divide(F.col(target) - ends["low"], ends["high"] - ends["low"])
+        told = df.withColumn(target, F.least(F.floor(F.coalesce(share, F.lit(0.0)) * 16), F.lit(15)))
+    kept = set(select_by_information(told, features, target, least_information, top))
+    return df.drop(*[c for c in features if c not in kept])
