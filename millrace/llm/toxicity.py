@@ -11,11 +11,13 @@ classes the model scores 0 everywhere. The fit uses at most ``train_rows`` label
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from millrace.llm.batches import extended, slices
@@ -150,12 +152,12 @@ def train(texts: Sequence[str], labels: Sequence[int], epochs: int = 70, rate: f
     sparse. Features of fewer than ``least_docs`` documents are left out.
     """
     vocabulary: dict[str, int] = {}
-    flat, lengths, bags = [], [], []
+    flat, lengths, bags = array("i"), [], []
     for text in texts:
         low, n = text or "", 0
         for a, b in sentences(low):
             words = set(WORD.findall(low[a:b].lower()))
-            flat += [vocabulary.setdefault(w, len(vocabulary)) for w in sorted(words)]
+            flat.extend([vocabulary.setdefault(w, len(vocabulary)) for w in sorted(words)])
             lengths.append(len(words))
             n += 1
         bags.append(n)
@@ -163,30 +165,28 @@ def train(texts: Sequence[str], labels: Sequence[int], epochs: int = 70, rate: f
     bags = np.array([n for n in bags if n], int)
     if not len(y) or y.all() or not y.any():
         return Model({n: {} for n in (0, *STEMS)}, -30.0)
-    words = list(vocabulary)
-    width = len(STEMS) + 1
-    numbers: dict[tuple[int, str], int] = {}
-    for w in words:
-        for f in word_features(w):
-            numbers.setdefault(f, len(numbers))
-    none = len(numbers)
-    features = np.full((len(words), width), none, np.int64)
-    for k, w in enumerate(words):
-        own = [numbers[f] for f in word_features(w)]
-        features[k, : len(own)] = own
-    flat, lengths = np.array(flat), np.array(lengths)
-    owner = np.repeat(np.repeat(np.arange(len(bags)), bags), lengths)
-    seen = np.unique(owner * len(words) + flat)
-    pairs = np.unique((features[seen % len(words)] + (seen // len(words))[:, None] * (none + 1)).ravel())
-    rare = np.bincount(pairs % (none + 1), minlength=none + 1) < least_docs
-    features[rare[features]] = none
-    telling = (features < none).any(1)
+    words, width = list(vocabulary), len(STEMS) + 1
+    codes = np.zeros((len(words), width), np.uint64)  # 0 stands for no feature
+    for k, word in enumerate(words):
+        for j, (n, stem) in enumerate(word_features(word)):
+            codes[k, j] = xxhash.xxh64_intdigest(stem.encode("utf-8", "surrogatepass"), n) | 1
+    kinds, features = np.unique(np.append(codes.ravel(), np.uint64(0)), return_inverse=True)
+    features, size = features[:-1].reshape(codes.shape), len(kinds)
+    del codes, kinds
+    features = features.astype(np.int32)
+    flat, lengths = np.frombuffer(flat, np.int32), np.array(lengths)
+    shown = np.zeros(size, np.int32)
+    ends = np.cumsum(lengths)[np.cumsum(bags) - 1]
+    for a, b in zip([0, *ends[:-1]], ends):
+        shown[np.unique(features[flat[a:b]])] += 1
+    features[(shown < least_docs)[features]] = 0
+    telling = (features > 0).any(1)
     lengths = np.add.reduceat(telling[flat].astype(np.int64), np.concatenate([[0], np.cumsum(lengths)[:-1]]))
-    flat = (np.cumsum(telling) - 1)[flat[telling[flat]]]
-    features = features[telling]
-    line = np.repeat(np.arange(len(lengths)), lengths)
+    flat = (np.cumsum(telling, dtype=np.int32) - 1)[flat[telling[flat]]]
+    features, words = features[telling], [w for w, t in zip(words, telling) if t]
+    line = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
     bag_starts = np.concatenate([[0], np.cumsum(bags)[:-1]])
-    w, bias = np.zeros(none + 1), prior
+    w, bias = np.zeros(size), prior
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     balance = np.where(y, 0.5 / y.mean(), 0.5 / (1 - y.mean())) ** 0.5
     for step in range(1, epochs + 1):
@@ -198,20 +198,21 @@ def train(texts: Sequence[str], labels: Sequence[int], epochs: int = 70, rate: f
         pull = np.where(y, -clear / np.maximum(1 - clear, 1e-9), 1.0) * balance / len(y)
         g = np.repeat(pull, bags) * p
         by_word = np.bincount(flat, g[line], len(features))
-        grad = np.bincount(features.ravel(), np.repeat(by_word, width), none + 1) + decay
-        grad[none] = 0
+        grad = np.bincount(features.ravel(), np.repeat(by_word, width), size) + decay
+        grad[0] = 0
         m = 0.9 * m + 0.1 * grad
         v = 0.99 * v + 0.01 * grad * grad
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
         np.maximum(w, 0, out=w)
-        w[none] = 0
+        w[0] = 0
         gb = g.sum()
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         bias -= 0.05 * (mb / (1 - 0.9**step)) / (np.sqrt(vb / (1 - 0.99**step)) + 1e-9)
     weights: dict[int, dict[str, float]] = {n: {} for n in (0, *STEMS)}
-    for (n, stem), k in numbers.items():
-        if w[k] > 1e-3:
-            weights[n][stem] = float(w[k])
+    for word, own in zip(words, features):
+        for (n, stem), f in zip(word_features(word), own):
+            if w[f] > 1e-3:
+                weights[n][stem] = float(w[f])
     return Model(weights, float(bias))
 
 
