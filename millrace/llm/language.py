@@ -19,14 +19,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from millrace.llm.batches import extended, slices
 from millrace.session import cut
 
 ORDER = 4
 SPACE = 32
-MAX_GRAMS = 1 << 18
 CALIBRATION_ROWS = 4000
 REJECT = 0.5
 UNKNOWN = "und"
@@ -145,25 +144,21 @@ def _evidence(entropies: np.ndarray) -> np.ndarray:
     return margin - np.maximum(0.0, ordered[:, 0] - 3.5)
 
 
-def build(counts: DataFrame, max_grams: int = MAX_GRAMS) -> Model | None:
-    """A model from ``count_grams``. Per language the ``max_grams`` most frequent n-grams (smaller key on ties) enter the
-    arrays and the others are left to back-off, which bounds what is sent to every task; counts cover all rows."""
-    totals = counts.groupBy("lang").agg(F.count("*").alias("kinds"))
-    floor = counts.groupBy("lang", "n").agg(F.count("*").alias("kinds"))
-    upto = W.partitionBy("lang").orderBy(F.col("n").desc()).rowsBetween(W.unboundedPreceding, 0)
-    least = floor.withColumn("held", F.sum("kinds").over(upto)).where(F.col("held") <= max_grams).groupBy("lang").agg(F.min("n").alias("least"))
-    bound = totals.join(least, "lang", "left").select("lang", F.coalesce("least", F.lit(1 << 62)).alias("least"))
-    rows = counts.join(bound, "lang").where("n >= least").select("lang", "gram", "n").toArrow()
-    names = sorted(set(rows.column("lang").to_pylist()))
+def build(counts: DataFrame) -> Model | None:
+    """A model from ``count_grams``, of every n-gram that was counted: discounts, continuation counts and the alphabet
+    come from all of them, and the arrays that are sent to the tasks grow with the kinds of n-grams of the corpus."""
+    names = sorted(r.lang for r in counts.select("lang").distinct().collect())
     if not names:
         return None
-    lang = rows.column("lang").to_numpy(zero_copy_only=False)
-    gram, n = rows.column("gram").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+    place = F.array_position(F.array(*[F.lit(name) for name in names]), F.col("lang")).cast("int")  # no name beside every key
+    rows = counts.select(place.alias("place"), "gram", "n").toArrow()
+    lang, gram, n = (rows.column(c).to_numpy() for c in ("place", "gram", "n"))
+    gram = gram.view(np.uint64)
     per = []
-    for name in names:
-        own = lang == name
-        order = np.argsort(gram[own])
-        per.append((gram[own][order], n[own][order].astype(np.float64)))
+    for j in range(len(names)):
+        own = np.flatnonzero(lang == j + 1)
+        own = own[np.argsort(gram[own])]
+        per.append((gram[own], n[own].astype(np.float64)))
     return _kneser_ney(names, per)
 
 
@@ -243,11 +238,11 @@ def _table(model: Model, found: np.ndarray, truth: np.ndarray, steps: int = 64)
     return model
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", max_grams: int = MAX_GRAMS, calibration_rows: int = CALIBRATION_ROWS) -> Model | None:
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", calibration_rows: int = CALIBRATION_ROWS) -> Model | None:
     """Counts over all rows with a language; the score table from at most ``calibration_rows`` of them."""
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = cut(count_grams(known, text, lang), "grams")
-    model = build(counts, max_grams)
+    model = build(counts)
     if model is None:
         return None
     total = known.count()

@@ -1,5 +1,6 @@
 """Quality, toxicity, language and mixing: hand-made cases, brute force and awkward inputs."""
 import collections
+import math
 import re
 import zlib
 
@@ -116,6 +117,15 @@ def test_kneser_ney_probabilities_sum_to_one(frame):
         assert p.sum() <= 1 + 1e-5 and p.sum() > 0.7  # the rest is kept for characters never seen
 
 
+def test_language_model_keeps_every_gram(spark):
+    """300 000 n-grams of one language, three in four of them seen once: all are held and set the discount."""
+    counts = spark.range(300_000).selectExpr("'xx' lang", "id gram", "if(id % 4 = 0, 2L, 1L) n")
+    model = language.build(counts)
+    assert [len(k) for k in model.keys[::-1]] == [300_000] * 2 + [300_000, 65_536]
+    discount = 225_000 / (225_000 + 2 * 75_000)
+    assert abs(model.backoff[-1][0, 0] - math.log(discount * 65_536 / (65_536 * 1.25))) < 1e-6
+
+
 def test_language_of_awkward_rows(frame):
     docs = frame(DOCS, ODD)
     for model in (language.learn(docs), language.learn(frame(DOCS, []))):
