@@ -104,6 +104,22 @@ def brute_links(rows, least=0.9):
     return {i: (links[i], sets.root(i)) for i, _ in rows}
 
 
+def test_audit_sees_small_families_beside_a_hot_one(spark):
+    """A graph that reaches only the hot family: most pairs are found, but every small family would be lost."""
+    rng = np.random.default_rng(3)
+    near = lambda k, n: embeddings._unit(np.repeat(rng.normal(size=(k, 16)), n, axis=0) + 0.02 * rng.normal(size=(k * n, 16)))
+    all_rows = np.concatenate([near(1, 400), near(50, 2)])
+    schema = "id long, copies long, embedding array<float>, dim int, shard long, block long"
+    dealt = spark.createDataFrame([(i, 1, v.tolist(), 16, 0, 0) for i, v in enumerate(all_rows)], schema)
+    built = embeddings.build_shards(dealt.drop("block"))
+    row = built.first()
+    base = np.frombuffer(row.layers[0], np.int32).reshape(len(all_rows), -1).copy()
+    base[400:], base[base >= 400] = -1, -1
+    cut_off = spark.createDataFrame([(16, 0, bytes(row.ids), bytes(row.copies), bytes(row.vectors), [base.tobytes()], 0)], built.schema)
+    links = {r.id: r.links for r in embeddings.query_shards(dealt, cut_off).where("links > 0").collect()}
+    assert all(links.get(i, 0) >= 1 for i in range(400, 500)) and all(links[i] == 399 for i in range(400))
+
+
 def test_embeddings_against_brute_force(frame):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(30, 16))
