@@ -9,8 +9,9 @@ pages that show each. With m the pages that hold a path,
 * a branch with l styles is worth (1 - g^l) * presentation importance + g^l * mean content importance below it.
 
 Branches below ``THRESHOLD`` are removed from each page. Elements that say what they are go first: navigation, headers,
-footers, asides, forms, scripts, adverts, notices and comments are worth nothing, and where a page marks its article,
-that is its main text whatever other pages repeat.
+footers, asides, forms, scripts, adverts, notices and comments are worth nothing. Where a page marks its article, only
+marked blocks are its main text, and the mark is a prior: a block of the article goes if its own branch is below the
+threshold after ``PRIOR`` showings worth 1 have been added to those the tree has seen.
 
 Inline elements belong to the block around them; character references are decoded, white space inside a block becomes
 one space, blocks are joined by a line feed. Null and empty pages give an empty text. Unclosed and misnested tags are
@@ -31,6 +32,7 @@ from millrace.session import cut
 
 DAMPING = 0.9
 THRESHOLD = 0.3
+PRIOR = 2
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
@@ -173,7 +175,7 @@ def _style(children: list[str]) -> str:
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, pages, importance) of every branch, from parsed pages with a ``host``.
+    """(host, path, pages, shown, importance) of every branch (``shown``: leaf texts below it), from parsed pages with a ``host``.
 
     Counts are partial sums before every shuffle; a leaf adds to each branch above it through its path's prefixes.
     """
@@ -195,11 +197,11 @@ def style_tree(pages: DataFrame) -> DataFrame:
     above = content.withColumn("_steps", steps).select(
         "host", "n", "worth", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("_steps"), F.lit(1))), lambda k: F.concat(F.lit("/"), F.array_join(F.slice("_steps", F.lit(1), k), "/")))).alias("path")
     )
-    below = above.groupBy("host", "path").agg((F.sum("worth") / F.sum("n")).alias("content"))
+    below = above.groupBy("host", "path").agg((F.sum("worth") / F.sum("n")).alias("content"), F.sum("n").alias("shown"))
     tree = below.join(per_style, ["host", "path"], "left")
     damp = F.pow(F.lit(DAMPING), F.coalesce("l", F.lit(0)))
     worth = (1 - damp) * F.coalesce("presentation", F.lit(0.0)) + damp * F.col("content")
-    return tree.select("host", "path", "pages", worth.alias("importance"))
+    return tree.select("host", "path", "pages", "shown", worth.alias("importance"))
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", threshold: float = THRESHOLD) -> DataFrame:
@@ -208,10 +210,14 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", threshold: f
     row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")
     source = pages.select(row, F.col(html).alias("html"), host(F.col(url)).alias("host"))
     rows = cut(parse(source, "html"), "dom")
-    low = style_tree(rows).where(F.col("importance") < threshold).groupBy("host").agg(F.collect_list("path").alias("low"))
+    held = (F.col("importance") * F.col("shown") + PRIOR) / (F.col("shown") + PRIOR)
+    low = style_tree(rows).where(F.col("importance") < threshold).groupBy("host").agg(
+        F.collect_list("path").alias("low"), F.collect_list(F.when(held < threshold, F.col("path"))).alias("low_marked")
+    )
     joined = rows.drop("styles").join(cut(low, "branches"), "host", "left")
     marked = F.exists("blocks", lambda b: b["role"] == 1)
-    paths = F.coalesce("low", F.array().cast("array<string>"))
+    paths, own = (F.coalesce(c, F.array().cast("array<string>")) for c in ("low", "low_marked"))
     removed = lambda b: F.exists(paths, lambda p: F.startswith(F.concat(b["path"], F.lit("/")), F.concat(p, F.lit("/"))))
-    chosen = F.when(marked, F.filter("blocks", lambda b: b["role"] == 1)).otherwise(F.filter("blocks", lambda b: (b["role"] == 0) & ~removed(b)))
+    article = F.filter("blocks", lambda b: (b["role"] == 1) & ~F.array_contains(own, b["path"]))
+    chosen = F.when(marked, article).otherwise(F.filter("blocks", lambda b: (b["role"] == 0) & ~removed(b)))
     return joined.select("row.*", F.array_join(F.transform(chosen, lambda b: b["text"]), "\n").alias("text"))

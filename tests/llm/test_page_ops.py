@@ -42,6 +42,13 @@ def test_style_tree_removes_what_a_host_repeats(frame):
     assert tree["/body/div.x"] < site_tree.THRESHOLD < tree["/body/div.y"]
 
 
+def test_style_tree_judges_marked_articles(frame):
+    """A share line inside every article goes; two pages with one article are too few to doubt the mark."""
+    htmls = [f"<body><article><div class=x>Send this to a friend</div><p>Story {i} is told here</p></article></body>" for i in range(8)]
+    assert texts(site_tree.extract(pages(frame, htmls))) == {i: f"Story {i} is told here" for i in range(8)}
+    assert set(texts(site_tree.extract(pages(frame, ["<article><p>Same story</p></article>"] * 2))).values()) == {"Same story"}
+
+
 def test_importance_by_hand(frame):
     """Four pages: a leaf with one text on all of them, one with a text on two and two unique ones."""
     htmls = [f"<body><p>all</p><h2>{t}</h2></body>" for t in ("two", "two", "c", "d")]
