@@ -15,16 +15,16 @@ LN = "case when text = '' then [] else string_split(regexp_replace(text, '\\n\\z
 @family.add("c01_scan_files", """
 select lang || '/' || source as folder, sum(n_chars)::bigint as chars, count(*) as docs from documents group by 1""")
 def _(spark, sf):
-    # The corpus is written out as text files first, one folder per language and source.
+    # The corpus is written out as text files first, a document per line, one folder per language and source.
     root = scratch_path(spark, "corpus")
-    one_line = F.concat_ws("\t", "doc_id", F.length("text"))
+    one_line = F.to_json(F.struct("doc_id", "text"))
     t = Tables(spark, sf)
-    t.documents.select("lang", "source", one_line.alias("value")).write.partitionBy("lang", "source").text(root)
+    t.documents.select("lang", "source", one_line.alias("value")).write.option("maxRecordsPerFile", 10_000).partitionBy("lang", "source").text(root)
     files = C.describe_files(readers.scan_files(spark, root))
     assert {"language", "content_hash"} <= set(files.columns)
     bodies = readers.read_text_corpus(spark, root).select(F.regexp_extract("path", "lang=([^/]+)/source=[^/]+/", 1).alias("l"), F.regexp_extract("path", "source=([^/]+)/", 1).alias("s"), "text")
     lines = bodies.select("l", "s", F.explode(C.split_lines(F.col("text"))).alias("line"))
-    counted = lines.groupBy(F.concat_ws("/", "l", "s").alias("folder")).agg(F.sum(F.split("line", "\t")[1].cast("bigint")).alias("chars"), F.count("*").alias("docs"))
+    counted = lines.groupBy(F.concat_ws("/", "l", "s").alias("folder")).agg(F.sum(F.length(F.from_json("line", "text string")["text"]).cast("bigint")).alias("chars"), F.count("*").alias("docs"))
     seen = files.groupBy(F.concat_ws("/", F.regexp_extract("path", "lang=([^/]+)/", 1), F.regexp_extract("path", "source=([^/]+)/", 1)).alias("folder")).agg(F.sum("line_count").alias("file_lines"))
     return counted.join(seen, "folder").where("docs = file_lines").select("folder", "chars", "docs")
 

@@ -41,8 +41,8 @@ def _(spark, sf):
 @family.add("s04_gunzip", "select count(*) as lines, sum(n_chars)::bigint as chars from documents")
 def _(spark, sf):
     root = scratch_path(spark, "gz")
-    Tables(spark, sf).documents.select(F.col("n_chars").cast("string").alias("value")).repartition(4, "doc_id").write.option("compression", "gzip").text(root)
-    bodies = S.gunzip_files(spark.read.format("binaryFile").load(root)).where(~F.col("truncated"))
+    Tables(spark, sf).documents.select(F.col("n_chars").cast("string").alias("value")).write.option("compression", "gzip").option("maxRecordsPerFile", 1_000_000).text(root)
+    bodies = S.gunzip_files(spark.read.format("binaryFile").load(root))
     lines = bodies.select(F.explode(F.split(F.rtrim(F.col("body").cast("string")), "\\s+")).alias("l")).where("l <> ''")
     return lines.agg(F.count("*").alias("lines"), F.sum(F.col("l").cast("bigint")).alias("chars"))
 
@@ -75,7 +75,7 @@ def _(spark, sf):
 @family.add("s07_text_corpus", "select lang, count(distinct source) as files from documents where lang <> 'de' and source <> 'src3' group by 1")
 def _(spark, sf):
     root = scratch_path(spark, "corpus")
-    Tables(spark, sf).documents.select("lang", "source", F.col("doc_id").cast("string").alias("value")).repartition(1, "lang", "source").write.partitionBy("lang", "source").text(root)
+    Tables(spark, sf).documents.select("lang", "source", F.col("doc_id").cast("string").alias("value")).write.option("maxRecordsPerFile", 1_000_000).partitionBy("lang", "source").text(root)
     files = S.read_text_corpus(spark, root, read_rules(["lang=de/", "source=src3"]))
     kept = files.select(F.regexp_extract("path", "lang=([a-z]+)/", 1).alias("lang"), F.regexp_extract("path", "source=([a-z0-9]+)/", 1).alias("source"))
     return kept.groupBy("lang").agg(F.count_distinct("source").alias("files"))

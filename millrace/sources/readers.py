@@ -71,19 +71,26 @@ def read_any(spark: SparkSession, root: str) -> DataFrame:
     return out.select(*sorted(out.columns))
 
 
-def gunzip_files(files: DataFrame, limit: int = 64 * 1024 * 1024) -> DataFrame:
-    """Adds ``body`` and ``truncated`` to (path, content): gzip content by its magic bytes is unpacked up to ``limit`` bytes."""
+def gunzip_files(files: DataFrame, limit: int | None = None) -> DataFrame:
+    """Adds ``body`` and ``truncated`` to (path, content): gzip content by its magic bytes is unpacked, all members of it,
+    up to ``limit`` bytes where one is given. ``truncated`` also marks a stream that breaks off."""
     schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("body", T.BinaryType()), T.StructField("truncated", T.BooleanType())])
 
     def unpack(content: bytes) -> tuple[bytes | None, bool]:
         if content[:2] != b"\x1f\x8b":
-            return content[:limit], len(content) > limit
-        stream = zlib.decompressobj(wbits=31)
+            return content[:limit], limit is not None and len(content) > limit
+        parts, size, whole = [], 0, True
         try:
-            body = stream.decompress(content, limit)
+            while content[:2] == b"\x1f\x8b":
+                left = 0 if limit is None else limit - size  # 0 is no bound
+                if limit is not None and left <= 0:
+                    return b"".join(parts), True
+                stream = zlib.decompressobj(wbits=31)
+                parts.append(stream.decompress(content, left))
+                size, whole, content = size + len(parts[-1]), stream.eof, stream.unused_data
         except zlib.error:
             return None, False
-        return body, not stream.eof
+        return b"".join(parts), not whole
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -124,16 +131,17 @@ SKIPPED_FOLDERS = (
 SKIPPED_FILES = ("*.egg-info", "*.pyc", "*.pyo", "*.log", "*.min.js", "*.min.css", "*.map")
 
 
-def scan_files(spark: SparkSession, root: str, rules: Sequence[Check] = (), max_size: int = 1_000_000, hidden: bool = False) -> DataFrame:
+def scan_files(spark: SparkSession, root: str, rules: Sequence[Check] = (), max_size: int | None = None, hidden: bool = False) -> DataFrame:
     """Files below a folder as (path relative to it, modificationTime, length, content).
 
-    Empty and large files, hidden ones, skipped folders and ignored paths are left out before any content
+    Empty files, hidden ones, those above ``max_size`` where one is given, skipped folders and ignored paths are left out before any content
     is read: size and path are known from the listing.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = re.escape(root.rstrip("/"))
     path = F.regexp_replace("path", f"^.*?{base}/", "")
-    files = files.where((F.col("length") > 0) & (F.col("length") <= max_size)).withColumn("path", path)
+    fits = F.col("length") > 0 if max_size is None else F.col("length").between(1, max_size)
+    files = files.where(fits).withColumn("path", path)
     steps = F.split("path", "/")
     folders = F.slice(steps, 1, F.size(steps) - 1)
     bad = F.exists(folders, lambda s: s.isin(*SKIPPED_FOLDERS))
@@ -143,7 +151,7 @@ def scan_files(spark: SparkSession, root: str, rules: Sequence[Check] = (), max_
     return files.where(~bad & ~ignored(F.col("path"), all_rules))
 
 
-def read_text_corpus(spark: SparkSession, root: str, rules: Sequence[Check] = (), max_size: int = 1_000_000) -> DataFrame:
+def read_text_corpus(spark: SparkSession, root: str, rules: Sequence[Check] = (), max_size: int | None = None) -> DataFrame:
     """Text files as (path, size_bytes, text): decoded as UTF-8 without byte order mark, binary files left out."""
     files = scan_files(spark, root, rules, max_size)
     body = F.make_valid_utf8(F.col("content").cast("string"))

@@ -235,3 +235,20 @@ def test_quantile_normal_is_symmetric(spark):
     s = {r.i: r.s for r in G.quantile_normal(df, "v", "s").collect()}
     assert s[50] == pytest.approx(0.0, abs=1e-9) and s[75] == pytest.approx(-s[25]) and s[75] == pytest.approx(0.6744898, abs=1e-6)
     assert not math.isinf(s[0])
+
+
+def test_large_files_are_read_whole(spark, tmp_path):
+    """A text above a million bytes, and a gzip file of two members above 64 MiB unpacked."""
+    import gzip
+
+    from millrace.sources import readers
+
+    (tmp_path / "texts").mkdir()
+    (tmp_path / "texts" / "a.txt").write_text("x" * 1_000_001)
+    assert [r.size_bytes for r in readers.read_text_corpus(spark, str(tmp_path / "texts")).collect()] == [1_000_001]
+    assert readers.read_text_corpus(spark, str(tmp_path / "texts"), max_size=1_000_000).count() == 0
+    (tmp_path / "packed").mkdir()
+    (tmp_path / "packed" / "a.gz").write_bytes(gzip.compress(b"a" * (65 << 20), 1) + gzip.compress(b"b" * 10))
+    files = spark.read.format("binaryFile").load(str(tmp_path / "packed"))
+    read = lambda *limit: readers.gunzip_files(files, *limit).selectExpr("length(body) n", "truncated").first()
+    assert tuple(read()) == ((65 << 20) + 10, False) and tuple(read(100)) == (100, True)
