@@ -1,6 +1,8 @@
+from functools import reduce
+
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from millrace.catalog import Family, Tables
 from millrace.operators import forecast, models as M
@@ -36,17 +38,16 @@ def _(spark, sf):
     ready = cut(Pipeline(stages=M.preprocess(NUMERIC)).fit(rows).transform(rows).select("features", "label"), "prepared")
     found = []
     for c in M.candidates("regression"):
-        if c.name in ("ridge", "decision_tree"):
-            scored = c.estimator.fit(ready).transform(ready)
-            found.append(M.regression_metrics(scored).select(F.lit(c.name).alias("model"), "*"))
-    return found[0].unionByName(found[1])
+        scored = c.estimator.fit(ready).transform(ready)
+        found.append(M.regression_metrics(scored).select(F.lit(c.name).alias("model"), "*"))
+    return reduce(DataFrame.unionByName, found)
 
 
 @family.add("m04_model_selection")
 def _(spark, sf):
     rows = M.stratified_split(line_rows(Tables(spark, sf)).withColumnRenamed("price", "label"), "id")
-    pool = [c for c in M.candidates("regression") if c.name in ("ridge", "decision_tree")]
-    board, _, _ = M.select_model(rows.where(~F.col("is_test")), rows.where("is_test"), M.preprocess(NUMERIC, ["l_returnflag"]), pool, "regression", folds=2, use_grid=False)
+    pool = M.candidates("regression")
+    board, _, _ = M.select_model(rows.where(~F.col("is_test")), rows.where("is_test"), M.preprocess(NUMERIC, ["l_returnflag"]), pool, "regression")
     return board
 
 

@@ -47,3 +47,11 @@ def test_query_equals_sql(name, spark, con, data):
     got = sorted(repr(tuple(plain(v) for v in r)) for r in df.select(*[f"`{c}`" for c in cols]).collect())
     want = sorted(repr(tuple(plain(r[i]) for i in order)) for r in rel.fetchall())
     assert got == want
+
+
+def test_model_queries_try_every_candidate(spark, data):
+    from millrace.operators import models
+
+    every = {c.name for c in models.candidates("regression")}
+    for name in ("m03_candidates", "m04_model_selection"):
+        assert {r.model for r in entry.queries()[name](spark, data).collect()} == every
