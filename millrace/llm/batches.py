@@ -1,10 +1,11 @@
 """Arrow batches cut by bytes, so that a Python task holds a bounded amount of text however long its rows are."""
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame, types as T
 
 SLICE_BYTES = 4 << 20
 
@@ -32,3 +33,22 @@ def extended(piece: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
     """The rows of ``piece`` with further columns; a column of the same name is replaced."""
     kept = [(n, piece.column(n)) for n in piece.schema.names if n not in columns]
     return pa.RecordBatch.from_arrays([*[c for _, c in kept], *columns.values()], [*[n for n, _ in kept], *columns])
+
+
+def add_columns(rows: DataFrame, text: str, added: Sequence[T.StructField], run: Callable[[Iterator[pa.RecordBatch], str], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``rows`` with further columns that ``run`` puts on each piece; it is told the name under which it finds ``text``.
+
+    Columns of the same names are replaced. Columns go by number meanwhile, since Arrow functions take no name with a dot.
+    """
+    new = {f.name for f in added}
+    names = [f.name for f in rows.schema]
+    plain = rows.toDF(*[f"_in{i}" for i in range(len(names))])
+    own = f"_in{names.index(text)}"
+    out = plain.mapInArrow(lambda batches: run(batches, own), T.StructType([*plain.schema, *added]))
+    kept = [i for i, name in enumerate(names) if name not in new]
+    return out.select(*[f"_in{i}" for i in kept], *[f.name for f in added]).toDF(*[names[i] for i in kept], *[f.name for f in added])
+
+
+def quoted(name: str) -> str:
+    """A column name as an expression that reads it, dots and all."""
+    return "`" + name.replace("`", "``") + "`"

@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import bpe, embeddings, jaccard, language, mixing, quality, site_tree, toxicity, urls, warc
+from millrace.llm import bpe, embeddings, jaccard, language, licenses, mixing, prefix_trie, quality, site_tree, toxicity, urls, warc, whitening
 
 WORD = r"[^\x20\x09-\x0D]+"
 TOXIC_AT = 0.7
@@ -212,6 +212,67 @@ from judged
 """
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all rebuilt conversations."""
+    turns, turnless = prefix_trie.rebuilt(prefix_trie.ordered_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    trie = prefix_trie.build(turns, turnless, F.col("conv") - F.col("conv") % 20)
+    nodes = trie.nodes.join(prefix_trie.end_digests(trie.ends), prefix_trie.NODE, "left")
+    return nodes.select(
+        F.col("conv").alias("conv_id"), "depth", F.col("parent_conv").alias("parent_conv_id"), F.col("n").alias("n_convs"), "n_children", "n_leaves",
+        F.col("saved").alias("saved_tokens"), F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("ends_sha256"),
+    )
+
+
+OP11_SQL = rf"""
+with crc as (
+  select list(list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as t from range(256) r(i)),
+turns as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) as p
+  from conversations where conv_id is not null),
+own as (
+  select conv_id, list({{'role': role, 'text': text}} order by p) as turns from turns group by conv_id),
+hashed as (
+  select conv_id, turns, conv_id - conv_id % 20 as base,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::bigint)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 4 as h
+  from own, crc),
+full_ones as (
+  select a.conv_id, list_concat(coalesce(b.turns, [])[1:a.h], a.turns[a.h + 1:]) as turns from hashed a left join own b on b.conv_id = a.base),
+members as (
+  select conv_id, turns, d, sha256(array_to_string(list_transform(turns[1:d], lambda x: length(x.role) || ':' || length(x.text) || ':' || x.role || x.text), ';')) as node,
+    case when d > 0 then sha256(array_to_string(list_transform(turns[1:d - 1], lambda x: length(x.role) || ':' || length(x.text) || ':' || x.role || x.text), ';')) end as parent
+  from full_ones, unnest(range(len(turns) + 1)) u(d)),
+nodes as (
+  select d, node, min(parent) as parent, min(conv_id) as conv_id, count(*) as n,
+    max(case when d > 0 then len(regexp_extract_all(turns[d].text, '{WORD}')) else 0 end) as words,
+    string_agg(conv_id::varchar, ',' order by conv_id) filter (len(turns) = d) as ends
+  from members group by d, node),
+sons as (
+  select d - 1 as d, parent as node, count(*) as n_children from nodes where d > 0 group by all),
+valued as (
+  select n.*, coalesce(s.n_children, 0) as n_children from nodes n left join sons s on s.d = n.d and s.node = n.node),
+below as (
+  select m.d, m.node, count(*) filter (v.n_children = 0) as n_leaves, sum((v.n - 1) * v.words) as saved_tokens
+  from valued v join members o on o.conv_id = v.conv_id and o.d = v.d join members m on m.conv_id = o.conv_id and m.d <= v.d group by m.d, m.node)
+select v.conv_id, v.d::bigint as depth, p.conv_id as parent_conv_id, v.n::bigint as n_convs, v.n_children::bigint as n_children, b.n_leaves::bigint as n_leaves,
+  b.saved_tokens::bigint as saved_tokens, sha256(coalesce(v.ends, '')) as ends_sha256
+from valued v join below b on b.d = v.d and b.node = v.node left join nodes p on p.d = v.d - 1 and p.node = v.parent
+"""
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every usable vector."""
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and labels of every document."""
+    found = licenses.find_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", joined("base_labels"), joined("labels"), "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_mixture": op2_mixture,
@@ -223,5 +284,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_language": op9_language,
     "op10_revisits": op10_revisits,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_whitening": op12_whitening,
+    "op13_licenses": op13_licenses,
 }
-SQL: dict[str, str] = {"op2_mixture": OP2_SQL, "op4_jaccard_join": OP4_SQL, "op7_embeddings": OP7_SQL, "op8_quality": OP8_SQL, "op10_revisits": OP10_SQL}
+SQL: dict[str, str] = {"op2_mixture": OP2_SQL, "op4_jaccard_join": OP4_SQL, "op7_embeddings": OP7_SQL, "op8_quality": OP8_SQL, "op10_revisits": OP10_SQL, "op11_prefix_trie": OP11_SQL}
