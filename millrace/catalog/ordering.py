@@ -3,7 +3,7 @@ from pyspark.sql import Window as W, functions as F
 from millrace.catalog import Family, Tables
 from millrace.operators import scopes as S
 from millrace.operators.anomaly import half_means, resource_severity
-from millrace.plans import runs, topn
+from millrace.plans import runs, topn, windows
 
 family = Family()
 def seconds_col():
@@ -69,7 +69,7 @@ select event_id, count(*) over w as win_n, round(avg(value) over w, 8) as win_me
 window w as (partition by event_type order by ts range between interval 21600 seconds preceding and current row)""")
 def _(spark, sf):
     e = Tables(spark, sf).events.select("event_id", "event_type", "value", seconds_col().alias("t"))
-    out = runs.sliding_moments(e, ["event_type"], "t", "value", 21600)
+    out = windows.sliding_moments(e, ["event_type"], "t", "value", 21600)
     return out.select("event_id", "win_n", F.round("win_mean", 8).alias("win_mean"), F.round(F.coalesce("win_std", F.lit(-1.0)), 5).alias("win_std"))
 
 

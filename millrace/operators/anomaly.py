@@ -5,7 +5,6 @@ window of the same metric, the current point included.
 """
 from __future__ import annotations
 
-from bisect import bisect_left, insort
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -13,8 +12,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from millrace.plans.joins import salted_join
-from millrace.plans.runs import neighbours, numbered, running_sums, sliding_moments, sliding_sums, with_context
+from millrace.plans.runs import neighbours, numbered, running_sums, with_context
 from millrace.plans.topn import at_most, top_per_key
+from millrace.plans.windows import block_prefixes, sliding_moments, sliding_sums
+from millrace.plans.wavelet import sliding_stats
 
 SEVERITIES = ("critical", "high", "medium", "low", "info")
 
@@ -48,40 +49,25 @@ def zscore_anomalies(df: DataFrame, keys: Sequence[str], at: str, value: str, wi
 def window_order_stats(df: DataFrame, keys: Sequence[str], at: str, value: str, width: float, tie: str) -> DataFrame:
     """Adds win_n, index quartiles win_q1 and win_q3, win_median and win_mad of the trailing window.
 
-    One Python task per key and time span; it holds that span and the window before it, kept sorted while
-    the window slides, so memory follows the points of two windows and not the key.
+    One Python task per key and time span; it holds that span and the window before it as a wavelet matrix, which all
+    windows query together, so the work grows with the points and not with the points of a window.
     """
     rows = with_context(df, keys, at, width)
     extra = ["win_q1", "win_q3", "win_median", "win_mad"]
     schema = T.StructType(
         [*df.schema.fields, T.StructField("win_n", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in extra]]
     )
-    names = [f.name for f in schema.fields]
+    names, given = schema.names, df.columns
 
     def slide(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([at, tie], kind="stable").reset_index(drop=True)
-        times, values = pdf[at].to_numpy(), pdf[value].to_numpy(dtype=float)
-        n, head, tail = len(pdf), 0, 0
-        window: list[float] = []
-        stats = np.zeros((n, 5))
-        own = pdf["_own"].to_numpy()
-        for i in range(n):
-            while head < n and times[head] <= times[i]:  # rows at the same time count together
-                insort(window, values[head])
-                head += 1
-            while times[tail] < times[i] - width:
-                del window[bisect_left(window, values[tail])]
-                tail += 1
-            if own[i]:
-                arr = np.asarray(window)
-                k = len(arr)
-                mid = (arr[(k - 1) // 2] + arr[k // 2]) / 2
-                mad = np.median(np.abs(arr - mid))
-                stats[i] = (k, arr[k // 4], arr[3 * k // 4], mid, mad)
+        own = np.flatnonzero(pdf["_own"].to_numpy())
+        stats = sliding_stats(pdf[at].to_numpy(), pdf[value].to_numpy(dtype=float), width, own)
+        pdf = pdf.loc[own, given]
         pdf["win_n"] = stats[:, 0].astype("int64")
         for j, name in enumerate(extra):
             pdf[name] = stats[:, j + 1]
-        return pdf.loc[own, names]
+        return pdf[names]
 
     return rows.groupBy(*keys, "_span").applyInPandas(slide, schema)
 
@@ -133,34 +119,29 @@ def mad_anomalies(df: DataFrame, keys: Sequence[str], at: str, value: str, tie:
 def half_means(df: DataFrame, keys: Sequence[str], at: str, tie: str, value: str, width: float) -> DataFrame:
     """Adds win_n, first_mean and second_mean: means of the older and newer half of the window's points.
 
-    Prefix sums at the three borders of a window give both means, so no window is ever copied.
+    Prefix sums at the three borders of a window, within blocks as wide as the window, give both means: no window is ever
+    copied, and nothing but the cells of a block is gathered.
     """
     keys = list(keys)
     if "win_n" not in df.columns:
         df = sliding_sums(df, keys, at, width, {"win_n": F.lit(1).cast("bigint")})
-    rows = with_context(df, keys, at, width)
-    group = [*keys, "_span"]
-    one_by_one = W.partitionBy(*group).orderBy(at, tie).rowsBetween(W.unboundedPreceding, 0)
-    with_peers = W.partitionBy(*group).orderBy(at).rangeBetween(W.unboundedPreceding, W.currentRow)
-    rows = rows.withColumns(
-        {
-            "_i": F.count(F.lit(1)).over(one_by_one), "_s": F.sum(value).over(one_by_one),
-            "_hi": F.count(F.lit(1)).over(with_peers), "_shi": F.sum(value).over(with_peers),
-        }
-    )
+    rows = block_prefixes(df, keys, at, tie, value, width)
     # The struct key is never null, so points of a metric without a name keep their window.
-    prefix = rows.select(F.struct(*group).alias("_w"), F.col("_i").alias("_at"), F.col("_s").alias("_sum"))
-    own = rows.where("_own").withColumns(
-        {"_lo": F.col("_hi") - F.col("win_n"), "_half": F.floor(F.col("win_n") / 2), "_w": F.struct(*group)}
-    ).withColumn("_mid", F.col("_lo") + F.col("_half"))
-    for border, name in (("_lo", "_slo"), ("_mid", "_smid")):
-        side = prefix.select("_w", F.col("_at").alias(border), F.col("_sum").alias(name))
-        own = own.join(side, ["_w", border], "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
-    first = (F.col("_smid") - F.col("_slo")) / F.when(F.col("_half") > 0, F.col("_half"))
-    second = (F.col("_shi") - F.col("_smid")) / (F.col("win_n") - F.col("_half"))
-    return own.withColumns({"first_mean": first, "second_mean": second}).drop(
-        "_span", "_own", "_i", "_s", "_hi", "_shi", "_lo", "_half", "_mid", "_slo", "_smid", "_w"
-    )
+    key = F.struct(*keys, F.lit(0).alias("_all"))
+    block = F.col("_block")
+    totals = rows.groupBy(key.alias("_w"), (block + 1).alias("_next")).agg(F.max("_total").alias("_earlier"))
+    own = rows.withColumns({"_w": key, "_lo": F.col("_hi") - F.col("win_n"), "_half": F.floor(F.col("win_n") / 2), "_next": block})
+    own = own.withColumn("_mid", F.col("_lo") + F.col("_half")).join(totals, ["_w", "_next"], "left")
+    prefix = rows.select(key.alias("_w"), F.col("_i").alias("_at"), F.struct(block.alias("b"), F.col("_s").alias("s")).alias("_p"))
+    for border in ("_lo", "_mid"):
+        own = own.join(prefix.select("_w", F.col("_at").alias(border), F.col("_p").alias(f"_p{border}")), ["_w", border], "left")
+    earlier = F.coalesce("_earlier", F.lit(0.0))
+    # sums from the start of the block before the row's own, nothing lying further back in the window
+    upto = lambda p: F.when(p["b"] == block, earlier + p["s"]).when(p["b"] == block - 1, p["s"]).otherwise(0.0)
+    low, mid, high = upto(F.col("_p_lo")), upto(F.col("_p_mid")), earlier + F.col("_shi")
+    first = (mid - low) / F.when(F.col("_half") > 0, F.col("_half"))
+    second = (high - mid) / (F.col("win_n") - F.col("_half"))
+    return own.withColumns({"first_mean": first, "second_mean": second}).select(*df.columns, "first_mean", "second_mean")
 
 
 def trend_anomalies(df: DataFrame, keys: Sequence[str], at: str, value: str, tie: str, width: float = 600, threshold: float = 1.5, min_samples: int = 20) -> DataFrame:

@@ -6,7 +6,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.plans.joins import salted_join
-from millrace.plans.runs import last_known, sliding_sums
+from millrace.plans.runs import last_known
+from millrace.plans.windows import sliding_sums
 
 # Reference prefixes in the order they are tried.
 REFERENCE_PREFIXES = ("fig:", "table:", "eq:", "sec:", "code:")

@@ -109,56 +109,3 @@ def with_context(df: DataFrame, keys: Sequence[str], at: str, width: float, span
         .withColumn("_own", F.col("_span") == F.col("_home"))
         .drop("_home")
     )
-
-
-def _moves(rows: DataFrame, at: str, width: float) -> DataFrame:
-    """Two rows per input row: one where it enters the window, one where it leaves it."""
-    step = F.explode(F.array(F.lit(0), F.lit(1)))
-    moves = rows.withColumn("_out", step)
-    return moves.withColumns(
-        {"_t": F.col(at) + F.col("_out") * F.lit(float(width)), "_sign": F.lit(1) - 2 * F.col("_out")}
-    )
-
-
-def sliding_sums(df: DataFrame, keys: Sequence[str], at: str, width: float, sums: Mapping[str, Column]) -> DataFrame:
-    """Adds sums over the trailing ``width`` seconds, current row included.
-
-    Every row enters its window once and leaves it once, so the cost is linear in the rows, where a
-    sliding frame re-reads the whole window per row.
-    """
-    keys = list(keys)
-    moves = _moves(with_context(df, keys, at, width), at, width)
-    # A row exactly `width` old still counts, so leaving sorts after entering at equal times.
-    upto = W.partitionBy(*keys, "_span").orderBy("_t", "_out").rangeBetween(W.unboundedPreceding, W.currentRow)
-    added = {n: F.sum(F.col("_sign") * e).over(upto) for n, e in sums.items()}
-    return moves.withColumns(added).where((F.col("_out") == 0) & F.col("_own")).drop("_span", "_own", "_t", "_out", "_sign")
-
-
-def sliding_moments(df: DataFrame, keys: Sequence[str], at: str, value: str, width: float) -> DataFrame:
-    """Adds ``win_n``, ``win_mean`` and ``win_std`` (sample) of the trailing ``width`` seconds.
-
-    Values are centred on the mean of their span first, which keeps the sums of squares well conditioned.
-    What rounding leaves of a window without spread, below 1e-13 of the span's own variance, counts as 0.
-    """
-    keys = list(keys)
-    rows = with_context(df, keys, at, width)
-    group = [*keys, "_span"]
-    span = W.partitionBy(*group)
-    rows = rows.withColumns({"_mid": F.avg(value).over(span), "_var": F.var_pop(value).over(span)})
-    rows = rows.withColumn("_x", F.col(value) - F.col("_mid"))
-    moves = _moves(rows, at, width)
-    upto = W.partitionBy(*group).orderBy("_t", "_out").rangeBetween(W.unboundedPreceding, W.currentRow)
-    sign, x = F.col("_sign"), F.col("_x")
-    moves = moves.withColumns(
-        {
-            "win_n": F.sum(sign).over(upto),
-            "_sx": F.sum(sign * x).over(upto),
-            "_sxx": F.sum(sign * x * x).over(upto),
-        }
-    ).where((F.col("_out") == 0) & F.col("_own"))
-    n, m = F.col("win_n"), F.col("_sx") / F.col("win_n")
-    raw = (F.col("_sxx") - F.col("_sx") * m) / (n - 1)
-    var = F.when(raw > F.col("_var") * 1e-13, raw).otherwise(0.0)
-    return moves.withColumns(
-        {"win_mean": F.col("_mid") + m, "win_std": F.when(n > 1, F.sqrt(var))}
-    ).drop("_span", "_own", "_mid", "_var", "_x", "_t", "_out", "_sign", "_sx", "_sxx")

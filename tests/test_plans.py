@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.plans import ranks, runs, topn
+from millrace.plans import ranks, runs, topn, windows
 from millrace.plans.joins import one_row, salted_join
 
 
@@ -81,8 +81,8 @@ def test_last_known_carries_over_empty_chunks(spark):
 def test_sliding_windows_match_brute_force(hot):
     df, pdf = hot
     rows = df
-    got = runs.sliding_moments(rows, ["key"], "t", "x", 700).toPandas().set_index("id")
-    sums = runs.sliding_sums(rows, ["key"], "t", 700, {"s": F.when(F.col("bad"), 1).otherwise(0)}).toPandas().set_index("id")
+    got = windows.sliding_moments(rows, ["key"], "t", "x", 700).toPandas().set_index("id")
+    sums = windows.sliding_sums(rows, ["key"], "t", 700, {"s": F.when(F.col("bad"), 1).otherwise(0)}).toPandas().set_index("id")
     for key, g in groups(pdf).items():
         t, x, bad = g.t.to_numpy(), g.x.to_numpy(), g.bad.to_numpy()
         for i, row in enumerate(g.itertuples()):
@@ -130,3 +130,55 @@ def test_null_keys_are_groups_everywhere(hot):
     assert bundle[None].mad == pytest.approx((none - none.median()).abs().median())
     assert half_means(df, ["key"], "t", "id", "x", 500).count() == len(pdf)
     assert streaks(df, ["key"], ["t", "id"], F.floor(F.col("t") / 900), F.col("bad")).count() == len(pdf)
+
+
+def test_one_hot_window_is_spread_over_tasks(spark):
+    """All rows of a metric lie inside one window; its cells still go to many tasks, and instants are counted once."""
+    rng = random.Random(3)
+    times = [rng.randrange(0, 900_000) / 1000 for _ in range(20_000)]
+    df = spark.createDataFrame([(i, "hot", t, float(i % 7)) for i, t in enumerate(times)], "id int, key string, t double, x double")
+    events = windows._events(windows._instants(df, ["key"], "t", {"n": F.count("*")}), 1000.0).where("_asks = 0")
+    per_cell = [r["count"] for r in events.groupBy("_k", "_block", "_cell").count().collect()]
+    assert len(per_cell) > 50 and max(per_cell) < 2 * sorted(per_cell)[len(per_cell) // 2]
+    got = windows.sliding_moments(df, ["key"], "t", "x", 1000.0).agg(F.max("win_n"), F.sum("win_n")).first()
+    order = sorted(times)
+    assert got[0] == 20_000 and got[1] == sum(np.searchsorted(order, order, "right"))
+
+
+def test_moments_far_from_zero_and_without_spread(spark):
+    rows = [(i, float(i), 1e9 + i % 3) for i in range(400)] + [(1000 + i, 5000.0 + i, 0.1) for i in range(300)]
+    got = {r.id: r for r in windows.sliding_moments(spark.createDataFrame(rows, "id int, t double, x double"), [], "t", "x", 50).collect()}
+    for i in (3, 77, 399):
+        window = [1e9 + k % 3 for k in range(max(0, i - 50), i + 1)]
+        assert got[i].win_std == pytest.approx(np.std(window, ddof=1), rel=1e-9)
+    assert all(got[1000 + i].win_std == 0 for i in range(1, 300)) and got[1000].win_std is None
+
+
+def test_halves_match_brute_force(hot):
+    from millrace.operators.anomaly import half_means
+
+    df, pdf = hot
+    got = half_means(df, ["key"], "t", "id", "x", 700).toPandas().set_index("id")
+    assert len(got) == len(pdf)
+    for key, g in groups(pdf).items():
+        g = g.sort_values(["t", "id"])
+        t, x = g.t.to_numpy(), g.x.to_numpy()
+        for i, row in enumerate(g.itertuples()):
+            w = x[(t >= t[i] - 700) & (t <= t[i])]
+            assert got.second_mean[row.id] == pytest.approx(w[len(w) // 2 :].mean())
+            if len(w) > 1:
+                assert got.first_mean[row.id] == pytest.approx(w[: len(w) // 2].mean())
+
+
+def test_wavelet_windows_match_brute_force():
+    from millrace.plans.wavelet import sliding_stats
+
+    rng = np.random.default_rng(1)
+    for n, width in ((1, 5), (2, 5), (40, 3), (300, 1e9), (500, 20)):
+        for values in (rng.normal(size=n), rng.integers(0, 4, n).astype(float), np.zeros(n)):
+            times = np.sort(rng.integers(0, n, n)).astype(float)
+            got = sliding_stats(times, values, width, np.arange(n))
+            for i in range(n):
+                w = np.sort(values[(times >= times[i] - width) & (times <= times[i])])
+                k, mid = len(w), np.median(w)
+                assert tuple(got[i]) == (k, w[k // 4], w[3 * k // 4], mid, np.median(np.abs(w - mid)))
