@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from millrace.plans.joins import salted_join
 from millrace.plans.runs import neighbours, numbered, running_sums, with_context
+from millrace.plans.silences import firings
 from millrace.plans.topn import at_most, top_per_key
 from millrace.plans.windows import block_prefixes, sliding_moments, sliding_sums
 from millrace.plans.wavelet import sliding_stats
@@ -184,27 +185,11 @@ def first_anomaly(anomalies: DataFrame, point: Sequence[str]) -> DataFrame:
 
 
 def with_cooldown(df: DataFrame, keys: Sequence[str], at: str, cooldown: float = 300, chunk_seconds: float = 86400) -> DataFrame:
-    """Times (keys, at) that fire when a firing silences the key for ``cooldown`` seconds.
+    """Times (keys, at) that fire when a firing silences the key for ``cooldown`` seconds; a key may be busy throughout.
 
-    A quiet gap of at least the cooldown makes the next time fire whatever came before, so the times of a
-    key fall apart into independent segments, and only the distinct times of one segment are folded.
+    A task holds the distinct times of one key in one chunk, so ``chunk_seconds`` sets its size; it changes no result.
     """
-    keys = list(keys)
-    times = df.select(*keys, at).distinct()
-    chunk = F.floor(F.col(at) / chunk_seconds)
-    gaps = neighbours(times, keys, [at], chunk, {"_before": at})
-    breaks = F.when(F.col("_before").isNull() | (F.col(at) - F.col("_before") >= cooldown), 1).otherwise(0)
-    parted = running_sums(gaps, keys, [at], chunk, {"_segment": breaks})
-    folded = parted.groupBy(*keys, "_segment").agg(F.array_sort(F.collect_list(at)).alias("_times"))
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("fired"))
-
-    def step(state: Column, t: Column) -> Column:
-        fires = state["last"].isNull() | (t - state["last"] >= cooldown)
-        t = t.cast("double")
-        return F.when(fires, F.struct(t.alias("last"), F.concat(state["fired"], F.array(t)).alias("fired"))).otherwise(state)
-
-    fired = F.aggregate("_times", start, step, lambda s: s["fired"])
-    return folded.select(*keys, F.explode(fired).alias(at))
+    return firings(df, keys, at, cooldown, F.floor(F.col("_at") / chunk_seconds))
 
 
 def alert_list(alerts: DataFrame, severity: str | None = None, since: float | None = None, at: str = "t", only_open: bool = False, limit: int | None = None) -> DataFrame:

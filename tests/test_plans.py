@@ -182,3 +182,25 @@ def test_wavelet_windows_match_brute_force():
                 w = np.sort(values[(times >= times[i] - width) & (times <= times[i])])
                 k, mid = len(w), np.median(w)
                 assert tuple(got[i]) == (k, w[k // 4], w[3 * k // 4], mid, np.median(np.abs(w - mid)))
+
+
+def test_cooldown_on_a_key_that_is_never_quiet(spark, monkeypatch):
+    from millrace.plans import silences
+
+    monkeypatch.setattr(silences, "FAN", 3)  # a tree of several levels
+    rng, rows = random.Random(8), []
+    for key in ("busy", "rare", None):
+        t = 0.0
+        for _ in range(900 if key == "busy" else 40):
+            t += rng.choice([0, 0.5, 1, 3]) if key == "busy" else rng.choice([0, 5, 40, 200])
+            rows.append((key, t))
+    got = silences.firings(spark.createDataFrame([*rows, ("busy", None)], "key string, t double"), ["key"], "t", 7.0, F.floor(F.col("_at") / 30)).collect()
+    want = []
+    for key in ("busy", "rare", None):
+        last = float("-inf")
+        for t in sorted({t for k, t in rows if k == key}):
+            if t >= last + 7:
+                want.append((key, t))
+                last = t
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert silences.firings(spark.createDataFrame([], "key string, t double"), ["key"], "t", 7.0, F.floor(F.col("_at") / 30)).count() == 0
