@@ -175,15 +175,15 @@ def _(spark, sf):
 
 
 @family.add("i08_fuzzy_strings", """
-with w as (select distinct regexp_replace(split_part(text, ' ', 1), '[^A-Za-z]', '', 'g') as word from benchmark), c as (select distinct regexp_replace(split_part(text, ' ', 2), '[^A-Za-z]', '', 'g') as candidate from documents)
-select word, candidate, round(1.0 - levenshtein(lower(word), lower(candidate))::double / greatest(len(word), len(candidate)), 6) as similarity from w, c
-where len(word) > 0 and 1.0 - levenshtein(lower(word), lower(candidate))::double / greatest(len(word), len(candidate)) >= 0.5""")
+with w as (select distinct unnest(regexp_extract_all(text, '[A-Za-z]+')) as word from benchmark), c as (select distinct unnest(regexp_extract_all(text, '[A-Za-z]+')) as candidate from documents),
+s as (select word, candidate, 1.0 - levenshtein(lower(word), lower(candidate))::double / greatest(len(word), len(candidate)) as similarity from w join c on abs(len(word) - len(candidate)) <= 0.3 * greatest(len(word), len(candidate)) + 1)
+select word, candidate, round(similarity, 6) as similarity from s where similarity >= 0.7""")
 def _(spark, sf):
     t = Tables(spark, sf)
-    letters = lambda c: F.regexp_replace(c, "[^A-Za-z]", "")  # noqa: E731 - DuckDB measures bytes, so compare plain letters
-    words = t.benchmark.select(letters(F.get(F.split("text", " "), F.lit(0))).alias("word")).where("word <> ''")
-    cands = t.documents.select(letters(F.coalesce(F.get(F.split("text", " "), F.lit(1)), F.lit(""))).alias("candidate"))
-    return I.fuzzy_matches(words, cands, 0.5).withColumn("similarity", F.round("similarity", 6))
+    # DuckDB measures bytes, so compare plain letters
+    words_of = lambda df, name: df.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)).alias(name)).distinct()
+    found = I.fuzzy_matches(words_of(t.benchmark, "word"), words_of(t.documents, "candidate"))
+    return found.withColumn("similarity", F.round("similarity", 6))
 
 
 @family.add("i09_autocomplete", f"with {OCC} select term, count(*) as df from post where term like 'th%' group by 1 order by df desc, term limit 10")

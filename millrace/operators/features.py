@@ -142,17 +142,14 @@ def scale(df: DataFrame, columns: Sequence[str], method: str = "standard") -> Da
 def quantile_normal(df: DataFrame, col: str, at: str, bound: float = 1e-7) -> DataFrame:
     """Maps the mid-rank share of each value through the inverse normal distribution.
 
-    Ranks come from counts per distinct value with running totals over quantile buckets, so neither the
+    Ranks come from counts per distinct value with running totals over ranges of values, so neither the
     rows nor the distinct values are ordered in one task.
     """
-    from millrace.plans.ranks import BUCKETS, bucket_of, split_points
-    from millrace.plans.runs import running_sums
+    from millrace.plans.ranks import in_value_order
 
     df = df.withColumn(col, F.coalesce(F.col(col).cast("double"), F.lit(0.0)))
     counts = df.groupBy(F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    splits = counts.agg(split_points(F.col("_v")).alias("s")).scalar()
-    placed = counts.withColumn("_splits", splits).withColumn("_b", bucket_of(F.col("_v"), F.col("_splits"), BUCKETS))
-    ranked = running_sums(placed.drop("_splits"), [], ["_v"], F.col("_b"), {"_to": F.col("_c")})
+    ranked = in_value_order(counts, {"_to": F.col("_c")})
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     share = (F.col("_to") - (F.col("_c") + 1) / 2) / F.greatest(total - 1, F.lit(1))
     p = F.least(F.greatest(share, F.lit(bound)), F.lit(1 - bound))

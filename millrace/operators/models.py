@@ -11,7 +11,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.plans.joins import one_row
-from millrace.plans.ranks import BUCKETS, bucket_of, order_stats, split_points
+from millrace.plans.ranks import in_value_order, order_stats
 from millrace.plans.runs import numbered, running_sums
 from millrace.plans.topn import at_most, first_per_key
 from millrace.session import cut
@@ -167,12 +167,10 @@ def classification_metrics(df: DataFrame, label: str = "label", prediction: str
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """One row: area under the ROC curve of a 0/1 label, ties counted half.
 
-    Scores are counted per distinct value, and the running count of negatives goes over quantile buckets.
+    Scores are counted per distinct value, and the running count of negatives goes over ranges of them.
     """
     counts = df.groupBy(F.col(score).alias("_v")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
-    splits = counts.agg(split_points(F.col("_v")).alias("s")).scalar()
-    placed = counts.withColumn("_splits", splits).withColumn("_b", bucket_of(F.col("_v"), F.col("_splits"), BUCKETS)).drop("_splits")
-    ranked = running_sums(placed, [], ["_v"], F.col("_b"), {"below": F.col("neg")})
+    ranked = in_value_order(counts, {"below": F.col("neg")})
     wins = F.sum(F.col("pos") * (F.col("below") - F.col("neg") / 2.0))
     return ranked.agg((wins / (F.sum("pos") * F.sum("neg"))).alias("auc"))
 

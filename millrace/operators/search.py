@@ -15,6 +15,7 @@ from millrace.functions.predicates import has_any_tag
 from millrace.plans.joins import salted_join
 from millrace.plans.spread import widen
 from millrace.plans.topn import first_per_key, top_per_key
+from millrace.session import cut
 
 K1, B, TITLE_WEIGHT, TITLE_WORDS = 1.5, 0.75, 5.0, 10
 
@@ -180,20 +181,28 @@ def all_terms(matches: DataFrame, terms: Sequence[str], key: str = "doc_id") ->
 
 
 def similar_tokens(vocabulary: DataFrame, words: DataFrame, threshold: float = 0.5, limit: int = 5, n: int = 3) -> DataFrame:
-    """Rows (word, token, similarity): tokens whose padded n-grams overlap by at least ``threshold`` (Jaccard).
+    """Rows (word, token, similarity): tokens whose padded n-grams overlap by at least ``threshold`` (Jaccard), the first ``limit`` a word.
 
-    Candidates come from an equi-join on n-grams; only words of the query are expanded, and the overlap
-    is counted, so no pair is compared that shares nothing.
+    Grams have one order, rare ones first. Two sets can only be similar if they share one of their first grams, a share
+    of them that the threshold leaves, at places that leave room for the overlap asked for; so strings meet on rare grams,
+    never on one that most of them have, and only those that met are compared. Null strings match nothing.
     """
-
-    def grams(df: DataFrame, name: str, size: str) -> DataFrame:
-        found = X.ngrams(F.col(name), n)
-        sized = widen(df.select(name).distinct(), name).select(name, F.size(found).alias(size), found.alias("_g"))
-        return sized.select(name, size, F.explode("_g").alias("gram"))
-
-    asked, offered = grams(words, "word", "_a"), grams(vocabulary, "token", "_b")
-    shared = salted_join(offered, asked, ["gram"], ["token"]).groupBy("word", "token", "_a", "_b").agg(F.count(F.lit(1)).alias("_n"))
-    scored = shared.withColumn("similarity", F.col("_n") / (F.col("_a") + F.col("_b") - F.col("_n"))).where(F.col("similarity") >= threshold)
+    asked, offered = words.select("word").where("word is not null").distinct(), vocabulary.select("token").where("token is not null").distinct()
+    sides = asked.select(F.col("word").alias("s"), F.lit(0).alias("side")).union(offered.select(F.col("token").alias("s"), F.lit(1).alias("side")))
+    grams = cut(sides.select("s", "side", F.explode(X.ngrams(F.col("s"), n)).alias("gram")), "grams")
+    often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    ranked = salted_join(grams, often, ["gram"], ["s"]).groupBy("s", "side").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g"))
+    sets = cut(ranked.select("s", "side", F.transform("g", lambda x: x["gram"]).alias("g"), F.size("g").alias("size")), "gram_sets")
+    # one gram less than the threshold asks for is left out, so that rounding loses no pair
+    first = F.slice("g", 1, F.least(F.col("size"), F.col("size") - F.ceil(F.col("size") * F.lit(threshold)) + 2).cast("int"))
+    prefix = sets.select("side", "s", "size", "g", F.posexplode(first).alias("at", "gram"))
+    left = prefix.where("side = 0").select("gram", F.col("s").alias("word"), F.col("size").alias("a"), F.col("g").alias("x"), F.col("at").alias("i"))
+    right = prefix.where("side = 1").select("gram", F.col("s").alias("token"), F.col("size").alias("b"), F.col("g").alias("y"), F.col("at").alias("j"))
+    room = F.least(F.col("a") - F.col("i"), F.col("b") - F.col("j")) + F.least("i", "j")
+    fits = (F.col("a") >= F.col("b") * threshold - 1e-9) & (F.col("b") >= F.col("a") * threshold - 1e-9) & (room * (1 + threshold) >= (F.col("a") + F.col("b")) * threshold - 1e-9)
+    met = right.join(left, "gram").where(fits).dropDuplicates(["word", "token"])
+    common = F.size(F.array_intersect("x", "y"))
+    scored = met.withColumn("similarity", common / (F.col("a") + F.col("b") - common)).where(F.col("similarity") >= threshold)
     return top_per_key(scored.select("word", "token", "similarity"), ["word"], [F.desc("similarity"), F.asc("token")], limit, ["token"])
 
 
@@ -235,17 +244,47 @@ def line_search(
 
 
 def fuzzy_matches(words: DataFrame, candidates: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """Rows (word, candidate, similarity) by edit distance.
+    """Rows (word, candidate, similarity) by edit distance, case aside; ``threshold`` must be above 0.
 
-    Two strings can only reach the threshold if the shorter is at least that share of the longer, so each
-    word asks for the lengths it can match, with one character to spare for rounding, and pairs are formed per length.
+    For two lengths the threshold allows a number d of edits. A candidate is cut into d + 1 even segments, one of which d edits
+    leave whole, so a word has to hold it, at most a few places away. Words and candidates meet on those segments and on
+    nothing else; where lengths are so short that d edits can change everything, they meet on their lengths. Nulls match
+    nothing.
     """
-    n = F.length("word")
-    asked = words.select("word").distinct().withColumn("_len", F.explode(F.sequence(
-        F.greatest(F.floor(n * F.lit(threshold)) - 1, F.lit(0)).cast("int"), (F.ceil(n / F.lit(threshold)) + 1).cast("int"))))
-    given = candidates.select("candidate").distinct().withColumn("_len", F.length("candidate"))
-    pairs = salted_join(given, asked, ["_len"], ["candidate"]).drop("_len")
-    return pairs.withColumn("similarity", X.similarity(F.col("word"), F.col("candidate"))).where(F.col("similarity") >= threshold)
+    if threshold <= 0:
+        raise ValueError("every string is similar at a threshold of 0 or below")
+    asked = _segments(words.select("word").where("word is not null").distinct(), "word", threshold, True)
+    given = _segments(candidates.select("candidate").where("candidate is not null").distinct(), "candidate", threshold, False)
+    met = given.join(asked, "key").select("word", "candidate").distinct()
+    return met.withColumn("similarity", X.similarity(F.col("word"), F.col("candidate"))).where(F.col("similarity") >= threshold)
+
+
+def _segments(df: DataFrame, name: str, threshold: float, asks: bool) -> DataFrame:
+    """(name, key): the segments of a candidate for each length of a word that may match it, or what a word has where they might be."""
+    own, text = F.length(name), F.lower(name)
+    other = F.sequence(F.floor(own * F.lit(threshold)).cast("int"), F.ceil(own / F.lit(threshold)).cast("int"))
+    rows = df.select(name, text.alias("t"), F.length(text).alias("own"), own.alias("given"), F.explode(other).alias("other"))
+    a, b = ("given", "other") if asks else ("other", "given")  # lengths of the word and of the candidate
+    edits = F.floor((1 - F.lit(threshold)) * F.greatest("given", "other") + 1e-9).cast("int")
+    rows = rows.select(name, "t", F.col(a).alias("a"), F.col(b).alias("b"), edits.alias("d")).where(F.abs(F.col("a") - F.col("b")) <= F.col("d"))
+    lengths = [F.col("a"), F.col("b")]
+    short = rows.where(F.col("d") >= F.col("b")).select(name, F.struct(*lengths, F.lit(-1).alias("i"), F.lit("").alias("part")).alias("key"))
+    cuts = rows.where(F.col("d") < F.col("b")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("d"))))
+    base = F.floor(F.col("b") / (F.col("d") + 1)).cast("int")
+    small = F.col("d") + 1 - F.col("b") % (F.col("d") + 1)  # the first segments are one shorter than the rest
+    start = F.col("i") * base + F.greatest(F.col("i") - small, F.lit(0))
+    size = base + (F.col("i") >= small).cast("int")
+    if asks:
+        # edits before the segment move it by as many places at most, those after it likewise from the other end
+        moved = F.col("a") - F.col("b")
+        low = F.greatest(F.lit(0), start - F.col("i"), start + moved - (F.col("d") - F.col("i")))
+        high = F.least(F.col("a") - size, start + F.col("i"), start + moved + (F.col("d") - F.col("i")))
+        cuts = cuts.withColumns({"low": low, "high": high, "size": size}).where("low <= high").withColumn("start", F.explode(F.sequence(F.col("low"), F.col("high"))))
+    else:
+        cuts = cuts.withColumns({"start": start, "size": size})
+    part = F.substring("t", F.col("start") + 1, F.col("size"))
+    keys = cuts.select(name, F.struct(*lengths, "i", part.alias("part")).alias("key"))
+    return short.union(keys).distinct()
 
 
 def prefix_lines(matches: DataFrame, prefix: str, key: str = "doc_id", per_token: int = 5, limit: int = 30) -> DataFrame:

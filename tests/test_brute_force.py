@@ -193,3 +193,43 @@ def test_long_lines_and_common_words_are_found(spark):
     tokens = search.line_tokens(lines)
     assert search.line_search(lines, tokens, "needle").count() == 1
     assert search.line_search(lines, tokens, "common", limit=2000).count() == 999
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i] + [0] * len(b), row
+        for j, y in enumerate(b, 1):
+            row[j] = min(row[j - 1] + 1, old[j] + 1, old[j - 1] + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.7, 0.8, 0.9, 1.0])
+def test_fuzzy_matches_find_every_pair(spark, threshold):
+    from millrace.operators import search
+
+    rng = random.Random(int(threshold * 10))
+    make = lambda: "".join(rng.choice("abAc") for _ in range(rng.choice([0, 1, 2, 3, 5, 7, 9, 14])))
+    words, others = {make() for _ in range(60)}, {make() for _ in range(120)}
+    frames = spark.createDataFrame([(w,) for w in [*words, None]], "word string"), spark.createDataFrame([(c,) for c in [*others, None]], "candidate string")
+    got = {(r.word, r.candidate): r.similarity for r in search.fuzzy_matches(*frames, threshold).collect()}
+    want = {}
+    for w in words:
+        for c in others:
+            s = 1 - _edits(w.lower(), c.lower()) / max(len(w), len(c)) if w or c else 1.0
+            if s >= threshold:
+                want[w, c] = s
+    assert got == want
+
+
+@pytest.mark.parametrize("threshold", [0.1, 0.4, 0.7, 1.0])
+def test_similar_tokens_find_every_pair(spark, threshold):
+    from millrace.operators import search
+
+    rng = random.Random(9)
+    make = lambda: "th" + "".join(rng.choice("abcde") for _ in range(rng.randrange(9)))
+    words, others = {make() for _ in range(40)}, {make() for _ in range(200)} | {"th"}
+    grams = lambda w: {f"$${w}$$"[i : i + 3] for i in range(len(w) + 2)}
+    got = search.similar_tokens(spark.createDataFrame([(c,) for c in [*others, None]], "token string"), spark.createDataFrame([(w,) for w in words], "word string"), threshold, 10_000)
+    want = {(w, c): len(grams(w) & grams(c)) / len(grams(w) | grams(c)) for w in words for c in others}
+    assert {(r.word, r.token): r.similarity for r in got.collect()} == {k: v for k, v in want.items() if v >= threshold}

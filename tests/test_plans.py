@@ -204,3 +204,26 @@ def test_cooldown_on_a_key_that_is_never_quiet(spark, monkeypatch):
                 last = t
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert silences.firings(spark.createDataFrame([], "key string, t double"), ["key"], "t", 7.0, F.floor(F.col("_at") / 30)).count() == 0
+
+
+def test_pivots_are_refined_until_intervals_are_small(spark, monkeypatch):
+    """Several keys and ranks at once: every round starts from the rows of the intervals that hold a rank, and from no others."""
+    rng = random.Random(6)
+    rows = [("hot", float(rng.randrange(10**6))) for _ in range(9000)] + [("small", float(i % 9)) for i in range(50)] + [(None, 4.0)]
+    df = spark.createDataFrame(rows, "key string, x double")
+    counts = df.groupBy(F.struct("key").alias("_k"), F.col("x").alias("_v")).agg(F.count("*").alias("_c")).withColumn("_iv", F.lit(0).cast("long"))
+    wants = counts.groupBy("_k").agg(F.sum("_c").alias("n")).select(
+        "_k", F.lit(0).cast("long").alias("_iv"), F.explode(F.array(F.struct(F.lit("a").alias("_rank"), F.lit(1).cast("long").alias("_want")), F.struct(F.lit("b").alias("_rank"), F.ceil(F.col("n") / 2).alias("_want"))))
+    ).select("_k", "_iv", "col.*")
+    left, _, sizes = ranks.refined(counts, wants, leaf=20, buckets=8)
+    assert len(sizes) >= 4 and all(b < a for a, b in zip(sizes, sizes[1:])) and sizes[-1] < 100
+    assert left.groupBy("_k", "_iv").count().agg(F.max("count")).first()[0] <= 20
+    monkeypatch.setattr(ranks, "LEAF", 20)
+    got = {r.key: r for r in ranks.index_quantiles(df, "x", {"low": 0.0, "q1": 0.25, "p99": 0.99}, ["key"]).collect()}
+    for key in ("hot", "small", None):
+        own = sorted(x for k, x in rows if k == key)
+        assert got[key].n == len(own) and [got[key].low, got[key].q1, got[key].p99] == [own[0], own[len(own) // 4], own[int(len(own) * 0.99)]]
+    assert ranks.index_quantiles(df.where("false"), "x", {"q": 0.5}).count() == 0
+    ordered = {r.x: r["rank"] for r in ranks.value_ranks(df, "x", descending=False).collect()}
+    every = sorted(x for _, x in rows)
+    assert all(ordered[x] == every.index(x) + 1 for x in every[:: 500])
