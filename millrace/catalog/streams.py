@@ -1,4 +1,4 @@
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from millrace.catalog import Family, Tables
 from millrace.catalog.state import SESSIONS
@@ -16,6 +16,14 @@ def events(spark, sf):
     return R.event_time(R.read_stream(spark, sf, schema, "events.parquet"))
 
 
+def arrivals(spark, sf, folder):
+    """The events in three instalments, ten days each; each is written to the folder when the one before has been taken."""
+    table = Tables(spark, sf).events
+    for k in range(3):
+        table.where(F.least(F.floor((F.dayofmonth("ts") - 1) / 10), F.lit(2)) == k).write.mode("append").parquet(folder)
+        yield R.event_time(R.read_stream(spark, folder, table.schema))
+
+
 def topic_col():
     return F.concat_ws(".", F.lit("shop"), "event_type", F.when(F.col("value") > 60, "g0").when(F.col("value") > 20, "g1").otherwise("g2"))
 
@@ -27,23 +35,33 @@ def _(spark, sf):
     return R.land(s.select("event_id", topic_col().alias("topic")), "topics")
 
 
-@family.add("r02_dedup_stream", "select user_id, props, count(*) > 0 as seen from events group by 1, 2")
+@family.add("r02_dedup_stream", """
+with recursive e as (select user_id, props, epoch_us(ts) as t, row_number() over (partition by user_id, props order by ts, event_id) as rn from events),
+f as (select user_id, props, t, rn, t as last, true as passes from e where rn = 1
+  union all select e.user_id, e.props, e.t, e.rn, case when e.t - f.last >= 432000000000 then e.t else f.last end, e.t - f.last >= 432000000000 from f join e on e.user_id = f.user_id and e.props = f.props and e.rn = f.rn + 1)
+select user_id, props, count(*) as passed from f where passes group by 1, 2""")
 def _(spark, sf):
-    s = events(spark, sf).withColumn("h", R.payload_hash(F.col("props")))
-    kept = R.deduplicate(s, ["user_id", "h"], within="60 days").select("user_id", "props")
-    return R.land(kept, "dedup").withColumn("seen", F.lit(True))
+    folder, out, marks = (scratch_path(spark, label) for label in ("in", "dedup", "dedup-marks"))
+    for s in arrivals(spark, sf, folder):
+        s = s.select("event_id", "user_id", "props", R.payload_hash(F.col("props")).alias("h"), seconds_col().alias("t"))
+        kept = R.land(R.first_in_window(s, ["user_id", "h"], "t", "event_id", 5 * 86400), "dedup", out=out, checkpoint=marks)
+    return kept.groupBy("user_id", "props").agg(F.count("*").alias("passed"))
 
 
 @family.add("r03_micro_batches", """
-with d as (select user_id % 10 as e, event_type, props, min(event_id) as id from events group by 1, 2, 3), k as (select d.*, row_number() over (partition by e, d.event_type order by ts, id) as rn from d join events on event_id = id)
-select 'u' || e as endpoint, case when count(*) > 1 then event_type || '.batch' else event_type end as event, ceil(rn / 100.0)::bigint as batch, count(*) as count from k group by e, event_type, ceil(rn / 100.0)""")
+with d as (select user_id % 10 as e, event_type, props, min_by(event_id, (ts, event_id)) as id from events group by 1, 2, 3),
+k as (select d.*, least((day(ts) - 1) // 10, 2) as part, row_number() over (partition by e, d.event_type, least((day(ts) - 1) // 10, 2) order by ts, id) as rn from d join events on event_id = id)
+select 'u' || e as endpoint, case when count(*) > 1 then event_type || '.batch' else event_type end as event, part::int as batch_id, ceil(rn / 5.0)::bigint as batch, count(*) as count from k group by e, event_type, part, ceil(rn / 5.0)""")
 def _(spark, sf):
-    s = events(spark, sf).select(
-        F.col("event_id").alias("message_id"), F.concat(F.lit("u"), F.col("user_id") % 10).alias("endpoint"), F.col("event_type").alias("event"), "ts",
-        F.col("props").alias("payload"), (F.col("user_id") % 4).alias("priority"))
-    root = scratch_path(spark, "batches")
-    R.batch_deliveries(s, root)
-    return spark.read.parquet(root).select("endpoint", "event", "batch", "count")
+    folder, root, marks = (scratch_path(spark, label) for label in ("in", "batches", "batches-marks"))
+    for s in arrivals(spark, sf, folder):
+        s = s.select(
+            F.col("event_id").alias("message_id"), F.concat(F.lit("u"), F.col("user_id") % 10).alias("endpoint"), F.col("event_type").alias("event"), "ts",
+            F.col("props").alias("payload"), (F.col("user_id") % 4).alias("priority"))
+        R.batch_deliveries(s, root, 5, marks, window=90 * 86400)
+    ids = spark.read.parquet(root).select("batch_id").distinct()
+    order = ids.select("batch_id", (F.dense_rank().over(W.orderBy("batch_id")) - 1).alias("part"))  # a row per micro-batch
+    return spark.read.parquet(root).join(order, "batch_id").select("endpoint", "event", F.col("part").alias("batch_id"), "batch", "count")
 
 
 @family.add("r04_delayed_stream", "select event_id, event_type from events where epoch_ms(ts) + 864000000 < (select epoch_ms(max(ts)) from events)")
@@ -73,8 +91,11 @@ def _(spark, sf):
 with z as (select event_id, abs(value - avg(value) over w) / nullif(stddev_samp(value) over w, 0) as z, count(*) over w as n from events window w as (partition by event_type order by ts range between interval 1 day preceding and current row))
 select event_id, round(z, 6) as zscore from z where n >= 10 and z > 3""")
 def _(spark, sf):
-    s = events(spark, sf).select("event_id", "event_type", seconds_col().alias("t"), "value")
-    return R.land(R.live_anomalies(s, "event_type", "t", "value", 86400), "live").select("event_id", F.round("zscore", 6).alias("zscore"))
+    folder, out, marks = (scratch_path(spark, label) for label in ("in", "live", "live-marks"))
+    for s in arrivals(spark, sf, folder):
+        s = s.select("event_id", "event_type", seconds_col().alias("t"), "value")
+        found = R.land(R.live_anomalies(s, "event_type", "t", "value", 86400), "live", out=out, checkpoint=marks)
+    return found.select("event_id", F.round("zscore", 6).alias("zscore"))
 
 
 @family.add("r08_windows_stream", """

@@ -11,11 +11,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from millrace.functions.predicates import topic_matches
 from millrace.operators.aggregates import aggregate_similar
-from millrace.operators.sets import payload_dedup
 from millrace.operators.state import delivery_split
+from millrace.plans.silences import replay
 from millrace.session import scratch_path
 
 
@@ -31,10 +32,11 @@ def event_time(stream: DataFrame, col: str = "ts") -> DataFrame:
     return stream.withColumn(col, F.col(col).cast("timestamp"))
 
 
-def land(stream: DataFrame, label: str, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Runs an append stream over what is available now and returns the written table."""
+def land(stream: DataFrame, label: str, partition_by: Sequence[str] = (), out: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Runs an append stream over what is available now and returns the written table; with the folders of an earlier run it goes
+    on from there."""
     spark = stream.sparkSession
-    out, marks = scratch_path(spark, label), scratch_path(spark, f"{label}-checkpoint")
+    out, marks = out or scratch_path(spark, label), checkpoint or scratch_path(spark, f"{label}-checkpoint")
     query = (
         stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", marks)
         .partitionBy(*partition_by).trigger(availableNow=True).start()
@@ -59,6 +61,54 @@ def deduplicate(stream: DataFrame, keys: Sequence[str], at: str = "ts", within:
     return stream.withWatermark(at, within).dropDuplicatesWithinWatermark(list(keys))
 
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _stateful(stream: DataFrame, keys: Sequence[str], at: str, late: str, processor: StatefulProcessor, schema: T.StructType) -> DataFrame:
+    """Runs a processor per key in event time; ``at`` is in seconds. Rows older than the watermark are late and left out."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    timed = stream.withColumn("_t", F.timestamp_micros((F.col(at) * 1_000_000).cast("bigint"))).withWatermark("_t", late)
+    return timed.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "EventTime")
+
+
+class _Quiet(StatefulProcessor):
+    """Lets a row of a key pass unless one passed less than ``window`` seconds before; forgets a key that has been silent that long."""
+
+    def __init__(self, at: str, tie: str, window: float, names: list[str]) -> None:
+        self.at, self.tie, self.window, self.names = at, tie, window, names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "at double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows)).sort_values([self.at, self.tie], kind="stable")
+        last = self.last.get()[0] if self.last.exists() else float("-inf")
+        passed = replay(pdf[self.at].to_numpy(float), last, self.window)
+        if passed:
+            self.last.update((passed[-1],))
+            self.handle.registerTimer(int(np.ceil((passed[-1] + self.window) * 1000)))
+        yield pdf.drop_duplicates(self.at)[lambda d: d[self.at].isin(passed)][self.names]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.last.exists() and int(np.ceil((self.last.get()[0] + self.window) * 1000)) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.last.clear()
+        yield pd.DataFrame(columns=self.names)
+
+    def close(self) -> None:
+        pass
+
+
+def first_in_window(stream: DataFrame, keys: Sequence[str], at: str, tie: str, window: float, late: str = "0 seconds") -> DataFrame:
+    """Drops rows whose keys passed less than ``window`` seconds before, also in earlier micro-batches.
+
+    ``at`` is in seconds; rows of one trigger are taken in the order of (at, tie). A row that passes starts the window anew,
+    one that is dropped does not. The state is one number a key, and goes when the watermark has passed its window. Keys
+    must not be null; columns of the stream stay as they are.
+    """
+    return _stateful(stream, keys, at, late, _Quiet(at, tie, window, stream.columns), stream.schema)
+
+
 def payload_hash(payload: Column) -> Column:
     return F.sha2(F.coalesce(F.to_json(F.try_parse_json(payload)), payload), 256)
 
@@ -87,20 +137,23 @@ def route(stream: DataFrame, subscriptions: DataFrame, topic: str, pattern: str
     return routed(stream, subscriptions, topic, pattern)
 
 
-def batch_deliveries(stream: DataFrame, root: str, size: int = 100, checkpoint: str | None = None) -> None:
-    """Per micro-batch: payload duplicates go, similar events of one endpoint merge in runs of ``size``.
+def batch_deliveries(stream: DataFrame, root: str, size: int = 100, checkpoint: str | None = None, window: float = 300) -> None:
+    """Payload duplicates of ``window`` seconds go, whatever micro-batch their first copy came in; then, per micro-batch, similar
+    events of one endpoint merge in runs of ``size``.
 
     Writes one folder per batch id, so a repeated batch replaces its own output.
     """
     from millrace.operators.aggregates import in_batches
 
+    timed = stream.withColumns({"payload_hash": payload_hash(F.col("payload")), "sent_at": F.unix_micros(F.col("ts").cast("timestamp")) / 1e6})
+    fresh = first_in_window(timed, ["endpoint", "event", "payload_hash"], "sent_at", "message_id", window).drop("payload_hash", "sent_at")
+
     def work(batch: DataFrame, batch_id: int) -> None:
-        kept = payload_dedup(batch, "payload", ["endpoint", "event"], ["ts", "message_id"])
-        parted = in_batches(kept, ["endpoint", "event"], ["ts", "message_id"], F.to_date("ts"), size)
+        parted = in_batches(batch, ["endpoint", "event"], ["ts", "message_id"], F.to_date("ts"), size)
         merged = aggregate_similar(parted, ["endpoint", "batch"], "event", "payload", "ts", "priority")
         merged.write.mode("overwrite").parquet(f"{root}/batch_id={batch_id}")
 
-    each_batch(stream, work, "deliveries", checkpoint)
+    each_batch(fresh, work, "deliveries", checkpoint)
 
 
 def dead_letters(stream: DataFrame, root: str, checkpoint: str | None = None) -> None:
@@ -158,31 +211,56 @@ def limiter(stream: DataFrame, client: str, at: str, limit: int, width: float) -
     return stream.groupBy(client).applyInPandasWithState(decide, schema, "held array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
-def live_anomalies(stream: DataFrame, metric: str, at: str, value: str, width: float = 300, threshold: float = 3.0, min_samples: int = 10) -> DataFrame:
-    """Points beyond ``threshold`` sample deviations of their metric's trailing window.
-
-    The state of a metric is the points of one window. Rows of a trigger are taken in time order.
+class _Watch(StatefulProcessor):
+    """Scores the points of a metric; the state is the points of one window, and goes when they have left it."""
+
+    def __init__(self, at: str, value: str, width: float, threshold: float, least: int, names: list[str]) -> None:
+        self.at, self.value, self.width, self.threshold, self.least, self.names = at, value, width, threshold, least, names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.points = handle.getValueState("points", "at array<double>, value array<double>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows)).sort_values(self.at, kind="stable")
+        held = [np.array(x, float) for x in self.points.get()] if self.points.exists() else [np.zeros(0), np.zeros(0)]
+        t, v = np.concatenate([held[0], pdf[self.at].to_numpy(float)]), np.concatenate([held[1], pdf[self.value].to_numpy(float)])
+        order = np.argsort(t, kind="stable")  # a late point takes its place
+        t, v = t[order], v[order]
+        own_t, own_v = pdf[self.at].to_numpy(float), pdf[self.value].to_numpy(float)
+        first, last = np.searchsorted(t, own_t - self.width, "left"), np.searchsorted(t, own_t, "right")
+        x = v - v.mean()
+        sums, squares = (np.concatenate([[0], np.cumsum(a)]) for a in (x, x * x))
+        n = last - first
+        mean = (sums[last] - sums[first]) / n
+        spread = squares[last] - squares[first] - n * mean * mean
+        with np.errstate(divide="ignore", invalid="ignore"):
+            scores = np.abs(own_v - v.mean() - mean) / np.sqrt(spread / (n - 1))
+        found = (n >= self.least) & (spread > 1e-13 * squares[-1]) & (scores > self.threshold)
+        keep = t >= t[-1] - self.width
+        self.points.update((t[keep].tolist(), v[keep].tolist()))
+        self.handle.registerTimer(int(np.ceil((t[-1] + self.width) * 1000)))
+        yield pdf.assign(zscore=scores)[found][self.names]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.points.exists() and int(np.ceil((self.points.get()[0][-1] + self.width) * 1000)) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.points.clear()
+        yield pd.DataFrame(columns=self.names)
+
+    def close(self) -> None:
+        pass
+
+
+def live_anomalies(
+    stream: DataFrame, metric: str, at: str, value: str, width: float = 300, threshold: float = 3.0, min_samples: int = 10, late: str = "0 seconds"
+) -> DataFrame:
+    """Points beyond ``threshold`` sample deviations of their metric's trailing window; ``at`` is in seconds.
+
+    Windows are differences of running sums over the points of one window and those that arrived. Rows of a trigger are
+    taken in time order.
     """
     schema = T.StructType([*stream.schema.fields, T.StructField("zscore", T.DoubleType())])
-
-    def watch(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times, values = (np.array(x, dtype=float) for x in (state.get if state.exists else ([], [])))
-        pdf = pd.concat(list(batches)).sort_values(at, kind="stable")
-        new_t, new_v = pdf[at].to_numpy(float), pdf[value].to_numpy(float)
-        t, v = np.concatenate([times, new_t]), np.concatenate([values, new_v])
-        scores = np.full(len(new_t), np.nan)
-        first = np.searchsorted(t, new_t - width, side="left")
-        last = np.searchsorted(t, new_t, side="right")
-        for i, (a, b) in enumerate(zip(first, last)):
-            if b - a >= min_samples:
-                spread = v[a:b].std(ddof=1)
-                if spread > 0:
-                    scores[i] = abs(new_v[i] - v[a:b].mean()) / spread
-        keep = t >= t.max() - width if len(t) else np.array([], dtype=bool)
-        state.update((t[keep].tolist(), v[keep].tolist()))
-        yield pdf.assign(zscore=scores)[scores > threshold]
-
-    return stream.groupBy(metric).applyInPandasWithState(watch, schema, "times array<double>, points array<double>", "append", GroupStateTimeout.NoTimeout)
+    return _stateful(stream, [metric], at, late, _Watch(at, value, width, threshold, min_samples, schema.names), schema)
 
 
 def delayed(stream: DataFrame, key: str, at: str, due: str, late: str = "0 seconds", bucket: float = 3600, slots: int = 16) -> DataFrame:

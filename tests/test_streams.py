@@ -68,3 +68,22 @@ def test_ingest_takes_files_once(spark, data):
         R.ingest(s, F.col("value") > 5, root, marks)
     total = spark.read.parquet(f"{root}/processed").count() + spark.read.parquet(f"{root}/failed").count()
     assert total == spark.read.parquet(f"{data}/events.parquet").count()
+
+
+def test_repeats_pass_again_after_their_window(spark):
+    """Over four micro-batches: repeats of earlier batches are dropped, late rows too, and a silent key's state goes."""
+    folder, out, marks = (scratch_path(spark, label) for label in ("in", "quiet", "quiet-marks"))
+    parts = [
+        [("a", 1000.0, 1), ("a", 1005.0, 2), ("b", 1006.0, 3), ("b", 1006.0, 4)],
+        [("a", 1009.5, 5), ("a", 1012.0, 6), ("c", 1013.0, 7)],
+        [("a", 1021.9, 8), ("b", 1100.0, 9), ("late", 1002.0, 10)],
+        [("a", 1101.0, 11), ("b", 1109.0, 12), ("b", 1110.0, 13), ("late", 1003.0, 14)],
+    ]
+    schema = "k string, t double, id int"
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+        stream = R.read_stream(spark, folder, spark.createDataFrame([], schema).schema)
+        R.land(R.first_in_window(stream, ["k"], "t", "id", 10.0), "quiet", out=out, checkpoint=marks)
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 3, 6, 7, 9, 11, 13]
+    state = spark.read.format("statestore").option("path", marks).option("stateVarName", "last").load()
+    assert state.count() == 2  # a and b; c and the late key are forgotten
