@@ -176,29 +176,53 @@ def test_encoding_and_decoding_equal_the_library(spark, frame, library, data):
     assert bpe.encode_decode(frame("i int, text string", []), vocabulary()).count() == 0
 
 
-def test_round_trip_to_plain_text(frame):
-    coder = bpe.load(vocabulary())
-    machine = bpe.Decoder(coder.vocab, coder.special, coder.suffix, joined=False)
+def test_round_trip_to_plain_text():
+    tables = bpe.load(vocabulary())
+    coder, machine = bpe.Transducer(tables), bpe.Decoder(tables, joined=False)
     text = "naïve café 日本語 straße \U0001F600"
-    whole = "".join(machine.push([i]) for i in coder.encode(text)) + machine.close()
+    ids = coder.encode(text)
+    whole = "".join(machine.push([i]) for i in ids) + machine.close()
     assert whole.split() == text.split()
-    assert machine.push([coder.vocab["æĹ"]]) == "" and machine.close() == "\ufffd"
+    assert machine.push([int(tables.inner[0xE6])]) == "" and machine.close() == "\ufffd"
+
+
+def test_tokens_are_emitted_before_the_text_ends(library):
+    """What ``push`` returns is final and comes early: a text of any length leaves at most a word open."""
+    coder = bpe.Transducer(bpe.load(vocabulary()))
+    rng = random.Random(4)
+    text = " ".join("".join(rng.choice("abcdehiorstßé'!") for _ in range(rng.randrange(1, 14))) for _ in range(4000))
+    want = library.encode(text, add_special_tokens=False).ids
+    got = []
+    for at in range(0, len(text), 100):
+        got += np.frombuffer(coder.push(text[at : at + 100]), np.int32).tolist()
+        assert got == want[: len(got)]
+    assert len(want) - len(got) < 20 and got + np.frombuffer(coder.close(), np.int32).tolist() == want
+    parts = list(coder.long_word(("thethinghe" * 3000).encode()))  # one word, window by window
+    assert len(parts) > 10 and np.frombuffer(b"".join(parts), np.int32).tolist() == library.encode("thethinghe" * 3000, add_special_tokens=False).ids
+
+
+def test_cache_is_bounded_in_bytes(monkeypatch, library):
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 20_000)
+    coder = bpe.Transducer(bpe.load(vocabulary()))
+    for k in range(40):
+        text = " ".join(f"word{k}x{i}" for i in range(50)) + " again and again"
+        assert coder.encode(text) == library.encode(text, add_special_tokens=False).ids
+        assert len(coder._young) < 250 and len(coder._old) < 250
 
 
 def test_lookahead_settles_every_token():
-    """On a small merge list: tokens that end the lookahead before the end of what is read never change."""
+    """On a small merge list: settled tokens of a beginning are those of every continuation, and most tokens are settled."""
     merges = [("a", "b"), ("b", "a"), ("ab", "ab"), ("c", "a"), ("abab", "c"), ("ba", "c")]
     vocab = {s: i for i, s in enumerate(dict.fromkeys([*bpe.byte_symbols(), *[a + b for a, b in merges]]))}
     spec = {"model": {"vocab": vocab, "merges": merges}, "pre_tokenizer": {"pretokenizers": [{"pattern": {"Regex": r"\S+"}}]}}
-    coder = bpe.Transducer(spec)
-    rng = random.Random(2)
-    for _ in range(500):
-        text = [rng.choice("abc") for _ in range(40)]
-        for cut in (10, 20, 30):
-            settled = 0
-            for one, two in zip(coder.merged(text[:cut]), coder.merged(text)):
-                settled += len(one)
-                if settled > cut - coder.lookahead:
-                    break
-                assert one == two
-    assert 2 <= coder.lookahead <= 20
+    coder = bpe.Transducer(bpe.Tables.of(spec))
+    assert coder.lookahead == 5
+    rng, early = random.Random(2), 0
+    for _ in range(300):
+        text = [vocab[rng.choice("abc")] for _ in range(80)]
+        whole = coder.merged(text)
+        for cut in (10, 20, 30, 60):
+            settled = coder.settled(text[:cut])
+            assert settled == whole[: len(settled)]
+            early += len(settled) > 0
+    assert early > 1100
