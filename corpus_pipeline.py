@@ -5,21 +5,25 @@ rejected documents go, one document of each near-duplicate group stays, and the
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from millrace.llm import bpe, jaccard, mixing, quality, toxicity
+from millrace.llm.batches import quoted
 from millrace.llm.queries import TOXIC_AT, vocabulary
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no rule of the cascade rejects."""
-    return quality.quality_cascade(docs, quality.plan_cascade(docs)).where("kept").select(*docs.columns)
+    """Documents that no rule of the cascade rejects; null and empty texts have too few words and go, repeated rows are judged alike."""
+    return quality.quality_cascade(docs, quality.plan_cascade(docs)).where("kept").select(*_columns(docs))
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score stays below the threshold; the model learns from the labelled rows among them."""
+    """Documents whose score stays below the threshold; the model learns from the labelled rows among them.
+
+    Null and empty texts score 0 and stay; repeated rows score alike. Without labels of both classes all stay.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    return toxicity.score(docs, toxicity.fit_from(docs, labels)).where(F.col("score") < TOXIC_AT).select(*docs.columns)
+    return toxicity.score(docs, toxicity.fit_from(docs, labels)).where(F.col("score") < TOXIC_AT).select(*_columns(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,20 +33,29 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     found = jaccard.similar_documents(docs.select("doc_id", "text"), size=5, similarity=80)
     first = found.where("doc_id = component_id").groupBy("doc_id").agg((F.count("*") > 1).alias("twice"))
-    kept = docs.select("doc_id", F.struct(*docs.columns).alias("row")).join(first, "doc_id")
+    kept = docs.select("doc_id", F.struct(*_columns(docs)).alias("row")).join(first, "doc_id")
     twice = kept.where("twice").groupBy("doc_id").agg(F.min_by("row", F.md5("row.text")).alias("row"))
     return kept.where("not twice").select("row.*").union(twice.select("row.*")).union(docs.where("doc_id is null"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, a document taken in part if at least half of it is taken."""
+    """Each document as often as the mix takes it, a document taken in part if at least half of it is taken.
+
+    Null and empty texts have no words and are not taken; a null source is a source; repeated rows are taken one by one.
+    """
     return mixing.repeated(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document's whole text, with the digests of ids and decoded text."""
-    coded = bpe.encode_decode(docs.select("doc_id", "lang", "source", "text"), vocabulary()).drop("text")
-    return bpe.digests(coded)
+    """Token count and digests of ids and decoded text of every document; null and empty texts have no token.
+
+    Of the other columns it returns doc_id, lang and source only, whatever else the documents have.
+    """
+    return bpe.digests(bpe.encode_decode(docs.select("doc_id", "lang", "source", "text"), vocabulary()).drop("text"))
+
+
+def _columns(docs: DataFrame) -> list[Column]:
+    return [F.col(quoted(c)) for c in docs.columns]
 
 
 STAGES = [

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from millrace.llm.batches import extended, slices
+from millrace.llm.batches import add_columns, extended, slices
 
 SAMPLE_ROWS = 2000
 WINDOW = 5
@@ -165,8 +165,8 @@ def quality_cascade(
     rules = [s.rule if isinstance(s, Step) else s for s in steps]
     added = {"kept": pa.bool_(), "failed_rule": pa.string(), "rules_run": pa.int32(), **{c: pa.int64() for c in always}}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece, texts in slices(batches, text):
+    def run(batches: Iterator[pa.RecordBatch], own: str) -> Iterator[pa.RecordBatch]:
+        for piece, texts in slices(batches, own):
             found: dict[str, list] = {c: [] for c in added}
             for t in texts:
                 doc, failed, ran = Text(t), None, 0
@@ -183,5 +183,4 @@ def quality_cascade(
             yield extended(piece, **{c: pa.array(v, added[c]) for c, v in found.items()})
 
     types = {"kept": T.BooleanType(), "failed_rule": T.StringType(), "rules_run": T.IntegerType(), **{c: T.LongType() for c in always}}
-    schema = T.StructType([f for f in docs.schema if f.name not in types] + [T.StructField(n, t) for n, t in types.items()])
-    return docs.mapInArrow(run, schema)
+    return add_columns(docs, text, [T.StructField(n, t) for n, t in types.items()], run)

@@ -20,13 +20,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from millrace.llm.batches import extended, slices
+from millrace.llm.batches import add_columns, extended, slices
 
 TRAIN_ROWS = 4000
 STEMS = (4, 5, 6)
 SENTENCE = re.compile(r"[.!?\n…。]+")
 WORD = re.compile(r"\w+")
-CACHED_WORDS = 400_000
+CACHED_WORDS = 40_000
 
 
 def word_features(word: str) -> list[tuple[int, str]]:
@@ -77,6 +77,18 @@ def _logit(p):
     return np.log(p) - np.log1p(-p)
 
 
+def carriers(model: Model, p: np.ndarray, least: float) -> list[tuple[int, float]]:
+    """(sentence, calibrated score) of the sentences that alone reach ``least``; where the document reaches it and none of them does,
+    the fewest highest ones whose noisy-or does."""
+    own = [model.document(p[k : k + 1]) if p[k] > 0 else 0.0 for k in range(len(p))]
+    chosen = [k for k, s in enumerate(own) if s >= least]
+    if not chosen and p.any() and model.document(p) >= least:
+        order = [int(k) for k in np.argsort(-p, kind="stable") if p[k] > 0]
+        enough = next(n for n in range(1, len(order) + 1) if n == len(order) or model.document(p[order[:n]]) >= least)
+        chosen = sorted(order[:enough])
+    return [(k, own[k]) for k in chosen]
+
+
 class Scorer:
     """Sentence scores of one model; a word's weight is looked up once while the bounded cache lasts."""
 
@@ -230,22 +242,22 @@ def fit_from(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", offending: float | None = None) -> DataFrame:
-    """Adds ``score`` (0 to 1) of each whole text and, with a threshold, ``offending``: start, end and score of the
-    sentences at or above it. Other columns stay; columns with these names are replaced. The model's size is
-    bounded by its training rows."""
+    """Adds ``score`` (0 to 1) of each whole text and, with a threshold, ``offending``: start, end and calibrated score of the
+    sentences at or above it, or of those that together bring the document there. Other columns stay; columns with these
+    names are replaced. The model's size is bounded by its training rows."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], own: str) -> Iterator[pa.RecordBatch]:
         model = sent.value
         scorer = Scorer(model)
-        for piece, texts in slices(batches, text):
+        for piece, texts in slices(batches, own):
             scores, found = [], []
             for t in texts:
                 where, p = scorer.sentence_scores(t)
                 scores.append(model.document(p))
                 if offending is not None:
-                    found.append([{"start": a, "end": b, "score": float(q)} for (a, b), q in zip(where, p) if q >= offending])
+                    found.append([{"start": where[k][0], "end": where[k][1], "score": q} for k, q in carriers(model, p, offending)])
             columns = {"score": pa.array(scores, pa.float64())}
             if offending is not None:
                 columns["offending"] = pa.array(found, spans)
@@ -255,5 +267,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", offending: float |
     if offending is not None:
         item = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())])
         new.append(T.StructField("offending", T.ArrayType(item)))
-    names = {f.name for f in new}
-    return docs.mapInArrow(run, T.StructType([f for f in docs.schema if f.name not in names] + new))
+    return add_columns(docs, text, new, run)

@@ -200,6 +200,21 @@ def test_pipeline_against_brute_force(spark):
     assert last.count() == kept.count() and {"doc_id", "n_tokens", "ids_sha256"} <= set(last.columns)
 
 
+def test_pipeline_on_awkward_rows(spark, frame, data):
+    """Nulls in every column, empty and very long texts, repeated rows and extra columns with names of all kinds."""
+    good = "one two three four five six seven eight nine ten eleven twelve number "
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, kept int, row string, `a.b` int, tokens int, piece string"
+    extra = ("s", 1, "r", 2, 3, "p")
+    texts = [None, "", " \n ", good + "a", good + "a", "w%d " * 3, " ".join(f"w{k}" for k in range(60_000)), good + "b c d e f g h"]
+    rows = [(i, t, None if i % 2 else "en", None if i % 3 else "src", None, *extra) for i, t in enumerate(texts)]
+    docs = frame(schema, rows + rows[3:4] + [(None, good + "z", None, None, None, *[None] * 6)])
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, stage(spark, docs, data).cache()
+        if name != "bpe":
+            assert docs.columns == before.columns
+    assert {r.doc_id for r in docs.collect()} <= {3, 6, 7, None} and docs.count() > 0
+
+
 def test_pipeline_without_documents(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
