@@ -32,8 +32,10 @@ def token_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """source, its rows and size, its target and the share of the schedule before and up to it, one row per source.
+def targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, block: int = BLOCK) -> DataFrame:
+    """source, its rows and size, its target, the slots that takes and the share of the schedule before and up to it, one row per source.
+
+    Shares are those of the slots, whole blocks, so a source of a few tokens has the share of one slot.
 
     Sources in order (code point, null last) weigh as ``weights``, repeating. A target stops at ``max_epochs`` times
     its source's size, and what it leaves over is shared again by weight: targets are min(cap, level * weight) at the
@@ -56,9 +58,12 @@ def targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) ->
     level = (F.col("_total") - F.col("_capped")) / F.col("_weight")
     rows = rows.withColumn("_level", F.max(F.when(F.col("cap") / F.col("weight") >= level, level)).over(everything))
     rows = rows.withColumn("target", F.least("cap", F.coalesce(F.col("_level") * F.col("weight"), F.col("cap"))))
-    share = F.when(F.col("_total") > 0, F.col("target") / F.col("_total")).otherwise(0.0)
+    rows = rows.withColumn("need", F.ceil(F.round("target") / block).cast("long"))
+    needs = F.sum("need").over(everything)
+    rows = rows.withColumn("_share", F.when(needs > 0, F.col("need") / needs).otherwise(0.0))
+    share = F.col("_share")
     rows = rows.withColumn("high", F.sum(share).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return rows.select("source", "n_docs", "source_size", "target", (F.col("high") - share).alias("low"), "high")
+    return rows.select("source", "n_docs", "source_size", "target", "need", (F.col("high") - share).alias("low"), "high")
 
 
 def schedule(goals: DataFrame, slots: int, block: int = BLOCK) -> DataFrame:
@@ -69,7 +74,7 @@ def schedule(goals: DataFrame, slots: int, block: int = BLOCK) -> DataFrame:
     """
     spark = goals.sparkSession
     grid = 1024
-    wide = goals.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * grid).cast("int"), F.least(F.floor(F.col("high") * grid), F.lit(grid - 1)).cast("int")))).where("target > 0")
+    wide = goals.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * grid).cast("int"), F.least(F.floor(F.col("high") * grid), F.lit(grid - 1)).cast("int")))).where("need > 0")
     # the integer part is taken off in two steps, so that the fraction stays precise for large slot numbers
     coarse = F.floor(F.col("id") / STRETCH)
     whole = PHI * STRETCH % 1
@@ -89,6 +94,16 @@ def schedule(goals: DataFrame, slots: int, block: int = BLOCK) -> DataFrame:
     return ranked.select("slot", F.col("key.source").alias("source"), rank.alias("rank"), tokens.alias("tokens")).where("tokens > 0")
 
 
+def enough_slots(goals: DataFrame) -> int:
+    """Slots in which every source gets all it needs.
+
+    Of n golden-ratio points two neighbours are less than 1.9 / n apart, so twice the sum of all needs is always enough; any
+    stretch of points misses a share by a few points at most, which mostly needs less.
+    """
+    needed, least = goals.where("need > 0").agg(F.sum("need"), F.min("need")).first()
+    return min(2 * needed, needed + -(-SLACK_SLOTS * needed // least)) + 1 if needed else 0
+
+
 def blocks(docs: DataFrame, goals: DataFrame, block: int = BLOCK, max_epochs: int = MAX_EPOCHS, key: str = "doc_id", seed: str = "mix") -> DataFrame:
     """Pieces (source, rank, row columns, first, tokens): which tokens of which document each block of a source holds.
 
@@ -123,10 +138,8 @@ def mix(docs: DataFrame, key: str = "doc_id", block: int = BLOCK, weights=WEIGHT
     ``docs`` has ``key``, ``source`` and ``text``; ``key`` need not be unique, each row is counted on its own.
     """
     numbered = cut(docs.select(key, "source", token_count(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("_row")), "sizes")
-    goals = cut(targets(numbered, weights, max_epochs), "targets")
-    total = goals.agg(F.coalesce(F.sum("target"), F.lit(0.0)), F.min(F.when(F.col("target") > 0, F.col("target")))).first()
-    # any stretch of golden-ratio points misses a share by a few points at most: some more slots fill every target
-    slots = int(total[0] // block + 1 + SLACK_SLOTS * total[0] / total[1]) if total[1] else 0
+    goals = cut(targets(numbered, weights, max_epochs, block), "targets")
+    slots = enough_slots(goals)
     plan = schedule(goals, slots, block)
     pieces = blocks(numbered, goals, block, max_epochs, key)
     on = [F.struct("source").alias("_key"), "rank"]

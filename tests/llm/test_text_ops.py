@@ -4,6 +4,7 @@ import math
 import re
 import zlib
 
+import numpy as np
 import pytest
 
 from millrace.llm import language, mixing, quality, toxicity
@@ -77,6 +78,14 @@ def test_toxicity_learns_words_and_finds_sentences(frame):
     assert [hit.text[s.start : s.end].strip() for s in hit.offending] == ["You are a grumbling scoundrel."]
 
 
+def test_a_toxic_document_always_has_an_offending_sentence():
+    model = toxicity.Model({0: {}}, 0.0, 2.0, 1.0)
+    p = np.array([0.1, 0.5, 0.0, 0.45])
+    assert model.document(p) > 0.85 and [k for k, _ in toxicity.carriers(model, p, 0.85)] == [1, 3]
+    assert [k for k, _ in toxicity.carriers(model, p, 0.7)] == [1] and toxicity.carriers(model, p, 0.99) == []
+    assert toxicity.carriers(model, np.zeros(3), 0.5) == [] and toxicity.carriers(model, np.zeros(0), 0.5) == []
+
+
 def test_toxicity_of_awkward_rows(spark, frame):
     model = toxicity.fit_from(frame(DOCS, ODD), frame("doc_id long, toxic int", []))
     got = toxicity.score(frame(DOCS, ODD), model)
@@ -192,3 +201,21 @@ def test_mixture_of_awkward_rows(frame):
     assert all(r.taken == 0 and r.target == 0 for r in mixing.mix(frame(DOCS, ODD[:3])).collect())
     out = mixing.repeated(frame(DOCS, ODD))
     assert out.columns == [c.split()[0] for c in DOCS.split(", ")] and out.where("doc_id = 5").count() in (1, 2, 3)
+
+
+def test_slots_follow_what_sources_need(frame):
+    """A source of one word beside a large one costs one slot, not a schedule as fine as its share of words."""
+    sized = frame("source string, size long", [("a", 1000)] * 400 + [("b", 1)])
+    goals = mixing.targets(sized)
+    assert mixing.enough_slots(goals) <= 2 * (400_000 // 64 + 2) + 1
+    rows = [(i, "w " * 1000, None, "a", None, None, None) for i in range(40)] + [(99, "w", None, "b", None, None, None)]
+    got = {r.doc_id: r.taken for r in mixing.mix(frame(DOCS, rows)).collect()}
+    assert got.pop(99) == 3 and sum(got.values()) == 39_998
+
+
+@pytest.mark.parametrize("needs", [[1] * 30, [1, 2, 500], [7, 1, 1, 90, 3]])
+def test_enough_slots_fill_every_source(frame, needs):
+    sized = frame("source string, size long", [(f"s{k:02}", 64 * n) for k, n in enumerate(needs)])
+    goals = mixing.targets(sized, weights=(1,), max_epochs=1)
+    plan = mixing.schedule(goals, mixing.enough_slots(goals), 64).groupBy("source").sum("tokens").collect()
+    assert {r.source: r["sum(tokens)"] for r in plan} == {f"s{k:02}": 64 * n for k, n in enumerate(needs)}
