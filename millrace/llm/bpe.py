@@ -32,10 +32,10 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from millrace.llm.batches import add_columns, extended, quoted, slices
 
-CACHE_BYTES = 8 << 20
+CACHE_BYTES = 16 << 20
 ENTRY_BYTES = 190
 PART = 1 << 16
-GROUP = 1 << 18
+GROUP = 1 << 19
 SHORT = 48
 CELLS = 1 << 18
 WINDOW = 2048
