@@ -30,13 +30,13 @@ from millrace.session import cut
 
 SHINGLE = 4
 SIMILARITY = 85
-BLOCK_SETS = 1024
-BLOCK_TOKENS = 1 << 20
+BLOCK_SETS = 512
+BLOCK_TOKENS = 1 << 19
 SAMPLE_SHARE = 16
 FREQUENT_AT = 3
 MAX_FREQUENT = 1 << 18
 FILTER_BITS = 1 << 23
-CACHED_WORDS = 500_000
+CACHED_WORDS = 60_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -159,10 +159,7 @@ def compare_groups(members: DataFrame, similarity: int = SIMILARITY) -> DataFram
         own = table.column("g").to_numpy()
         first = own == table.column("g1")[0].as_py()
         ids = table.column("id").to_numpy()
-        offsets = table.column("tokens").combine_chunks()
-        flat = offsets.flatten().to_numpy().view(np.uint64)
-        ends = offsets.offsets.to_numpy() - offsets.offsets[0].as_py()
-        sets = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+        sets = [row.values.to_numpy().view(np.uint64) for row in table.column("tokens")]
         left, right = np.flatnonzero(first), np.flatnonzero(~first)
         if not len(right) and table.column("g1")[0].as_py() == table.column("g2")[0].as_py():
             right = left
@@ -172,8 +169,12 @@ def compare_groups(members: DataFrame, similarity: int = SIMILARITY) -> DataFram
     return members.groupBy("g1", "g2").applyInArrow(run, "a long, b long")
 
 
-def _links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: int, width: int = 2048) -> list[tuple[int, int]]:
-    """Components of the links between the two sides, as (member, first) rows; sides may be the same."""
+def _links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: int, width: int = 512) -> list[tuple[int, int]]:
+    """Components of the links between the two sides, as (member, first) rows; sides may be the same.
+
+    Beside the tokens themselves this holds a sorted copy of them, then 8 bytes for every token that two sets share, then one
+    slice of ``width`` tokens of the product.
+    """
     same = left is right
     if not len(left) or not len(right):
         return []
@@ -185,28 +186,52 @@ def _links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similari
             if not len(left):
                 return []
             left, right = right, left
+        del union
     sides = left if same else np.concatenate([left, right])
-    tokens, place = np.unique(np.concatenate([sets[k] for k in sides]), return_inverse=True)
-    row = np.repeat(np.arange(len(sides)), [len(sets[k]) for k in sides])
-    shared = np.bincount(place) > 1
-    number = np.cumsum(shared) - 1
-    keep = shared[place]
-    row, column = row[keep], number[place[keep]]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
+    shared = _repeated(np.concatenate([sets[k] for k in sides]))
+    row, column = _cells([sets[k] for k in sides], shared)
     n_left = len(left)
     common = np.zeros((n_left, n_left if same else len(right)), np.float32)
-    for at in range(0, int(shared.sum()), width):
+    dense = np.zeros((len(sides), width), np.float32)
+    for at in range(0, len(shared), width):
         lo, hi = np.searchsorted(column, [at, at + width])
-        dense = np.zeros((len(sides), width), np.float32)
         dense[row[lo:hi], column[lo:hi] - at] = 1
         common += dense @ dense.T if same else dense[:n_left] @ dense[n_left:].T
+        dense[row[lo:hi], column[lo:hi] - at] = 0
     size_left = np.array([len(sets[k]) for k in left])
     size_right = size_left if same else np.array([len(sets[k]) for k in right])
-    hit = 100 * common >= similarity * (size_left[:, None] + size_right[None, :] - common)
+    hit = common >= -(-similarity * (size_left[:, None] + size_right[None, :]) // (100 + similarity))
     return _forest(hit, left, left if same else right, same)
 
 
+def _repeated(tokens: np.ndarray) -> np.ndarray:
+    """Sorted tokens that stand there twice or more; ``tokens`` is sorted in place."""
+    tokens.sort()
+    again = tokens[1:][tokens[1:] == tokens[:-1]]
+    return again[np.concatenate([[True], again[1:] != again[:-1]])] if len(again) else again
+
+
+def _cells(sets: list[np.ndarray], shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the tokens of ``sets`` that are in ``shared``, by column: 32-bit numbers, dealt by counting."""
+    ends = np.zeros(len(shared) + 1, np.int32)
+    for own in sets:
+        ends[1:][_columns(own, shared)] += 1
+    np.cumsum(ends, out=ends)
+    free, row = ends[:-1].copy(), np.zeros(int(ends[-1]), np.int32)
+    for k, own in enumerate(sets):
+        columns = _columns(own, shared)
+        row[free[columns]] = k
+        free[columns] += 1
+    return row, np.repeat(np.arange(len(shared), dtype=np.int32), np.diff(ends))
+
+
+def _columns(tokens: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    if not len(shared):
+        return np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(shared, tokens), len(shared) - 1)
+    return at[shared[at] == tokens]
+
+
 def _forest(hit: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool) -> list[tuple[int, int]]:
     """Links every element to the first of its component: labels spread along the rows and columns of the hits."""
     far = len(left) + len(right)
