@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from millrace.catalog import Family, Tables
+from millrace.operators.information import nearest_information
 from millrace.operators import clean as E, features as G
 
 family = Family()
@@ -142,9 +143,14 @@ def _(spark, sf):
     return out.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in ("l_quantity", "l_extendedprice", "l_tax")})
 
 
-@family.add("e12_quantile_normal")
+@family.add("e12_quantile_normal", """
+with v as (select event_id, coalesce(value, 0) as value, count(*) over () as n from events),
+m as (select event_id, value, n, rank() over (order by value) - 1 as below, count(*) over (partition by value) as same from v)
+select event_id, value, round(greatest(least((below + (same - 1) / 2.0) / greatest(n - 1, 1), 1 - 1e-7), 1e-7), 6) as share from m""")
 def _(spark, sf):
-    return G.quantile_normal(Tables(spark, sf).events.select("event_id", "value"), "value", "score")
+    # SQL has no inverse normal; the normal distribution function gives back the share that each score stands for
+    scored = G.quantile_normal(Tables(spark, sf).events.select("event_id", "value"), "value", "score")
+    return scored.select("event_id", "value", F.round(G.normal(F.col("score")), 6).alias("share"))
 
 
 @family.add("e13_normalise", """
@@ -174,10 +180,32 @@ def _(spark, sf):
     return out.select("column", F.when(F.col("column") == "p_retailprice", F.round("variance", 4)).otherwise(F.round("variance", 6)).alias("variance"))
 
 
-@family.add("e16_mutual_information")
+@family.add("e16_mutual_information", """
+with u as (select l_returnflag as y, unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']) as "column",
+  unnest([l_quantity::double, l_extendedprice::double, l_discount::double, l_tax::double]) as v from lineitem where l_returnflag is not null),
+r as (select "column", min(v) as lo, max(v) as hi from u group by 1),
+b as (select u."column", y, least(floor((v - lo) / case when hi > lo then hi - lo else 1.0 end * 16), 15) as bin from u join r on r."column" = u."column" where v is not null),
+j as (select "column", bin, y, count(*)::double as n from b group by all),
+k as (select *, sum(n) over (partition by "column", bin) as nx, sum(n) over (partition by "column", y) as ny, sum(n) over (partition by "column") as total from j)
+select "column", round(sum(n / total * ln(n * total / (nx * ny))), 9) as mi from k group by 1""")
 def _(spark, sf):
     lines = Tables(spark, sf).lineitem
-    return G.mutual_information(lines, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "l_returnflag")
+    found = G.mutual_information(lines, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "l_returnflag")
+    return found.withColumn("mi", F.round("mi", 9))
+
+
+@family.add("e16_nearest_information", """
+with c as (select row_number() over () as i, c_mktsegment as y, c_acctbal::double as x from customer where c_mktsegment is not null and c_acctbal is not null),
+z as (select y, count(*) as n from c group by 1 having count(*) > 1), o as (select c.*, z.n as size from c join z using (y)),
+d as (select a.i, a.x, a.size, abs(b.x - a.x) as r, row_number() over (partition by a.i order by abs(b.x - a.x)) as k from o a join o b on a.y = b.y and a.i <> b.i),
+n as (select i, x, size, max(r) as r, count(*) as k from d where k <= 3 group by all),
+m as (select n.i, n.size, n.k, count(*) as m from n join o b on abs(b.x - n.x) < n.r or (n.r = 0 and b.x = n.x) group by all),
+h as (select j + 1 as v, -0.5772156649015329 + sum(case when j > 0 then 1.0 / j else 0 end::double) over (order by j) as psi from range((select count(*) from o)) t(j))
+select 'c_acctbal' as "column", round(greatest(0.0, (select psi from h where v = (select count(*) from o)) + avg(hk.psi - hs.psi - hm.psi)), 9) as mi
+from m join h hk on hk.v = m.k join h hs on hs.v = m.size join h hm on hm.v = m.m""")
+def _(spark, sf):
+    found = nearest_information(Tables(spark, sf).customer, ["c_acctbal"], "c_mktsegment")
+    return found.withColumn("mi", F.round("mi", 9))
 
 
 @family.add("e17_clean_all")

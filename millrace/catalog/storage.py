@@ -1,3 +1,5 @@
+import uuid
+
 from pyspark.sql import functions as F
 
 from millrace.catalog import Family, Tables
@@ -38,13 +40,17 @@ def _(spark, sf):
     return S.read_any(spark, root).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@family.add("s04_gunzip", "select count(*) as lines, sum(n_chars)::bigint as chars from documents")
+@family.add("s04_gunzip", """
+select count(*) as texts, sum(len(encode(t)))::bigint as bytes, max(md5(t)) as last_digest from (select text || chr(10) as t from documents where text is not null)""")
 def _(spark, sf):
     root = scratch_path(spark, "gz")
-    Tables(spark, sf).documents.select(F.col("n_chars").cast("string").alias("value")).write.option("compression", "gzip").option("maxRecordsPerFile", 1_000_000).text(root)
+    escaped = F.regexp_replace(F.base64(F.encode("text", "UTF-8")), "\\s", "").alias("value")  # a line a text, whatever the text holds
+    texts = Tables(spark, sf).documents.where("text is not null").select(escaped)
+    texts.write.option("compression", "gzip").option("maxRecordsPerFile", 100_000).text(root)
     bodies = S.gunzip_files(spark.read.format("binaryFile").load(root))
-    lines = bodies.select(F.explode(F.split(F.rtrim(F.col("body").cast("string")), "\\s+")).alias("l")).where("l <> ''")
-    return lines.agg(F.count("*").alias("lines"), F.sum(F.col("l").cast("bigint")).alias("chars"))
+    lines = bodies.select(F.explode(F.split(F.rtrim(F.col("body").cast("string")), "\n")).alias("l"))
+    text = F.concat(F.decode(F.unbase64("l"), "UTF-8"), F.lit("\n"))
+    return lines.select(text.alias("t")).agg(F.count("*").alias("texts"), F.sum(F.octet_length("t")).cast("bigint").alias("bytes"), F.max(F.md5(F.encode("t", "UTF-8"))).alias("last_digest"))
 
 
 @family.add("s05_json_documents", "select r_regionkey::bigint as id, r_name as name, true as has_file from region")
@@ -146,7 +152,16 @@ def _(spark, sf):
     return spark.table("mr_counts")
 
 
-@family.add("k08_metrics_page")
+@family.add("k07_stored_table", "select n_regionkey, count(*) as n from nation group by 1")
+def _(spark, sf):
+    name = f"mr_stored_{uuid.uuid4().hex}"
+    counts = Tables(spark, sf).nation.groupBy("n_regionkey").agg(F.count("*").alias("n"))
+    return K.create_table_as(counts, name, temporary=False, path=scratch_path(spark, "table"))
+
+
+@family.add("k08_metrics_page", """
+with c as (select 'events_' || event_type as name, count(*) as n from events group by 1)
+select '# TYPE ' || name || ' counter' as value from c union all select name || ' ' || n from c""")
 def _(spark, sf):
     counts = Tables(spark, sf).events.groupBy(F.concat(F.lit("events_"), "event_type").alias("name")).agg(F.count("*").alias("value"))
     root = scratch_path(spark, "metrics")

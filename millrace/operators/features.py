@@ -1,6 +1,7 @@
 """Feature engineering: date parts, encoders, scalers, interactions, selection."""
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
@@ -158,6 +159,14 @@ def quantile_normal(df: DataFrame, col: str, at: str, bound: float = 1e-7) -> Da
     return salted_join(df, table, [col], spread)
 
 
+def normal(x: Column) -> Column:
+    """The standard normal distribution function, by the series x + x^3/3 + x^5/(3*5) + ... (absolute error below 1e-12 up to 6)."""
+    step = lambda s, k: F.struct((s["term"] * x * x / (2 * k + 1)).alias("term"), (s["sum"] + s["term"] * x * x / (2 * k + 1)).alias("sum"))
+    start = F.struct(x.cast("double").alias("term"), x.cast("double").alias("sum"))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(120)), start, step)["sum"]
+    return 0.5 + series * F.exp(-x * x / 2) / math.sqrt(2 * math.pi)
+
+
 # Coefficients of Acklam's published rational approximation of the inverse normal CDF.
 _CENTRE_NUM = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
 _CENTRE_DEN = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)

@@ -1,6 +1,8 @@
 """Readers for landed files: NDJSON, CSV, mixed formats, gzip, documents, pages, text trees, notebooks, tables."""
 from __future__ import annotations
 
+import csv
+import io
 import re
 import zlib
 from collections.abc import Iterator, Sequence
@@ -9,6 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from millrace.functions.ignore import Check, ignored, read_rules
+from millrace.session import cut
+
+CSV_ROWS = 10_000
 
 
 def read_ndjson(spark: SparkSession, path: str, schema: T.StructType | str | None = None, max_rows: int = 0) -> DataFrame:
@@ -52,23 +57,36 @@ def file_formats(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_any(spark: SparkSession, root: str) -> DataFrame:
-    """All readable files below a folder as one ragged table (text columns), each by its own format."""
-    found: dict[str, list[str]] = {}
-    for row in file_formats(spark, root).select("path", "format").toLocalIterator():  # names only
-        found.setdefault(row["format"], []).append(row["path"])
-    parts = []
-    if found.get("json"):
-        parts.append(spark.read.option("multiLine", True).option("primitivesAsString", True).json(found["json"]))
-    if found.get("ndjson"):
-        parts.append(spark.read.option("mode", "DROPMALFORMED").option("primitivesAsString", True).json(found["ndjson"]))
-    if found.get("csv"):
-        parts.append(spark.read.option("header", True).csv(found["csv"]))
-    if not parts:
+    """All readable files below a folder as one ragged table (text columns in the order of their names), each by its own format.
+
+    Files are read, sniffed and parsed inside the tasks; neither their names nor their rows pass through the driver, only the
+    names of the columns do. A file is one row while it is parsed, so files should fit a task. Nested values stay JSON text;
+    lines that are no JSON object are skipped; a CSV file has a header, columns without a name are dropped. A folder without a
+    readable file is an error.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where("length > 0")
+    text = F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.lit(""))
+    known = files.select(sniff(text, F.col("path")).alias("format"), F.regexp_replace(text, "^\ufeff", "").alias("body"))
+    record = "map<string,string>"
+    trimmed = F.trim("body")
+    whole = F.when(trimmed.startswith("["), F.from_json(trimmed, f"array<{record}>")).otherwise(F.array(F.from_json(trimmed, record)))
+    lines = F.transform(F.split("body", r"\r?\n"), lambda x: F.from_json(x, record))
+    by_json = known.where("format in ('json', 'ndjson')").select(F.explode(F.when(F.col("format") == "json", whole).otherwise(lines)).alias("row"))
+
+    def tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for body in pdf["body"]:
+                rows = csv.DictReader(io.StringIO(body, newline=""), restkey="")
+                part = [{k.strip(): v for k, v in row.items() if k and k.strip()} for row in rows]
+                for at in range(0, len(part), CSV_ROWS):
+                    yield pd.DataFrame({"row": part[at : at + CSV_ROWS]})
+
+    by_csv = known.where("format = 'csv'").select("body").mapInPandas(tables, f"row {record}")
+    rows = cut(by_json.union(by_csv).where("row is not null"), "records")
+    names = [r.name for r in rows.select(F.explode(F.map_keys("row")).alias("name")).distinct().collect()]
+    if not names:
         raise ValueError(f"no readable file below {root}")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out.select(*sorted(out.columns))
+    return rows.select(*[F.try_element_at("row", F.lit(n)).alias(n) for n in sorted(names)])
 
 
 def gunzip_files(files: DataFrame, limit: int | None = None) -> DataFrame:

@@ -70,12 +70,13 @@ def upsert_by_key(current: DataFrame, incoming: DataFrame, keys: Sequence[str],
     return known.agg(F.count_if(F.col("_held").isNull()).alias("created"), F.count_if("_held").alias("updated"))
 
 
-def create_table_as(df: DataFrame, name: str, temporary: bool = True) -> DataFrame:
-    """A query's result as a temporary view or as a table of the catalog."""
+def create_table_as(df: DataFrame, name: str, temporary: bool = True, path: str | None = None) -> DataFrame:
+    """A query's result as a temporary view or as a stored table of the catalog, in the warehouse or in the folder ``path``."""
     if temporary:
         df.createOrReplaceTempView(name)
     else:
-        df.write.mode("overwrite").saveAsTable(name)
+        writer = df.write.mode("overwrite").format("parquet")
+        (writer.option("path", path) if path else writer).saveAsTable(name)
     return df.sparkSession.table(name)
 
 
@@ -87,12 +88,10 @@ def write_lines(lines: DataFrame, order: Sequence[str], path: str, column: str =
 def fan_out(events: DataFrame, targets: DataFrame, body: str = "body", target: str = "target") -> DataFrame:
     """A copy of each event for each target; a target's size cap drops bodies that are longer.
 
-    ``targets`` (target, max_bytes) is a short list: it becomes a literal and each event is exploded, so
-    no join is needed.
+    ``targets`` (target, max_bytes) becomes one array in a scalar subquery, and each event is exploded by it, so there is no join;
+    targets without a name are left out.
     """
-    listed = [(r[target], r["max_bytes"]) for r in targets.limit(1001).collect()]
-    if len(listed) > 1000:
-        raise ValueError("more than 1000 targets; join on a routing key instead")
-    items = F.array(*[F.struct(F.lit(n).alias(target), F.lit(cap).cast("bigint").alias("_cap")) for n, cap in listed])
+    listed = F.sort_array(F.collect_list(F.struct(F.col(target).alias(target), F.col("max_bytes").cast("bigint").alias("_cap"))))
+    items = targets.where(F.col(target).isNotNull()).agg(listed.alias("items")).scalar()
     out = events.withColumn("_e", F.explode(items)).select("*", "_e.*").drop("_e")
     return out.where(F.col("_cap").isNull() | (F.octet_length(body) <= F.col("_cap"))).drop("_cap")
