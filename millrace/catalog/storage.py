@@ -41,7 +41,7 @@ def _(spark, sf):
 
 
 @family.add("s04_gunzip", """
-select count(*) as texts, sum(len(encode(t)))::bigint as bytes, max(md5(t)) as last_digest from (select text || chr(10) as t from documents where text is not null)""")
+select count(*) as texts, sum(strlen(t))::bigint as bytes, max(md5(t)) as last_digest from (select text || chr(10) as t from documents where text is not null)""")
 def _(spark, sf):
     root = scratch_path(spark, "gz")
     escaped = F.regexp_replace(F.base64(F.encode("text", "UTF-8")), "\\s", "").alias("value")  # a line a text, whatever the text holds
