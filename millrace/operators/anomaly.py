@@ -12,11 +12,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from millrace.plans.joins import salted_join
-from millrace.plans.runs import neighbours, numbered, running_sums, with_context
+from millrace.plans.runs import numbered, running_sums, with_context
 from millrace.plans.silences import firings
-from millrace.plans.topn import at_most, top_per_key
-from millrace.plans.windows import block_prefixes, sliding_moments, sliding_sums
+from millrace.plans.topn import at_most
 from millrace.plans.wavelet import sliding_stats
+from millrace.plans.windows import block_prefixes, sliding_moments, sliding_sums
 
 SEVERITIES = ("critical", "high", "medium", "low", "info")
 
