@@ -21,9 +21,12 @@ def salted_join(
     ``spread`` must vary between the rows of one key on the big side. The small side is repeated once
     per salt, so it should hold few rows per key (aggregates, dictionaries). ``how`` is inner, left,
     left_semi or left_anti; every big row meets exactly one copy of each small row.
+
+    The copies come from a cross join with the salts and not from ``explode``: Spark's size estimate multiplies the sides of
+    a join, but takes exploded rows for one row each, and would broadcast sixteen times what it means to.
     """
     left = big.withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"), F.lit(0)))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    right = small.crossJoin(small.sparkSession.range(0, salts, 1, 1).select(F.col("id").cast("int").alias("_salt")))
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 

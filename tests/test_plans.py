@@ -112,6 +112,14 @@ def test_salted_join_keeps_every_row_once(hot, spark):
     assert salted_join(df, small, ["key"], ["id"], "left_anti").count() == (~pdf.key.isin(["hot", "a"])).sum()
 
 
+def test_salted_copies_are_not_broadcast_as_one(spark):
+    """200 000 keys of 8 bytes lie below Spark's limit of 10 MB, their sixteen copies do not."""
+    big, small = spark.range(1_000_000), spark.range(200_000)
+    out = salted_join(big, small, ["id"], ["id"], "left_anti")
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 800_000
+
+
 def test_one_row_is_no_join(hot):
     df, _ = hot
     out = df.select((F.col("x") - one_row(df.agg(F.avg("x").alias("m")))["m"]).alias("d"))
