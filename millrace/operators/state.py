@@ -4,9 +4,12 @@ A change has key, seq (its place in time), op (put or delete), value, ts and ttl
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections import deque
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from millrace.functions.predicates import expired
 from millrace.functions.values import RETRY_STATUS
@@ -113,18 +116,24 @@ def sliding_limit(requests: DataFrame, client: str, at: str, limit: int, width:
     are interchangeable and are counted first; a pause of ``width`` seconds forgets everything and starts
     an independent run, and each run folds over its distinct seconds, not over its requests.
     """
-    runs = _runs(requests, client, at, width)
-    start = F.struct(F.array().cast("array<struct<t:bigint,n:bigint>>").alias("held"), F.array().cast("array<struct<t:bigint,accepted:bigint,rejected:bigint>>").alias("out"))
 
-    def step(state: Column, s: Column) -> Column:
-        held = F.filter(state["held"], lambda h: h["t"] > s["t"] - width)
-        used = F.aggregate(held, F.lit(0).cast("bigint"), lambda a, h: a + h["n"])
-        taken = F.least(s["n"], F.greatest(F.lit(limit) - used, F.lit(0)))
-        now = F.array(F.struct(s["t"].alias("t"), taken.alias("accepted"), (s["n"] - taken).alias("rejected")))
-        return F.struct(F.concat(held, F.array(F.struct(s["t"].alias("t"), taken.alias("n")))).alias("held"), F.concat(state["out"], now).alias("out"))
+    def fresh() -> Callable[[int | None, int], int]:
+        held: deque[tuple[int, int]] = deque()
+        used = 0
 
-    done = F.aggregate("_s", start, step, lambda x: x["out"])
-    return runs.select(client, F.explode(done).alias("e")).select(client, F.col("e.t").alias("second"), "e.accepted", "e.rejected")
+        def taken(t: int | None, n: int) -> int:
+            nonlocal used
+            while held and held[0][0] <= t - width:
+                used -= held.popleft()[1]
+            now = min(n, max(limit - used, 0))
+            if now:
+                held.append((t, now))
+                used += now
+            return now
+
+        return taken
+
+    return _folded(requests, client, at, width, fresh)
 
 
 def token_bucket(requests: DataFrame, client: str, at: str, capacity: float, per_second: float) -> DataFrame:
@@ -133,32 +142,52 @@ def token_bucket(requests: DataFrame, client: str, at: str, capacity: float, per
     A pause long enough to fill the bucket starts an independent run.
     """
     full = int(-(-capacity // per_second))
-    runs = _runs(requests, client, at, full)
-    start = F.struct(
-        F.lit(float(capacity)).alias("tokens"), F.lit(None).cast("bigint").alias("last"), F.array().cast("array<struct<t:bigint,accepted:bigint,rejected:bigint>>").alias("out")
-    )
 
-    def step(state: Column, s: Column) -> Column:
-        gained = F.coalesce((s["t"] - state["last"]) * F.lit(float(per_second)), F.lit(0.0))
-        tokens = F.least(F.lit(float(capacity)), state["tokens"] + gained)
-        taken = F.least(s["n"], F.floor(tokens))
-        now = F.array(F.struct(s["t"].alias("t"), taken.alias("accepted"), (s["n"] - taken).alias("rejected")))
-        return F.struct((tokens - taken).alias("tokens"), s["t"].alias("last"), F.concat(state["out"], now).alias("out"))
+    def fresh() -> Callable[[int | None, int], int]:
+        tokens, last = float(capacity), None
+
+        def taken(t: int | None, n: int) -> int:
+            nonlocal tokens, last
+            if last is not None:
+                tokens = min(float(capacity), tokens + (t - last) * float(per_second))
+            now = min(n, math.floor(tokens))
+            tokens, last = tokens - now, t
+            return now
 
-    done = F.aggregate("_s", start, step, lambda x: x["out"])
-    return runs.select(client, F.explode(done).alias("e")).select(client, F.col("e.t").alias("second"), "e.accepted", "e.rejected")
+        return taken
 
+    return _folded(requests, client, at, full, fresh)
 
-def _runs(requests: DataFrame, client: str, at: str, pause: int) -> DataFrame:
-    """Per client, runs of busy seconds without a pause: rows (client, _run, _s = sorted [(t, n)])."""
+
+def _folded(requests: DataFrame, client: str, at: str, pause: int, fresh: Callable[[], Callable[[int | None, int], int]]) -> DataFrame:
+    """Per client, its busy seconds in order, decided one after the other; a pause starts afresh.
+
+    Runs are dealt out and sorted by Spark and pass through a task in batches, so a task holds one decision's state and
+    not a run; the work grows with the seconds.
+    """
     from millrace.plans.runs import running_sums
 
     busy = requests.groupBy(client, F.floor(at).cast("bigint").alias("t")).agg(F.count(F.lit(1)).alias("n"))
     chunk = F.floor(F.col("t") / 86400)
     gaps = neighbours(busy, [client], ["t"], chunk, {"_b": "t"})
-    breaks = F.when(F.col("_b").isNull() | (F.col("t") - F.col("_b") >= pause), 1).otherwise(0)
-    parted = running_sums(gaps, [client], ["t"], chunk, {"_run": breaks})
-    return parted.groupBy(client, "_run").agg(F.array_sort(F.collect_list(F.struct("t", "n"))).alias("_s"))
+    gaps = gaps.withColumn("_breaks", F.when(F.col("_b").isNull() | (F.col("t") - F.col("_b") >= pause), 1).otherwise(0))
+    runs = running_sums(gaps, [client], ["t"], chunk, {"_run": F.col("_breaks")}).select(client, "_run", "_breaks", "t", "n")
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken = fresh()
+        for batch in batches:
+            accepted, rejected = [], []
+            for breaks, t, n in zip(*(batch[c].to_pylist() for c in ("_breaks", "t", "n"))):
+                if breaks:
+                    taken = fresh()
+                accepted.append(taken(t, n))
+                rejected.append(n - accepted[-1])
+            counts = (pa.array(c, pa.int64()) for c in (accepted, rejected))
+            yield pa.RecordBatch.from_arrays([batch[client], batch["t"], *counts], [client, "second", "accepted", "rejected"])
+
+    number = T.LongType()
+    schema = T.StructType([busy.schema[client], *[T.StructField(c, number) for c in ("second", "accepted", "rejected")]])
+    return runs.repartition(client, "_run").sortWithinPartitions(client, "_run", "t").mapInArrow(decide, schema)
 
 
 def tumbling(df: DataFrame, at: Column, width: str, keys: Sequence[str], aggs: Sequence[Column], slide: str | None = None) -> DataFrame:

@@ -224,6 +224,28 @@ def test_limits_are_sequential(spark):
     assert out[0] == (2, 1) and out[5] == (0, 1) and out[59] == (1, 0) and out[200] == (1, 0)
 
 
+def test_limits_over_one_long_run(spark):
+    """100 000 busy seconds of one client without a pause, which must cost their number and not its square."""
+    n = 100_000
+    df = spark.range(n).select(F.lit("c").alias("c"), F.explode(F.sequence(F.lit(0), F.col("id") % 3)).alias("i"), F.col("id").cast("double").alias("t")).drop("i")
+    df = df.unionByName(spark.createDataFrame([(None, 5.0), ("c", None), ("c", None)], "c string, t double"))
+    sliding = {(r.c, r.second): (r.accepted, r.rejected) for r in S.sliding_limit(df, "c", "t", 4, 50).collect()}
+    bucket = {(r.c, r.second): (r.accepted, r.rejected) for r in S.token_bucket(df, "c", "t", 3, 0.25).collect()}
+    held, tokens, want_sliding, want_bucket = [], 3.0, {}, {}
+    for t in range(n):
+        asked = t % 3 + 1
+        held = [h for h in held if h > t - 50]
+        one = min(asked, 4 - len(held))
+        held += [t] * one
+        tokens = min(3.0, tokens + (0.25 if t else 0.0))
+        two = min(asked, int(tokens))
+        tokens -= two
+        want_sliding["c", t], want_bucket["c", t] = (one, asked - one), (two, asked - two)
+    for want in (want_sliding, want_bucket):
+        want[None, 5], want["c", None] = (1, 0), (2, 0)
+    assert sliding == want_sliding and bucket == want_bucket
+
+
 def test_duplicate_members_one_row_each(spark):
     df = spark.createDataFrame([(f"p{i}", "x" * 200 if i % 2 else f"unique {i}" * 30) for i in range(20)], "path string, body string")
     out = sets.duplicate_members(df, F.col("body"), "path", F.length("body")).collect()
