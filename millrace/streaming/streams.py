@@ -16,7 +16,6 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from millrace.functions.predicates import topic_matches
 from millrace.operators.aggregates import aggregate_similar
 from millrace.operators.state import delivery_split
-from millrace.plans.silences import replay
 from millrace.session import scratch_path
 
 
@@ -72,41 +71,62 @@ def _stateful(stream: DataFrame, keys: Sequence[str], at: str, late: str, proces
 
 
 class _Quiet(StatefulProcessor):
-    """Lets a row of a key pass unless one passed less than ``window`` seconds before; forgets a key that has been silent that long."""
+    """Lets a row pass unless one of its key passed less than ``window`` seconds before.
+
+    A group is a slot of many keys. Its state, one (key, at) for each key that is not silent yet, is read and written at once;
+    keys whose window the watermark has passed are forgotten.
+    """
 
     def __init__(self, at: str, tie: str, window: float, names: list[str]) -> None:
         self.at, self.tie, self.window, self.names = at, tie, window, names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "at double")
+        self.last = handle.getListState("last", "key string, at double")
+
+    def _ends(self, at: float) -> int:
+        return int(np.ceil((at + self.window) * 1000))
+
+    def _hold(self, held: dict[str, float], timerValues) -> None:
+        now = timerValues.getCurrentWatermarkInMs()
+        kept = [(key, at) for key, at in held.items() if self._ends(at) > now]
+        if kept:
+            self.last.put(kept)
+            self.handle.registerTimer(min(self._ends(at) for _, at in kept))
+        else:
+            self.last.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values([self.at, self.tie], kind="stable")
-        last = self.last.get()[0] if self.last.exists() else float("-inf")
-        passed = replay(pdf[self.at].to_numpy(float), last, self.window)
-        if passed:
-            self.last.update((passed[-1],))
-            self.handle.registerTimer(int(np.ceil((passed[-1] + self.window) * 1000)))
-        yield pdf.drop_duplicates(self.at)[lambda d: d[self.at].isin(passed)][self.names]
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values([self.at, self.tie], kind="stable")
+        held = dict(self.last.get())
+        passed = np.zeros(len(pdf), bool)
+        for i, (name, at) in enumerate(zip(pdf["quiet_key"], pdf[self.at].to_numpy(float).tolist())):
+            if at >= held.get(name, float("-inf")) + self.window:  # no time: never
+                held[name], passed[i] = at, True
+        self._hold(held, timerValues)
+        yield pdf[passed][self.names]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.last.exists() and int(np.ceil((self.last.get()[0] + self.window) * 1000)) <= expiredTimerInfo.getExpiryTimeInMs():
-            self.last.clear()
+        self._hold(dict(self.last.get()), timerValues)
         yield pd.DataFrame(columns=self.names)
 
     def close(self) -> None:
         pass
 
 
-def first_in_window(stream: DataFrame, keys: Sequence[str], at: str, tie: str, window: float, late: str = "0 seconds") -> DataFrame:
+def first_in_window(
+    stream: DataFrame, keys: Sequence[str], at: str, tie: str, window: float, late: str = "0 seconds", slots: int = 1024
+) -> DataFrame:
     """Drops rows whose keys passed less than ``window`` seconds before, also in earlier micro-batches.
 
     ``at`` is in seconds; rows of one trigger are taken in the order of (at, tie). A row that passes starts the window anew,
-    one that is dropped does not. The state is one number a key, and goes when the watermark has passed its window. Keys
-    must not be null; columns of the stream stay as they are.
+    one that is dropped does not; rows without a time are left out. The state is one number a key, and goes when the
+    watermark has passed its window. Keys share ``slots`` groups, because a call to the state costs more than many rows.
+    Columns of the stream stay as they are.
     """
-    return _stateful(stream, keys, at, late, _Quiet(at, tie, window, stream.columns), stream.schema)
+    named = stream.withColumn("quiet_key", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
+    slotted = named.withColumn("_slot", F.pmod(F.xxhash64("quiet_key"), F.lit(slots)))
+    return _stateful(slotted, ["_slot"], at, late, _Quiet(at, tie, window, stream.columns), stream.schema)
 
 
 def payload_hash(payload: Column) -> Column:
@@ -191,22 +211,39 @@ def ingest(stream: DataFrame, rule: Column, root: str, checkpoint: str) -> None:
 def limiter(stream: DataFrame, client: str, at: str, limit: int, width: float) -> DataFrame:
     """Accepts at most ``limit`` requests of a client in ``width`` seconds; only accepted ones count.
 
-    ``at`` is in seconds; rows of one trigger are taken in time order. The state of a client is the times
-    of its accepted requests within the window, at most ``limit`` numbers.
+    ``at`` is in seconds; rows of one trigger are decided in time order and returned as they came. The state of a client is
+    the times of its accepted requests within the window, at most ``limit`` numbers. A task holds one copy of a client's rows
+    of one trigger; the rest are arrays of one number a row.
     """
     schema = T.StructType([*stream.schema.fields, T.StructField("accepted", T.BooleanType())])
 
     def decide(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = list(state.get[0]) if state.exists else []
-        pdf = pd.concat(list(batches)).sort_values(at, kind="stable")
-        verdicts = []
-        for t in pdf[at]:
-            held = [h for h in held if h > t - width]
-            verdicts.append(len(held) < limit)
-            if verdicts[-1]:
-                held.append(float(t))
+        frames = list(batches)  # stay as they came; only the times are put in order
+        times = np.concatenate([f[at].to_numpy(float) for f in frames])
+        order = np.argsort(times, kind="stable")
+        times, accepted = times[order], np.zeros(len(order), bool)
+        i = 0
+        while i < len(times):
+            held = [h for h in held if h > times[i] - width]
+            if len(held) < limit:
+                accepted[order[i]] = True
+                held.append(float(times[i]))
+                i += 1
+            elif held:  # nothing passes until the oldest has left the window
+                first = min(held)
+                i = max(i + 1, int(np.searchsorted(times, first + width)) - 1)
+                while i < len(times) and times[i] - width < first:
+                    i += 1
+            else:
+                break
         state.update((held,))
-        yield pdf.assign(accepted=verdicts)
+        del order, times
+        rows = 0
+        for k, frame in enumerate(frames):
+            frames[k] = None
+            rows += len(frame)
+            yield frame.assign(accepted=accepted[rows - len(frame):rows])
 
     return stream.groupBy(client).applyInPandasWithState(decide, schema, "held array<double>", "append", GroupStateTimeout.NoTimeout)
 

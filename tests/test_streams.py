@@ -87,3 +87,33 @@ def test_repeats_pass_again_after_their_window(spark):
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 3, 6, 7, 9, 11, 13]
     state = spark.read.format("statestore").option("path", marks).option("stateVarName", "last").load()
     assert state.count() == 2  # a and b; c and the late key are forgotten
+
+
+def test_many_keys_share_few_groups(spark):
+    """900 keys, one of them null, in four groups of state; rows without a time are left out."""
+    folder, out, marks = (scratch_path(spark, label) for label in ("in", "slots", "slots-marks"))
+    rows = [(None if i % 900 == 7 else i % 900, None if i == 1803 else 1000.0 + i // 300, i) for i in range(3600)]
+    schema = "k int, t double, id int"
+    for part in (rows[:1800], rows[1800:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+        s = R.read_stream(spark, folder, spark.createDataFrame([], schema).schema)
+        R.land(R.first_in_window(s, ["k"], "t", "id", 5.0, slots=4), "slots", out=out, checkpoint=marks)
+    last, want = {}, []
+    for k, t, i in rows:
+        if t is not None and t >= last.get(k, 0) + 5:
+            last[k] = t
+            want.append(i)
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == want
+    state = spark.read.format("statestore").option("path", marks).option("stateVarName", "last").load()
+    assert 0 < state.select("key").distinct().count() <= 4
+
+
+def test_limiter_keeps_one_copy_of_a_trigger(spark):
+    """Rows come back batch by batch in the order they came, each with its verdict, and not as one sorted copy."""
+    n = 40_000
+    rows = spark.range(n, numPartitions=1).select("id", F.lit("c").alias("c"), (F.lit(n) - F.col("id")).cast("double").alias("t"))
+    folder = scratch_path(spark, "in")
+    rows.write.parquet(folder)
+    out = R.land(R.limiter(R.read_stream(spark, folder, rows.schema), "c", "t", 3, 50.0), "copy")
+    assert out.count() == n and {r.t for r in out.where("accepted").collect()} == {1.0 + 50 * (i // 3) + i % 3 for i in range(n // 50 * 3)}
+    assert out.withColumn("at", F.monotonically_increasing_id()).where("at = 0 and id = 0").count() == 1
