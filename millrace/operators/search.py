@@ -249,18 +249,23 @@ def fuzzy_matches(words: DataFrame, candidates: DataFrame, threshold: float = 0.
     For two lengths the threshold allows a number d of edits. A candidate is cut into d + 1 even segments, one of which d edits
     leave whole, so a word has to hold it, at most a few places away. Words and candidates meet on those segments and on
     nothing else; where lengths are so short that d edits can change everything, they meet on their lengths. Nulls match
-    nothing.
+    nothing. Candidates are dealt out before they are cut up, since a vocabulary of few bytes makes dozens of segments a word.
     """
     if threshold <= 0:
         raise ValueError("every string is similar at a threshold of 0 or below")
     asked = _segments(words.select("word").where("word is not null").distinct(), "word", threshold, True)
-    given = _segments(candidates.select("candidate").where("candidate is not null").distinct(), "candidate", threshold, False)
+    parts = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    offered = candidates.select("candidate").where("candidate is not null").distinct().repartition(parts)
+    given = _segments(offered, "candidate", threshold, False)
     met = given.join(asked, "key").select("word", "candidate").distinct()
     return met.withColumn("similarity", X.similarity(F.col("word"), F.col("candidate"))).where(F.col("similarity") >= threshold)
 
 
 def _segments(df: DataFrame, name: str, threshold: float, asks: bool) -> DataFrame:
-    """(name, key): the segments of a candidate for each length of a word that may match it, or what a word has where they might be."""
+    """(name, key): the segments of a candidate for each length of a word that may match it, or what a word has where they might be.
+
+    A word may have one part at several places, which count once; those of a candidate are all different.
+    """
     own, text = F.length(name), F.lower(name)
     other = F.sequence(F.floor(own * F.lit(threshold)).cast("int"), F.ceil(own / F.lit(threshold)).cast("int"))
     rows = df.select(name, text.alias("t"), F.length(text).alias("own"), own.alias("given"), F.explode(other).alias("other"))
@@ -284,7 +289,8 @@ def _segments(df: DataFrame, name: str, threshold: float, asks: bool) -> DataFra
         cuts = cuts.withColumns({"start": start, "size": size})
     part = F.substring("t", F.col("start") + 1, F.col("size"))
     keys = cuts.select(name, F.struct(*lengths, "i", part.alias("part")).alias("key"))
-    return short.union(keys).distinct()
+    both = short.union(keys)
+    return both.distinct() if asks else both
 
 
 def prefix_lines(matches: DataFrame, prefix: str, key: str = "doc_id", per_token: int = 5, limit: int = 30) -> DataFrame:
