@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from millrace.plans.joins import one_row
 from millrace.plans.ranks import in_value_order, order_stats
 from millrace.plans.runs import numbered
+from millrace.plans.spread import dealt
 from millrace.plans.topn import at_most, first_per_key
 from millrace.session import cut
 
@@ -108,14 +109,15 @@ def select_model(train: DataFrame, test: DataFrame, stages: Sequence, pool: Sequ
                  folds: int = 5, use_grid: bool = True, parallelism: int = 4) -> tuple[DataFrame, PipelineModel, str]:
     """Cross-validates every candidate, scores it on the test rows, and keeps the best by test score.
 
-    Both sides are written once to the shared folder, preprocessing is fitted once, and the prepared rows
-    are cached for the folds. A candidate that fails is skipped. Returns the leaderboard, the fitted
+    Both sides are dealt out over all cores and written once to the shared folder, preprocessing is fitted once, and the
+    prepared rows, of which only the columns that a candidate names, are cached for the folds. A candidate that fails is skipped. Returns the leaderboard, the fitted
     pipeline and the winner's name.
     """
-    train, test = cut(train, "train"), cut(test, "test")
+    train, test = cut(dealt(train), "train"), cut(dealt(test), "test")
     judge = evaluator(problem, label)
     prepared = Pipeline(stages=list(stages)).fit(train)
-    ready_train, ready_test = prepared.transform(train).cache(), prepared.transform(test).cache()
+    named = {c.estimator.getOrDefault(p) for c in pool for p in c.estimator.params if p.name.endswith("Col") and c.estimator.isDefined(p)} | {label}
+    ready_train, ready_test = (df.select(*[c for c in df.columns if c in named]).cache() for df in (prepared.transform(train), prepared.transform(test)))
     board, best = [], None
     try:
         for c in pool:
@@ -212,8 +214,8 @@ def permutation_importance(df: DataFrame, model: PipelineModel, columns: Sequenc
     digest = F.xxhash64(F.col(key))
     placed = numbered(df, [], [key], F.floor(F.col(key) / 100_000), "_at")
     for c in columns:
-        dealt = numbered(df.select(F.col(c).alias("_new"), digest.alias("_h")), [], ["_h"], F.floor(F.col("_h") / F.lit(float(2**56))), "_at")
-        mixed = placed.join(dealt.drop("_h"), "_at").withColumn(c, F.col("_new")).drop("_new", "_at")
+        mixed_up = numbered(df.select(F.col(c).alias("_new"), digest.alias("_h")), [], ["_h"], F.floor(F.col("_h") / F.lit(float(2**56))), "_at")
+        mixed = placed.join(mixed_up.drop("_h"), "_at").withColumn(c, F.col("_new")).drop("_new", "_at")
         score = judge.evaluate(model.transform(mixed))
         rows.append((c, float(base - score if judge.isLargerBetter() else score - base)))
     return df.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")

@@ -19,3 +19,13 @@ def widen(df: DataFrame, *keys: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, *keys) if estimated_bytes(df) < cores * BYTES_PER_CORE else df
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows of a small table dealt out evenly over all cores, whatever the files it is read from; a large one as it is read.
+
+    For work that passes over the rows many times. Rows come in one order, so that draws that go row by row repeat.
+    """
+    plain = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant", "struct", "array")]
+    wide = widen(df)
+    return df if wide is df else wide.sortWithinPartitions(*plain) if plain else wide
