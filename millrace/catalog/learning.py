@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from millrace.catalog import Family, Tables
 from millrace.operators import forecast, models as M
+from millrace.plans.spread import dealt
 from millrace.session import cut
 
 family = Family()
@@ -35,6 +36,7 @@ def _(spark, sf):
 @family.add("m03_candidates")
 def _(spark, sf):
     rows = line_rows(Tables(spark, sf)).withColumnRenamed("price", "label")
+    rows = cut(dealt(rows), "rows")
     ready = cut(Pipeline(stages=M.preprocess(NUMERIC)).fit(rows).transform(rows).select("features", "label"), "prepared")
     found = []
     for c in M.candidates("regression"):
