@@ -6,7 +6,7 @@ The index is a table; searching is a join with the few rows that hold the query'
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -18,6 +18,7 @@ from millrace.plans.topn import top_per_key
 from millrace.session import cut
 
 K1, B, TITLE_WEIGHT, TITLE_WORDS = 1.5, 0.75, 5.0, 10
+SLICES, PAIRS_PER_TASK = 32, 4_000_000
 
 
 def document_filter(
@@ -34,37 +35,70 @@ def document_filter(
     return df
 
 
-def occurrences(docs: DataFrame, key: str = "id") -> DataFrame:
-    """Rows (key, doc_len, term, position) over title, headings, content and tags, in that order.
+def _once(value: Column, name: str) -> Column:
+    """The value as a column of its own: the explode of one struct keeps Catalyst from pasting an expression into every use of it."""
+    return F.explode(F.array(F.struct(value.alias("v")))).alias(name)
 
-    Positions run on from field to field; every tag starts at the end of the content. Words are split as
-    arrays and stemmed after the explode, where the rule list compiles to one expression.
-    """
+
+def _placed_words(docs: DataFrame, key: str, shaped: Callable[[Column], Column] = lambda w: w) -> DataFrame:
+    """Rows (key, doc_len, placed), one per document: its words, as ``shaped`` makes them, in order with their positions."""
     none = F.array().cast("array<string>")
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
     heads = F.flatten(F.transform(F.coalesce("headings", none), lambda h: X.words(h)))
     main = F.concat(X.words(blank("title")), heads, X.words(blank("content")))
     tag_words = F.transform(F.coalesce("tags", none), lambda t: X.words(t))
-    # The explode of one struct keeps Catalyst from pasting the word lists into every use of them.
-    once = F.explode(F.array(F.struct(main.alias("main"), tag_words.alias("tags")))).alias("_w")
-    base = widen(docs.select(key, "title", "headings", "content", "tags"), key).select(key, once)
-    offset = F.size("_w.main")
+    base = widen(docs.select(key, "title", "headings", "content", "tags"), key).select(key, _once(F.struct(main.alias("main"), tag_words.alias("tags")), "_w"))
+    offset = F.size("_w.v.main")
     placed = F.concat(
-        F.transform("_w.main", lambda w, i: F.struct(w.alias("word"), i.alias("position"))),
-        F.flatten(F.transform("_w.tags", lambda ws: F.transform(ws, lambda w, i: F.struct(w.alias("word"), (i + offset).alias("position"))))),
+        F.transform("_w.v.main", lambda w, i: F.struct(shaped(w).alias("word"), i.alias("position"))),
+        F.flatten(F.transform("_w.v.tags", lambda ws: F.transform(ws, lambda w, i: F.struct(shaped(w).alias("word"), (i + offset).alias("position"))))),
     )
     # Lengths are taken before the words are exploded, or every word would carry its whole document.
-    sized = base.select(key, (offset + F.size(F.flatten("_w.tags"))).alias("doc_len"), "_w")
-    rows = sized.select(key, "doc_len", F.explode(placed).alias("_e"))
+    return base.select(key, (offset + F.size(F.flatten("_w.v.tags"))).alias("doc_len"), placed.alias("placed"))
+
+
+def occurrences(docs: DataFrame, key: str = "id") -> DataFrame:
+    """Rows (key, doc_len, term, position) over title, headings, content and tags, in that order.
+
+    Positions run on from field to field; every tag starts at the end of the content. Words are split as
+    arrays and stemmed after the explode, where the rule list compiles to one expression.
+    """
+    rows = _placed_words(docs, key).select(key, "doc_len", F.explode("placed").alias("_e"))
     return rows.select(key, "doc_len", X.stem(F.col("_e.word")).alias("term"), F.col("_e.position").alias("position"))
 
 
 def build_postings(docs: DataFrame, key: str = "id", with_positions: bool = False) -> DataFrame:
-    """Rows (term, key, n, first_position, doc_len[, positions]): one per term and document."""
-    aggs = [F.count(F.lit(1)).alias("n"), F.min("position").alias("first_position"), F.max("doc_len").alias("doc_len")]
+    """Rows (term, key, n, first_position, doc_len[, positions]): one per term and document.
+
+    The words of a row are grouped in the row: sorted by term, they are cut where the term changes. So no word is shuffled
+    or held in a task's table. Only the postings of rows that share a key meet in a shuffle; keys that repeat are looked up first.
+    """
+    rows = _placed_words(docs, key, X.stem).select(key, "doc_len", _once(F.sort_array("placed"), "_s")).where(F.size("_s.v") > 0)
+    at = lambda i: F.get("_s.v", i)
+    size = F.size("_s.v")
+    ends = F.filter(F.sequence(F.lit(1), size), lambda i: (i == size) | (at(i)["word"] != at(i - 1)["word"]))
+    rows = rows.select(key, "doc_len", "_s", _once(ends, "_b"))
+
+    def group(end: Column, j: Column) -> Column:
+        start = F.when(j == 0, 0).otherwise(F.get("_b.v", j - 1))
+        found = [at(start)["word"].alias("term"), (end - start).cast("bigint").alias("n"), at(start)["position"].alias("first_position")]
+        if with_positions:
+            # not by slice, which copies the whole array for each of its groups
+            found.append(F.transform(F.sequence(start, end - 1), lambda i: at(i)["position"]).alias("positions"))
+        return F.struct(*found)
+
+    def grouped(of: DataFrame) -> DataFrame:
+        groups = of.select(key, "doc_len", F.explode(F.transform("_b.v", group)).alias("_g"))
+        return groups.select("_g.term", key, "_g.n", "_g.first_position", "doc_len", *["_g.positions"] * with_positions)
+
+    repeated = cut(docs.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.struct(key).alias("_again")), "repeated")
+    if repeated.isEmpty():
+        return grouped(rows)
+    marked = rows.join(repeated, F.struct(key) == F.col("_again"), "left")  # a struct is never null, so null keys meet too
+    aggs = [F.sum("n").alias("n"), F.min("first_position").alias("first_position"), F.max("doc_len").alias("doc_len")]
     if with_positions:
-        aggs.append(F.sort_array(F.collect_list("position")).alias("positions"))
-    return occurrences(docs, key).groupBy("term", key).agg(*aggs)
+        aggs.append(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
+    return grouped(marked.where("_again IS NULL")).union(grouped(marked.where("_again IS NOT NULL")).groupBy("term", key).agg(*aggs))
 
 
 def document_stats(docs: DataFrame, postings: DataFrame) -> DataFrame:
@@ -85,28 +119,40 @@ def ranked_search(
 ) -> DataFrame:
     """Best documents per query: rows (query_id, key, score, matched_terms, position).
 
-    Only postings of query terms are read on; they meet the queries in a join salted by document, so a
-    term that half the documents hold is spread out, and scores are summed before the shuffle.
+    Only postings of query terms are read on. They are dealt out by document, so that the scores of a document are summed where
+    its postings are; the terms of the queries are written first, since Spark knows no size of rows made on the driver, and it
+    broadcasts them where they are few. Documents that cannot reach the last place, by the scores of one document in ``SLICES``, are left out before the rest are ranked.
     """
-    terms = query_terms(queries, query_id, text)
+    terms = cut(query_terms(queries, query_id, text), "query_terms")
     hits = postings.join(terms.select("term").distinct(), "term", "left_semi")
     frequency = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     docs, mean = stats.select("documents").scalar(), stats.select("mean_len").scalar()
     idf = F.log((docs + 1) / (F.col("df") + 1)) + 1
-    weighted = terms.join(frequency, "term").withColumn("idf", idf)
+    weighted = cut(terms.join(frequency, "term").withColumn("idf", idf), "weighted")
     tf = F.lit(1.0) + F.log(F.col("n"))
     norm = F.lit(1 - B) + F.lit(B) * F.col("doc_len") / mean
     boost = F.when(F.col("first_position") < TITLE_WORDS, TITLE_WEIGHT).otherwise(1.0)
     scored = hits.select("term", key, (tf / (tf + K1 * norm) * boost).alias("_part"))
     if allowed is not None:
         scored = scored.join(allowed.select(key).distinct(), key, "left_semi")
-    matched = salted_join(scored, weighted, ["term"], [key])
-    totals = matched.groupBy(query_id, key).agg(
-        F.sum(F.col("_part") * F.col("idf") * F.col("weight")).alias("score"), F.count(F.lit(1)).alias("matched_terms")
-    ).where(F.col("score") >= min_score)
-    # Sums of floats depend on the order of rows; rounding keeps equal documents equal, and the key decides.
     order = [F.round("score", 9).desc(), F.asc(key)]
-    best = top_per_key(totals, [query_id], order, limit, [key])
+
+    def totals(parts: DataFrame) -> DataFrame:
+        matched = salted_join(parts, weighted, ["term"], [key])
+        return matched.groupBy(query_id, key).agg(
+            F.sum(F.col("_part") * F.col("idf") * F.col("weight")).alias("score"), F.count(F.lit(1)).alias("matched_terms")
+        ).where(F.col("score") >= min_score)
+
+    # The last place that some of the documents alone would reach is one that the rest have to reach as well.
+    some = top_per_key(totals(scored.where(F.pmod(F.xxhash64(key), F.lit(SLICES)) == 0)), [query_id], order, limit, [key])
+    last = some.groupBy(F.struct(query_id).alias("_q")).agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias("_last")).where(F.col("_n") >= limit)
+    last = cut(last.select("_q", "_last"), "last_places")
+    pairs = weighted.agg(F.sum("df").alias("n")).first().n or 0
+    parts = max(int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs // PAIRS_PER_TASK))
+    dealt = totals(scored.repartition(parts, key)).join(last, F.struct(query_id) == F.col("_q"), "left")
+    near = dealt.where("_last IS NULL OR score >= _last - 1e-8").drop("_q", "_last")
+    # Sums of floats depend on the order of rows; rounding keeps equal documents equal, and the key decides.
+    best = top_per_key(near, [query_id], order, limit, [key])
     place = F.row_number().over(W.partitionBy(query_id).orderBy(*order))
     return best.withColumn("position", place)
 
@@ -115,7 +161,8 @@ def with_excerpts(found: DataFrame, docs: DataFrame, query: str, key: str = "id"
     """Excerpt and highlighted title for the rows of a result page, and for those only."""
     spark = docs.sparkSession
     row = spark.range(1).select(X.words(F.lit(query)).alias("raw"), X.tokens(F.lit(query)).alias("stems")).first()
-    page = found.join(docs.select(key, "title", "content"), key)
+    # The page is written first, so that Spark sees how small it is and does not shuffle all texts to meet it.
+    page = cut(found, "page").join(docs.select(key, "title", "content"), key)
     return page.select(
         *found.columns, X.excerpt(row.stems, length)(F.col("content")).alias("excerpt"), X.highlight(F.col("title"), list(row.raw)).alias("title_marked")
     )

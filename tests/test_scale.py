@@ -3,7 +3,9 @@ import glob
 
 from pyspark.sql import functions as F
 
-from millrace.operators import models as M
+from millrace.functions import text as X
+from millrace.operators import models as M, search as I
+from millrace.session import cut
 
 
 def _line(spark, n=400):
@@ -22,3 +24,52 @@ def test_select_model_deals_one_file_out(spark):
     board, _, name = M.select_model(df.where("id % 5 > 0"), df.where("id % 5 = 0"), M.preprocess(["a"]), pool, "regression", folds=2)
     assert name == "ridge" and board.first().error is None
     assert _parts(spark, "train") > 1 and _parts(spark, "test") > 1
+
+
+def _docs(spark, rows):
+    return spark.createDataFrame(rows, "id int, title string, headings array<string>, content string, section string, tags array<string>")
+
+
+def test_postings_of_single_rows_are_not_shuffled(spark):
+    docs = _docs(spark, [(1, "Red fox", ["part one"], "foxes run, a fox runs", "en", ["fox"]), (2, None, None, "", "en", []), (3, "x1", None, "fox", "en", None)])
+    postings = I.build_postings(docs, with_positions=True)
+    assert "Aggregate" not in postings._jdf.queryExecution().executedPlan().toString()
+    flat = I.occurrences(docs).groupBy("term", "id").agg(
+        F.count("*").alias("n"), F.min("position").alias("first_position"), F.max("doc_len").alias("doc_len"), F.sort_array(F.collect_list("position")).alias("positions"))
+    assert sorted(map(tuple, postings.collect())) == sorted(map(tuple, flat.collect())) != []
+
+
+def test_postings_of_repeated_and_null_keys_are_merged(spark):
+    docs = _docs(spark, [(1, "a1", None, "fox fox den", "en", None), (1, "a1", None, "fox", "en", None), (None, "b1", None, "fox", "en", None), (None, "b1", None, "fox", "en", None),
+                         (2, "b1", None, "owl", "en", None)])
+    got = {(r.term, r.id): (r.n, r.first_position, r.doc_len, r.positions) for r in I.build_postings(docs, with_positions=True).collect()}
+    assert got[("fox", 1)] == (3, 1, 4, [1, 1, 2]) and got[("fox", None)] == (2, 1, 2, [1, 1]) and got[("owl", 2)][0] == 1 and len(got) == 7
+
+
+def test_ranked_search_drops_only_what_cannot_place(spark):
+    docs = _docs(spark, [(i, "t1", None, " ".join(["fox"] * (i % 9 + 1) + [f"w{i}"] * (i % 5)), "en", None) for i in range(600)])
+    postings = I.build_postings(docs)
+    asked = spark.createDataFrame([(0, "fox"), (1, "w7 fox"), (2, "w9"), (3, "nothing here")], "query_id int, query string")
+    stats = I.document_stats(docs, postings)
+    all_of = I.ranked_search(postings, stats, asked, limit=1000).collect()
+    best = {(r.query_id, r.position): (r.id, r.score) for r in all_of if r.position <= 5}
+    few = I.ranked_search(postings, stats, asked, limit=5)
+    assert {(r.query_id, r.position): (r.id, r.score) for r in few.collect()} == best and len(best) == 11
+
+
+def test_query_rows_from_the_driver_shuffle_no_postings(spark):
+    docs = _docs(spark, [(i, "t1", None, f"fox w{i}", "en", None) for i in range(50)])
+    postings = cut(I.build_postings(docs), "index")
+    asked = spark.createDataFrame([(0, "fox")], "query_id int, query string")
+    found = I.ranked_search(postings, I.document_stats(docs, postings), asked, limit=5)
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stem_takes_the_first_rule_that_fits(spark):
+    words = ["relational", "conditional", "agencies", "ies", "flies", "es", "passes", "agreed", "bed", "ended", "running", "ing", "x", "", "hopefulness", "s", "generalli"]
+
+    def plain(word):
+        return next((word[:len(word) - len(s)] + e for s, e in X.SUFFIX_RULES if word.endswith(s) and len(word) >= len(s) + 2), word)
+
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", X.stem(F.col("w")).alias("s")).collect()
+    assert all(r.s == plain(r.w) for r in got)
