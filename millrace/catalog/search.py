@@ -47,8 +47,8 @@ def lines_of(t):
     return I.text_lines(t.documents)
 
 
-def tokens_of(t):
-    return I.line_tokens(lines_of(t), split_camel=False)
+def tokens_of(t, with_column=False):
+    return I.line_tokens(lines_of(t), split_camel=False, with_column=with_column)
 
 
 def stored(df):
@@ -70,7 +70,7 @@ w as (select unnest(regexp_extract_all(line, '[A-Za-z_][A-Za-z0-9_]{{1,50}}')) a
 p as (select lower(unnest({CAMEL})) as token from k where regexp_matches(substr(w, 2), '[A-Z]'))
 select token, count(*) as n from (select lower(w) as token from k union all select token from p where len(token) >= 2 and token not in ({CODE_STOPS})) group by 1""")
 def _(spark, sf):
-    return I.line_tokens(lines_of(Tables(spark, sf))).groupBy("token").agg(F.count("*").alias("n"))
+    return I.line_tokens(lines_of(Tables(spark, sf)), with_column=False).groupBy("token").agg(F.count("*").alias("n"))
 
 
 @family.add("i03_postings", f"with {OCC} select term, id, n, first_position::int as first_position, doc_len::int as doc_len, md5(array_to_string(positions, ',')) as positions from post")
@@ -83,7 +83,7 @@ def _(spark, sf):
 with {LINES}, r as (select *, row_number() over (partition by token order by doc_id, line_no, ord) as rn from tk)
 select token, doc_id, line_no::int as line_no, ord::int as ord, (greatest(instr(lower(line), token) - 1, 0))::int as "column" from r""")
 def _(spark, sf):
-    return tokens_of(Tables(spark, sf)).select("token", "doc_id", "line_no", "ord", "column")
+    return tokens_of(Tables(spark, sf), with_column=True).select("token", "doc_id", "line_no", "ord", "column")
 
 
 RANKED = f"""
@@ -128,7 +128,7 @@ from ln join common using (doc_id, line_no) join ds using (doc_id) order by roun
 @family.add("i06_line_search", LINE_SEARCH.format(lines=LINES, expanded="['les', 'des']", words="'les', 'des'", k=2))
 def _(spark, sf):
     t = Tables(spark, sf)
-    found = I.line_search(lines_of(t), stored(tokens_of(t)), "the les des")
+    found = I.line_search(lines_of(t), stored(tokens_of(t, with_column=True)), "the les des")
     return found.withColumns({"line": F.md5("line"), "score": F.round("score", 6)})
 
 
@@ -154,7 +154,7 @@ NEAR = VOCAB.replace("(values ('thand'), ('entier'), ('sch')) q(word)", "(select
     "ex as (select unnest(['les']) as token)", "ex as (select 'les' as token union select token from near where r <= 5)").replace("limit 50", "limit 20"))
 def _(spark, sf):
     t = Tables(spark, sf)
-    found = I.line_search(lines_of(t), stored(tokens_of(t)), "les", fuzzy=True, limit=20)
+    found = I.line_search(lines_of(t), stored(tokens_of(t, with_column=True)), "les", fuzzy=True, limit=20)
     return found.withColumns({"line": F.md5("line"), "score": F.round("score", 6)})
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from millrace.functions import text as X
 from millrace.functions.predicates import has_any_tag
 from millrace.plans.joins import salted_join
-from millrace.plans.spread import widen
+from millrace.plans.spread import pieces, widen
 from millrace.plans.topn import top_per_key
 from millrace.session import cut
 
@@ -197,17 +197,21 @@ def upsert_documents(postings: DataFrame, docs: DataFrame, key: str = "id") -> D
 
 def text_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, line_no, line), numbered from 1."""
-    return widen(docs.select(key, text), key).select(F.col(key), F.posexplode(F.split(text, "\r\n|\n|\r")).alias("_i", "line")).select(
+    return pieces(docs.select(key, text), key).select(F.col(key), F.posexplode(F.split(text, "\r\n|\n|\r")).alias("_i", "line")).select(
         key, (F.col("_i") + 1).alias("line_no"), "line"
     )
 
 
-def line_tokens(lines: DataFrame, key: str = "doc_id", max_line: int | None = None, split_camel: bool = True) -> DataFrame:
-    """Rows (key, line_no, ord, token, column): every token of every line, or of those of at most ``max_line`` characters."""
+def line_tokens(lines: DataFrame, key: str = "doc_id", max_line: int | None = None, split_camel: bool = True, with_column: bool = True) -> DataFrame:
+    """Rows (key, line_no, ord, token[, column]): every token of every line, or of those of at most ``max_line`` characters."""
     kept = lines if max_line is None else lines.where(F.length("line") <= max_line)
-    rows = kept.select(key, "line_no", "line", F.posexplode(X.code_tokens(F.col("line"), split_camel)).alias("ord", "token"))
-    column = F.greatest(F.instr(F.lower("line"), F.col("token")) - 1, F.lit(0))
-    return rows.select(key, "line_no", "ord", "token", column.alias("column"))
+    if not with_column:
+        return kept.select(key, "line_no", F.posexplode(X.code_tokens(F.col("line"), split_camel)).alias("ord", "token"))
+    rows = kept.select(key, "line_no", F.lower("line").alias("_low"), _once(X.code_tokens(F.col("line"), split_camel), "_t"))
+    # Columns are looked up inside the line, or every token would carry its line and lower it again.
+    column = lambda t: F.greatest(F.instr(F.col("_low"), t) - 1, F.lit(0))
+    placed = F.transform("_t.v", lambda t, i: F.struct(i.alias("ord"), t.alias("token"), column(t).alias("column")))
+    return rows.select(key, "line_no", F.explode(placed).alias("_e")).select(key, "line_no", "_e.ord", "_e.token", "_e.column")
 
 
 def capped_matches(tokens: DataFrame, cap: int, key: str = "doc_id") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 BYTES_PER_CORE = 64 * 1024 * 1024
+BYTES_PER_PIECE = 8 * 1024 * 1024  # of compressed files
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -21,6 +22,16 @@ def widen(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys) if estimated_bytes(df) < cores * BYTES_PER_CORE else df
 
 
+def pieces(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partitions texts by key into pieces of a bounded size, however many that are.
+
+    The text is shuffled once, so that what is grouped by the key afterwards needs no shuffle of its many words, and a task
+    groups the words of one piece only.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(cores, -(-estimated_bytes(df) // BYTES_PER_PIECE)), *keys)
+
+
 def dealt(df: DataFrame) -> DataFrame:
     """The rows of a small table dealt out evenly over all cores, whatever the files it is read from; a large one as it is read.
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as X
 from millrace.operators import models as M, search as I
+from millrace.plans import spread
 from millrace.session import cut
 
 
@@ -65,6 +66,19 @@ def test_query_rows_from_the_driver_shuffle_no_postings(spark):
     assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_columns_of_tokens_do_not_carry_the_line(spark):
+    lines = spark.createDataFrame([(1, 1, "Foo bar foo"), (1, 2, ""), (2, 1, None)], "doc_id int, line_no int, line string")
+    tokens = I.line_tokens(lines, split_camel=False)
+    assert sorted(map(tuple, tokens.collect())) == [(1, 1, 0, "foo", 0), (1, 1, 1, "bar", 4), (1, 1, 2, "foo", 0)]
+    assert "instr(lower(line" not in tokens._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_large_texts_are_cut_into_more_pieces_than_cores(spark, monkeypatch):
+    monkeypatch.setattr(spread, "BYTES_PER_PIECE", 64)
+    df = spark.range(0, 100, 1, 1).withColumn("text", F.lit("some words"))
+    assert spread.pieces(df, "id").rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+
+
 def test_stem_takes_the_first_rule_that_fits(spark):
     words = ["relational", "conditional", "agencies", "ies", "flies", "es", "passes", "agreed", "bed", "ended", "running", "ing", "x", "", "hopefulness", "s", "generalli"]
 
