@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 BYTES_PER_CORE = 64 * 1024 * 1024
+UNKNOWN_BYTES = 2**50
 BYTES_PER_PIECE = 8 * 1024 * 1024  # of compressed files
 
 
@@ -26,10 +27,10 @@ def pieces(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partitions texts by key into pieces of a bounded size, however many that are.
 
     The text is shuffled once, so that what is grouped by the key afterwards needs no shuffle of its many words, and a task
-    groups the words of one piece only.
+    groups the words of one piece only. Rows whose size Spark does not know (not read from files) are left as they come.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(max(cores, -(-estimated_bytes(df) // BYTES_PER_PIECE)), *keys)
+    cores, size = df.sparkSession.sparkContext.defaultParallelism, estimated_bytes(df)
+    return df if size >= UNKNOWN_BYTES else df.repartition(max(cores, -(-size // BYTES_PER_PIECE)), *keys)
 
 
 def dealt(df: DataFrame) -> DataFrame:
