@@ -8,6 +8,7 @@ import zlib
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from millrace.functions.ignore import Check, ignored, read_rules
@@ -108,14 +109,15 @@ def gunzip_files(files: DataFrame, limit: int | None = None) -> DataFrame:
                 size, whole, content = size + len(parts[-1]), stream.eof, stream.unused_data
         except zlib.error:
             return None, False
-        return b"".join(parts), not whole
+        return parts[0] if len(parts) == 1 else b"".join(parts), not whole
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            done = [unpack(c) for c in pdf["content"]]
-            yield pd.DataFrame({"path": pdf["path"], "body": [b for b, _ in done], "truncated": [t for _, t in done]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(*batch.columns):  # a batch holds many files; their bodies go on one by one
+                body, cut_off = unpack(content.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array([path.as_py()], pa.string()), pa.array([body], pa.binary()), pa.array([cut_off])], ["path", "body", "truncated"])
 
-    return files.select("path", "content").mapInPandas(run, schema)
+    return files.select("path", "content").mapInArrow(run, schema)
 
 
 def read_json_documents(spark: SparkSession, root: str, schema: T.StructType | str | None = None) -> DataFrame:
