@@ -12,11 +12,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.plans.joins import one_row
 from millrace.plans.ranks import in_value_order, order_stats
-from millrace.plans.runs import numbered
+from millrace.plans.runs import in_order, numbered
 from millrace.plans.spread import dealt
 from millrace.plans.topn import at_most, first_per_key
 from millrace.session import cut
 
+ROWS_PER_PIECE = 1 << 20  # that one task sorts
+AT_ONCE = 8  # columns; each adds the model's steps to one plan
+
 
 def preprocess(numeric: Sequence[str], categorical: Sequence[str] = (), output: str = "features") -> list:
     """Pipeline stages: median and mode imputing, one-hot with unknowns kept apart, scaling without centring."""
@@ -203,21 +206,36 @@ def feature_importance(model: Model, names: Sequence[str], spark) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
+def redealt(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
+    """Adds, for each column, ``_new_<column>``: its values in hash order of the key, paired with the rows in key order.
+
+    Both orders are numbered once, whatever the number of columns. The numbers meet in pieces of a bounded number of rows.
+    """
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS_PER_PIECE))
+    placed = in_order(df, key, F.floor(F.col(key) / 100_000), parts, "_at")
+    values = df.select(F.xxhash64(F.col(key)).alias("_h"), *[F.col(c).alias(f"_new_{c}") for c in columns])
+    mixed_up = in_order(values, "_h", F.shiftright("_h", 50), parts, "_at").drop("_h")
+    return placed.repartition(parts, "_at").join(mixed_up.repartition(parts, "_at"), "_at").drop("_at")
+
+
 def permutation_importance(df: DataFrame, model: PipelineModel, columns: Sequence[str], problem: str, key: str, label: str = "label") -> DataFrame:
     """Loss of score when a column's values are dealt out anew: rows (feature, importance).
 
-    Values are re-dealt by pairing rows in key order with values in hash order, both numbered chunk by chunk.
+    Values are re-dealt by pairing rows in key order with values in hash order. One pass over the pairs predicts for up to ``AT_ONCE``
+    columns; only the predictions are written, for the evaluator.
     """
     judge = evaluator(problem, label)
     base = judge.evaluate(model.transform(df))
     rows = []
-    digest = F.xxhash64(F.col(key))
-    placed = numbered(df, [], [key], F.floor(F.col(key) / 100_000), "_at")
-    for c in columns:
-        mixed_up = numbered(df.select(F.col(c).alias("_new"), digest.alias("_h")), [], ["_h"], F.floor(F.col("_h") / F.lit(float(2**56))), "_at")
-        mixed = placed.join(mixed_up.drop("_h"), "_at").withColumn(c, F.col("_new")).drop("_new", "_at")
-        score = judge.evaluate(model.transform(mixed))
-        rows.append((c, float(base - score if judge.isLargerBetter() else score - base)))
+    for some in (columns[i:i + AT_ONCE] for i in range(0, len(columns), AT_ONCE)):
+        pairs = redealt(df, some, key).withColumns({f"_old_{c}": F.col(c) for c in some})
+        for c in some:
+            mixed = pairs.withColumns({x: F.col(f"_new_{x}" if x == c else f"_old_{x}") for x in some})
+            pairs = model.transform(mixed).select(*pairs.columns, F.col("prediction").alias(f"_told_{c}"))
+        told = cut(pairs.select(label, *[f"_told_{c}" for c in some]), "predictions")
+        for c in some:
+            score = judge.evaluate(told, {judge.predictionCol: f"_told_{c}"})
+            rows.append((c, float(base - score if judge.isLargerBetter() else score - base)))
     return df.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 

@@ -10,6 +10,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from millrace.session import cut
+
 
 def _chunked(df: DataFrame, keys: Sequence[str], chunk: Column) -> DataFrame:
     """Adds ``_chunk`` and ``_g``, the struct of keys and chunk.
@@ -49,6 +51,25 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence, chunk: Column,
     return running_sums(df, keys, order, chunk, {name: F.lit(1).cast("bigint")})
 
 
+def in_order(df: DataFrame, order: str, chunk: Column, parts: int, name: str = "n") -> DataFrame:
+    """Exact 1-based row number over a whole table, dealt out over ``parts`` tasks.
+
+    Consecutive chunks share a task, which sorts its rows by the one column alone; a row's number is its place there plus the
+    rows of earlier tasks. Chunks are counted first and should be many more than ``parts``.
+    """
+    rows = df.withColumn("_chunk", chunk)
+    counts = rows.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(_along([]).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    shares = counts.select("_chunk", before.alias("_from"), F.sum("_n").over(W.partitionBy(F.lit(0))).alias("_all"))
+    shares = shares.withColumn("_part", F.floor(F.col("_from") / F.col("_all") * parts).cast("int"))
+    earlier = F.min("_from").over(W.partitionBy("_part")).alias("_earlier")
+    shares = cut(shares.select(F.col("_chunk").alias("_c"), "_part", earlier), "shares")
+    dealt = rows.join(shares, F.col("_chunk").eqNullSafe(F.col("_c"))).drop("_chunk", "_c")
+    dealt = dealt.repartitionById(parts, F.col("_part")).sortWithinPartitions(order)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # the upper bits are the task
+    return dealt.withColumn(name, place + F.col("_earlier") + 1).drop("_part", "_earlier")
+
+
 def neighbours(
     df: DataFrame, keys: Sequence[str], order: Sequence, chunk: Column,
     previous: Mapping[str, str] | None = None, following: Mapping[str, str] | None = None,

@@ -60,6 +60,19 @@ def test_running_sums_and_numbering(hot):
     assert (both.n == both.n_r).all() and np.allclose(both.s, both.s_r)
 
 
+def test_numbers_of_a_whole_table_run_over_all_tasks(spark):
+    rng = random.Random(5)
+    keys = [rng.choice([None, 7, rng.randrange(-5000, 5000), rng.randrange(0, 40)]) for _ in range(3000)]
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k int, i int").repartition(5)
+    numbered = runs.in_order(df, "k", F.floor(F.col("k") / 10), 6)
+    got = sorted(map(tuple, numbered.select("n", "k").collect()))
+    assert [n for n, _ in got] == list(range(1, 3001))
+    assert [k for _, k in got] == sorted(keys, key=lambda k: (k is not None, k))
+    assert numbered.columns == ["k", "i", "n"] and len(set(r.i for r in numbered.collect())) == 3000
+    assert numbered.select(F.spark_partition_id().alias("p")).distinct().count() > 3
+    assert runs.in_order(df.where("false"), "k", F.floor(F.col("k") / 10), 6).count() == 0
+
+
 def test_neighbours_cross_chunks(hot):
     df, pdf = hot
     out = runs.neighbours(df, ["key"], ["t", "id"], F.floor(F.col("t") / 500), {"p": "id"}, {"f": "id"}).toPandas().set_index("id")
