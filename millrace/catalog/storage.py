@@ -46,8 +46,8 @@ def _(spark, sf):
     root = scratch_path(spark, "gz")
     escaped = F.regexp_replace(F.base64(F.encode("text", "UTF-8")), "\\s", "").alias("value")  # a line a text, whatever the text holds
     texts = Tables(spark, sf).documents.where("text is not null").select(escaped)
-    texts.write.option("compression", "gzip").option("maxRecordsPerFile", 100_000).text(root)
-    bodies = S.gunzip_files(spark.read.format("binaryFile").load(root))
+    texts.write.option("compression", "gzip").option("maxRecordsPerFile", 10_000).text(root)
+    bodies = S.gunzip_files(spark.read.format("binaryFile").load(root), piece=1 << 20)
     lines = bodies.select(F.explode(F.split(F.regexp_replace(F.col("body").cast("string"), r"\n\z", ""), "\n")).alias("l"))
     text = F.concat(F.decode(F.unbase64("l"), "UTF-8"), F.lit("\n"))
     return lines.select(text.alias("t")).agg(F.count("*").alias("texts"), F.sum(F.octet_length("t")).cast("bigint").alias("bytes"), F.max(F.md5(F.encode("t", "UTF-8"))).alias("last_digest"))

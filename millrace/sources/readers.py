@@ -90,9 +90,59 @@ def read_any(spark: SparkSession, root: str) -> DataFrame:
     return rows.select(*[F.try_element_at("row", F.lit(n)).alias(n) for n in sorted(names)])
 
 
-def gunzip_files(files: DataFrame, limit: int | None = None) -> DataFrame:
+SLICE = 1 << 18  # bytes of packed content that are unpacked at once
+
+
+def unpacked(content: pa.BinaryScalar) -> Iterator[bytes | None]:
+    """The bytes of a file in parts, of all members where it is gzip; None in the end where a stream breaks off."""
+    packed, at, stream = memoryview(content.as_buffer()).cast("B"), 0, None
+    if packed[:2] != b"\x1f\x8b":
+        yield from (bytes(packed[i:i + SLICE]) for i in range(0, len(packed), SLICE))
+        return
+    while at < len(packed):
+        if stream is None:
+            if packed[at:at + 2] != b"\x1f\x8b":
+                return
+            stream = zlib.decompressobj(wbits=31)
+        piece = packed[at:at + SLICE]
+        at += len(piece)
+        while len(piece) and not stream.eof:
+            yield stream.decompress(piece, 4 * SLICE)
+            piece = stream.unconsumed_tail
+        if stream.eof:
+            at, stream = at - len(stream.unused_data), None
+    if stream is not None:
+        yield stream.flush()
+        if not stream.eof:
+            yield None
+
+
+def in_lines(parts: Iterator[bytes | None], most: int) -> Iterator[tuple[bytes | None, bool]]:
+    """Parts put together to pieces of about ``most`` bytes that end with a line, and whether the bytes break off with them."""
+    held, size, broken = [], 0, False
+    for part in parts:
+        if part is None:
+            broken = True
+            break
+        end = part.rfind(b"\n") + 1
+        if end and size + end >= most:
+            yield b"".join([*held, part[:end]]), False
+            held, size, part = [], 0, part[end:]
+        held.append(part)
+        size += len(part)
+    if size or broken:
+        yield b"".join(held), broken
+
+
+def gunzip_files(files: DataFrame, limit: int | None = None, piece: int | None = None) -> DataFrame:
     """Adds ``body`` and ``truncated`` to (path, content): gzip content by its magic bytes is unpacked, all members of it,
-    up to ``limit`` bytes where one is given. ``truncated`` also marks a stream that breaks off."""
+    up to ``limit`` bytes where one is given. ``truncated`` also marks a stream that breaks off.
+
+    With ``piece``, which takes no limit, a file is one row for each piece of about so many bytes, in order, each cut behind the end of a line, so that
+    no task holds a body; ``truncated`` is in the last one. An empty file has no row; where content is no gzip after all, null follows the pieces before.
+    """
+    if piece and limit is not None:
+        raise ValueError("a limit goes with whole bodies only")
     schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("body", T.BinaryType()), T.StructField("truncated", T.BooleanType())])
 
     def unpack(content: bytes) -> tuple[bytes | None, bool]:
@@ -111,11 +161,17 @@ def gunzip_files(files: DataFrame, limit: int | None = None) -> DataFrame:
             return None, False
         return parts[0] if len(parts) == 1 else b"".join(parts), not whole
 
+    def pieces(content: pa.BinaryScalar) -> Iterator[tuple[bytes | None, bool]]:
+        try:
+            yield from in_lines(unpacked(content), piece)
+        except zlib.error:
+            yield None, False
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(*batch.columns):  # a batch holds many files; their bodies go on one by one
-                body, cut_off = unpack(content.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array([path.as_py()], pa.string()), pa.array([body], pa.binary()), pa.array([cut_off])], ["path", "body", "truncated"])
+                for body, cut_off in pieces(content) if piece else [unpack(content.as_py())]:
+                    yield pa.RecordBatch.from_arrays([pa.array([path.as_py()], pa.string()), pa.array([body], pa.binary()), pa.array([cut_off])], ["path", "body", "truncated"])
 
     return files.select("path", "content").mapInArrow(run, schema)
 
