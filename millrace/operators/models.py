@@ -10,6 +10,7 @@ from pyspark.ml import classification as MC, evaluation as ME, feature as MF, re
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, functions as F
 
+from millrace.operators.condensed import Condensed, variants
 from millrace.plans.joins import one_row
 from millrace.plans.ranks import in_value_order, order_stats
 from millrace.plans.runs import in_order, numbered
@@ -112,7 +113,8 @@ def select_model(train: DataFrame, test: DataFrame, stages: Sequence, pool: Sequ
                  folds: int = 5, use_grid: bool = True, parallelism: int = 4) -> tuple[DataFrame, PipelineModel, str]:
     """Cross-validates every candidate, scores it on the test rows, and keeps the best by test score.
 
-    Both sides are dealt out over all cores and written once to the shared folder, preprocessing is fitted once, and the
+    Both sides are dealt out over all cores and written once to the shared folder, preprocessing is fitted once. Regressions whose
+    fit depends on the rows only through moments or cells are fitted and validated on those; for the others the
     prepared rows, of which only the columns that a candidate names, are cached for the folds. A candidate that fails is skipped. Returns the leaderboard, the fitted
     pipeline and the winner's name.
     """
@@ -120,28 +122,36 @@ def select_model(train: DataFrame, test: DataFrame, stages: Sequence, pool: Sequ
     judge = evaluator(problem, label)
     prepared = Pipeline(stages=list(stages)).fit(train)
     named = {c.estimator.getOrDefault(p) for c in pool for p in c.estimator.params if p.name.endswith("Col") and c.estimator.isDefined(p)} | {label}
-    ready_train, ready_test = (df.select(*[c for c in df.columns if c in named]).cache() for df in (prepared.transform(train), prepared.transform(test)))
-    board, best = [], None
+    ready_train, ready_test = (df.select(*[c for c in df.columns if c in named]) for df in (prepared.transform(train), prepared.transform(test)))
+    condensed = Condensed(ready_train, pool[0].estimator.getFeaturesCol(), label, folds) if problem == "regression" and pool else None
+    ready_train, ready_test, board, best = ready_train.cache(), ready_test.cache(), [], None  # the first is filled by fits on rows only
     try:
         for c in pool:
             grid = ParamGridBuilder()
             for name, values in (c.grid or {}).items() if use_grid else ():
                 grid = grid.addGrid(c.estimator.getParam(name), list(values))
             try:
-                cv = CrossValidator(estimator=c.estimator, estimatorParamMaps=grid.build(), evaluator=judge, numFolds=folds, parallelism=parallelism, seed=42)
-                fitted = cv.fit(ready_train)
-                score = judge.evaluate(fitted.bestModel.transform(ready_test))
+                each = variants(c.estimator, grid.build())
+                if condensed and condensed.fits(each):
+                    model, metrics = condensed.cross_validate(each, judge, parallelism)
+                else:
+                    cv = CrossValidator(estimator=c.estimator, estimatorParamMaps=grid.build(), evaluator=judge, numFolds=folds, parallelism=parallelism, seed=42)
+                    fitted = cv.fit(ready_train)
+                    model, metrics = fitted.bestModel, fitted.avgMetrics
+                score = judge.evaluate(model.transform(ready_test))
             except Exception as failure:  # noqa: BLE001 - any failing candidate is reported and skipped
                 board.append((c.name, None, None, str(failure).splitlines()[0][:200]))
                 continue
-            pick = (max if judge.isLargerBetter() else min)(fitted.avgMetrics)
+            pick = (max if judge.isLargerBetter() else min)(metrics)
             board.append((c.name, float(score), float(pick), None))
             better = best is None or (score > best[1] if judge.isLargerBetter() else score < best[1])
             if better:
-                best = (c.name, score, fitted.bestModel)
+                best = (c.name, score, model)
     finally:
         ready_train.unpersist()
         ready_test.unpersist()
+        if condensed:
+            condensed.close()
     if best is None:
         raise RuntimeError(f"every candidate failed: {board}")
     frame = train.sparkSession.createDataFrame(board, "model string, score double, cv_score double, error string")

@@ -5,7 +5,8 @@ import math
 import random
 
 import pytest
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, regression as MR
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
@@ -145,3 +146,75 @@ def test_gunzip_hands_bodies_on_one_by_one(spark):
     got = readers.gunzip_files(files)
     assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
     assert [(r.path, len(r.body), r.truncated) for r in got.collect()] == [*[(str(i), 1000, False) for i in range(5)], ("5", 5, False), ("6", 10, True)]
+
+
+def _measured(spark, n=3000):
+    """Prepared rows of a continuous feature, one of seven values and one without any difference."""
+    rng = random.Random(5)
+    rows = [(rng.random() * 10, float(rng.randrange(7)), 1.0) for _ in range(n)]
+    df = spark.createDataFrame([(a, b, c, a * b + 3 * (a > 6) + rng.random()) for a, b, c in rows], "a double, b double, c double, label double").repartition(3)
+    return cut(Pipeline(stages=M.preprocess(["a", "b", "c"])).fit(df).transform(df).select("features", "label"), "measured")
+
+
+def _variant(name):
+    e = next(c.estimator for c in M.candidates("regression") if c.name == name)
+    e = e.copy({e.featureSubsetStrategy: "all"}) if name == "random_forest" else e
+    return e.copy({e.maxDepth: 4}) if e.hasParam("maxDepth") else e.copy({e.regParam: 0.05})
+
+
+@pytest.mark.parametrize("name", ["ridge", "lasso", "elasticnet", "decision_tree", "random_forest", "gbt"])
+def test_condensed_rows_give_the_fit_of_all_rows(spark, name):
+    from millrace.operators.condensed import Condensed
+
+    ready, judge, e = _measured(spark), M.evaluator("regression"), _variant(name)
+    condensed = Condensed(ready, folds=2)
+    assert condensed.fits([e])
+    model, plain = condensed.fit(e), e.fit(ready)
+    found, want = (judge.evaluate(m.transform(ready)) for m in (model, plain))
+    assert type(model) is type(plain) and math.isclose(found, want, rel_tol=1e-6 if hasattr(model, "coefficients") else 0.1)
+    half = condensed.fit(e, 0)
+    rows = condensed.flat.where("fold = 0").selectExpr("array(x0, x1, x2) x", "y label").select(array_to_vector("x").alias("features"), "label")
+    assert math.isclose(condensed.score(judge, e, half, 0), judge.evaluate(half.transform(rows)), rel_tol=1e-2 if name not in ("ridge", "lasso", "elasticnet") else 1e-9)
+    if hasattr(model, "coefficients"):
+        assert all(math.isclose(a, b, rel_tol=1e-6, abs_tol=1e-9) for a, b in zip(model.coefficients, plain.coefficients))
+    condensed.close()
+
+
+def test_fits_of_a_selection_do_not_pass_over_all_rows(spark, monkeypatch):
+    read = []
+    for c in (MR.LinearRegression, MR.DecisionTreeRegressor):
+        monkeypatch.setattr(c, "_fit", lambda self, df, plain=c._fit: (read.append(df.count()), plain(self, df))[1])
+    pool = [c for c in M.candidates("regression") if c.name in ("ridge", "decision_tree")]
+    rows = spark.range(0, 4000, 1, 2).selectExpr("id", "cast(id % 50 as double) a", "cast(id % 7 as double) b", "cast(id * 31 % 1009 as double) label")
+    board, best, _ = M.select_model(rows.where("id % 5 > 0"), rows.where("id % 5 = 0"), M.preprocess(["a", "b"]), pool, "regression", folds=2)
+    assert [r.error for r in board.collect()] == [None, None] and best.transform(rows).where("prediction is null").count() == 0
+    assert len(read) == 2 * (2 * 2 + 1) and max(read) <= 2 * 32 * 7
+
+
+def test_rows_that_share_no_cells_are_fitted_as_they_are(spark):
+    from millrace.operators.condensed import Condensed
+
+    ready = _measured(spark, 60)
+    condensed, e = Condensed(ready), _variant("decision_tree")
+    assert not condensed.fits([e]) and not Condensed(ready.withColumn("label", F.lit(None).cast("double"))).fits([_variant("ridge")])
+    assert condensed.fit(e).toDebugString.split("\n")[1:] == e.fit(ready).toDebugString.split("\n")[1:]
+
+
+def test_gunzip_in_pieces_holds_no_whole_body(spark):
+    rng = random.Random(3)
+    lines = [bytes(rng.choices(b"abcdef ", k=rng.randrange(300))) for _ in range(20_000)]
+    body = b"\n".join(lines) + b"\n"
+    half = len(body) // 2
+    packed = {"whole": gzip.compress(body), "members": gzip.compress(body[:half]) + gzip.compress(body[half:]) + b"rest", "plain": body, "broken": gzip.compress(body)[:-9],
+              "zeros": gzip.compress(b"0" * (5 << 20)), "empty": b"", "wrong": b"\x1f\x8b\x08" + b"\x00" * 7 + b"\xff" * 100}
+    files = spark.createDataFrame([(k, bytearray(v)) for k, v in packed.items()], "path string, content binary").coalesce(1)
+    got = {k: [] for k in packed}
+    for r in readers.gunzip_files(files, piece=1 << 18).collect():
+        got[r.path].append((r.body, r.truncated))
+    for k in ("whole", "members", "plain", "broken"):
+        bodies = [bytes(b) for b, _ in got[k]]
+        found = b"".join(bodies)
+        assert len(bodies) > 2 and max(map(len, bodies)) < 2 << 20 and all(b.endswith(b"\n") for b in bodies[:-1])
+        assert found == body if k != "broken" else body.startswith(found) and len(found) > len(body) - 1000
+        assert [t for _, t in got[k]] == [False] * (len(bodies) - 1) + [k == "broken"]
+    assert [bytes(b) for b, _ in got["zeros"]] == [b"0" * (5 << 20)] and got["empty"] == [] and got["wrong"] == [(None, False)]
