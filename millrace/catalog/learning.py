@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from millrace.catalog import Family, Tables
 from millrace.operators import forecast, models as M
+from millrace.operators.condensed import Condensed
 from millrace.plans.spread import dealt
 from millrace.session import cut
 
@@ -38,9 +39,9 @@ def _(spark, sf):
     rows = line_rows(Tables(spark, sf)).withColumnRenamed("price", "label")
     rows = cut(dealt(rows), "rows")
     ready = cut(Pipeline(stages=M.preprocess(NUMERIC)).fit(rows).transform(rows).select("features", "label"), "prepared")
-    found = []
+    found, condensed = [], Condensed(ready)
     for c in M.candidates("regression"):
-        scored = c.estimator.fit(ready).transform(ready)
+        scored = condensed.fit(c.estimator).transform(ready)
         found.append(M.regression_metrics(scored).select(F.lit(c.name).alias("model"), "*"))
     return reduce(DataFrame.unionByName, found)
 
